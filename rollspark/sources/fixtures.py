@@ -77,6 +77,51 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _md5_pick(c, digits: str):
+    """Rows whose md5(key) starts with one of ``digits``: a stable pseudo-random subset."""
+    return F.substring(F.md5(F.col(c).cast("string")), 1, 1).isin(*list(digits))
+
+
+def math_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Raw math label table (question, gold answer, incorrect answer) from
+    ``orders``: finished orders ('F', about a third) carry a wrong answer."""
+    o = table(spark, d, "orders")
+    gold = F.floor("o_totalprice").cast("bigint")
+    return o.select(
+        F.col("o_orderkey").alias("id"),
+        F.concat(F.lit("What is the total price of order "), F.col("o_orderkey").cast("string"),
+                 F.lit("?")).alias("question"),
+        gold.cast("string").alias("groundtruth_answer"),
+        F.when(F.col("o_orderstatus") == "F", (gold + 1 + F.col("o_custkey") % 9).cast("string"))
+        .otherwise(gold.cast("string")).alias("incorrect_answer"),
+        F.concat(F.lit("Add the line totals.\n#### "), F.format_number(gold, 0)).alias("solution"),
+    )
+
+
+def sql_annotations(spark: SparkSession, d: str) -> DataFrame:
+    """Corrected text-to-SQL annotations with their originals, from
+    ``orders`` joined to ``customer`` (db_id = market segment)."""
+    o = table(spark, d, "orders")
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"),
+                                           F.col("c_mktsegment").alias("db_id"))
+    j = o.join(c, "o_custkey", "left")
+    q = F.concat(F.lit("List the orders of customer "), F.col("o_custkey").cast("string"))
+    ev = F.concat(F.lit("priority is "), F.col("o_orderpriority"))
+    sql = F.concat(F.lit("SELECT o_orderkey FROM orders WHERE o_custkey = "), F.col("o_custkey").cast("string"))
+    return j.select(
+        F.col("o_orderkey").alias("question_id"), "db_id",
+        q.alias("question"), ev.alias("evidence"),
+        F.when(_md5_pick("o_orderkey", "0"), F.lit("  ")).otherwise(sql).alias("SQL"),
+        F.when(F.col("o_orderstatus") == "F", "multiset").when(F.col("o_orderstatus") == "O", "set")
+        .otherwise("list").alias("grading_method"),
+        F.when(_md5_pick("o_orderkey", "12"), F.concat(q, F.lit(" please"))).otherwise(q).alias("original_question"),
+        F.when(_md5_pick("o_orderkey", "34"), F.concat(F.lit("status is "), F.col("o_orderstatus")))
+        .otherwise(ev).alias("original_evidence"),
+        F.when(_md5_pick("o_orderkey", "5"), F.concat(sql, F.lit(" LIMIT 5"))).otherwise(sql).alias("original_SQL"),
+        F.when(_md5_pick("o_orderkey", "12345"), F.lit("annotation error")).alias("reason"),
+    )
+
+
 # --------------------------------------------------------------------------
 # SQL twins (DuckDB dialect) of the views above, for the oracle queries.
 # --------------------------------------------------------------------------
@@ -110,6 +155,31 @@ SQL = {
                CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS answer,
                o_orderstatus AS status
         FROM orders""",
+    "math_labels": """
+        SELECT o_orderkey AS id,
+               'What is the total price of order ' || CAST(o_orderkey AS VARCHAR) || '?' AS question,
+               CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS groundtruth_answer,
+               CASE WHEN o_orderstatus = 'F'
+                    THEN CAST(CAST(floor(o_totalprice) AS BIGINT) + 1 + o_custkey % 9 AS VARCHAR)
+                    ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) END AS incorrect_answer,
+               'Add the line totals.' || chr(10) || '#### ' || format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) AS solution
+        FROM orders""",
+    "sql_annotations": """
+        SELECT o_orderkey AS question_id, c_mktsegment AS db_id,
+               'List the orders of customer ' || CAST(o_custkey AS VARCHAR) AS question,
+               'priority is ' || o_orderpriority AS evidence,
+               CASE WHEN substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 1) IN ('0') THEN '  '
+                    ELSE 'SELECT o_orderkey FROM orders WHERE o_custkey = ' || CAST(o_custkey AS VARCHAR) END AS "SQL",
+               CASE WHEN o_orderstatus = 'F' THEN 'multiset' WHEN o_orderstatus = 'O' THEN 'set' ELSE 'list' END AS grading_method,
+               CASE WHEN substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 1) IN ('1', '2')
+                    THEN 'List the orders of customer ' || CAST(o_custkey AS VARCHAR) || ' please'
+                    ELSE 'List the orders of customer ' || CAST(o_custkey AS VARCHAR) END AS original_question,
+               CASE WHEN substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 1) IN ('3', '4') THEN 'status is ' || o_orderstatus
+                    ELSE 'priority is ' || o_orderpriority END AS original_evidence,
+               'SELECT o_orderkey FROM orders WHERE o_custkey = ' || CAST(o_custkey AS VARCHAR)
+                 || CASE WHEN substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 1) IN ('5') THEN ' LIMIT 5' ELSE '' END AS original_SQL,
+               CASE WHEN substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 1) IN ('1', '2', '3', '4', '5') THEN 'annotation error' END AS reason
+        FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
 }
 
 DEPS: dict[str, list[str]] = {}
