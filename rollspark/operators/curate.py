@@ -18,6 +18,62 @@ from rollspark.plans.index import hashed_index
 # Fixed values that must equal the reference's prompt format.
 MATH_INSTRUCTION = "Let's think step by step and output the final answer within \\boxed{}."
 MATH_ENV_CLASS = "math_hard"
+# Fixed value: system prompt of the text-to-SQL task ({db_details},
+# {external_knowledge} and {question} are literal text in it, as in the reference).
+SQL_SYSTEM_PROMPT = """\
+Task Overview:
+You are a data science expert. Below, you are provided with a database schema and a natural language question. Your task is to understand the schema and generate a valid SQL query to answer the question within limited turns. You should breakdown the problem, draft your reasoning process, and generate the solution.
+
+Database Engine:
+SQLite
+
+Database Schema:
+{db_details}
+This schema describes the database's structure, including tables, columns, primary keys, foreign keys, and any relevant relationships or constraints.
+
+External Knowledge:
+{external_knowledge}
+
+Question:
+{question}
+
+Instructions:
+- Make sure you only output the information that is asked in the question. If the question asks for a specific column, make sure to only include that column in the SELECT clause, nothing more.
+- The generated query should return all of the information asked in the question without any missing or extra information.
+- Before generating the final SQL query, please think through the steps of how to write the query. It should include detailed considerations such as analysing questions, summarizing relevant findings, brainstorming new ideas, verifying the accuracy of the current steps, refining any errors, thinking of how to call SQL tools, and revisiting previous steps.
+
+
+Format:
+- Conduct thinking inside <think>...</think> blocks every time you get new observation or information.
+- You can use SQL tool written within a single <sql>your sql</sql> block to explore or verify. SQL tool output will be shown as dataframe inside <observation>...</observation>. Based on this observation, you can think again and refine.
+- The returned dataframe will be truncated in 50 rows if observation is too long.
+- If you find no further exploration is needed or reaches max turns, you MUST directly provide the final SQL query solution inside <solution>...</solution>.
+
+------------------------ START OF EXAMPLE ------------------------
+Question: how many pigs are in the farm?
+    Database Schema:
+    Table: animals
+    - id (INTEGER, PRIMARY KEY)
+    - species (TEXT)
+    - age (INTEGER)
+    - name (TEXT)
+
+<think>I am querying how many pigs are in the farm. I will begin by checking if the 'animals' table exists and contains entries with species = 'pig'.</think>
+<sql>SELECT COUNT(*) FROM animals WHERE species = 'pig';</sql>
+<observation>
++----------+
+| COUNT(*) |
++----------+
+|   12     |
++----------+
+</observation>
+<think>The result indicates that there are 12 pigs in the farm. Since the question asks for how many pigs, I can now output the final SQL as the solution.</think>
+<solution>SELECT COUNT(*) FROM animals WHERE species = 'pig';</solution>
+------------------------ END OF EXAMPLE ------------------------
+"""
+SQL_ENV_CLASS = "text2sql"
+SQL_MISSING_SCHEMA = "[Database schema for {db_id} not available]"
+
 MODE_SOURCE = {"clean": "default", "noisy": "incorrect", "format_reward": "format_reward",
                "random_noise": "random_noise"}
 
@@ -209,3 +265,32 @@ def advantage_agreement(df: DataFrame, noisy_adv="adv_noisy", true_adv="adv_true
 def remove_ids(df: DataFrame, ids: DataFrame, key="id") -> DataFrame:
     """Drop rows listed in ``ids`` (J11: falsely-incorrect labels)."""
     return df.join(ids.select(col(key).alias("_rid")).distinct(), col(key) == F.col("_rid"), "left_anti")
+
+
+def sql_prompt_rows(annotations: DataFrame, schemas: DataFrame, data_source: str,
+                    corrected: bool = False) -> DataFrame:
+    """Text-to-SQL training rows (P3, J2): rows with blank SQL are skipped, the
+    schema text comes from a left lookup on db_id (with a default text when
+    missing), the user message carries schema, evidence and question, and
+    ``extra_info.index`` is a dense index over the kept rows in question_id
+    order (computed without a single-partition window)."""
+    from rollspark.plans.ordered import ordered_index
+    a = annotations.filter(F.trim(F.coalesce(F.col("SQL"), F.lit(""))) != "")
+    # schema lookup table: one row per database, small by nature; AQE picks the
+    # broadcast when it measures it small
+    j = a.join(schemas.select("db_id", "schema_text"), "db_id", "left")
+    details = F.coalesce(F.col("schema_text"),
+                         F.concat(F.lit("[Database schema for "), F.col("db_id"), F.lit(" not available]")))
+    user = F.concat(F.lit("{db_details}: "), details, F.lit("\n {external_knowledge}: "),
+                    F.coalesce(F.col("evidence"), F.lit("")), F.lit(";\n {question}: "), F.col("question"))
+    j = ordered_index(j, "question_id", name="_idx")
+    data = "bird-platinum" if (corrected or "clean" in data_source) else "bird"
+    return j.select(
+        F.lit(data_source).alias("data_source"),
+        F.array(F.struct(F.lit(SQL_SYSTEM_PROMPT).alias("content"), F.lit("system").alias("role")),
+                F.struct(user.alias("content"), F.lit("user").alias("role"))).alias("prompt"),
+        F.lit(SQL_ENV_CLASS).alias("env_class"), "db_id", F.lit(data).alias("data"),
+        F.struct(F.col("SQL").alias("ground_truth"),
+                 F.coalesce(F.col("grading_method"), F.lit("multiset")).alias("method")).alias("reward_spec"),
+        F.struct(F.col("_idx").alias("index"), F.lit("dummy").alias("split")).alias("extra_info"),
+        "question_id")

@@ -122,6 +122,76 @@ def sql_annotations(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _code(c, pos: int = 1):
+    return F.substring(F.md5(F.col(c).cast("string")), pos, 1)
+
+
+def sql_results(spark: SparkSession, d: str) -> DataFrame:
+    """Gold and predicted SQL result sets in long form
+    ``(question_id, side, row_idx, vals)``.
+
+    Question = an order: gold rows are its line items; the predicted copy is
+    perturbed by the first md5 digit of the key: '0','1' drop the first row,
+    '2','3' reverse the columns, '4' change a value, '5' swap the first two
+    rows, '6' duplicate the first row, '7' add a blank row. Negative ids are
+    1x1 numeric answers (-(order key + 1); order total, predicted with an offset)."""
+    li = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("question_id"),
+        F.md5(F.concat_ws("|", "l_linenumber", "l_partkey", "l_suppkey")).alias("_h"),
+        F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_returnflag"),
+                F.col("l_quantity").cast("bigint").cast("string")).alias("vals"))
+    lr = hashed_index(li, "_h", ["question_id"], name="row_idx").withColumn("_c", _code("question_id"))
+    c, i, v = F.col("_c"), F.col("row_idx"), F.col("vals")
+    gold = lr.select("question_id", F.lit("gold").alias("side"), "row_idx", "vals")
+    pred = lr.filter(~(c.isin("0", "1") & (i == 0))).select(
+        "question_id", F.lit("pred").alias("side"),
+        F.when((c == "5") & (i == 0), F.lit(1).cast("bigint")).when((c == "5") & (i == 1), F.lit(0).cast("bigint"))
+        .otherwise(i).alias("row_idx"),
+        F.when(c.isin("2", "3"), F.reverse(v))
+        .when((c == "4") & (i == 0), F.array(v[0], v[1], F.lit("X"), v[3])).otherwise(v).alias("vals"))
+    dup = lr.filter((c == "6") & (i == 0)).select("question_id", F.lit("pred").alias("side"),
+                                                  F.lit(1000).cast("bigint").alias("row_idx"), "vals")
+    blank = lr.filter((c == "7") & (i == 0)).select("question_id", F.lit("pred").alias("side"),
+                                                    F.lit(1001).cast("bigint").alias("row_idx"),
+                                                    F.array(*[F.lit("")] * 4).alias("vals"))
+    o = table(spark, d, "orders")
+    tot = F.floor("o_totalprice").cast("bigint")
+    g1 = o.select((-F.col("o_orderkey") - 1).alias("question_id"), F.lit("gold").alias("side"),
+                  F.lit(0).cast("bigint").alias("row_idx"), F.array(tot.cast("string")).alias("vals"))
+    p1 = o.select((-F.col("o_orderkey") - 1).alias("question_id"), F.lit("pred").alias("side"),
+                  F.lit(0).cast("bigint").alias("row_idx"),
+                  F.array((tot + F.col("o_custkey") % 3000).cast("string")).alias("vals"))
+    return gold.unionByName(pred).unionByName(dup).unionByName(blank).unionByName(g1).unionByName(p1)
+
+
+def sql_questions(spark: SparkSession, d: str) -> DataFrame:
+    """One question per order key (and its negative for the 1x1 answers) with
+    a grading method, an execution status and a model completion."""
+    o = table(spark, d, "orders")
+    q = o.select(F.col("o_orderkey").alias("question_id")).unionByName(
+        o.select((-F.col("o_orderkey") - 1).alias("question_id")))
+    c2, c3 = _code("question_id", 2), _code("question_id", 3)
+    method = F.when(c2.isin(*"012345"), "multiset").when(c2.isin(*"678"), "set").when(c2.isin("9", "a"), "list") \
+        .when(c2.isin("b", "c"), "subset,>=,1").when(c2 == "d", "subset,=,2").otherwise("multiset")
+    sql = F.concat(F.lit("SELECT * FROM lineitem WHERE l_orderkey = "), F.col("question_id").cast("string"))
+    completion = F.when(c3 == "1", F.concat(F.lit("<think>plan</think>\n<solution>"), sql)) \
+        .when(c3 == "2", F.concat(F.lit("<think>plan</think>\n<solution><think>again</think>"), sql,
+                                 F.lit("</solution>"))) \
+        .when(c3 == "3", F.concat(F.lit("<think>a</think><sql>SELECT 1</sql><observation>1</observation>"
+                                        "<solution>"), sql, F.lit("</solution>"))) \
+        .otherwise(F.concat(F.lit("<think>plan</think>\n<solution>"), sql, F.lit("</solution>")))
+    return q.select("question_id", method.alias("grading_method"), (c3 != "0").alias("pred_ok"),
+                    completion.alias("completion"))
+
+
+def db_schemas(spark: SparkSession, d: str) -> DataFrame:
+    """Schema text per database (one per market segment; HOUSEHOLD has none)."""
+    c = table(spark, d, "customer").filter(F.col("c_mktsegment") != "HOUSEHOLD")
+    return c.select(F.col("c_mktsegment").alias("db_id")).distinct().select(
+        "db_id", F.concat(F.lit("CREATE TABLE orders_"), F.lower("db_id"),
+                          F.lit(" (o_orderkey INTEGER, o_custkey INTEGER)")).alias("schema_text"))
+
+
 # --------------------------------------------------------------------------
 # SQL twins (DuckDB dialect) of the views above, for the oracle queries.
 # --------------------------------------------------------------------------
@@ -180,6 +250,42 @@ SQL = {
                  || CASE WHEN substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 1) IN ('5') THEN ' LIMIT 5' ELSE '' END AS original_SQL,
                CASE WHEN substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 1) IN ('1', '2', '3', '4', '5') THEN 'annotation error' END AS reason
         FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
+    "sql_results": """
+        WITH li AS (SELECT l_orderkey AS question_id, md5(concat_ws('|', l_linenumber, l_partkey, l_suppkey)) AS h,
+                           [CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), l_returnflag,
+                            CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)] AS vals FROM lineitem),
+             lr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY h) - 1 AS row_idx,
+                           substr(md5(CAST(question_id AS VARCHAR)), 1, 1) AS c FROM li)
+        SELECT question_id, 'gold' AS side, row_idx, vals FROM lr
+        UNION ALL
+        SELECT question_id, 'pred',
+               CASE WHEN c = '5' AND row_idx = 0 THEN 1 WHEN c = '5' AND row_idx = 1 THEN 0 ELSE row_idx END,
+               CASE WHEN c IN ('2', '3') THEN list_reverse(vals)
+                    WHEN c = '4' AND row_idx = 0 THEN [vals[1], vals[2], 'X', vals[4]] ELSE vals END
+        FROM lr WHERE NOT (c IN ('0', '1') AND row_idx = 0)
+        UNION ALL SELECT question_id, 'pred', 1000, vals FROM lr WHERE c = '6' AND row_idx = 0
+        UNION ALL SELECT question_id, 'pred', 1001, ['', '', '', ''] FROM lr WHERE c = '7' AND row_idx = 0
+        UNION ALL SELECT -o_orderkey - 1, 'gold', 0, [CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR)] FROM orders
+        UNION ALL SELECT -o_orderkey - 1, 'pred', 0,
+                         [CAST(CAST(floor(o_totalprice) AS BIGINT) + o_custkey % 3000 AS VARCHAR)] FROM orders""",
+    "sql_questions": """
+        WITH q AS (SELECT o_orderkey AS question_id FROM orders UNION ALL SELECT -o_orderkey - 1 FROM orders),
+             c AS (SELECT question_id, substr(md5(CAST(question_id AS VARCHAR)), 2, 1) AS c2,
+                          substr(md5(CAST(question_id AS VARCHAR)), 3, 1) AS c3,
+                          'SELECT * FROM lineitem WHERE l_orderkey = ' || CAST(question_id AS VARCHAR) AS s FROM q)
+        SELECT question_id,
+               CASE WHEN c2 IN ('0','1','2','3','4','5') THEN 'multiset' WHEN c2 IN ('6','7','8') THEN 'set'
+                    WHEN c2 IN ('9','a') THEN 'list' WHEN c2 IN ('b','c') THEN 'subset,>=,1'
+                    WHEN c2 = 'd' THEN 'subset,=,2' ELSE 'multiset' END AS grading_method,
+               c3 <> '0' AS pred_ok,
+               CASE WHEN c3 = '1' THEN '<think>plan</think>' || chr(10) || '<solution>' || s
+                    WHEN c3 = '2' THEN '<think>plan</think>' || chr(10) || '<solution><think>again</think>' || s || '</solution>'
+                    WHEN c3 = '3' THEN '<think>a</think><sql>SELECT 1</sql><observation>1</observation><solution>' || s || '</solution>'
+                    ELSE '<think>plan</think>' || chr(10) || '<solution>' || s || '</solution>' END AS completion
+        FROM c""",
+    "db_schemas": """
+        SELECT db_id, 'CREATE TABLE orders_' || lower(db_id) || ' (o_orderkey INTEGER, o_custkey INTEGER)' AS schema_text
+        FROM (SELECT DISTINCT c_mktsegment AS db_id FROM customer WHERE c_mktsegment <> 'HOUSEHOLD')""",
 }
 
 DEPS: dict[str, list[str]] = {}
