@@ -13,7 +13,7 @@ from rollspark.sources.fixtures import db_schemas, sql_annotations, sql_question
 
 _GRADE_CTES = """
 , r AS (SELECT * FROM sql_results
-        WHERE len(list_filter(vals, lambda v: v IS NOT NULL AND trim(v) <> '')) > 0),
+        WHERE len(list_filter(vals, lambda v: v IS NOT NULL AND regexp_replace(v, '^\\s+|\\s+$', '', 'g') <> '')) > 0),
 k AS (SELECT question_id, list_sort(list_transform(vals, lambda v: coalesce(v, 'None'))) AS key,
              sum(CASE WHEN side = 'gold' THEN 1 ELSE 0 END) AS cg,
              sum(CASE WHEN side = 'pred' THEN 1 ELSE 0 END) AS cp
@@ -75,7 +75,7 @@ query("sql_grade_list", _grade_sql("'list'"))(lambda spark, d: _graded(spark, d,
 _FMT = """CASE WHEN len(string_split(string_split(completion, '<solution>')[-1], '</solution>')) = 2
             AND NOT regexp_matches(string_split(string_split(completion, '<solution>')[-1], '</solution>')[1],
                                    '(?i)</?(think|sql|observation)\\b')
-          THEN trim(string_split(string_split(completion, '<solution>')[-1], '</solution>')[1]) END"""
+          THEN regexp_replace(string_split(string_split(completion, '<solution>')[-1], '</solution>')[1], '^\\s+|\\s+$', '', 'g') END"""
 
 
 @query("sql_format_lenient", with_views(f"""
@@ -89,7 +89,7 @@ SELECT question_id,
        CASE WHEN len(string_split(completion, '<solution>')) = 2 AND len(string_split(completion, '</solution>')) = 2
              AND regexp_matches(completion, '(?s)<think>.*?</think>')
              AND NOT regexp_matches(regexp_replace(completion, '</observation>\\s*<think>', '', 'g'), '</observation>')
-            THEN trim(regexp_extract(completion, '(?s)<solution>(.*?)</solution>', 1)) END AS pred_sql
+            THEN regexp_replace(regexp_extract(completion, '(?s)<solution>(.*?)</solution>', 1), '^\\s+|\\s+$', '', 'g') END AS pred_sql
 FROM sql_questions""", "sql_questions"))
 def q_fmt_strict(spark, d):
     return sql_questions(spark, d).select("question_id", G.solution_format_strict("completion").alias("pred_sql"))
@@ -111,7 +111,7 @@ def q_sql_reward(spark, d):
 
 @query("sql_non_empty_rows", with_views("""
 SELECT question_id, side, CAST(count(*) AS BIGINT) AS n_rows FROM sql_results
-WHERE len(list_filter(vals, lambda v: v IS NOT NULL AND trim(v) <> '')) > 0 GROUP BY 1, 2""", "sql_results"))
+WHERE len(list_filter(vals, lambda v: v IS NOT NULL AND regexp_replace(v, '^\\s+|\\s+$', '', 'g') <> '')) > 0 GROUP BY 1, 2""", "sql_results"))
 def q_non_empty(spark, d):
     return G.non_empty_rows(sql_results(spark, d)).groupBy("question_id", "side").agg(
         F.count(F.lit(1)).alias("n_rows"))

@@ -55,3 +55,9 @@ def array_sum(arr) -> Column:
 def array_wsum(arr) -> Column:
     """sum_i (i+1) * x_i: an order-sensitive fingerprint of an array."""
     return array_sum(F.transform(col(arr), lambda x, i: x.cast("double") * (i + 1)))
+
+
+def pystrip(c) -> Column:
+    """Python ``str.strip()``: drop leading and trailing whitespace (Spark's
+    ``trim`` drops spaces only)."""
+    return F.regexp_replace(col(c), r"^\s+|\s+$", "")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollspark.functions.cols import col
+from rollspark.functions.cols import col, pystrip
 from rollspark.plans.ordered import ordered_index
 
 GOLD, PRED = "gold", "pred"
@@ -25,7 +25,7 @@ SOLUTION_START, SOLUTION_END = "<solution>", "</solution>"
 
 def non_empty_rows(df: DataFrame, vals="vals") -> DataFrame:
     """Drop rows whose every value is NULL or blank."""
-    return df.filter(F.exists(col(vals), lambda v: v.isNotNull() & (F.trim(v) != "")))
+    return df.filter(F.exists(col(vals), lambda v: v.isNotNull() & (pystrip(v) != "")))
 
 
 def row_key(vals="vals") -> Column:
@@ -123,7 +123,7 @@ def solution_format(text) -> Column:
     one_end = F.regexp_count(tail, F.lit(SOLUTION_END)) == 1
     sol = F.substring_index(tail, SOLUTION_END, 1)
     bad_tag = sol.rlike(r"(?i)</?(think|sql|observation)\b")
-    return F.when(one_end & ~bad_tag, F.trim(sol))
+    return F.when(one_end & ~bad_tag, pystrip(sol))
 
 
 def solution_format_strict(text) -> Column:
@@ -136,7 +136,7 @@ def solution_format_strict(text) -> Column:
     has_think = t.rlike(r"(?s)<think>.*?</think>")
     obs_ok = ~t.rlike(r"(?is)</observation>(?!\s*<think>)")
     sol = F.regexp_extract(t, r"(?s)<solution>(.*?)</solution>", 1)
-    return F.when((n_sol == 1) & (n_end == 1) & has_think & obs_ok, F.trim(sol))
+    return F.when((n_sol == 1) & (n_end == 1) & has_think & obs_ok, pystrip(sol))
 
 
 def ends_with_stop_tag(text, tags=("</sql>", "</solution>", "</search>", "</answer>")) -> Column:

@@ -192,10 +192,78 @@ def db_schemas(spark: SparkSession, d: str) -> DataFrame:
                           F.lit(" (o_orderkey INTEGER, o_custkey INTEGER)")).alias("schema_text"))
 
 
+# response templates by the first md5 digit of the order key; {G} = gold answer
+RESPONSE_TEMPLATES = {
+    "0": "<think>Sum the lines.</think>\nThe total is \\boxed{{G}}.",
+    "1": "<think>Sum the lines.</think>\nThe total is \\boxed{{G}}.",
+    "2": "<think>a</think>b</think>\nThe total is \\boxed{{G}}.",
+    "3": "<think>x</think> so \\boxed{\\frac{{G}}{2}} or rather \\boxed{{G}}",
+    "4": "The total is \\boxed{{G}+1}",
+    "5": "Adding up.\n#### {C}",
+    "6": "Answer: {G}",
+    "7": "<answer>{G}</answer> then <answer> The {G}. </answer>",
+    "8": "```python\nprint({G})\n```\n### Final Score: 1",
+    "9": "\\boxed{\\text{{G} dollars}}",
+    "a": "\\boxed{ {G} }",
+    "b": "\\boxed{0.5}",
+    "c": "\\boxed{3/4} and \\boxed{\\dfrac12}",
+    "d": "\\fbox{{G}}",
+    "e": "no answer here, ratio 1,234.5 and .",
+    "f": "x = \\boxed{x = {G}}",
+}
+
+
+def responses(spark: SparkSession, d: str) -> DataFrame:
+    """Model responses with gold answers, one per order: the template is
+    chosen by the first md5 digit of the key (boxed, nested boxed, wrong,
+    '####', 'Answer:', <answer> tags, code blocks, \\text, fractions, ...)."""
+    o = table(spark, d, "orders")
+    g = F.floor("o_totalprice").cast("bigint")
+    gs, cs = g.cast("string"), F.format_number(g, 0)
+    code = F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 1)
+    text = None
+    for k, tpl in RESPONSE_TEMPLATES.items():
+        parts = []
+        rest = tpl
+        while rest:
+            i = min([x for x in (rest.find("{G}"), rest.find("{C}")) if x >= 0], default=-1)
+            if i < 0:
+                parts.append(F.lit(rest))
+                break
+            if i:
+                parts.append(F.lit(rest[:i]))
+            parts.append(gs if rest[i:i + 3] == "{G}" else cs)
+            rest = rest[i + 3:]
+        e = F.concat(*parts)
+        text = F.when(code == k, e) if text is None else text.when(code == k, e)
+    return o.select(F.col("o_orderkey").alias("response_id"), gs.alias("gold"), text.alias("response"))
+
+
 # --------------------------------------------------------------------------
 # SQL twins (DuckDB dialect) of the views above, for the oracle queries.
 # --------------------------------------------------------------------------
 
+def _responses_sql() -> str:
+    def lit(x):
+        return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    cases = []
+    for k, tpl in RESPONSE_TEMPLATES.items():
+        out, rest = [], tpl
+        while rest:
+            i = min([x for x in (rest.find("{G}"), rest.find("{C}")) if x >= 0], default=-1)
+            if i < 0:
+                out.append(lit(rest))
+                break
+            if i:
+                out.append(lit(rest[:i]))
+            out.append("g" if rest[i:i + 3] == "{G}" else "format('{:,}', CAST(g AS BIGINT))")
+            rest = rest[i + 3:]
+        cases.append(f"WHEN c = '{k}' THEN " + " || ".join(out))
+    return ("SELECT response_id, g AS gold, CASE " + " ".join(cases) + " END AS response FROM ("
+            "SELECT o_orderkey AS response_id, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS g, "
+            "substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 1) AS c FROM orders)")
+
+
 def _tok(expr: str) -> str:
     return f"list_transform(generate_series(1, CAST(l_quantity AS BIGINT)), lambda i: {expr})"
 
@@ -286,6 +354,7 @@ SQL = {
     "db_schemas": """
         SELECT db_id, 'CREATE TABLE orders_' || lower(db_id) || ' (o_orderkey INTEGER, o_custkey INTEGER)' AS schema_text
         FROM (SELECT DISTINCT c_mktsegment AS db_id FROM customer WHERE c_mktsegment <> 'HOUSEHOLD')""",
+    "responses": _responses_sql(),
 }
 
 DEPS: dict[str, list[str]] = {}
