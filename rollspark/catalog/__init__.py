@@ -7,6 +7,6 @@ from rollspark.catalog.core import QUERIES, ORACLE  # noqa: F401
 def load_all():
     # importing the modules fills QUERIES / ORACLE
     from rollspark.catalog import (  # noqa: F401
-        advantages, curate, grade_sql, grade_text, losses, metrics, select,
+        advantages, batching, curate, grade_sql, grade_text, losses, metrics, select,
     )
     return QUERIES, ORACLE
