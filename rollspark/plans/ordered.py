@@ -25,3 +25,18 @@ def ordered_index(df: DataFrame, order_col: str, partition_by=(), bucket_size: i
     d = d.join(offs, [*parts, "_ob"])
     w2 = Window.partitionBy(*parts, "_ob").orderBy(order_col)
     return d.withColumn(name, (F.col("_ooff") + F.row_number().over(w2) - 1).cast("bigint")).drop("_ob", "_ooff")
+
+
+def ordered_cumsum(df: DataFrame, order_col: str, value_col: str, partition_by=(), bucket_size: int = 4096,
+                   name: str = "cum") -> DataFrame:
+    """Running sum of ``value_col`` (inclusive) inside ``partition_by`` by
+    ascending integer ``order_col``, with the same range-bucket split as
+    :func:`ordered_index` so a huge group is summed by many tasks."""
+    parts = list(partition_by)
+    d = df.withColumn("_cb", F.floor(F.col(order_col) / F.lit(bucket_size)).cast("bigint"))
+    sums = d.groupBy(*parts, "_cb").agg(F.sum(value_col).alias("_cs"))
+    w = Window.partitionBy(*parts).orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sums.select(*parts, "_cb", F.coalesce(F.sum("_cs").over(w), F.lit(0)).alias("_coff"))
+    d = d.join(offs, [*parts, "_cb"])
+    w2 = Window.partitionBy(*parts, "_cb").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    return d.withColumn(name, F.col("_coff") + F.sum(value_col).over(w2)).drop("_cb", "_coff")

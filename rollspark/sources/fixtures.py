@@ -239,6 +239,35 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("response_id"), gs.alias("gold"), text.alias("response"))
 
 
+def transitions(spark: SparkSession, d: str) -> DataFrame:
+    """Multi-turn transitions from ``conversations`` (tokens = words).
+
+    Each assistant turn is a step of trajectory ``traj_id`` = conv_id: ``ob`` is
+    every word before it (the whole history, so consecutive steps extend one
+    sequence), except when md5(conv_id|turn) starts with 0-3, where the first
+    word is dropped (the history is not a prefix: a new sequence starts).
+    ``ac`` is the turn's words, ``ac_logprobs`` = -(len(word) % 7) / 10,
+    ``reward`` = (words % 3) / 2, ``group_id`` = first md5 digit of conv_id.
+    The conversation is assembled once per conversation (bounded by its
+    context length); word offsets are a skew-safe running sum."""
+    from rollspark.plans.ordered import ordered_cumsum
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", F.split("text", " ").alias("words"))
+    c = c.withColumn("n", F.size("words").cast("bigint"))
+    c = ordered_cumsum(c, "turn", "n", ["conv_id"], name="_end").withColumn("offset", F.col("_end") - F.col("n"))
+    conv = c.groupBy("conv_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", "words"))),
+                                                          lambda x: x["words"])).alias("all_words"))
+    a = c.filter(F.col("role") == "assistant").join(conv, "conv_id")
+    reset = F.substring(F.md5(F.concat_ws("|", "conv_id", "turn")), 1, 1).isin("0", "1", "2", "3")
+    off = F.col("offset").cast("int")
+    ob = F.when(reset, F.slice("all_words", 2, F.greatest(off - 1, F.lit(0)))).otherwise(F.slice("all_words", 1, off))
+    return a.select(
+        F.substring(F.md5(F.col("conv_id").cast("string")), 1, 1).alias("group_id"),
+        F.col("conv_id").alias("traj_id"), F.col("turn").alias("step"), ob.alias("ob"),
+        F.col("words").alias("ac"),
+        F.transform("words", lambda w: -(F.length(w) % 7).cast("double") / 10).alias("ac_logprobs"),
+        ((F.col("n") % 3).cast("double") / 2).alias("reward"))
+
+
 # --------------------------------------------------------------------------
 # SQL twins (DuckDB dialect) of the views above, for the oracle queries.
 # --------------------------------------------------------------------------
@@ -355,6 +384,17 @@ SQL = {
         SELECT db_id, 'CREATE TABLE orders_' || lower(db_id) || ' (o_orderkey INTEGER, o_custkey INTEGER)' AS schema_text
         FROM (SELECT DISTINCT c_mktsegment AS db_id FROM customer WHERE c_mktsegment <> 'HOUSEHOLD')""",
     "responses": _responses_sql(),
+    "transitions": """
+        WITH c AS (SELECT conv_id, turn, role, string_split(text, ' ') AS words,
+                          CAST(len(string_split(text, ' ')) AS BIGINT) AS n FROM conversations),
+             o AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) - n AS "offset" FROM c),
+             cv AS (SELECT conv_id, flatten(list(words ORDER BY turn)) AS all_words FROM c GROUP BY conv_id)
+        SELECT substr(md5(CAST(conv_id AS VARCHAR)), 1, 1) AS group_id, conv_id AS traj_id, turn AS step,
+               CASE WHEN substr(md5(CAST(conv_id AS VARCHAR) || '|' || CAST(turn AS VARCHAR)), 1, 1) IN ('0', '1', '2', '3')
+                    THEN list_slice(all_words, 2, greatest("offset", 1)) ELSE list_slice(all_words, 1, "offset") END AS ob,
+               words AS ac, list_transform(words, lambda w: -CAST(length(w) % 7 AS DOUBLE) / 10) AS ac_logprobs,
+               CAST(n % 3 AS DOUBLE) / 2 AS reward
+        FROM o JOIN cv USING (conv_id) WHERE role = 'assistant'""",
 }
 
 DEPS: dict[str, list[str]] = {}
