@@ -83,3 +83,77 @@ def group_mix(df: DataFrame, group="uid", reward="reward", threshold: float = 0.
         F.avg(F.when(bad, 1.0).otherwise(0.0)).alias("frac_all_bad"),
         F.avg(F.when(~same, 1.0).otherwise(0.0)).alias("frac_mixed"),
         F.count(F.lit(1)).alias("n_groups"))
+
+
+def clean_class_name(c) -> "F.Column":
+    """Class name cleanup (P15): '_', '.', '-' become spaces, lower case, stripped."""
+    return F.trim(F.lower(F.translate(col(c), "_.-", "   ")))
+
+
+def per_tag_metrics(groups: DataFrame, tags="tags", group="group_id", by_traj: DataFrame | None = None,
+                    traj_total="total_reward", last_reward="last_reward", turns="turns") -> DataFrame:
+    """Trajectory metrics for each tag of the group tag lists, emitted only
+    when some tag covers a strict subset of the groups, plus an 'all' row.
+    ``groups(group, tags)``; ``by_traj(group, traj metrics...)``."""
+    n_groups = groups.agg(F.countDistinct(group).alias("_ng"))
+    tagged = groups.select(group, F.explode(tags).alias("tag"))
+    cover = tagged.groupBy("tag").agg(F.countDistinct(group).alias("_tg")).crossJoin(F.broadcast(n_groups))
+    nontrivial = cover.agg(F.max(F.when(F.col("_tg") < F.col("_ng"), 1).otherwise(0)).alias("_nt"))
+    t = by_traj.join(tagged, group).crossJoin(F.broadcast(nontrivial)).filter(F.col("_nt") == 1) \
+        .drop("_nt").unionByName(by_traj.withColumn("tag", F.lit("all")))
+    return t.groupBy("tag").agg(
+        F.count(F.lit(1)).alias("total_episodes"), F.sum(turns).alias("total_turns"),
+        F.avg(traj_total).alias("reward_total"),
+        F.avg(F.when(F.col(last_reward) == 1, 1.0).otherwise(0.0)).alias("correct"))
+
+
+def dict_mean(df: DataFrame, metrics="metrics") -> DataFrame:
+    """Mean of every key over the rows that have it (sparse metric maps)."""
+    return df.select(F.explode(col(metrics)).alias("key", "value")).groupBy("key").agg(
+        F.avg(F.col("value").cast("double")).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+def metric_list_mean(df: DataFrame, name="name", value="value") -> DataFrame:
+    """Plain mean of each metric's values."""
+    return df.groupBy(col(name).alias("name")).agg(F.avg(col(value).cast("double")).alias("mean"))
+
+
+def accuracy_by_source(df: DataFrame, source="data_source", correct="is_correct",
+                       overall_label: str = "overall") -> DataFrame:
+    """Total, correct and accuracy per source and overall (ROLLUP)."""
+    g = df.select(col(source).alias("data_source"), col(correct).alias("_c")).rollup("data_source").agg(
+        F.grouping("data_source").alias("_g"), F.count(F.lit(1)).alias("total"),
+        F.sum(F.col("_c").cast("int")).alias("correct"))
+    return g.select(F.when(F.col("_g") == 1, F.lit(overall_label)).otherwise(F.col("data_source")).alias("data_source"),
+                    "total", "correct", (F.col("correct") / F.col("total")).alias("accuracy"))
+
+
+def classifier_accuracy(df: DataFrame, pred="pred", label="label") -> DataFrame:
+    """Share of rows whose cleaned predicted class equals the cleaned label."""
+    return df.agg(F.avg(F.when(clean_class_name(pred) == clean_class_name(label), 1.0).otherwise(0.0))
+                  .alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
+def agent_run_report(df: DataFrame, instance="instance_id", turns="turns", resolved="resolved",
+                     reason="finish_reason", masked_reasons=("CONTEXT_WINDOW_EXCEEDED", "RUNTIME_ERROR",
+                                                             "EVALUATION_ERROR", "MAX_ITERATIONS_REACHED")):
+    """Average turns, instances with all / no trajectories resolved, share
+    of each finish reason, and the number of trajectories whose loss is masked
+    out. Returns (summary, per_reason)."""
+    inst = df.groupBy(instance).agg(F.min(col(resolved).cast("int")).alias("_all"),
+                                    F.max(col(resolved).cast("int")).alias("_any"))
+    summary = df.agg(F.avg(col(turns)).alias("avg_turns"), F.count(F.lit(1)).alias("n_trajectories"),
+                     F.sum(F.when(col(reason).isin(*masked_reasons), 1).otherwise(0)).alias("n_masked")) \
+        .crossJoin(inst.agg(F.sum("_all").alias("all_resolved"),
+                            F.sum(F.when(F.col("_any") == 0, 1).otherwise(0)).alias("none_resolved")))
+    total = df.agg(F.count(F.lit(1)).alias("_n"))
+    per_reason = df.groupBy(col(reason).alias("finish_reason")).agg(F.count(F.lit(1)).alias("n")) \
+        .crossJoin(F.broadcast(total)).select("finish_reason", (F.col("n") / F.col("_n")).alias("ratio"))
+    return summary, per_reason
+
+
+def sampler_stats(df: DataFrame, step="sampler_step", seconds="sample_seconds") -> DataFrame:
+    """Min, max and mean of sampler step and sampling time."""
+    return df.agg(F.max(step).alias("step_max"), F.min(step).alias("step_min"), F.avg(step).alias("step_mean"),
+                  F.max(seconds).alias("time_max"), F.min(seconds).alias("time_min"),
+                  F.avg(seconds).alias("time_mean"))
