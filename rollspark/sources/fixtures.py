@@ -32,6 +32,19 @@ def rollouts(spark: SparkSession, d: str, with_source: bool = False,
     stop_reason = 'stop' for line status 'F' else 'length'.
     """
     li = table(spark, d, "lineitem")
+    df = rollout_columns(li, with_tokens)
+    if with_source:
+        o = table(spark, d, "orders").select(F.col("o_orderkey").alias("uid"),
+                                             F.col("o_orderpriority").alias("data_source"))
+        df = df.join(o, "uid", "left")
+    if with_index:
+        df = hashed_index(df, "sample_key", partition_by=["uid"], name="sample_idx")
+    return df
+
+
+def rollout_columns(li: DataFrame, with_tokens: bool = False) -> DataFrame:
+    """The rollout projection of ``lineitem`` rows; works on a batch or a
+    streaming DataFrame alike."""
     q = F.col("l_quantity").cast("bigint")
     cols = [
         F.col("l_orderkey").alias("uid"),
@@ -54,14 +67,7 @@ def rollouts(spark: SparkSession, d: str, with_source: bool = False,
             F.transform(_seq(q), lambda i: -((i * (pk + sk)) % 83).cast("double") / 100).alias("base_log_probs"),
             F.transform(_seq(q), lambda i: ((i * ln) % 13).cast("double") / 10).alias("values"),
         ]
-    df = li.select(*cols)
-    if with_source:
-        o = table(spark, d, "orders").select(F.col("o_orderkey").alias("uid"),
-                                             F.col("o_orderpriority").alias("data_source"))
-        df = df.join(o, "uid", "left")
-    if with_index:
-        df = hashed_index(df, "sample_key", partition_by=["uid"], name="sample_idx")
-    return df
+    return li.select(*cols)
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
