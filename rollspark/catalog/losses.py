@@ -232,8 +232,7 @@ def q_kl_reward_stats(spark, d):
 
 
 @query("advantage_stats", with_views(_CELLS + f"""
-, r AS (SELECT uid, sample_key, sum(v) AS rs FROM cells GROUP BY 1, 2)
-SELECT (SELECT {R("avg(rs)")} FROM r) AS avg_rewards, {R("avg(adv)")} AS avg_advantages,
+SELECT (SELECT {R('avg(list_sum("values"))')} FROM rollouts) AS avg_rewards, {R("avg(adv)")} AS avg_advantages,
        {R("avg(abs(adv))")} AS avg_advantages_abs FROM cells WHERE m > 0""", "rollouts"))
 def q_adv_stats(spark, d):
     out = L.advantage_stats(_tok(spark, d), "values", "adv", "loss_mask")

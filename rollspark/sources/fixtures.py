@@ -27,7 +27,7 @@ def rollouts(spark: SparkSession, d: str, with_source: bool = False,
              with_index: bool = False, with_tokens: bool = False) -> DataFrame:
     """One row per rollout, from ``lineitem``.
 
-    uid = order key (the prompt), sample_key = md5 of (linenumber, partkey, suppkey),
+    uid = order key (the prompt), sample_key = md5 of (linenumber, partkey, suppkey, quantity),
     reward = 1 for return flag 'R' else 0, resp_len = quantity,
     stop_reason = 'stop' for line status 'F' else 'length'.
     """
@@ -48,7 +48,7 @@ def rollout_columns(li: DataFrame, with_tokens: bool = False) -> DataFrame:
     q = F.col("l_quantity").cast("bigint")
     cols = [
         F.col("l_orderkey").alias("uid"),
-        F.md5(F.concat_ws("|", "l_linenumber", "l_partkey", "l_suppkey")).alias("sample_key"),
+        F.md5(F.concat_ws("|", "l_linenumber", "l_partkey", "l_suppkey", q)).alias("sample_key"),
         F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("reward"),
         (F.col("l_returnflag") == "R").alias("is_correct"),
         q.alias("resp_len"),
@@ -306,7 +306,7 @@ def _tok(expr: str) -> str:
 SQL = {
     "rollouts": f"""
         SELECT l_orderkey AS uid,
-               md5(concat_ws('|', l_linenumber, l_partkey, l_suppkey)) AS sample_key,
+               md5(concat_ws('|', l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT))) AS sample_key,
                CAST(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS reward,
                l_returnflag = 'R' AS is_correct,
                CAST(l_quantity AS BIGINT) AS resp_len,
@@ -320,7 +320,7 @@ SQL = {
                {_tok("CAST((i * l_linenumber) % 13 AS DOUBLE) / 10")} AS "values",
                o_orderpriority AS data_source,
                row_number() OVER (PARTITION BY l_orderkey
-                   ORDER BY md5(concat_ws('|', l_linenumber, l_partkey, l_suppkey))) - 1 AS sample_idx
+                   ORDER BY md5(concat_ws('|', l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)))) - 1 AS sample_idx
         FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey""",
     "prompts": """
         SELECT o_orderkey AS prompt_id, o_orderpriority AS data_source,
