@@ -245,6 +245,15 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("response_id"), gs.alias("gold"), text.alias("response"))
 
 
+def messages(spark: SparkSession, d: str) -> DataFrame:
+    """One row per conversation: ``conv_id`` and its ``messages`` (role,
+    content) in turn order."""
+    c = table(spark, d, "conversations")
+    m = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_m"))
+    return m.select("conv_id", F.transform("_m", lambda x: F.struct(x["role"].alias("role"),
+                                                                     x["text"].alias("content"))).alias("messages"))
+
+
 def transitions(spark: SparkSession, d: str) -> DataFrame:
     """Multi-turn transitions from ``conversations`` (tokens = words).
 
@@ -390,6 +399,9 @@ SQL = {
         SELECT db_id, 'CREATE TABLE orders_' || lower(db_id) || ' (o_orderkey INTEGER, o_custkey INTEGER)' AS schema_text
         FROM (SELECT DISTINCT c_mktsegment AS db_id FROM customer WHERE c_mktsegment <> 'HOUSEHOLD')""",
     "responses": _responses_sql(),
+    "messages": """
+        SELECT conv_id, list(struct_pack(role := role, content := text) ORDER BY turn) AS messages
+        FROM conversations GROUP BY conv_id""",
     "transitions": """
         WITH c AS (SELECT conv_id, turn, role, string_split(text, ' ') AS words,
                           CAST(len(string_split(text, ' ')) AS BIGINT) AS n FROM conversations),
