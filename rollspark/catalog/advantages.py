@@ -157,5 +157,5 @@ FROM rollouts""", "rollouts"))
 def q_token_rewards(spark, d):
     df = ADV.sequence_to_token_rewards(rollouts(spark, d, with_tokens=True), "reward", "response_ids")
     return df.select("uid", "sample_key", F.size("token_rewards").cast("bigint").alias("n_tokens"),
-                     rnd(F.element_at("token_rewards", -1)).alias("last_reward"),
+                     rnd(F.try_element_at("token_rewards", F.lit(-1))).alias("last_reward"),
                      rnd(array_wsum("token_rewards")).alias("wsum"))

@@ -119,7 +119,7 @@ def gsm8k_flexible(text) -> Column:
     nums = F.regexp_extract_all(col(text), F.lit(r"(-?[0-9.,]+)"), 1)
     ok = F.filter(nums, lambda x: (x != "") & (x != "."))
     return F.when(F.size(nums) == 0, F.lit(None).cast("string")) \
-        .when(F.size(ok) > 0, F.element_at(ok, -1)).otherwise(F.element_at(nums, 1))
+        .when(F.size(ok) > 0, F.try_element_at(ok, F.lit(-1))).otherwise(F.try_element_at(nums, F.lit(1)))
 
 
 def md5_mod(s, modulo: int) -> Column:
@@ -149,13 +149,13 @@ def final_line_answer(solution) -> Column:
     else the last '####' match anywhere; else NULL."""
     lines = F.split(col(solution), "\r\n|\n|\r")
     hits = F.filter(lines, lambda l: pystrip(l).startswith("####"))
-    last = pystrip(F.element_at(hits, -1))
+    last = pystrip(F.try_element_at(hits, F.lit(-1)))
     content = pystrip(F.substring(last, 5, 1 << 30))
     content = F.when(content.startswith(":"), pystrip(F.substring(content, 2, 1 << 30))).otherwise(content)
     content = pystrip(F.replace(content, F.lit(","), F.lit("")))
     anywhere = F.regexp_extract_all(col(solution), F.lit(r"####[ \t]*([^\r\n]+)"), 1)
     return F.when(F.size(hits) > 0, content) \
-        .when(F.size(anywhere) > 0, pystrip(F.element_at(anywhere, -1)))
+        .when(F.size(anywhere) > 0, pystrip(F.try_element_at(anywhere, F.lit(-1))))
 
 
 # ---------------------------------------------------------------- QA
@@ -188,7 +188,7 @@ def qa_substring_match(pred, golds) -> Column:
 def last_answer_tag(text) -> Column:
     """Stripped content of the last <answer>...</answer> (dot matches newline)."""
     m = F.regexp_extract_all(col(text), F.lit(r"(?s)<answer>(.*?)</answer>"), 1)
-    return F.when(F.size(m) > 0, pystrip(F.element_at(m, -1)))
+    return F.when(F.size(m) > 0, pystrip(F.try_element_at(m, F.lit(-1))))
 
 
 # ---------------------------------------------------------------- extractors (C11)
@@ -202,7 +202,7 @@ def first_tag(text, tag: str) -> Column:
 def last_code_block(text) -> Column:
     """Stripped body of the last fenced ``` code block, or NULL."""
     m = F.regexp_extract_all(col(text), F.lit(r"(?s)```(?:\w+)?\n(.*?)```"), 1)
-    return F.when(F.size(m) > 0, pystrip(F.element_at(m, -1)))
+    return F.when(F.size(m) > 0, pystrip(F.try_element_at(m, F.lit(-1))))
 
 
 def judge_score(text) -> Column:

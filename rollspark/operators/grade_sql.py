@@ -101,7 +101,7 @@ def grade_results(results: DataFrame, questions: DataFrame, method="grading_meth
     st = both_empty | F.coalesce(F.col("set_eq"), F.lit(True))
     ls = both_empty | ((ng == npr) & F.coalesce(F.col("list_eq"), F.lit(True)))
     parts = F.split(F.col("method"), ",")
-    sub_op, sub_n = parts.getItem(1), F.element_at(parts, 3).try_cast("int")
+    sub_op, sub_n = parts.getItem(1), F.try_element_at(parts, F.lit(3)).try_cast("int")
     nd = F.coalesce(F.col("n_pred_distinct"), F.lit(0))
     sub_count = F.when(sub_op == "=", nd == sub_n).when(sub_op == ">=", nd >= sub_n).otherwise(F.lit(False))
     sub = sub_count & F.coalesce(F.col("pred_in_gold"), F.lit(True))

@@ -120,7 +120,7 @@ def usable_comparison(messages, winner) -> Column:
     """winner is A or B (no tie / invalid), the conversation has >= 2
     messages and ends with an assistant message."""
     m = col(messages)
-    return col(winner).isin("A", "B") & (F.size(m) >= 2) & (F.element_at(m, -1)["role"] == "assistant")
+    return col(winner).isin("A", "B") & (F.size(m) >= 2) & (F.try_element_at(m, F.lit(-1))["role"] == "assistant")
 
 
 def dpo_report(df: DataFrame, chosen_lp="chosen_logprob", rejected_lp="rejected_logprob",

@@ -51,7 +51,7 @@ def overlong_filter(df: DataFrame, mask="loss_mask", response="response_ids", eo
     EOS (F6)."""
     out = out or mask
     r = col(response)
-    ok = (F.size(r) > 0) & (F.element_at(r, -1) == F.lit(eos_token_id))
+    ok = (F.size(r) > 0) & (F.try_element_at(r, F.lit(-1)) == F.lit(eos_token_id))
     return df.withColumn(out, F.when(ok, col(mask)).otherwise(F.transform(col(mask), lambda m: m * 0)))
 
 
