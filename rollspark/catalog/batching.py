@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rollspark.catalog.core import query
 from rollspark.plans import batching as B
+from rollspark.functions.cols import with_scalars
 from rollspark.sources.tables import table
 
 
@@ -72,7 +73,7 @@ SELECT prompt_id, CAST(p0
 FROM p""")
 def q_parts(spark, d):
     o = B.seeded_order(_orders(spark, d), "prompt_id")
-    o = o.crossJoin(F.broadcast(B.count_rows(o)))
+    o = with_scalars(o, B.count_rows(o))
     return B.near_equal_parts(o, "idx", "_n", 7).select("prompt_id", "part")
 
 
@@ -88,7 +89,7 @@ SELECT prompt_id, false AS repeated FROM o WHERE n < 7 OR idx < n - n % 7
 UNION ALL SELECT prompt_id, true FROM o WHERE n < 7 AND idx < 7 - n""")
 def q_shards(spark, d):
     o = B.seeded_order(_orders(spark, d), "prompt_id")
-    o = o.crossJoin(F.broadcast(B.count_rows(o)))
+    o = with_scalars(o, B.count_rows(o))
     rows, _ = B.even_shards(o, "idx", "_n", 7)
     return rows.select("prompt_id", "repeated")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rollspark.catalog.core import R, query
 from rollspark.functions.arrays import dsum, masked_mean, masked_sum
-from rollspark.functions.cols import rnd
+from rollspark.functions.cols import rnd, with_scalars
 from rollspark.operators import losses as L
 from rollspark.sources.fixtures import rollouts, with_views
 
@@ -96,7 +96,7 @@ def _reduced(df, loss, clip, reductions, max_seq_len=64):
     for red in reductions:
         rl = L.reduce_tokens(df, loss, "loss_mask", red, max_seq_len)
         cr = df.agg(L.token_mean(df, clip, "loss_mask", "clip_ratio"))
-        out.append(rl.crossJoin(cr).select(F.lit(red).alias("reduction"), rnd("loss").alias("loss"),
+        out.append(with_scalars(rl, cr).select(F.lit(red).alias("reduction"), rnd("loss").alias("loss"),
                                            rnd("clip_ratio").alias("clip_ratio")))
     return reduce(lambda a, b: a.unionByName(b), out)
 

@@ -61,3 +61,11 @@ def pystrip(c) -> Column:
     """Python ``str.strip()``: drop leading and trailing whitespace (Spark's
     ``trim`` drops spaces only)."""
     return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+
+
+def with_scalars(df, stats):
+    """Attach the columns of the one-row aggregate ``stats`` to every row of
+    ``df``. The aggregate runs once as a scalar subquery (one struct value
+    inlined into the plan), so no join and no broadcast relation is needed."""
+    st = stats.select(F.struct(*[F.col(c) for c in stats.columns]).alias("_st")).scalar()
+    return df.withColumns({c: st[c] for c in stats.columns})

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollspark.functions import arrays as A
-from rollspark.functions.cols import col
+from rollspark.functions.cols import col, with_scalars
 
 
 def group_stats(df: DataFrame, group="uid", score="reward") -> DataFrame:
@@ -78,7 +78,7 @@ def batch_mean_baseline(df: DataFrame, score="reward", batch=None, mask=None,
     s = col(score).cast("double")
     if batch is None:
         m = df.agg(F.avg(s).alias("_bm"))
-        d = df.crossJoin(F.broadcast(m))  # one row
+        d = with_scalars(df, m)
     else:
         b = [batch] if isinstance(batch, str) else list(batch)
         d = df.join(df.groupBy(*b).agg(F.avg(s).alias("_bm")), b)
@@ -102,7 +102,7 @@ def masked_batch_stats(df: DataFrame, values: str, mask: str, by=None) -> DataFr
 
 def _whiten_join(df: DataFrame, values: str, mask: str) -> DataFrame:
     st = masked_batch_stats(df, values, mask)
-    return df.crossJoin(F.broadcast(st))  # one row
+    return with_scalars(df, st)
 
 
 def reinforce_pp(df: DataFrame, token_rewards: str, mask: str, gamma: float = 1.0,
@@ -150,7 +150,7 @@ def normalize_advantages(df: DataFrame, adv: str, mask: str, padded_len=None,
                    F.sum(F.col("c.a").cast("double") ** 2 * F.col("c.m").cast("double")).alias("_sa2m"),
                    F.sum(F.col("c.m").cast("double")).alias("_sm"))
     rows = df.agg(F.count(F.lit(1)).alias("_rows"), F.max(F.size(adv)).alias("_maxlen"))
-    st = st.crossJoin(rows)
+    st = with_scalars(st, rows)
     if masked_mean:
         mean = F.col("_sam") / F.col("_sm")
     else:
@@ -160,7 +160,7 @@ def normalize_advantages(df: DataFrame, adv: str, mask: str, padded_len=None,
     # sum m*(a-mu)^2 = S2m - 2 mu Sam + mu^2 Sm
     var = (F.col("_sa2m") - 2 * F.col("_mu") * F.col("_sam") + F.col("_mu") ** 2 * F.col("_sm")) / F.col("_sm")
     st = st.select("_mu", (F.lit(1.0) / F.sqrt(F.greatest(var, F.lit(1e-8)))).alias("_rstd"))
-    d = df.crossJoin(F.broadcast(st))  # one row
+    d = with_scalars(df, st)
     d = d.withColumn(out, F.transform(adv, lambda a: (a.cast("double") - F.col("_mu")) * F.col("_rstd")))
     return d.drop("_mu", "_rstd")
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollspark.functions.cols import col, hash_int, hash_unit, seeded_hash
+from rollspark.functions.cols import col, hash_int, hash_unit, seeded_hash, with_scalars
 from rollspark.plans.index import hashed_index
 
 # Fixed values that must equal the reference's prompt format.
@@ -181,7 +181,7 @@ def mix_to_noise_rate(clean: DataFrame, noisy: DataFrame, rate: float, key="id",
     stats = stats.select((F.col("_nd") - F.floor(F.col("_n") * F.lit(rate))).cast("bigint").alias("_rec"))
     diff = j.filter(differs).select(F.col("_k"), seeded_hash(seed, "_k").alias("_h"))
     ranked = hashed_index(diff, "_h", tiebreak=["_k"], name="_r")
-    pick = ranked.crossJoin(F.broadcast(stats)).select(
+    pick = with_scalars(ranked, stats).select(
         "_k", F.when(F.col("_rec") < 0, F.raise_error(F.lit(f"noise rate {rate} exceeds available noise")))
         .otherwise(F.col("_r") < F.col("_rec")).alias("_recover"))
     out = j.join(pick, "_k", "left")

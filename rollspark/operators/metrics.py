@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollspark.functions.cols import col
+from rollspark.functions.cols import col, with_scalars
 
 
 def sanitize_source(c) -> "F.Column":
@@ -97,9 +97,9 @@ def per_tag_metrics(groups: DataFrame, tags="tags", group="group_id", by_traj: D
     ``groups(group, tags)``; ``by_traj(group, traj metrics...)``."""
     n_groups = groups.agg(F.countDistinct(group).alias("_ng"))
     tagged = groups.select(group, F.explode(tags).alias("tag"))
-    cover = tagged.groupBy("tag").agg(F.countDistinct(group).alias("_tg")).crossJoin(F.broadcast(n_groups))
+    cover = with_scalars(tagged.groupBy("tag").agg(F.countDistinct(group).alias("_tg")), n_groups)
     nontrivial = cover.agg(F.max(F.when(F.col("_tg") < F.col("_ng"), 1).otherwise(0)).alias("_nt"))
-    t = by_traj.join(tagged, group).crossJoin(F.broadcast(nontrivial)).filter(F.col("_nt") == 1) \
+    t = with_scalars(by_traj.join(tagged, group), nontrivial).filter(F.col("_nt") == 1) \
         .drop("_nt").unionByName(by_traj.withColumn("tag", F.lit("all")))
     return t.groupBy("tag").agg(
         F.count(F.lit(1)).alias("total_episodes"), F.sum(turns).alias("total_turns"),
@@ -142,13 +142,14 @@ def agent_run_report(df: DataFrame, instance="instance_id", turns="turns", resol
     out. Returns (summary, per_reason)."""
     inst = df.groupBy(instance).agg(F.min(col(resolved).cast("int")).alias("_all"),
                                     F.max(col(resolved).cast("int")).alias("_any"))
-    summary = df.agg(F.avg(col(turns)).alias("avg_turns"), F.count(F.lit(1)).alias("n_trajectories"),
-                     F.sum(F.when(col(reason).isin(*masked_reasons), 1).otherwise(0)).alias("n_masked")) \
-        .crossJoin(inst.agg(F.sum("_all").alias("all_resolved"),
-                            F.sum(F.when(F.col("_any") == 0, 1).otherwise(0)).alias("none_resolved")))
+    summary = with_scalars(
+        df.agg(F.avg(col(turns)).alias("avg_turns"), F.count(F.lit(1)).alias("n_trajectories"),
+               F.sum(F.when(col(reason).isin(*masked_reasons), 1).otherwise(0)).alias("n_masked")),
+        inst.agg(F.sum("_all").alias("all_resolved"),
+                 F.sum(F.when(F.col("_any") == 0, 1).otherwise(0)).alias("none_resolved")))
     total = df.agg(F.count(F.lit(1)).alias("_n"))
-    per_reason = df.groupBy(col(reason).alias("finish_reason")).agg(F.count(F.lit(1)).alias("n")) \
-        .crossJoin(F.broadcast(total)).select("finish_reason", (F.col("n") / F.col("_n")).alias("ratio"))
+    per_reason = with_scalars(df.groupBy(col(reason).alias("finish_reason")).agg(F.count(F.lit(1)).alias("n")),
+                              total).select("finish_reason", (F.col("n") / F.col("_n")).alias("ratio"))
     return summary, per_reason
 
 

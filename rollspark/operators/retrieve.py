@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollspark.functions.cols import ROUND_SHIFT, col, pystrip, rnd
+from rollspark.functions.cols import ROUND_SHIFT, col, pystrip, rnd, with_scalars
 from rollspark.plans.batching import seeded_order
 
 TOKEN_SPLIT = r"[^a-z0-9]+"
@@ -99,7 +99,7 @@ def bm25_index(docs: DataFrame, doc_id="doc_id", text="text", k1: float = 0.9, b
     tf = toks.select("doc_id", F.explode("_t").alias("term")).groupBy("term", "doc_id").agg(
         F.count(F.lit(1)).alias("tf"))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    p = tf.join(dfreq, "term").join(lens, "doc_id").crossJoin(F.broadcast(stats))  # stats: one row
+    p = with_scalars(tf.join(dfreq, "term").join(lens, "doc_id"), stats)  # stats: one row
     idf = F.log(F.lit(1.0) + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return p.select("term", "doc_id", (idf * norm).alias("weight"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollspark.functions.cols import col, seeded_hash
+from rollspark.functions.cols import col, seeded_hash, with_scalars
 from rollspark.plans.index import hashed_index
 
 
@@ -88,7 +88,7 @@ def validate_rollouts(df: DataFrame, response="response_ids", mask="loss_mask",
                           .otherwise(0)).alias("bad_logprob_len"))
     rep = df.agg(*aggs).withColumn("all_masked", F.coalesce(F.col("mask_total"), F.lit(0)) == 0)
     if prompts is not None:
-        rep = rep.crossJoin(prompts.agg(F.count(F.lit(1)).alias("n_prompts")))
+        rep = with_scalars(rep, prompts.agg(F.count(F.lit(1)).alias("n_prompts")))
         rep = rep.withColumn("count_mismatch", F.col("n_prompts") != F.col("n_rows"))
     return rep
 
@@ -140,8 +140,8 @@ def replace_bad_groups(df: DataFrame, n_samples_per_prompt: int, min_replace_rat
         .withColumn("keep_sampling", ~F.col("replaced"))
     good = hashed_index(st.filter("_good").select(k, "_h"), "_h", name="_gr")
     bad = hashed_index(st.filter(~F.col("_good")).select(k, "_h"), "_h", name="_br")
-    # one-row status, broadcast
-    bad = bad.crossJoin(F.broadcast(status.select("n_good", "replaced"))) \
+    # one-row status, attached as a scalar
+    bad = with_scalars(bad, status.select("n_good", "replaced")) \
         .filter(F.col("replaced") & (F.col("n_good") > 0)) \
         .withColumn("_gr", F.pmod(F.col("_br"), F.col("n_good")))
     pairs = bad.join(good.select(F.col(k).alias("_partner"), "_gr"), "_gr").select(k, "_partner")

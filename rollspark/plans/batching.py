@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollspark.functions.cols import col, seeded_hash
+from rollspark.functions.cols import col, seeded_hash, with_scalars
 from rollspark.plans.index import hashed_index
 
 
@@ -35,7 +35,7 @@ def batch_index(df: DataFrame, key, batch_size: int, seed: int = 0, drop_last: b
     ``n_batches`` is ceil (or floor with drop_last) of N / batch_size."""
     d = seeded_order(df, key, seed)
     n = count_rows(df)
-    d = d.crossJoin(F.broadcast(n))  # one row
+    d = with_scalars(d, n)
     nb = F.floor(F.col("_n") / batch_size) if drop_last else F.ceil(F.col("_n") / batch_size)
     d = d.withColumn("batch_id", F.floor(F.col("idx") / batch_size).cast("bigint")) \
         .withColumn("n_batches", nb.cast("bigint"))
@@ -111,7 +111,7 @@ def even_shards(df: DataFrame, idx, n_total, dp_size: int):
 def repeat_epochs(df: DataFrame, n_epochs: int, split: str = "train", source="data_source") -> DataFrame:
     """Epoch repeat (B5): train rows n times; test rows n times with the source
     suffixed '_i' per epoch."""
-    e = df.crossJoin(F.broadcast(df.sparkSession.range(n_epochs).withColumnRenamed("id", "epoch")))
+    e = df.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_epochs - 1).cast("bigint"))))
     if split == "test":
         e = e.withColumn(source, F.concat(col(source), F.lit("_"), F.col("epoch").cast("string")))
     return e
@@ -126,8 +126,8 @@ def curriculum(stages, plan=CURRICULUM) -> DataFrame:
     group size ``plan[s][1]``, stages in order (``stage``, ``repeat`` columns)."""
     parts = []
     for s, (df, (reps, gsize)) in enumerate(zip(stages, plan)):
-        r = df.sparkSession.range(reps).withColumnRenamed("id", "repeat")
-        parts.append(df.crossJoin(F.broadcast(r)).withColumn("stage", F.lit(s))
+        parts.append(df.withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint"))))
+                     .withColumn("stage", F.lit(s))
                      .withColumn("group_size", F.lit(gsize)))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -136,13 +136,12 @@ def fractional_repeats(df: DataFrame, key, num_repeats: float, seed: int = 0) ->
     """ceil(r) seeded passes over the data, cut to ceil(r * N) rows."""
     import math
     passes = int(math.ceil(num_repeats))
-    p = df.sparkSession.range(passes).withColumnRenamed("id", "pass")
-    d = df.crossJoin(F.broadcast(p))
+    d = df.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(passes - 1).cast("bigint"))))
     keys = [key] if isinstance(key, str) else list(key)
     d = d.withColumn("_sh", seeded_hash(seed, "pass", *keys))
     d = hashed_index(d, "_sh", partition_by=["pass"], tiebreak=keys, name="_in_pass")
     n = count_rows(df)
-    d = d.crossJoin(F.broadcast(n)).withColumn("position", F.col("pass") * F.col("_n") + F.col("_in_pass"))
+    d = with_scalars(d, n).withColumn("position", F.col("pass") * F.col("_n") + F.col("_in_pass"))
     return d.filter(F.col("position") < F.ceil(F.col("_n") * F.lit(num_repeats))).drop("_sh", "_in_pass", "_n")
 
 
@@ -158,7 +157,7 @@ def mixed_batches(datasets, groups_per_batch, key, seed: int = 0) -> DataFrame:
         nbs.append(df.agg(F.floor(F.count(F.lit(1)) / g).alias("nb")))
     nb = reduce(lambda a, b: a.unionByName(b), nbs).agg(F.min("nb").alias("_nb"))
     u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return u.crossJoin(F.broadcast(nb)).filter(F.col("batch_id") < F.col("_nb")).drop("_nb")
+    return with_scalars(u, nb).filter(F.col("batch_id") < F.col("_nb")).drop("_nb")
 
 
 def swap_augment(df: DataFrame, a="completion_A", b="completion_B", label="label", mode: str = "both",
