@@ -209,3 +209,130 @@ def judge_score(text) -> Column:
     """First '### Final Score: 0|1|0.0|1.0' as DOUBLE, or NULL."""
     pat = r"### Final Score:\s*([01](?:\.0)?)"
     return F.when(col(text).rlike(pat), F.regexp_extract(col(text), pat, 1).cast("double"))
+
+
+# ----------------------------------------------------------------- C6 Minerva
+
+# Minerva answer normalisation lists, in the reference's order.
+MINERVA_SUBSTITUTIONS = (
+    ("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), ("\\ ", ""), (" ", ""), ("mbox", "text"),
+    (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}"),
+)
+MINERVA_REMOVED = (
+    "square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "sue", "points",
+    "feet", "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds", "meters", "meals", "edges", "students",
+    "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3",
+    "\\text{\n}", "\\text{}", "\\mathrm{th}", "^\\circ", "^{\\circ}", "\\;", ",\\!", "{,}", '"', "\\dots",
+)
+# Regex rewrites after the lists: (pattern, Java replacement).
+MINERVA_REWRITES = (
+    (r"(.*?)(\$)(.*?)(\$)(.*)", r"\$$3\$"),
+    (r"(\\text\{)(.*?)(\})", "$2"),
+    (r"(\\textbf\{)(.*?)(\})", "$2"),
+    (r"(\\overline\{)(.*?)(\})", "$2"),
+    (r"(\\boxed\{)(.*)(\})", "$2"),
+    (r"(frac)([^{])(.)", "frac{$2}{$3}"),
+    (r"(sqrt)([^{])", "sqrt{$2}"),
+)
+MINERVA_ANSWER = r"(?i)Answer\s*:\s*([^\n<]+)"
+
+
+def minerva_normalize(answer) -> Column:
+    """Minerva final-answer normalisation (C6): text after the last '=',
+    substitutions, removals, TeX rewrites, '$' dropped, commas dropped from
+    plain digit strings, stripped."""
+    x = F.substring_index(col(answer), "=", -1)
+    for a, b in MINERVA_SUBSTITUTIONS:
+        x = _rep(x, a, b)
+    for r in MINERVA_REMOVED:
+        x = _rep(x, r, "")
+    for pat, repl in MINERVA_REWRITES:
+        x = F.regexp_replace(x, pat, repl)
+    x = _rep(x, "$", "")
+    nc = _rep(x, ",", "")
+    x = F.when(nc.rlike("^[0-9]+$"), nc).otherwise(x)
+    return pystrip(x)
+
+
+def minerva_score(solution, truth) -> tuple[Column, Column]:
+    """C6 default mode: (score +1/-1, normalised prediction) from the last
+    'Answer: ...' in the last 300 characters."""
+    s = F.substring(col(solution), -300, 300)
+    hits = F.regexp_extract_all(s, F.lit(MINERVA_ANSWER), 1)
+    ext = F.coalesce(F.try_element_at(hits, F.lit(-1)), F.lit("[INVALID]"))
+    pred = minerva_normalize(ext)
+    return F.when(pred == minerva_normalize(truth), 1.0).otherwise(-1.0), pred
+
+
+def last_boxed_strict(text) -> Column:
+    """Last balanced '\\boxed{...}' (only the braced form), or NULL."""
+    t = col(text)
+    tail = F.when(t.contains("\\boxed{"), F.concat(F.lit("\\boxed{"), F.substring_index(t, "\\boxed{", -1)))
+    init = F.struct(F.lit(0).alias("d"), F.lit(-1).alias("end"), F.lit(0).alias("i"))
+
+    def step(acc, ch):
+        d = acc["d"] + F.when(ch == "{", 1).otherwise(0) - F.when(ch == "}", 1).otherwise(0)
+        hit = (acc["end"] < 0) & (ch == "}") & (d == 0)
+        return F.struct(d.alias("d"), F.when(hit, acc["i"]).otherwise(acc["end"]).alias("end"),
+                        (acc["i"] + 1).alias("i"))
+
+    end = F.aggregate(_chars(tail), init, step)["end"]
+    return F.when(tail.isNotNull() & (end >= 0), F.substring(tail, F.lit(1), end + 1))
+
+
+def strict_box_score(solution, truth) -> tuple[Column, Column]:
+    """C6 strict mode: (+1/-1, prediction) where the prediction is the inside
+    of the last boxed answer within the last 100 of the last 300 characters,
+    compared to the truth as is."""
+    s = F.substring(F.substring(col(solution), -300, 300), -100, 100)
+    b = last_boxed_strict(s)
+    pred = F.substring(b, F.lit(8), F.length(b) - F.lit(8))
+    return F.when(pred.isNotNull() & (pred == col(truth)), 1.0).otherwise(-1.0), pred
+
+
+# ----------------------------------------------------------------- C4 heavy normalisation
+
+# Unit words removed by the heavy normalisation, in order.
+HEAVY_UNITS = ("degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hour", "day", "week", "month",
+               "year", "foot", "feet", "inch", "yard")
+
+
+def heavy_normalize(df, answer: str, out: str = "answer_norm"):
+    """C4: unwrap a leading \\text{...}, drop %/$ signs, 'or'/'and' -> ',',
+    million/billion/trillion -> *10^k, unit words, degree signs, one pair of
+    enclosing braces and ',\\!'; integral floats become integers; mixed
+    numbers '7 3/4' -> '7+3/4'; spaces and braces dropped; lower case;
+    integers with thousands separators are rewritten without them.
+    The LaTeX-to-text step of the reference (an external parser) is not
+    reproduced: strings with a backslash keep their TeX.
+
+    Each step is its own projection of ``out`` (steps read the previous value
+    several times; one nested expression would grow exponentially)."""
+    def step(d, e):
+        return d.withColumn(out, e)
+    x = F.col(out)
+    d = df.withColumn(out, col(answer))
+    d = step(d, F.when(x.rlike(r"^\\text\{.+?\}"), F.regexp_extract(x, r"^\\text\{(.+?)\}", 1)).otherwise(x))
+    e = x
+    for a, b in (("\\%", "%"), ("\\$", "$"), ("$", ""), ("%", ""), (" or ", " , "), (" and ", " , "),
+                 ("million", "*10^6"), ("billion", "*10^9"), ("trillion", "*10^12")):
+        e = _rep(e, a, b)
+    for u in HEAVY_UNITS:
+        e = F.regexp_replace(e, u + r"(es)?(s)? *(\^[0-9]+)?", "")
+    d = step(d, F.regexp_replace(e, r"\^ *\\circ", ""))
+    d = step(d, F.regexp_replace(F.when((F.length(x) > 0) & x.startswith("{") & x.endswith("}"),
+                                        F.substring(x, F.lit(2), F.length(x) - F.lit(2))).otherwise(x),
+                                 r",\\! *", ""))
+    d = d.withColumn("_f", x.try_cast("double"))
+    f = F.col("_f")
+    is_int = f.isNotNull() & ~F.isnan(f) & (F.abs(f) < 1e18) & (F.abs(f - F.round(f)) <= 1e-7)
+    d = step(d, F.when(is_int, F.round(f).cast("bigint").cast("string")).otherwise(x))
+    e = F.regexp_replace(F.regexp_replace(x, "- *", "-"), "([0-9]) +([0-9])", "$1+$2")
+    d = step(d, F.lower(_rep(_rep(_rep(e, " ", ""), "{", ""), "}", "")))
+    stripped = x
+    for _ in range(6):  # the reference loops to a fixed point; six passes cover 12 comma groups
+        stripped = F.regexp_replace(stripped, r"(\d)(,)(\d\d\d)($|\D)", "$1$3$4")
+    d = d.withColumn("_f", stripped.try_cast("double"))
+    str_int = f.isNotNull() & ~F.isnan(f) & (F.abs(f) < 1e18) & (F.abs(f - F.round(f)) <= 1e-7)
+    d = step(d, F.when(str_int, _rep(x, ",", "").try_cast("double").cast("bigint").cast("string")).otherwise(x))
+    return d.drop("_f")
