@@ -16,8 +16,12 @@ def test_query_matches_oracle(spark, duck, sf_dir, name):
     assert r.get("ok") is not False, r.get("why")
 
 
+# checked against a brute-force Python model on small fixtures instead (tests/test_parts.py)
+ROWS_ONLY = {"content_blocks", "code_tests_normalized"}
+
+
 def test_every_query_has_oracle():
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) - set(ORACLE) == ROWS_ONLY
 
 
 def test_entry_runs(spark):
