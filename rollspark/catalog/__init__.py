@@ -7,7 +7,7 @@ from rollspark.catalog.core import QUERIES, ORACLE  # noqa: F401
 def load_all():
     # importing the modules fills QUERIES / ORACLE
     from rollspark.catalog import (  # noqa: F401
-        advantages, answers, batching, curate, distill, grade_sql, grade_text, losses, metrics, parts, preference, reports, retrieve, select, sequences, shaping, sources, streaming,
+        advantages, answers, batching, curate, distill, extensions, grade_sql, grade_text, losses, metrics, parts, preference, reports, retrieve, select, sequences, shaping, sources, streaming,
     )
     sources.register_late()
     return QUERIES, ORACLE
