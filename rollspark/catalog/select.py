@@ -149,3 +149,16 @@ FROM rollouts""", "rollouts"))
 def q_problem_reward(spark, d):
     df = rollouts(spark, d).withColumn("format_ok", F.col("stop_reason") == "stop")
     return RW.problem_reward(df, 0.1).select("uid", "sample_key", rnd("reward").alias("reward"))
+
+
+@query("representative_picks", with_views("""
+, r AS (SELECT uid, sample_key, resp_len AS score,
+               row_number() OVER (ORDER BY resp_len, md5('0|' || CAST(uid AS VARCHAR) || '|' || sample_key)) - 1 AS rk,
+               count(*) OVER () AS n FROM rollouts),
+p AS (SELECT i, CASE WHEN i = 9 THEN n - 1
+                     ELSE CAST(floor(CAST(i AS DOUBLE) * (CAST(n - 1 AS DOUBLE) / CAST(9 AS DOUBLE))) AS BIGINT) END AS pos
+      FROM (SELECT DISTINCT n FROM r), range(10) t(i))
+SELECT CAST(p.i AS BIGINT) AS pick, r.uid, r.sample_key, r.score FROM r JOIN p ON r.rk = p.pos""", "rollouts"))
+def q_representative(spark, d):
+    r = rollouts(spark, d).select("uid", "sample_key", F.col("resp_len").alias("score"))
+    return S.representative_picks(r, "score", ["uid", "sample_key"], 10).select("pick", "uid", "sample_key", "score")

@@ -44,7 +44,11 @@ def _question_shape(r: DataFrame) -> DataFrame:
 
 
 def _key_verdicts(r: DataFrame) -> DataFrame:
-    """Per question, from counts of each sorted row on both sides."""
+    """Per question, from counts of each sorted row on both sides.
+
+    This is J4 (gold vs predicted rows, a full outer join of per-side row
+    counts) written as one aggregation over both sides: a single shuffle on
+    (question, row) instead of two aggregations and an outer join."""
     k = r.groupBy("question_id", row_key().alias("_key")).agg(
         F.sum(F.when(F.col("side") == GOLD, 1).otherwise(0)).alias("cg"),
         F.sum(F.when(F.col("side") == PRED, 1).otherwise(0)).alias("cp"))

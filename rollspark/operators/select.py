@@ -158,3 +158,23 @@ def replace_bad_groups(df: DataFrame, n_samples_per_prompt: int, min_replace_rat
                         F.when(hit, bad_rows[k]).alias("replaced_uid"))
     kept = df.join(pairs, k, "left_anti").withColumn("replaced_uid", F.lit(None).cast(df.schema[k].dataType))
     return kept.unionByName(replaced), status
+
+
+def representative_picks(df: DataFrame, score: str, key, k: int, seed: int = 0) -> DataFrame:
+    """O3: the rows at ``k`` evenly spaced ranks of the score order
+    (numpy ``linspace(0, n - 1, k)`` truncated to integers, last = n - 1),
+    with ``pick`` = 0..k-1. Ties are ordered by a seeded hash of ``key``
+    (the reference's sort is not stable, so any order of ties is valid)."""
+    from rollspark.plans.ordered import score_rank
+    keys = [key] if isinstance(key, str) else list(key)
+    d = score_rank(df.withColumn("_tb", seeded_hash(seed, *keys)), score, "_tb", name="_rank")
+    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    d = with_scalars(d, n)
+    if k == 1:
+        pos = F.array(F.lit(0).cast("bigint"))
+    else:
+        step = (F.col("_n") - 1).cast("double") / F.lit(float(k - 1))
+        pos = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.when(
+            i == k - 1, F.col("_n") - 1).otherwise(F.floor(i.cast("double") * step)).cast("bigint"))
+    d = d.withColumn("_pick", F.array_position(pos, F.col("_rank")) - 1)
+    return d.filter(F.col("_pick") >= 0).withColumnRenamed("_pick", "pick").drop("_tb", "_n", "_rank")

@@ -40,3 +40,33 @@ def ordered_cumsum(df: DataFrame, order_col: str, value_col: str, partition_by=(
     d = d.join(offs, [*parts, "_cb"])
     w2 = Window.partitionBy(*parts, "_cb").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     return d.withColumn(name, F.col("_coff") + F.sum(value_col).over(w2)).drop("_cb", "_coff")
+
+
+def score_rank(df: DataFrame, score: str, tiebreak: str, buckets: int = 16, name: str = "rank") -> DataFrame:
+    """Exact 0-based rank of every row by (``score``, ``tiebreak``) over the
+    whole frame, without a global sort in one task.
+
+    Rows are cut into buckets at approximate score quantiles (a one-row
+    aggregate of ``buckets - 1`` boundaries). A score equal to a boundary gets
+    a bucket of its own: any score value holding more than ~1/buckets of the
+    rows is a boundary, so the other buckets stay small, and such tie buckets
+    (one score value, ordered by ``tiebreak`` alone) are split further by the
+    first two characters of ``tiebreak``. Counts per (bucket, split) give the
+    offsets; ``row_number`` runs inside each (bucket, split)."""
+    from rollspark.functions.cols import with_scalars
+    qs = [j / buckets for j in range(1, buckets)]
+    bounds = df.agg(F.percentile_approx(F.col(score).cast("double"), qs, 10000).alias("_bounds"))
+    d = with_scalars(df, bounds)
+    s = F.col(score).cast("double")
+    below = F.size(F.filter("_bounds", lambda b: b < s))
+    tie = F.exists("_bounds", lambda b: b == s)
+    d = d.withColumn("_rb", (below * 2 + F.when(tie, 1).otherwise(0)).cast("int")) \
+        .withColumn("_rs", F.when(tie, F.substring(F.col(tiebreak).cast("string"), 1, 2)).otherwise(F.lit("")))
+    counts = d.groupBy("_rb", "_rs").agg(F.count(F.lit(1)).alias("_rn"))
+    w = Window.orderBy("_rb", "_rs").rowsBetween(Window.unboundedPreceding, -1)
+    # the count table has at most (2 * buckets) * 256 rows: a bounded window
+    offs = counts.select("_rb", "_rs", F.coalesce(F.sum("_rn").over(w), F.lit(0)).alias("_roff"))
+    d = d.join(F.broadcast(offs), ["_rb", "_rs"])
+    w2 = Window.partitionBy("_rb", "_rs").orderBy(s, F.col(tiebreak))
+    return d.withColumn(name, (F.col("_roff") + F.row_number().over(w2) - 1).cast("bigint")) \
+        .drop("_bounds", "_rb", "_rs", "_roff")
