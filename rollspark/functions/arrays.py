@@ -91,25 +91,26 @@ def _reverse_scan(x, m, lengths, gamma):
 
 
 def reverse_discounted_vec(arr, gamma: float, reset=None) -> Column:
-    """Same result as :func:`reverse_discounted`, computed by an Arrow-batched
-    pandas UDF with a vectorised reverse scan (linear in the number of tokens,
+    """Same result as :func:`reverse_discounted`, computed by an Arrow UDF: the
+    list column arrives as one flat value buffer plus list lengths, the
+    reverse scan is vectorised over all rows of the batch, and the result is
+    rebuilt as a list array (no Python object per row; linear in tokens,
     where the SQL fold copies its growing output array at every step)."""
     import numpy as np
-    import pandas as pd
-
-    def run(xs: pd.Series, ms: pd.Series) -> pd.Series:
-        lengths = np.fromiter((0 if a is None else len(a) for a in xs), dtype=np.int64, count=len(xs))
-        if lengths.sum() == 0:
-            return pd.Series([np.zeros(n) if n == 0 else None for n in lengths])
-        x = np.concatenate([np.asarray(a, dtype=np.float64) for a in xs if a is not None and len(a)])
-        m = np.concatenate([np.asarray(a, dtype=np.float64) for a in ms if a is not None and len(a)])
-        out = _reverse_scan(x, m, lengths, gamma)
-        parts = np.split(out, np.cumsum(lengths)[:-1])
-        return pd.Series([None if a is None else p for a, p in zip(xs, parts)])
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(xs: pa.Array, ms: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.list_value_length(xs), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        x = pc.fill_null(xs.flatten(), 0.0).to_numpy(zero_copy_only=False).astype(np.float64)
+        m = pc.fill_null(ms.flatten(), 0.0).to_numpy(zero_copy_only=False).astype(np.float64)
+        out = _reverse_scan(x, m, lengths, gamma) if len(x) else x
+        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(out, type=pa.float64()), mask=xs.is_null())
 
     # real classes, not the postponed string annotations of this module
-    run.__annotations__ = {"xs": pd.Series, "ms": pd.Series, "return": pd.Series}
-    udf = F.pandas_udf(run, "array<double>")
+    run.__annotations__ = {"xs": pa.Array, "ms": pa.Array, "return": pa.Array}
+    udf = F.arrow_udf(run, "array<double>")
     a = col(arr)
     m = col(reset) if reset is not None else F.transform(a, lambda x: F.lit(1.0))
     return udf(a.cast("array<double>"), m.cast("array<double>"))

@@ -31,7 +31,10 @@ def rollouts(spark: SparkSession, d: str, with_source: bool = False,
     reward = 1 for return flag 'R' else 0, resp_len = quantity,
     stop_reason = 'stop' for line status 'F' else 'length'.
     """
-    li = table(spark, d, "lineitem")
+    # hash-partition by the group key before the token arrays are built: the
+    # array work spreads over all shuffle partitions (not the scan's row
+    # groups), and every per-uid operator downstream reuses this partitioning
+    li = table(spark, d, "lineitem").repartition("l_orderkey")
     df = rollout_columns(li, with_tokens)
     if with_source:
         o = table(spark, d, "orders").select(F.col("o_orderkey").alias("uid"),
