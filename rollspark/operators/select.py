@@ -118,7 +118,8 @@ def dynamic_sampling_cut(df: DataFrame, target_batch_size: int, n_samples_per_pr
 
 
 def replace_bad_groups(df: DataFrame, n_samples_per_prompt: int, min_replace_ratio: float,
-                       group="uid", score="reward", sample_idx="sample_idx", seed: int = 0):
+                       group="uid", score="reward", sample_idx="sample_idx", seed: int = 0,
+                       materialize: bool = True):
     """Replace every zero-variance group by the samples of a good group.
 
     Good = population std > 0. Only when good groups are more than
@@ -126,7 +127,15 @@ def replace_bad_groups(df: DataFrame, n_samples_per_prompt: int, min_replace_rat
     seeded hash, bad rank r takes good rank r mod n_good (distinct partners
     while there are enough), and each bad sample i takes every column of the
     partner's sample i. Returns ``(rows, status)``.
+
+    The input is read four times (group statistics, partner rows, bad rows,
+    kept rows). With ``materialize`` it is checkpointed once into the shared
+    ``spark.checkpoint.dir`` first, so an expensive upstream plan runs once
+    and the four reads start from the written copy (which also survives the
+    loss of executors).
     """
+    if materialize:
+        df = df.checkpoint(eager=True)
     g = _keys(group)
     if len(g) != 1:
         raise ValueError("replace_bad_groups takes one group column")
