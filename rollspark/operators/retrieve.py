@@ -22,38 +22,51 @@ from rollspark.plans.batching import seeded_order
 TOKEN_SPLIT = r"[^a-z0-9]+"
 
 
+def _topk_with_ties(qi, di, sr, raw, k: int):
+    """Per query, keep the candidates whose rounded score reaches the query's
+    k-th best (ties included, so the exact global cut is still possible)."""
+    import numpy as np
+    if len(qi) == 0:
+        return qi, di, sr, raw
+    order = np.lexsort((di, -sr, qi))
+    qi, di, sr, raw = qi[order], di[order], sr[order], raw[order]
+    starts = np.r_[0, np.flatnonzero(np.diff(qi)) + 1]
+    sizes = np.diff(np.r_[starts, len(qi)])
+    kth = np.where(sizes >= k, sr[np.minimum(starts + k - 1, len(qi) - 1)], -np.inf)
+    keep = sr >= np.repeat(kth, sizes)
+    return qi[keep], di[keep], sr[keep], raw[keep]
+
+
 def _local_topk_fn(qids, qmat, k: int, id_col: str, vec_col: str, score_digits: int):
     import numpy as np
     import pandas as pd
 
     def run(batches):
-        ids, vecs = [], []
-        for pdf in batches:
-            ids.append(pdf[id_col].to_numpy())
-            vecs.extend(pdf[vec_col].to_list())
-        if not ids:
-            return
-        doc_ids = np.concatenate(ids)
-        docs = np.asarray([np.asarray(v, dtype=np.float64) for v in vecs])
-        raw = docs @ qmat.value.T  # (docs, queries)
-        # the same rounding as the global ranking, so the local cut keeps every
-        # document that can still reach the global top-k
         scale = float(10 ** score_digits)
-        scores = np.floor(raw * scale + ROUND_SHIFT) / scale
-        kk = min(k, len(doc_ids))
-        # local top-k per query: ties broken by doc id through a lexsort
-        out_q, out_d, out_s = [], [], []
-        for j, q in enumerate(qids.value):
-            s = scores[:, j]
-            cand = np.argpartition(-s, kk - 1)[:kk] if kk < len(s) else np.arange(len(s))
-            # keep every doc tied with the k-th score so the global cut stays exact
-            thr = s[cand].min()
-            cand = np.nonzero(s >= thr)[0]
-            out_q.append(np.full(len(cand), q))
-            out_d.append(doc_ids[cand])
-            out_s.append(raw[cand, j])
-        yield pd.DataFrame({"query_id": np.concatenate(out_q), "doc_id": np.concatenate(out_d),
-                            "score": np.concatenate(out_s)})
+        qs = qids.value
+        nq = len(qs)
+        empty = np.empty(0)
+        cq, cd, cs, cr = empty.astype(np.int64), empty.astype(np.int64), empty, empty
+        for pdf in batches:  # one Arrow batch at a time: memory is batch x queries
+            if len(pdf) == 0:
+                continue
+            doc_ids = pdf[id_col].to_numpy().astype(np.int64)
+            docs = np.asarray([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
+            raw = docs @ qmat.value.T  # (batch, queries)
+            # the same rounding as the global ranking, so the local cut keeps
+            # every document that can still reach the global top-k
+            sr = np.floor(raw * scale + ROUND_SHIFT) / scale
+            kk = min(k, len(doc_ids))
+            top = np.argpartition(-sr, kk - 1, axis=0)[:kk] if kk < len(doc_ids) else None
+            thr = sr.min(axis=0) if top is None else sr[top, np.arange(nq)].min(axis=0)
+            rows, cols = np.nonzero(sr >= thr)
+            cq = np.concatenate([cq, cols.astype(np.int64)])
+            cd = np.concatenate([cd, doc_ids[rows]])
+            cs = np.concatenate([cs, sr[rows, cols]])
+            cr = np.concatenate([cr, raw[rows, cols]])
+            cq, cd, cs, cr = _topk_with_ties(cq, cd, cs, cr, k)
+        if len(cq):
+            yield pd.DataFrame({"query_id": qs[cq], "doc_id": cd, "score": cr})
     return run
 
 
