@@ -100,16 +100,35 @@ def complete_groups(stream: DataFrame, n: int, eps: float = 1e-6, timeout_ms: in
 
 # ----------------------------------------------------------------- T2 / T3 / T4 / T5
 
-def accumulate_kept_groups(stream: DataFrame, out_path: str, target_groups: int, group="uid", score="reward"):
+def accumulate_kept_groups(stream: DataFrame, out_path: str, target_groups: int, group="uid", score="reward",
+                           n_samples_per_prompt: int = 2, max_sample_batches: int = 0):
     """Per micro-batch keep groups with reward variance (whole groups
     arrive together, as generation returns them) and append them to
-    ``out_path``. Returns the foreachBatch function; the running kept-group
-    count is read back from the table (``keep_sampling`` = below target)."""
+    ``out_path``. A one-row-per-batch status table next to it
+    (``<out_path>_status``: epoch, kept_groups running total, keep_sampling)
+    records progress against ``target_groups``. As in the reference, hitting
+    ``max_sample_batches`` (> 0) while still short of the target raises.
+    Returns the foreachBatch function."""
     from rollspark.operators.select import dynamic_filter
+    status_path = out_path.rstrip("/") + "_status"
 
     def fn(batch: DataFrame, epoch_id: int):
-        kept = dynamic_filter(batch, group, score, n_samples_per_prompt=2)
+        spark = batch.sparkSession
+        kept = dynamic_filter(batch, group, score, n_samples_per_prompt=n_samples_per_prompt)
         kept.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(out_path)
+        new_groups = spark.read.parquet(out_path).filter(F.col("epoch") == epoch_id) \
+            .select(group).distinct().count()
+        try:
+            before = spark.read.parquet(status_path).agg(F.max("kept_groups")).first()[0] or 0
+        except Exception:  # first batch: no status yet
+            before = 0
+        total = int(before) + int(new_groups)
+        keep_sampling = total < target_groups
+        spark.createDataFrame([(epoch_id, total, keep_sampling)], "epoch long, kept_groups long, keep_sampling boolean") \
+            .write.mode("append").parquet(status_path)
+        if keep_sampling and max_sample_batches > 0 and epoch_id + 1 >= max_sample_batches:
+            raise RuntimeError(f"dynamic sampling limit of {max_sample_batches} sample batches reached with "
+                               f"{total} of {target_groups} groups kept")
     return fn
 
 

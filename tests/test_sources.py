@@ -34,3 +34,15 @@ def test_load_batch_prunes_partitions(spark, sf_dir):
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(step" in plan
     assert one.count() == ev.filter("step = 3").count()
+
+
+def test_stream_kept_groups_raises_at_batch_limit(spark, sf_dir):
+    import pytest
+    from rollspark.catalog.streaming import _fb, _rollout_stream
+    from rollspark.streaming import rollouts as ST
+    rs, _ = _rollout_stream(spark, sf_dir)
+    out = ST.stream_path(spark, "kept_limit") + "/data"
+    with pytest.raises(Exception, match="dynamic sampling limit"):
+        _fb(spark, "kept_limit", rs, ST.accumulate_kept_groups(rs, out, 10 ** 9, max_sample_batches=1))
+    status = spark.read.parquet(out + "_status").collect()
+    assert len(status) == 1 and status[0].keep_sampling
