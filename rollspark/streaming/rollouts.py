@@ -135,20 +135,29 @@ def accumulate_kept_groups(stream: DataFrame, out_path: str, target_groups: int,
 def release_minibatches(stream: DataFrame, out_path: str, groups_per_minibatch: int, group="uid", seed: int = 0):
     """Assign the groups of each micro-batch to minibatches of
     ``groups_per_minibatch`` groups in seeded order; numbering continues after
-    the minibatches released by earlier micro-batches (read from the table)."""
+    the minibatches released by earlier micro-batches, read from a counter
+    table (``<out_path>_counter``, one row per micro-batch). A replayed
+    micro-batch reads only the counters of earlier epochs."""
     from rollspark.plans.batching import seeded_order
 
+    counter_path = out_path.rstrip("/") + "_counter"
+
     def fn(batch: DataFrame, epoch_id: int):
         spark = batch.sparkSession
-        try:
-            done = spark.read.parquet(out_path).agg(F.max("minibatch")).collect()[0][0]
+        try:  # one small row per micro-batch: the next minibatch number
+            base = spark.read.parquet(counter_path).filter(F.col("epoch") < epoch_id) \
+                .agg(F.max("next_minibatch")).first()[0] or 0
         except Exception:  # first batch: nothing released yet
-            done = None
-        base = 0 if done is None else int(done) + 1
+            base = 0
         groups = seeded_order(batch.select(group).distinct(), group, seed)
         mb = groups.withColumn("minibatch", (F.lit(base) + F.floor(F.col("idx") / groups_per_minibatch))
                                .cast("bigint")).drop("idx")
-        batch.join(mb, group).withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(out_path)
+        out = batch.join(mb, group).withColumn("epoch", F.lit(epoch_id))
+        out.write.mode("append").parquet(out_path)
+        released = spark.read.parquet(out_path).filter(F.col("epoch") == epoch_id).agg(F.max("minibatch")).first()[0]
+        nxt = base if released is None else int(released) + 1
+        spark.createDataFrame([(epoch_id, nxt)], "epoch long, next_minibatch long") \
+            .write.mode("append").parquet(counter_path)
     return fn
 
 

@@ -46,3 +46,22 @@ def test_stream_kept_groups_raises_at_batch_limit(spark, sf_dir):
         _fb(spark, "kept_limit", rs, ST.accumulate_kept_groups(rs, out, 10 ** 9, max_sample_batches=1))
     status = spark.read.parquet(out + "_status").collect()
     assert len(status) == 1 and status[0].keep_sampling
+
+
+def test_stream_minibatch_numbers_continue_across_batches(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from rollspark.catalog.streaming import _fb
+    from rollspark.sources.fixtures import rollout_columns
+    from rollspark.streaming import rollouts as ST
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    src = S.scratch_path(spark, "two_files")
+    li.filter(F.col("l_returnflag") == "R").coalesce(1).write.parquet(src + "/a")
+    li.filter(F.col("l_returnflag") != "R").coalesce(1).write.parquet(src + "/b")
+    stream = rollout_columns(ST.file_stream(spark, src + "/*/*.parquet", li.schema, max_files=1))
+    out = ST.stream_path(spark, "mb_two") + "/data"
+    _fb(spark, "mb_two", stream, ST.release_minibatches(stream, out, 16))
+    res = spark.read.parquet(out)
+    per_epoch = {r.epoch: (r.lo, r.hi) for r in res.groupBy("epoch").agg(
+        F.min("minibatch").alias("lo"), F.max("minibatch").alias("hi")).collect()}
+    assert sorted(per_epoch) == [0, 1]
+    assert per_epoch[0][0] == 0 and per_epoch[1][0] == per_epoch[0][1] + 1
