@@ -96,15 +96,23 @@ def mathd_normalize(answer) -> Column:
     return F.when(units_error | sqrt_error, a).otherwise(s)
 
 
-def answers_equal(given, truth) -> Column:
-    """C5 without a symbolic solver: equal after C3, or equal as numbers when
+def normalized_equal(g, t) -> Column:
+    """C5 on already normalised answers: equal text, or equal as numbers when
     both parse as numbers (integers must match exactly)."""
-    g, t = mathd_normalize(given), mathd_normalize(truth)
+    g, t = col(g), col(t)
     gn, tn = g.try_cast("double"), t.try_cast("double")
     return F.coalesce(g == t, F.lit(False)) | F.coalesce(
         (gn == tn) & (g.rlike("^-?[0-9]+$") == t.rlike("^-?[0-9]+$")), F.lit(False))
 
 
+def answers_equal(given, truth) -> Column:
+    """C5 without a symbolic solver: equal after C3, or equal as numbers when
+    both parse as numbers (integers must match exactly). Each side is
+    normalised once (bound in a one-element array), not once per use."""
+    pair = F.array(F.struct(mathd_normalize(given).alias("g"), mathd_normalize(truth).alias("t")))
+    return F.transform(pair, lambda x: normalized_equal(x["g"], x["t"])).getItem(0)
+
+
 # ---------------------------------------------------------------- GSM8K
 
 def gsm8k_strict(text) -> Column:

@@ -25,21 +25,27 @@ def grade_math(df: DataFrame, response="response", truths="ground_truths", noise
     first '</think>'; truths holding a \\boxed{} are reduced to its content;
     correct when any truth matches; reward is the PGFC value (1/0 without
     noise). Adds ``model_answer``, ``is_correct``, ``reward``, ``reason``."""
-    sol = T.after_think(response)
-    ans = T.boxed_answer(sol)
-    golds = F.filter(F.transform(col(truths), lambda g: F.when(g.contains("\\boxed"), T.boxed_answer(g))
-                                 .otherwise(g)), lambda g: g.isNotNull())
+    # staged projections: each step is computed once per row and read by
+    # name (inside higher-order lambdas a repeated expression is re-evaluated)
+    d = df.withColumn("_sol", T.after_think(response)).withColumn("model_answer", T.boxed_answer("_sol"))
+    d = d.withColumn("_golds", F.filter(F.transform(col(truths), lambda g: F.when(g.contains("\\boxed"),
+                                                                                  T.boxed_answer(g)).otherwise(g)),
+                                        lambda g: g.isNotNull()))
+    d = d.withColumn("_an", T.mathd_normalize("model_answer")) \
+        .withColumn("_gn", F.transform("_golds", lambda g: T.mathd_normalize(g)))
+    d = d.withColumn("_correct", F.exists("_gn", lambda g: T.normalized_equal(F.col("_an"), g)))
+    ans, correct = F.col("model_answer"), F.col("_correct")
     hit, miss = (noise_rate, noise_rate - 1.0) if noise_rate > 0 else (1.0, 0.0)
-    correct = F.exists(golds, lambda g: T.answers_equal(ans, g))
     empty = col(response).isNull() | (col(response) == "")
     reason = F.when(empty, "Empty or None response").when(ans.isNull(), "Fail to extract answers.") \
         .when(F.lit(format_only), "Formatted answer successfully") \
-        .when(F.size(golds) == 0, "Empty or None post-processed ground truth") \
+        .when(F.size("_golds") == 0, "Empty or None post-processed ground truth") \
         .when(correct, "Correct answer").otherwise("Incorrect answer")
     ok = F.when(empty | ans.isNull(), F.lit(False)).when(F.lit(format_only), F.lit(True)) \
-        .when(F.size(golds) == 0, F.lit(False)).otherwise(correct)
-    return df.withColumn("model_answer", ans).withColumn("is_correct", ok) \
-        .withColumn("reward", F.when(ok, F.lit(hit)).otherwise(F.lit(miss))).withColumn("reason", reason)
+        .when(F.size("_golds") == 0, F.lit(False)).otherwise(correct)
+    return d.withColumn("is_correct", ok) \
+        .withColumn("reward", F.when(ok, F.lit(hit)).otherwise(F.lit(miss))).withColumn("reason", reason) \
+        .drop("_sol", "_golds", "_an", "_gn", "_correct")
 
 
 def grade_gsm8k(df: DataFrame, response="response", truth="gold", method="strict",

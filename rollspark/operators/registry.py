@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollspark.functions import text as T
@@ -74,14 +74,19 @@ GRADERS.register("search", lambda r, t: F.coalesce(T.qa_exact_match(T.last_answe
 
 def grade_by_env(df: DataFrame, env_class: str = "env_class", response: str = "response", truth: str = "gold",
                  out: str = "score") -> DataFrame:
-    """Dispatch each row to the grader of its env_class in one projection
-    (a CASE over the registered graders); unknown classes score NULL."""
+    """Grade each row with the grader of its env_class; unknown classes score
+    NULL. Rows are split by class and each split gets only its own grader
+    (then the splits are unioned): one CASE over every grader would compile
+    to a method too large for whole-stage codegen and run interpreted."""
     r, t = F.col(response), F.col(truth)
-    expr: Column | None = None
-    for name in GRADERS.names():
-        g = GRADERS.get(name)(r, t).cast("double")
-        expr = F.when(F.col(env_class) == name, g) if expr is None else expr.when(F.col(env_class) == name, g)
-    return df.withColumn(out, expr)
+    names = GRADERS.names()
+    parts = [df.filter(F.col(env_class) == n).withColumn(out, GRADERS.get(n)(r, t).cast("double")) for n in names]
+    rest = df.filter(F.col(env_class).isNull() | ~F.col(env_class).isin(*names)) \
+        .withColumn(out, F.lit(None).cast("double"))
+    out_df = rest
+    for p in parts:
+        out_df = out_df.unionByName(p)
+    return out_df
 
 
 # ----------------------------------------------------------------- X5

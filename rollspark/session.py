@@ -33,6 +33,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # one JVM is driver and executors: give it the machine's memory
+            # (PySpark's default is 1g); a cluster sets this in spark-submit
+            builder = builder.config("spark.driver.memory", os.environ.get("ROLLSPARK_LOCAL_MEMORY", "16g"))
     for k, v in DEFAULTS.items():
         builder = builder.config(k, v)
     if shuffle_partitions:

@@ -151,26 +151,28 @@ def sql_results(spark: SparkSession, d: str) -> DataFrame:
                 F.col("l_quantity").cast("bigint").cast("string")).alias("vals"))
     lr = hashed_index(li, "_h", ["question_id"], name="row_idx").withColumn("_c", _code("question_id"))
     c, i, v = F.col("_c"), F.col("row_idx"), F.col("vals")
-    gold = lr.select("question_id", F.lit("gold").alias("side"), "row_idx", "vals")
-    pred = lr.filter(~(c.isin("0", "1") & (i == 0))).select(
-        "question_id", F.lit("pred").alias("side"),
-        F.when((c == "5") & (i == 0), F.lit(1).cast("bigint")).when((c == "5") & (i == 1), F.lit(0).cast("bigint"))
-        .otherwise(i).alias("row_idx"),
-        F.when(c.isin("2", "3"), F.reverse(v))
-        .when((c == "4") & (i == 0), F.array(v[0], v[1], F.lit("X"), v[3])).otherwise(v).alias("vals"))
-    dup = lr.filter((c == "6") & (i == 0)).select("question_id", F.lit("pred").alias("side"),
-                                                  F.lit(1000).cast("bigint").alias("row_idx"), "vals")
-    blank = lr.filter((c == "7") & (i == 0)).select("question_id", F.lit("pred").alias("side"),
-                                                    F.lit(1001).cast("bigint").alias("row_idx"),
-                                                    F.array(*[F.lit("")] * 4).alias("vals"))
+
+    def row(side, idx, vals):
+        return F.struct(F.lit(side).alias("side"), idx.cast("bigint").alias("row_idx"), vals.alias("vals"))
+    # one pass over the indexed lines: each line yields its gold row and up to
+    # three predicted rows (the index is computed once, not once per branch)
+    out = F.array(
+        row("gold", i, v),
+        F.when(~(c.isin("0", "1") & (i == 0)), row(
+            "pred", F.when((c == "5") & (i == 0), F.lit(1)).when((c == "5") & (i == 1), F.lit(0)).otherwise(i),
+            F.when(c.isin("2", "3"), F.reverse(v)).when((c == "4") & (i == 0), F.array(v[0], v[1], F.lit("X"), v[3]))
+            .otherwise(v))),
+        F.when((c == "6") & (i == 0), row("pred", F.lit(1000), v)),
+        F.when((c == "7") & (i == 0), row("pred", F.lit(1001), F.array(*[F.lit("")] * 4))))
+    lines = lr.select("question_id", F.explode(out).alias("_r")).filter(F.col("_r").isNotNull()) \
+        .select("question_id", "_r.side", "_r.row_idx", "_r.vals")
     o = table(spark, d, "orders")
     tot = F.floor("o_totalprice").cast("bigint")
-    g1 = o.select((-F.col("o_orderkey") - 1).alias("question_id"), F.lit("gold").alias("side"),
-                  F.lit(0).cast("bigint").alias("row_idx"), F.array(tot.cast("string")).alias("vals"))
-    p1 = o.select((-F.col("o_orderkey") - 1).alias("question_id"), F.lit("pred").alias("side"),
-                  F.lit(0).cast("bigint").alias("row_idx"),
-                  F.array((tot + F.col("o_custkey") % 3000).cast("string")).alias("vals"))
-    return gold.unionByName(pred).unionByName(dup).unionByName(blank).unionByName(g1).unionByName(p1)
+    one = o.select((-F.col("o_orderkey") - 1).alias("question_id"), F.explode(F.array(
+        row("gold", F.lit(0), F.array(tot.cast("string"))),
+        row("pred", F.lit(0), F.array((tot + F.col("o_custkey") % 3000).cast("string"))))).alias("_r")) \
+        .select("question_id", "_r.side", "_r.row_idx", "_r.vals")
+    return lines.unionByName(one)
 
 
 def sql_questions(spark: SparkSession, d: str) -> DataFrame:
