@@ -75,7 +75,7 @@ def _list_verdict(r: DataFrame) -> DataFrame:
 
 
 def grade_results(results: DataFrame, questions: DataFrame, method="grading_method",
-                  force_method: str | None = None) -> DataFrame:
+                  force_method: str | None = None, materialize: bool = False) -> DataFrame:
     """Verdict per question (U2-U6), reproducing the reference dispatcher:
 
     empty rows dropped; both empty -> equal; one empty or different first-row
@@ -83,8 +83,14 @@ def grade_results(results: DataFrame, questions: DataFrame, method="grading_meth
     or non-numbers fall through); then by method: 'multiset', 'subset,=,n' /
     'subset,>=,n', 'list', 'set' (tested in that order, by substring).
     ``questions`` has ``question_id`` and the method column.
+
+    The non-empty rows feed four aggregations; with ``materialize`` they are
+    checkpointed once into the shared ``spark.checkpoint.dir`` so the
+    upstream plan runs once.
     """
     r = non_empty_rows(results)
+    if materialize:
+        r = r.checkpoint(eager=True)
     shape = _question_shape(r)
     keys = _key_verdicts(r)
     dist = _distinct_pred(r)
