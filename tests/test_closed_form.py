@@ -140,3 +140,12 @@ def test_replace_sampling_too_few_good(spark):
     out, status = S.replace_bad_groups(df, 2, 0.3)
     assert sorted((r.uid, r.reward) for r in out.collect()) == [("uid1", 1.0), ("uid1", 1.0), ("uid2", 2.0), ("uid2", 2.0)]
     assert status.first().keep_sampling is True
+
+
+def test_merge_turns_two_sequences(spark):
+    from rollspark.operators.sequences import merge_turns
+    # (O1, A1), (O1 + A1 + O2, A2), (O3, A3): the second turn extends the first
+    df = spark.createDataFrame([(1, 0, [1], [2]), (1, 1, [1, 2, 3], [4]), (1, 2, [5], [6])],
+                               "traj_id int, step int, ob array<int>, ac array<int>")
+    got = [r.seq_no for r in merge_turns(df).orderBy("step").collect()]
+    assert got == [0, 0, 1]
