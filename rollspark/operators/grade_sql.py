@@ -85,12 +85,13 @@ def grade_results(results: DataFrame, questions: DataFrame, method="grading_meth
     ``questions`` has ``question_id`` and the method column.
 
     The non-empty rows feed four aggregations; with ``materialize`` they are
-    checkpointed once into the shared ``spark.checkpoint.dir`` so the
+    written once as a table under the shared ``spark.checkpoint.dir`` so the
     upstream plan runs once.
     """
     r = non_empty_rows(results)
     if materialize:
-        r = r.checkpoint(eager=True)
+        from rollspark.session import materialize as write_once
+        r = write_once(r, "sql_rows")
     shape = _question_shape(r)
     keys = _key_verdicts(r)
     dist = _distinct_pred(r)

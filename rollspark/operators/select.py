@@ -129,13 +129,14 @@ def replace_bad_groups(df: DataFrame, n_samples_per_prompt: int, min_replace_rat
     partner's sample i. Returns ``(rows, status)``.
 
     The input is read four times (group statistics, partner rows, bad rows,
-    kept rows). With ``materialize`` it is checkpointed once into the shared
-    ``spark.checkpoint.dir`` first, so an expensive upstream plan runs once
-    and the four reads start from the written copy (which also survives the
-    loss of executors).
+    kept rows). With ``materialize`` it is written once as a table under the
+    shared ``spark.checkpoint.dir`` first, so an expensive upstream plan runs
+    once and the four reads start from the written copy (which also survives
+    the loss of executors).
     """
     if materialize:
-        df = df.checkpoint(eager=True)
+        from rollspark.session import materialize as write_once
+        df = write_once(df, "replace_bad_groups")
     g = _keys(group)
     if len(g) != 1:
         raise ValueError("replace_bad_groups takes one group column")

@@ -61,3 +61,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df, name: str = "materialized"):
+    """Write ``df`` once as a parquet table under the shared checkpoint folder
+    and return a scan of it: cuts lineage for operators that read their input
+    several times. Unlike ``DataFrame.checkpoint()`` (which runs the plan once
+    to count and again to write), the plan runs exactly once, and the files
+    outlive any executor."""
+    import uuid
+    path = os.path.join(checkpoint_dir(df.sparkSession), "materialized", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
