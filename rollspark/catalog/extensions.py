@@ -66,12 +66,8 @@ def q_groups(spark, d):
 
 def q_loss_registry(spark, d):
     df = _tok(spark, d)
-    parts = [X.policy_loss(df, n, "log_probs", "rollout_logprobs", "adv", "loss_mask")
-             .select(F.lit(n).alias("loss_name"), rnd("loss").alias("loss")) for n in X.POLICY_LOSSES.names()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    out = X.policy_losses(df, X.POLICY_LOSSES.names(), "log_probs", "rollout_logprobs", "adv", "loss_mask")
+    return out.select("loss_name", rnd("loss").alias("loss"))
 
 
 query("policy_loss_registry")(q_loss_registry)  # rows-only: each loss has its own oracle query

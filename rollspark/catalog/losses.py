@@ -7,13 +7,11 @@ or teacher) = ``base_log_probs``; token advantages = ``values - 0.6``.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from rollspark.catalog.core import R, query
 from rollspark.functions.arrays import dsum, masked_mean, masked_sum
-from rollspark.functions.cols import rnd, with_scalars
+from rollspark.functions.cols import rnd
 from rollspark.operators import losses as L
 from rollspark.sources.fixtures import rollouts, with_views
 
@@ -92,13 +90,8 @@ PPO_CLIP = f"(CASE WHEN -{_S2} > -{_S1} THEN 1.0 ELSE 0.0 END)"
 
 
 def _reduced(df, loss, clip, reductions, max_seq_len=64):
-    out = []
-    for red in reductions:
-        rl = L.reduce_tokens(df, loss, "loss_mask", red, max_seq_len)
-        cr = df.agg(L.token_mean(df, clip, "loss_mask", "clip_ratio"))
-        out.append(with_scalars(rl, cr).select(F.lit(red).alias("reduction"), rnd("loss").alias("loss"),
-                                           rnd("clip_ratio").alias("clip_ratio")))
-    return reduce(lambda a, b: a.unionByName(b), out)
+    out = L.reduce_tokens_many(df, loss, "loss_mask", reductions, max_seq_len, clip=clip)
+    return out.select("reduction", rnd("loss").alias("loss"), rnd("clip_ratio").alias("clip_ratio"))
 
 
 @query("ppo_policy_loss", _ppo_sql(PPO_LOSS, PPO_CLIP))

@@ -122,6 +122,20 @@ def sapo_tokens(log_probs, old_log_probs, advantages, tau_pos: float = 1.0, tau_
     return F.zip_with(r, col(advantages), lambda x, a: f(x, a.cast("double")))
 
 
+def _reduction(reduction: str, max_seq_len: int | None) -> Column:
+    """Aggregate of one loss reduction over per-row ``_ls`` (masked loss sum)
+    and ``_mc`` (mask count)."""
+    if reduction == "token_mean":
+        return F.sum("_ls") / F.greatest(F.sum("_mc"), F.lit(1.0))
+    if reduction == "sequence_mean":
+        return F.avg(F.col("_ls") / F.greatest(F.col("_mc"), F.lit(1.0)))
+    if reduction == "seq_mean_token_sum_norm":
+        if max_seq_len is None:
+            raise ValueError("max_seq_len must be provided for seq_mean_token_sum_norm loss reduction")
+        return F.avg(F.col("_ls") / F.lit(float(max_seq_len)))
+    raise ValueError(f"Invalid loss reduction type: {reduction}")
+
+
 def reduce_tokens(df: DataFrame, loss: Column, mask, reduction: str, max_seq_len: int | None = None,
                   by=None) -> DataFrame:
     """Loss reductions (V22): token_mean = sum(l*m)/sum(m) over the batch;
@@ -129,19 +143,27 @@ def reduce_tokens(df: DataFrame, loss: Column, mask, reduction: str, max_seq_len
     seq_mean_token_sum_norm = mean over rows of sum(l*m)/max_seq_len."""
     keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
     d = df.select(*keys, masked_sum(loss, mask).alias("_ls"), mask_count(mask).alias("_mc"))
-    if reduction == "token_mean":
-        agg = (F.sum("_ls") / F.greatest(F.sum("_mc"), F.lit(1.0))).alias("loss")
-    elif reduction == "sequence_mean":
-        agg = F.avg(F.col("_ls") / F.greatest(F.col("_mc"), F.lit(1.0))).alias("loss")
-    elif reduction == "seq_mean_token_sum_norm":
-        if max_seq_len is None:
-            raise ValueError("max_seq_len must be provided for seq_mean_token_sum_norm loss reduction")
-        agg = F.avg(F.col("_ls") / F.lit(float(max_seq_len))).alias("loss")
-    else:
-        raise ValueError(f"Invalid loss reduction type: {reduction}")
+    agg = _reduction(reduction, max_seq_len).alias("loss")
     return d.groupBy(*keys).agg(agg) if keys else d.agg(agg)
 
 
+def reduce_tokens_many(df: DataFrame, loss: Column, mask, reductions, max_seq_len: int | None = None,
+                       clip: Column | None = None) -> DataFrame:
+    """Several reductions of one token loss (and the masked mean of ``clip``)
+    in a single pass: one row per reduction (``reduction``, ``loss``,
+    ``clip_ratio``)."""
+    cols = [masked_sum(loss, mask).alias("_ls"), mask_count(mask).alias("_mc")]
+    if clip is not None:
+        cols.append(masked_sum(clip, mask).alias("_cs"))
+    d = df.select(*cols)
+    ratio = (F.sum("_cs") / F.greatest(F.sum("_mc"), F.lit(1.0))) if clip is not None else F.lit(None).cast("double")
+    one = d.agg(*[_reduction(r, max_seq_len).alias(f"_r{i}") for i, r in enumerate(reductions)],
+                ratio.alias("clip_ratio"))
+    rows = F.array(*[F.struct(F.lit(r).alias("reduction"), F.col(f"_r{i}").alias("loss"))
+                     for i, r in enumerate(reductions)])
+    return one.select(F.explode(rows).alias("_x"), "clip_ratio").select("_x.reduction", "_x.loss", "clip_ratio")
+
+
 def token_mean(df: DataFrame, x: Column, mask, alias: str) -> Column:
     return (F.sum(masked_sum(x, mask)) / F.greatest(F.sum(mask_count(mask)), F.lit(1.0))).alias(alias)
 

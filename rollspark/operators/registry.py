@@ -61,6 +61,20 @@ def policy_loss(df: DataFrame, name: str, log_probs: str, old_log_probs: str, ad
     return L.reduce_tokens(df, tok, mask, reduction, max_seq_len)
 
 
+def policy_losses(df: DataFrame, names, log_probs: str, old_log_probs: str, advantages: str, mask: str,
+                  **cfg) -> DataFrame:
+    """Token-mean loss of several registered policy losses in one pass over
+    the token arrays: one row per loss (``loss_name``, ``loss``)."""
+    from rollspark.functions.arrays import mask_count, masked_sum
+    names = list(names)
+    d = df.select(*[masked_sum(POLICY_LOSSES.get(n)(log_probs, old_log_probs, advantages, **cfg), mask)
+                    .alias(f"_l{i}") for i, n in enumerate(names)], mask_count(mask).alias("_mc"))
+    den = F.greatest(F.sum("_mc"), F.lit(1.0))
+    one = d.agg(*[(F.sum(f"_l{i}") / den).alias(f"_l{i}") for i in range(len(names))])
+    rows = F.array(*[F.struct(F.lit(n).alias("loss_name"), F.col(f"_l{i}").alias("loss")) for i, n in enumerate(names)])
+    return one.select(F.explode(rows).alias("_x")).select("_x.loss_name", "_x.loss")
+
+
 # ----------------------------------------------------------------- X3
 GRADERS = Registry("grader")
 """env_class -> fn(response column, truth column) -> score column (double)."""

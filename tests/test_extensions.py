@@ -37,3 +37,13 @@ def test_concat_batches_rejects_mixed_logprobs(spark):
     with pytest.raises(ValueError):
         TR.concat_batches([a, b])
     assert TR.concat_batches([a, a]).count() == 2
+
+
+def test_policy_losses_one_pass_equals_each(spark, sf_dir):
+    from rollspark.catalog.losses import _tok
+    df = _tok(spark, sf_dir)
+    both = {r.loss_name: r.loss for r in X.policy_losses(df, X.POLICY_LOSSES.names(), "log_probs",
+                                                         "rollout_logprobs", "adv", "loss_mask").collect()}
+    for n in X.POLICY_LOSSES.names():
+        one = X.policy_loss(df, n, "log_probs", "rollout_logprobs", "adv", "loss_mask").first().loss
+        assert abs(both[n] - one) < 1e-9, n
