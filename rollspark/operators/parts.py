@@ -13,6 +13,17 @@ from pyspark.sql import functions as F
 from rollspark.functions.cols import col
 
 BLOCK = r"(?s)<think>(.*?)</think>|<tool_call>(.*?)</tool_call>"
+
+# Messages that must equal the reference's (tool-call parsing,
+# SQL tool arguments, search tool arguments), in that order.
+ERR_INVALID_JSON = "Invalid JSON"
+ERR_NOT_OBJECT = "Tool call is not a JSON object"
+ERR_NAME = "Missing or invalid 'name' field"
+ERR_ARGUMENTS = "Missing or invalid 'arguments' field"
+ERR_SQL_ARGS = "Error in parsing tool call arguments: "
+ERR_SEARCH_JSON = "Error invoking search tool: Invalid JSON in arguments"
+ERR_SEARCH_REQUIRED = "Error invoking search tool: query_list is required"
+ERR_SEARCH_NONEMPTY = "Error invoking search tool: query_list must be a list of non-empty strings"
 PART_FIELDS = "type string, text string, name string, arguments string, error string"
 
 
@@ -35,10 +46,10 @@ def parse_tool_call(block: Column) -> Column:
     body = F.trim(F.regexp_extract(block, BLOCK, 2))
     v = F.try_parse_json(body)
     name, args = F.try_variant_get(v, "$.name", "variant"), F.try_variant_get(v, "$.arguments", "variant")
-    err = F.when(v.isNull(), "Invalid JSON") \
-        .when(~_json_kind(v).startswith("OBJECT"), "Tool call is not a JSON object") \
-        .when(name.isNull() | (_json_kind(name) != "STRING"), "Missing or invalid 'name' field") \
-        .when(args.isNull() | ~_json_kind(args).startswith("OBJECT"), "Missing or invalid 'arguments' field")
+    err = F.when(v.isNull(), ERR_INVALID_JSON) \
+        .when(~_json_kind(v).startswith("OBJECT"), ERR_NOT_OBJECT) \
+        .when(name.isNull() | (_json_kind(name) != "STRING"), ERR_NAME) \
+        .when(args.isNull() | ~_json_kind(args).startswith("OBJECT"), ERR_ARGUMENTS)
     ok = _part("tool_call", name=F.try_variant_get(v, "$.name", "string"),
                arguments=F.get_json_object(body, "$.arguments"))
     return F.when(err.isNull(), ok).otherwise(_part("unparsed_tool_call", text=block, error=err))
@@ -74,8 +85,7 @@ def sql_tool_query(arguments) -> Column:
     a = col(arguments)
     v = F.try_parse_json(a)
     q = F.try_variant_get(v, "$.query", "variant")
-    err = F.when(v.isNull(), "Error in parsing tool call arguments: invalid JSON") \
-        .when(q.isNull(), "Error in parsing tool call arguments: 'query'")
+    err = F.when(v.isNull(), ERR_SQL_ARGS + "invalid JSON").when(q.isNull(), ERR_SQL_ARGS + "'query'")
     return F.struct(F.when(err.isNull(), F.try_variant_get(v, "$.query", "string")).alias("sql"), err.alias("error"))
 
 
@@ -87,10 +97,9 @@ def search_query_list(arguments) -> Column:
     ql = F.try_variant_get(v, "$.query_list", "variant")
     items = F.try_variant_get(v, "$.query_list", "array<variant>")
     good = F.forall(items, lambda x: (_json_kind(x) == "STRING") & (F.trim(x.cast("string")) != ""))
-    err = F.when(v.isNull(), "Error invoking search tool: Invalid JSON in arguments") \
-        .when(ql.isNull() | ~_json_kind(ql).startswith("ARRAY"), "Error invoking search tool: query_list is required") \
-        .when((F.size(items) == 0) | ~good,
-              "Error invoking search tool: query_list must be a list of non-empty strings")
+    err = F.when(v.isNull(), ERR_SEARCH_JSON) \
+        .when(ql.isNull() | ~_json_kind(ql).startswith("ARRAY"), ERR_SEARCH_REQUIRED) \
+        .when((F.size(items) == 0) | ~good, ERR_SEARCH_NONEMPTY)
     return F.struct(F.when(err.isNull(), F.try_variant_get(v, "$.query_list", "array<string>")).alias("queries"),
                     err.alias("error"))
 
@@ -128,7 +137,8 @@ def normalize_code_tests(raw, row_func_name=None) -> Column:
         return F.coalesce(F.try_element_at(arr, i + 1), F.try_element_at(arr, F.lit(1)))
 
     n = F.greatest(F.coalesce(F.size(ins), F.lit(0)), F.coalesce(F.size(outs), F.lit(0)))
-    taco_tests = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
+    # sequence(0, -1) would count down: an empty TACO dict must give no tests
+    taco_tests = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.struct(
         F.coalesce(text(pick(ins, i)), F.lit("")).alias("input"),
         F.coalesce(text(first_if_list(pick(outs, i))), F.lit("")).alias("output"),
         F.when(fn.isNotNull(), "functional").otherwise("stdin_stdout").alias("testtype"),
@@ -148,7 +158,8 @@ def normalize_code_tests(raw, row_func_name=None) -> Column:
 
     listed = F.filter(F.transform(objs, one), lambda x: x.isNotNull())
     empty = F.array().cast(f"array<{TEST}>")
-    return F.when(v.isNull(), empty).when(taco, taco_tests).otherwise(F.coalesce(listed, empty))
+    return F.when(v.isNull(), empty).when(taco & (n == 0), empty).when(taco, taco_tests) \
+        .otherwise(F.coalesce(listed, empty))
 
 
 # ----------------------------------------------------------------- C16

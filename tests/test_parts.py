@@ -94,3 +94,13 @@ def test_code_tests_brute_force(spark, sf_dir):
     assert got.keys() == src.keys()
     for k, raw in src.items():
         assert got[k] == expected_tests(raw, "size_of"), (k, raw)
+
+
+def test_code_tests_edge_cases(spark):
+    from rollspark.operators import parts as P
+    raws = ['{"inputs": [], "outputs": []}', '{"inputs": ["1", "2", "3"], "outputs": ["a"]}', '[1, {"input": "x"}]', '"s"']
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string")
+    got = {r.i: [(t.input, t.output, t.testtype, t.metadata.func_name) for t in r.t]
+           for r in df.select("i", P.normalize_code_tests("raw").alias("t")).collect()}
+    for i, raw in enumerate(raws):
+        assert got[i] == expected_tests(raw, None), (raw, got[i])
