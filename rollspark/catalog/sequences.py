@@ -105,7 +105,8 @@ SELECT uid, sample_key, batch_id, CAST(mp - prompt_len AS BIGINT) AS left_pad, C
 FROM r JOIN mx USING (batch_id)""", "rollouts"))
 def q_pad(spark, d):
     r = rollouts(spark, d, with_tokens=True).withColumn(
-        "prompt_ids", F.transform(F.sequence(F.lit(1).cast("bigint"), "prompt_len"), lambda i: i + 100))
+        "prompt_ids", F.transform(F.when(F.col("prompt_len") >= 1, F.sequence(F.lit(1).cast("bigint"), "prompt_len"))
+                   .otherwise(F.array().cast("array<bigint>")), lambda i: i + 100))
     r = seeded_order(r, ["uid", "sample_key"]).withColumn("batch_id", F.floor(F.col("idx") / 64).cast("bigint"))
     p = S.unpad(S.pad_batch(r))
     ok = (F.col("prompt_unpadded") == F.col("prompt_ids")) & \

@@ -71,6 +71,8 @@ def keep_last(df: DataFrame, seq, limit: int) -> DataFrame:
 
 def replicate(df: DataFrame, n: int, uid=None) -> DataFrame:
     """Each prompt n times under one uid (B2): adds ``sample_idx`` 0..n-1."""
+    if n < 1:
+        raise ValueError("n must be at least 1")
     d = df.withColumn("sample_idx", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     if uid is not None:
         d = d.withColumn("uid", col(uid).cast("string"))
@@ -111,6 +113,8 @@ def even_shards(df: DataFrame, idx, n_total, dp_size: int):
 def repeat_epochs(df: DataFrame, n_epochs: int, split: str = "train", source="data_source") -> DataFrame:
     """Epoch repeat (B5): train rows n times; test rows n times with the source
     suffixed '_i' per epoch."""
+    if n_epochs < 1:
+        raise ValueError("n_epochs must be at least 1")
     e = df.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_epochs - 1).cast("bigint"))))
     if split == "test":
         e = e.withColumn(source, F.concat(col(source), F.lit("_"), F.col("epoch").cast("string")))
@@ -126,6 +130,8 @@ def curriculum(stages, plan=CURRICULUM) -> DataFrame:
     group size ``plan[s][1]``, stages in order (``stage``, ``repeat`` columns)."""
     parts = []
     for s, (df, (reps, gsize)) in enumerate(zip(stages, plan)):
+        if reps < 1:
+            raise ValueError("every curriculum stage needs at least one repeat")
         parts.append(df.withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint"))))
                      .withColumn("stage", F.lit(s))
                      .withColumn("group_size", F.lit(gsize)))
@@ -136,6 +142,8 @@ def fractional_repeats(df: DataFrame, key, num_repeats: float, seed: int = 0) ->
     """ceil(r) seeded passes over the data, cut to ceil(r * N) rows."""
     import math
     passes = int(math.ceil(num_repeats))
+    if passes < 1:
+        raise ValueError("num_repeats must be positive")
     d = df.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(passes - 1).cast("bigint"))))
     keys = [key] if isinstance(key, str) else list(key)
     d = d.withColumn("_sh", seeded_hash(seed, "pass", *keys))

@@ -20,7 +20,8 @@ EOS_TOKEN = 2
 
 
 def _seq(n):
-    return F.sequence(F.lit(1).cast("bigint"), n)
+    """1..n, empty for n < 1 (sequence(1, 0) would count down)."""
+    return F.when(n >= 1, F.sequence(F.lit(1).cast("bigint"), n)).otherwise(F.array().cast("array<bigint>"))
 
 
 def rollouts(spark: SparkSession, d: str, with_source: bool = False,
