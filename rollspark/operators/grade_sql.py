@@ -33,26 +33,23 @@ def row_key(vals="vals") -> Column:
     return F.array_sort(F.transform(col(vals), lambda v: F.coalesce(v, F.lit("None"))))
 
 
-def _question_shape(r: DataFrame) -> DataFrame:
-    """Per question: row counts and the first row's width / first value per side."""
-    first = lambda side: F.min(F.when(F.col("side") == side, F.struct(
-        F.col("row_idx").alias("i"), F.size("vals").alias("w"), F.col("vals")[0].alias("v"))))
-    return r.groupBy("question_id").agg(
-        F.sum(F.when(F.col("side") == GOLD, 1).otherwise(0)).alias("n_gold"),
-        F.sum(F.when(F.col("side") == PRED, 1).otherwise(0)).alias("n_pred"),
-        first(GOLD).alias("_fg"), first(PRED).alias("_fp"))
-
-
 def _key_verdicts(r: DataFrame) -> DataFrame:
-    """Per question, from counts of each sorted row on both sides.
+    """Per question, from counts of each sorted row on both sides, together
+    with the question's shape (row counts per side and each side's first row:
+    width and first value), so one two-level aggregation serves both.
 
     This is J4 (gold vs predicted rows, a full outer join of per-side row
     counts) written as one aggregation over both sides: a single shuffle on
     (question, row) instead of two aggregations and an outer join."""
+    first = lambda side: F.min(F.when(F.col("side") == side, F.struct(
+        F.col("row_idx").alias("i"), F.size("vals").alias("w"), F.col("vals")[0].alias("v"))))
     k = r.groupBy("question_id", row_key().alias("_key")).agg(
         F.sum(F.when(F.col("side") == GOLD, 1).otherwise(0)).alias("cg"),
-        F.sum(F.when(F.col("side") == PRED, 1).otherwise(0)).alias("cp"))
+        F.sum(F.when(F.col("side") == PRED, 1).otherwise(0)).alias("cp"),
+        first(GOLD).alias("_kfg"), first(PRED).alias("_kfp"))
     return k.groupBy("question_id").agg(
+        F.sum("cg").alias("n_gold"), F.sum("cp").alias("n_pred"),
+        F.min("_kfg").alias("_fg"), F.min("_kfp").alias("_fp"),
         F.bool_and(F.col("cg") == F.col("cp")).alias("multiset_eq"),
         F.bool_and((F.col("cg") > 0) == (F.col("cp") > 0)).alias("set_eq"),
         F.bool_and((F.col("cp") == 0) | (F.col("cg") > 0)).alias("pred_in_gold"))
@@ -92,13 +89,12 @@ def grade_results(results: DataFrame, questions: DataFrame, method="grading_meth
     if materialize:
         from rollspark.session import materialize as write_once
         r = write_once(r, "sql_rows")
-    shape = _question_shape(r)
     keys = _key_verdicts(r)
     dist = _distinct_pred(r)
     lst = _list_verdict(r)
     m = F.lit(force_method) if force_method else col(method)
     q = questions.select("question_id", m.alias("method"))
-    j = q.join(shape, "question_id", "left").join(keys, "question_id", "left") \
+    j = q.join(keys, "question_id", "left") \
         .join(dist, "question_id", "left").join(lst, "question_id", "left")
     ng, npr = F.coalesce(F.col("n_gold"), F.lit(0)), F.coalesce(F.col("n_pred"), F.lit(0))
     basic = F.when(ng == 0, npr == 0).when(npr == 0, F.lit(False)) \
