@@ -1,7 +1,8 @@
 """Structured Streaming jobs for rollouts that are still arriving.
 
 Sources are file streams (a directory, or a glob for one file); state lives in
-the checkpoint under the shared folder named by ``spark.checkpoint.dir``, so a
+the checkpoint under the shared folder named by ``spark.checkpoint.dir``, and
+``foreachBatch`` sinks overwrite their own ``epoch=`` partition, so a
 restarted job resumes exactly once. Every job is written so a finished run can
 be compared with the batch operator it streams:
 
@@ -46,6 +47,15 @@ def run_available(query) -> None:
         raise query.exception()
 
 
+def write_epoch(df: DataFrame, path: str, epoch_id: int) -> None:
+    """Write one micro-batch's output as partition ``epoch=<epoch_id>`` of
+    ``path``, replacing that partition if it exists: a micro-batch replayed
+    after a restart overwrites its own earlier output instead of appending a
+    second copy, so ``foreachBatch`` sinks stay exactly-once."""
+    df.withColumn("epoch", F.lit(epoch_id).cast("long")).write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path)
+
+
 # ----------------------------------------------------------------- T1
 
 GROUP_OUT = "uid long, sample_key string, reward double, advantage double, n_in_group long, complete boolean"
@@ -115,17 +125,18 @@ def accumulate_kept_groups(stream: DataFrame, out_path: str, target_groups: int,
     def fn(batch: DataFrame, epoch_id: int):
         spark = batch.sparkSession
         kept = dynamic_filter(batch, group, score, n_samples_per_prompt=n_samples_per_prompt)
-        kept.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(out_path)
+        write_epoch(kept, out_path, epoch_id)
         new_groups = spark.read.parquet(out_path).filter(F.col("epoch") == epoch_id) \
             .select(group).distinct().count()
         try:
-            before = spark.read.parquet(status_path).agg(F.max("kept_groups")).first()[0] or 0
+            before = spark.read.parquet(status_path).filter(F.col("epoch") < epoch_id) \
+                .agg(F.max("kept_groups")).first()[0] or 0
         except Exception:  # first batch: no status yet
             before = 0
         total = int(before) + int(new_groups)
         keep_sampling = total < target_groups
-        spark.createDataFrame([(epoch_id, total, keep_sampling)], "epoch long, kept_groups long, keep_sampling boolean") \
-            .write.mode("append").parquet(status_path)
+        write_epoch(spark.createDataFrame([(total, keep_sampling)], "kept_groups long, keep_sampling boolean"),
+                    status_path, epoch_id)
         if keep_sampling and max_sample_batches > 0 and epoch_id + 1 >= max_sample_batches:
             raise RuntimeError(f"dynamic sampling limit of {max_sample_batches} sample batches reached with "
                                f"{total} of {target_groups} groups kept")
@@ -152,12 +163,10 @@ def release_minibatches(stream: DataFrame, out_path: str, groups_per_minibatch:
         groups = seeded_order(batch.select(group).distinct(), group, seed)
         mb = groups.withColumn("minibatch", (F.lit(base) + F.floor(F.col("idx") / groups_per_minibatch))
                                .cast("bigint")).drop("idx")
-        out = batch.join(mb, group).withColumn("epoch", F.lit(epoch_id))
-        out.write.mode("append").parquet(out_path)
+        write_epoch(batch.join(mb, group), out_path, epoch_id)
         released = spark.read.parquet(out_path).filter(F.col("epoch") == epoch_id).agg(F.max("minibatch")).first()[0]
         nxt = base if released is None else int(released) + 1
-        spark.createDataFrame([(epoch_id, nxt)], "epoch long, next_minibatch long") \
-            .write.mode("append").parquet(counter_path)
+        write_epoch(spark.createDataFrame([(nxt,)], "next_minibatch long"), counter_path, epoch_id)
     return fn
 
 
@@ -170,8 +179,8 @@ def route_stale(stream: DataFrame, current_step: DataFrame, kept_path: str, requ
         step = current_step.agg(F.max("current_step")).first()[0]  # a single scalar
         j = batch.withColumn("current_step", F.lit(step))
         lag = F.col("current_step") - F.col("sampler_step")
-        j.filter(lag <= max_steps_off_policy).write.mode("append").parquet(kept_path)
-        j.filter(lag > max_steps_off_policy).write.mode("append").parquet(requeue_path)
+        write_epoch(j.filter(lag <= max_steps_off_policy), kept_path, epoch_id)
+        write_epoch(j.filter(lag > max_steps_off_policy), requeue_path, epoch_id)
     return fn
 
 
@@ -182,7 +191,7 @@ def shuffled_batches(stream: DataFrame, out_path: str, batch_size: int, key, see
 
     def fn(batch: DataFrame, epoch_id: int):
         b = batch_index(batch, key, batch_size, seed, drop_last=True)
-        b.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(out_path)
+        write_epoch(b, out_path, epoch_id)
     return fn
 
 

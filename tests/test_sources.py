@@ -65,3 +65,20 @@ def test_stream_minibatch_numbers_continue_across_batches(spark, sf_dir):
         F.min("minibatch").alias("lo"), F.max("minibatch").alias("hi")).collect()}
     assert sorted(per_epoch) == [0, 1]
     assert per_epoch[0][0] == 0 and per_epoch[1][0] == per_epoch[0][1] + 1
+
+
+def test_foreach_batch_replay_is_idempotent(spark, sf_dir):
+    from rollspark.sources.fixtures import rollouts
+    from rollspark.streaming import rollouts as ST
+    batch = rollouts(spark, sf_dir).select("uid", "sample_key", "reward")
+    out = ST.stream_path(spark, "replay") + "/data"
+    fn = ST.accumulate_kept_groups(batch, out, 10 ** 9)
+    fn(batch, 0)
+    first = spark.read.parquet(out).count()
+    fn(batch, 0)  # the same micro-batch again, as after a restart
+    assert spark.read.parquet(out).count() == first
+    status = spark.read.parquet(out + "_status").collect()
+    assert len(status) == 1
+    fn(batch, 1)  # the next micro-batch counts on top of epoch 0 only
+    totals = {r.epoch: r.kept_groups for r in spark.read.parquet(out + "_status").collect()}
+    assert totals[1] == 2 * totals[0]
