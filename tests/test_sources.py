@@ -82,3 +82,17 @@ def test_foreach_batch_replay_is_idempotent(spark, sf_dir):
     fn(batch, 1)  # the next micro-batch counts on top of epoch 0 only
     totals = {r.epoch: r.kept_groups for r in spark.read.parquet(out + "_status").collect()}
     assert totals[1] == 2 * totals[0]
+
+
+def test_eval_dump_sanitises_source_folders(spark):
+    import os
+    rows = spark.createDataFrame([(1, 1.0, "math/hard"), (2, 0.0, None), (3, 1.0, "qa")],
+                                 "uid int, score double, data_source string")
+    metrics = rows.groupBy().avg("score")
+    path = S.scratch_path(spark, "eval_dump_test")
+    S.dump_eval(rows, path, metrics)
+    folders = sorted(f for f in os.listdir(os.path.join(path, "per_source")) if f.startswith("source_file="))
+    assert folders == ["source_file=math_hard", "source_file=qa", "source_file=unknown"]
+    back = {r.uid: r.source_file for r in S.read_eval_dump(spark, path).collect()}
+    assert back == {1: "math_hard", 2: "unknown", 3: "qa"}
+    assert spark.read.json(os.path.join(path, "aggregated_results")).count() == 1
