@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rollspark.llm.common import table
+from rollspark.llm.common import table, widened
 
 UNDETERMINED = "und"
 WINDOW = 1 << 20  # characters of one text that are counted at a time
@@ -150,24 +150,25 @@ class Ranks:
 
 
 def identify(docs: DataFrame, by_lang: dict[str, list[int]], text: str = "text", keep: tuple[str, ...] = ("doc_id",),
-             doc_size: int = 300) -> DataFrame:
-    """``keep`` columns of every row with ``lang_pred`` and ``score``.
+             doc_size: int = 300, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``keep`` columns of every row with the predicted language and its score.
 
-    ``score`` is one minus the out-of-place distance over its largest value.
+    The score is one minus the out-of-place distance over its largest value.
     Null texts, texts without a letter and any text when no profile was learned
     get ``und`` and 0. Whole texts are read, very long ones in windows. Only the
-    named columns are used, so further columns of any name do not matter.
+    named columns are used, so further columns of any name do not matter;
+    ``pred`` and ``score`` name the two new ones.
     """
     ranks = Ranks(by_lang, doc_size)
-    src = docs.select(*keep, F.col(text).alias("__text"))
-    schema = src.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    src = docs.select(*keep, *([] if text in keep else [text]))
+    at = src.columns.index(text)
+    schema = widened(docs.select(*keep).schema, **{pred: "string", score: "double"})
 
     def run(batches):
         for batch in batches:
-            said = [ranks.predict(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
-            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
+            said = [ranks.predict(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())],
+                [*(batch.column(i) for i in range(len(keep))), pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())],
                 schema.names)
 
     return src.mapInArrow(run, schema)
