@@ -9,7 +9,9 @@ costs the number of different lengths, not of pieces.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 
 from rollspark.llm.common import table, write_once
 
-CACHED, LONGEST_CACHED = 400_000, 48
+CACHED, LONGEST_CACHED = 700_000, 48
+_LETTERS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)\Z")
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +66,31 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets
 
 
+class Known(dict):
+    """Ids of words as little-endian unsigned 32-bit bytes, encoded when first asked for.
+
+    A word of letters and closing ASCII signs is its letters' ids and its
+    signs', as the vocabulary's pattern parts them there; letters of Latin-1
+    have the ids of their small ones, as it ignores case. So fewer are encoded.
+    """
+
+    def __init__(self, tokenizer, before: dict[str, bytes]):
+        super().__init__({"": b""})
+        self.tokenizer, self.before = tokenizer, before
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            m = _LETTERS.match(word)
+            if m and m[1].isalpha() and (m[2] or m[1] != m[1].lower()) and ord(max(m[1])) < 256:
+                ids = self[m[1].lower()] + self[m[2]]
+            else:
+                ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(word) <= LONGEST_CACHED:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
@@ -74,27 +102,13 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        self.known = Known(self.tokenizer, {})
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = {w for w in words if w not in known}
-        if new:
-            if len(known) > CACHED:
-                known = self.known = {"": b""}
-                new = set(words) - {""}
-            new = list(new)
-            known.update(zip(new, self.ids(new), strict=True))
-            long = [w for w in new if len(w) > LONGEST_CACHED]
-            out = b"".join(map(known.__getitem__, words))
-            for w in long:
-                del known[w]
-            return out
-        return b"".join(map(known.__getitem__, words))
+        if len(self.known) > CACHED:  # words not asked for lately are forgotten
+            self.known.before = {}
+            self.known = Known(self.tokenizer, self.known)
+        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _LOADED: dict[str, Encoder] = {}
