@@ -11,8 +11,9 @@ reaches a threshold. The steps:
 2. Documents of which fewer n-grams than that occur in any other document have
    no partner. Counting goes by hash in packed blocks; a task first settles what
    it can see itself, so an n-gram of very many documents is sent once a task.
-3. For the others the part is ordered by frequency, rarest first; partners share
-   one of the first few. Documents that share one are put in a block.
+3. The others' whole sets are ordered by frequency among them, rarest first;
+   partners share one of the first ``n - need(n) + 1``. Documents that share one
+   are put in a block.
 4. A block's whole sets, in one global order (commonest first), are stored in a
    trie. For each set the trie is walked with the overlap counted so far, which
    all sets below a node share, and a subtree is left when what remains of the
@@ -108,6 +109,11 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
 
 
+def spans(sorted_values: np.ndarray) -> list[tuple[int, int]]:
+    at = runs(sorted_values).tolist()
+    return list(zip(at, at[1:] + [len(sorted_values)], strict=True)) if at else []
+
+
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_counts=True)
 
@@ -137,9 +143,7 @@ def shared_counts(parts: DataFrame, buckets: int) -> DataFrame:
             bucket = (tokens >> np.uint64(20)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             bucket, tokens, keys = bucket[order], tokens[order], keys[order]
-            at = runs(bucket)
-            end = np.concatenate([at[1:], [len(bucket)]])
-            rows = [(int(bucket[s]), tokens[s:e].tobytes(), keys[s:e].tobytes(), b"", b"") for s, e in zip(at, end, strict=True)]
+            rows = [(int(bucket[s]), tokens[s:e].tobytes(), keys[s:e].tobytes(), b"", b"") for s, e in spans(bucket)]
             if len(done):
                 rows.append((len(packed) % buckets, b"", b"", done.tobytes(), counts.astype(np.int64).tobytes()))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
@@ -148,7 +152,15 @@ def shared_counts(parts: DataFrame, buckets: int) -> DataFrame:
 
     def settle(batches):
         tokens, keys = [], []
-        out = lambda k, c: pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], ["key", "shared"])
+
+        def out(k, c):
+            bucket = (k >> np.uint64(20)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            bucket, k, c = bucket[order], k[order], c[order].astype(np.int64)
+            cut = spans(bucket)
+            return pa.RecordBatch.from_arrays([pa.array([int(bucket[s]) for s, _ in cut], pa.int32()), pa.array([k[s:e].tobytes() for s, e in cut], pa.binary()),
+                                               pa.array([c[s:e].tobytes() for s, e in cut], pa.binary())], ["bucket", "keys", "counts"])
+
         for b in batches:
             for t, k, dk, dc in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 tokens.append(np.frombuffer(t, np.uint64))
@@ -165,10 +177,23 @@ def shared_counts(parts: DataFrame, buckets: int) -> DataFrame:
             shared = np.repeat((k[first] != k[last]) | (k[first] == 0), length)
             yield out(*counted(k[shared & (k != 0)]))
 
+    def add(batches):
+        keys, counts = [], []
+        for b in batches:
+            keys += [np.frombuffer(x, np.uint64) for x in b.column(0).to_pylist()]
+            counts += [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+        if keys:
+            k, c = np.concatenate(keys), np.concatenate(counts)
+            order = np.argsort(k, kind="stable")
+            k, c = k[order], c[order]
+            first = runs(k)
+            yield pa.RecordBatch.from_arrays([pa.array(k[first].view(np.int64)), pa.array(np.add.reduceat(c, first) if len(c) else c, pa.int64())], ["key", "shared"])
+
     dealt = parts.select("sig", "part").mapInArrow(deal, schema)
     # as many partitions as buckets: what a partition gets is sorted whole, ENTRIES or so
-    settled = dealt.repartition(buckets, "bucket").select("tokens", "keys", "done_keys", "done_counts").mapInArrow(settle, "key long, shared long")
-    return settled.groupBy("key").agg(F.sum("shared").alias("shared"))
+    settled = dealt.repartition(buckets, "bucket").select("tokens", "keys", "done_keys", "done_counts") \
+        .mapInArrow(settle, "bucket int, keys binary, counts binary")
+    return settled.repartition(buckets, "bucket").select("keys", "counts").mapInArrow(add, "key long, shared long")
 
 
 def key_of(sig) -> F.Column:
@@ -179,23 +204,23 @@ def key_of(sig) -> F.Column:
     return F.shiftleft(high, 32).bitwiseOR(low).bitwiseOR(F.lit(1).cast("long"))
 
 
-def blocks(nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, block) for nodes that share a deciding n-gram with another, from (node, n, part)."""
+def blocks(members: DataFrame, percent: int) -> DataFrame:
+    """(node, block) for nodes that share a deciding n-gram with another, from (node, n, grams)."""
     def unpack(batches):
         for b in batches:
-            packed = b.column(2).to_pylist()
-            times = [len(x) // 8 for x in packed]
-            rep = np.repeat(np.arange(len(packed)), times)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rep)), b.column(1).take(pa.array(rep)), pa.array(np.frombuffer(b"".join(packed), np.int64))],
-                                             ["node", "n", "token"])
-
-    tokens = write_once(nodes.select("node", "n", "part").mapInArrow(unpack, "node long, n long, token long"), "part_tokens")
+            for first in range(0, len(b), 200):
+                part = b.slice(first, 200)
+                packed = part.column(2).to_pylist()
+                rep = pa.array(np.repeat(np.arange(len(packed)), [len(x) // 8 for x in packed]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rep), part.column(1).take(rep), pa.array(np.frombuffer(b"".join(packed), np.int64))],
+                                                 ["node", "n", "token"])
+
+    tokens = members.select("node", "n", "grams").mapInArrow(unpack, "node long, n long, token long")
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     each = Window.partitionBy("node")
     overlap = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
-    m = F.greatest(F.lit(1), F.floor(overlap / 10))
     first = (tokens.join(often, "token").withColumn("k", F.count(F.lit(1)).over(each)).withColumn("r", F.row_number().over(each.orderBy("f", "token")))
-             .where(F.col("r") <= F.col("k") - m + 1).select("token", "node"))
+             .where(F.col("r") <= F.col("k") - overlap + 1).select("token", "node"))
     first = write_once(first, "deciding")
     hubs = first.groupBy("token").agg(F.min("node").alias("hub"))
     edges = first.join(hubs, "token").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
@@ -378,12 +403,10 @@ def linked_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     counts = shared_counts(scan.where("n > 0"), buckets)
     least = F.greatest(F.lit(1), F.floor(F.floor((F.lit(percent) * F.col("n") + 99) / 100) / 10))
     live = write_once(reps.where("rep is not null").withColumn("key", key_of("sig")).join(counts, "key").where(F.col("shared") >= least)
-                      .select("node", "n", "sig", "rep"), "live")
-    first = scan.where("n > 0").select(F.col("doc_id").alias("rep"), "sig", "part").join(live, ["rep", "sig"]).dropDuplicates(["node"])
-    block = blocks(first.select("node", "n", "part"), percent)
-    wanted = write_once(block.join(live, "node").select("node", "block", "sig", F.col("rep").alias("doc_id")), "wanted")
-    members = whole_sets(docs, wanted, text, doc_id, n).join(wanted, ["doc_id", "sig"]).dropDuplicates(["node"]).select("node", "block", "grams")
-    linked = components(joined_blocks(write_once(members, "members"), percent))
+                      .select("node", "n", "sig", F.col("rep").alias("doc_id")), "live")
+    members = write_once(whole_sets(docs, live, text, doc_id, n).join(live, ["doc_id", "sig"]).dropDuplicates(["node"]).select("node", "n", "grams"), "members")
+    block = blocks(members, percent)
+    linked = components(joined_blocks(members.select("node", "grams").join(block, "node"), percent))
     named = reps.join(linked, "node", "left").withColumn("c", F.coalesce("component", "node"))
     smallest = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     of = named.join(smallest, "c").select(F.col("sig").alias("s"), "component_id")
