@@ -32,10 +32,16 @@ def widened(schema: StructType, **fields: str) -> StructType:
     return StructType([*schema.fields, *more.fields])
 
 
-def split_runs(values):
-    """Start and end offsets of the runs of equal neighbours in a numpy array."""
-    import numpy as np
-    if len(values) == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    cut = np.flatnonzero(values[1:] != values[:-1]) + 1
-    return np.concatenate([[0], cut]), np.concatenate([cut, [len(values)]])
+_KEPT: dict = {}
+
+
+def kept(name, make):
+    """What ``make()`` gave, kept in this Python worker for the operator's next tasks.
+
+    Workers serve one operator after another; only the last one's is kept, so
+    what the others remember does not add up.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]

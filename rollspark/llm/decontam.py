@@ -28,14 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollspark.llm.common import table, write_once
+from rollspark.llm.common import kept, table, write_once
 
 #: The masks; 1 takes part, 0 is ignored.
 MASKS = ("111111", "11011011", "1100110011", "10101010101", "1110000111")
 SPAN = max(map(len, MASKS))
 PENALTY = 1.5
 FILTER_BITS = 1 << 22
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 300_000
 WORD = re.compile(r"\w+")
 ODD = [np.uint64(x) for x in range(0x9E3779B97F4A7C15, 0x9E3779B97F4A7C15 + 2 * SPAN, 2)]
 EXACT = len(MASKS)  # number of the seed that is a whole short item
@@ -56,7 +56,8 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-_WORDS = Words()
+def words_seen() -> Words:
+    return kept("decontam words", Words)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -99,7 +100,7 @@ def benchmark_seeds(items: DataFrame, text: str, item_id: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                t = _WORDS.hashes(x)
+                t = words_seen().hashes(x)
                 found = [(h, p) for m in range(len(MASKS)) for p, h in enumerate(seeds(t, m).tolist())]
                 if not found and len(t):
                     found = [(whole_seed(t), 0)]
@@ -116,7 +117,7 @@ def item_tokens(items: DataFrame, text: str, item_id: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            t = [_WORDS.hashes(x).astype(np.int64).tolist() for x in batch.column(1).to_pylist()]
+            t = [words_seen().hashes(x).astype(np.int64).tolist() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t, pa.list_(pa.int64()))], ["item_id", "item"])
 
     return src.mapInArrow(run, "item_id long, item array<long>")
@@ -145,7 +146,7 @@ def candidate_regions(docs: DataFrame, filter_bits, short_lengths: list[int], te
             out = ([], [], [], [], [])
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for first in range(0, len(ids), 64):  # a few documents at a time, in one array
-                each = [_WORDS.hashes(x) for x in texts[first:first + 64]]
+                each = [words_seen().hashes(x) for x in texts[first:first + 64]]
                 end = np.cumsum([len(t) for t in each])
                 every = np.concatenate(each)
                 where, what = [], []

@@ -32,10 +32,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rollspark.llm.common import table, write_once
+from rollspark.llm.common import kept, table, write_once
 from rollspark.llm.components import components
 
-KNOWN_WORDS, BLOCK, ENTRIES = 500_000, 2000, 1_500_000
+KNOWN_WORDS, BLOCK, ENTRIES = 300_000, 2000, 1_000_000
 BLOOM_BITS = 1 << 24
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -48,9 +48,6 @@ class Words(dict):
         return h
 
 
-_WORDS = Words()
-
-
 def ngram_set(text: str | None, n: int) -> np.ndarray:
     """Ascending distinct hashes of the text's word n-grams; of the whole sequence if it has fewer words.
 
@@ -59,7 +56,7 @@ def ngram_set(text: str | None, n: int) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(kept("ngram words", Words).__getitem__, words), np.uint64, len(words))
     if len(w) < n:
         return np.array([xxhash.xxh64_intdigest(w.tobytes(), seed=n)], np.uint64)
     h = np.zeros(len(w) - n + 1, np.uint64)
@@ -123,7 +120,7 @@ def shared_counts(parts: DataFrame, buckets: int) -> DataFrame:
     schema = "bucket int, tokens binary, keys binary, done_keys binary, done_counts binary"
 
     def deal(batches):
-        for b in batches:
+        for b in (whole.slice(k, 5000) for whole in batches for k in range(0, len(whole), 5000)):
             keys = np.array([int.from_bytes(x[:8], "little") | 1 for x in b.column(0).to_pylist()], np.uint64)
             packed = b.column(1).to_pylist()
             tokens = np.frombuffer(b"".join(packed), np.uint64)

@@ -9,6 +9,7 @@ costs the number of different lengths, not of pieces.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollspark.llm.common import table, write_once
+from rollspark.llm.common import kept, table, write_once
 
 CACHED, LONGEST_CACHED = 700_000, 48
 _LETTERS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)\Z")
@@ -111,15 +112,9 @@ class Encoder:
         return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_LOADED: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",),

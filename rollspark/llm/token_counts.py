@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollspark.llm.common import table
+from rollspark.llm.common import kept, table
 
 BATCH, PIECE = 1 << 20, 1 << 15
 MARK = "▁"
@@ -69,13 +69,8 @@ class Counter:
         return out
 
 
-_LOADED: dict[str, Counter] = {}
-
-
 def counter(model: str) -> Counter:
-    if model not in _LOADED:
-        _LOADED[model] = Counter(model)
-    return _LOADED[model]
+    return kept(("counter", model), lambda: Counter(model))
 
 
 def token_counts(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
