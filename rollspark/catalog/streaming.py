@@ -1,5 +1,6 @@
-"""Streaming queries (T1-T6): each runs a Structured Streaming job over the
-lineitem file as a stream (``availableNow``), with its checkpoint and sink in
+"""Streaming queries (T1-T6): each writes the lineitem rows as several files, so
+that groups are split over micro-batches, runs a Structured Streaming job over
+them (``availableNow``, a file a micro-batch), with its checkpoint and sink in
 the shared checkpoint folder, and returns the sink as a table."""
 
 from __future__ import annotations
@@ -7,16 +8,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rollspark.catalog.core import R, query
-from rollspark.functions.cols import rnd
+from rollspark.functions.cols import hash_int, rnd, seeded_hash
 from rollspark.sources.fixtures import rollout_columns, with_views
 from rollspark.sources.tables import table
 from rollspark.streaming import rollouts as ST
 
+FILES = 3
+
 
 def _rollout_stream(spark, d):
-    schema = table(spark, d, "lineitem").schema
-    li = ST.file_stream(spark, f"{d.rstrip('/')}/lineitem.parquet*", schema)
-    return rollout_columns(li, False), li
+    """The rollouts as a stream of ``FILES`` files, written one after another: the file of a row follows from its hash."""
+    li = table(spark, d, "lineitem")
+    sizes = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("group_n"))
+    li = li.join(sizes, F.col("l_orderkey").eqNullSafe(F.col("k"))).drop("k")
+    key = F.md5(F.concat_ws("|", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint")))
+    path = ST.stream_path(spark, "input")
+    for i in range(FILES):  # a file a micro-batch, in this order
+        li.filter(hash_int(seeded_hash("file", "l_orderkey", key), FILES) == i).coalesce(1).write.parquet(f"{path}/{i}")
+    stream = ST.file_stream(spark, path + "/*", li.schema)
+    return rollout_columns(stream, False, keep=("group_n",)), stream
 
 
 def _fb(spark, name, stream, fn):
@@ -26,39 +36,56 @@ def _fb(spark, name, stream, fn):
     ST.run_available(q)
 
 
-@query("stream_complete_groups", with_views(f"""
-, g AS (SELECT uid, count(*) AS n, avg(reward) AS m, stddev_samp(reward) AS s FROM rollouts GROUP BY uid HAVING count(*) >= 4)
-SELECT r.uid, r.sample_key, {R("(reward - m) / (s + 1e-6)")} AS advantage, CAST(n AS BIGINT) AS n_in_group,
-       true AS complete
-FROM rollouts r JOIN g USING (uid)""", "rollouts"))
+# the file of a rollout, as SQL
+FILED = f"""
+, filed AS (SELECT *, ('0x' || md5('file|' || CAST(uid AS VARCHAR) || '|' || sample_key)[1:8])::BIGINT % {FILES} AS part FROM rollouts)"""
+
+
+@query("stream_complete_groups", with_views(FILED + f"""
+, k AS (SELECT uid, sample_key, reward, CAST(floor((row_number() OVER (PARTITION BY uid ORDER BY part, sample_key) - 1) / 4) AS BIGINT) AS group_no,
+               CAST(floor(count(*) OVER (PARTITION BY uid) / 4) AS BIGINT) AS released FROM filed)
+, g AS (SELECT uid, group_no, avg(reward) AS m, stddev_samp(reward) AS s FROM k GROUP BY uid, group_no)
+SELECT uid, group_no, sample_key, CASE WHEN group_no < released THEN {R("(reward - m) / (s + 1e-6)")} END AS advantage,
+       CASE WHEN group_no < released THEN CAST(4 AS BIGINT) END AS n_in_group, group_no < released AS complete
+FROM k JOIN g USING (uid, group_no)""", "rollouts"))
 def q_complete_groups(spark, d):
+    """Groups of exactly 4 and, from the state, the samples that still wait."""
     rs, _ = _rollout_stream(spark, d)
     out = ST.stream_path(spark, "complete_groups")
     q = ST.complete_groups(rs, 4, timeout_ms=None).writeStream.format("parquet").option("path", out + "/data") \
         .option("checkpointLocation", out + "/ck").outputMode("append").trigger(availableNow=True).start()
     ST.run_available(q)
-    res = spark.read.parquet(out + "/data")
-    return res.select("uid", "sample_key", rnd("advantage").alias("advantage"), "n_in_group", "complete")
-
-
-@query("stream_kept_groups", with_views("""
-SELECT uid, sample_key FROM rollouts
-WHERE uid IN (SELECT uid FROM rollouts GROUP BY uid HAVING stddev_pop(reward) > 0)""", "rollouts"))
+    done = spark.read.parquet(out + "/data").select("uid", "group_no", "sample_key", rnd("advantage").alias("advantage"), "n_in_group", "complete")
+    number = spark.read.parquet(out + "/data").groupBy(F.col("uid").alias("u")).agg(F.max("group_no").alias("last"))
+    left = ST.waiting_samples(spark, out + "/ck").join(number, F.col("uid").eqNullSafe(F.col("u")), "left").select(
+        "uid", (F.coalesce("last", F.lit(-1)) + 1).cast("bigint").alias("group_no"), "sample_key", F.lit(None).cast("double").alias("advantage"),
+        F.lit(None).cast("bigint").alias("n_in_group"), F.lit(False).alias("complete"))
+    return done.unionByName(left)
+
+
+@query("stream_kept_groups", with_views(FILED + """
+, g AS (SELECT uid, max(part) AS ready FROM filed GROUP BY uid HAVING stddev_pop(reward) > 0)
+, taken AS (SELECT uid FROM (SELECT uid, row_number() OVER (ORDER BY ready, uid) AS n FROM g) WHERE n <= 1000)
+SELECT uid, sample_key FROM rollouts WHERE uid IN (SELECT uid FROM taken)""", "rollouts"))
 def q_kept(spark, d):
     rs, _ = _rollout_stream(spark, d)
     out = ST.stream_path(spark, "kept_groups") + "/data"
-    _fb(spark, "kept_groups", rs, ST.accumulate_kept_groups(rs, out, 1000))
+    _fb(spark, "kept_groups", rs, ST.accumulate_kept_groups(rs, out, 1000, group_size="group_n"))
     return spark.read.parquet(out).select("uid", "sample_key")
 
 
-@query("stream_minibatches", """
-SELECT uid, CAST(floor((row_number() OVER (ORDER BY md5('0|' || CAST(uid AS VARCHAR)), uid) - 1) / 64) AS BIGINT) AS minibatch
-FROM (SELECT DISTINCT l_orderkey AS uid FROM lineitem)""")
+@query("stream_minibatches", with_views(FILED + """
+, g AS (SELECT uid, max(part) AS ready FROM filed GROUP BY uid)
+, o AS (SELECT uid, CAST(floor((row_number() OVER (ORDER BY ready, md5('0|' || CAST(uid AS VARCHAR)), uid) - 1) / 64) AS BIGINT) AS minibatch,
+               CAST(floor(count(*) OVER () / 64) AS BIGINT) AS released FROM g)
+SELECT r.uid, r.sample_key, CASE WHEN minibatch < released THEN minibatch END AS minibatch FROM rollouts r JOIN o USING (uid)""", "rollouts"))
 def q_minibatches(spark, d):
+    """Every row with its minibatch; null for those of the groups that still wait."""
     rs, _ = _rollout_stream(spark, d)
     out = ST.stream_path(spark, "minibatches") + "/data"
-    _fb(spark, "minibatches", rs, ST.release_minibatches(rs, out, 64))
-    return spark.read.parquet(out).select("uid", "minibatch").distinct()
+    _fb(spark, "minibatches", rs, ST.release_minibatches(rs, out, 64, group_size="group_n"))
+    left = ST.pending(spark, out).select("uid", "sample_key", F.lit(None).cast("bigint").alias("minibatch"))
+    return spark.read.parquet(out).select("uid", "sample_key", "minibatch").unionByName(left)
 
 
 @query("stream_stale_routing", with_views("""
@@ -71,23 +98,23 @@ def q_stale_stream(spark, d):
     current = spark.range(1).select(F.lit(50).alias("current_step"))
     _fb(spark, "stale", rs, ST.route_stale(rs, current, base + "/kept", base + "/requeue", 8))
     kept = spark.read.parquet(base + "/kept").select("uid", "sample_key", F.lit("kept").alias("route"))
-    try:
-        req = spark.read.parquet(base + "/requeue").select("uid", "sample_key", F.lit("requeue").alias("route"))
-        return kept.unionByName(req)
-    except Exception:  # no stale rollouts at all
-        return kept
+    schema = rs.schema.add("current_step", "integer").add("epoch", "long")
+    req = ST.read_epochs(spark, base + "/requeue", F.lit(True), schema).select("uid", "sample_key", F.lit("requeue").alias("route"))
+    return kept.unionByName(req)
 
 
-@query("stream_shuffled_batches", with_views("""
-SELECT uid, sample_key, batch_id FROM (
+@query("stream_shuffled_batches", with_views(FILED + """
+SELECT uid, sample_key, CASE WHEN batch_id < nb THEN batch_id END AS batch_id FROM (
   SELECT uid, sample_key,
-         CAST(floor((row_number() OVER (ORDER BY md5('0|' || CAST(uid AS VARCHAR) || '|' || sample_key), uid, sample_key) - 1) / 256) AS BIGINT) AS batch_id,
-         CAST(floor(count(*) OVER () / 256) AS BIGINT) AS nb FROM rollouts) WHERE batch_id < nb""", "rollouts"))
+         CAST(floor((row_number() OVER (ORDER BY part, md5('0|' || CAST(uid AS VARCHAR) || '|' || sample_key), uid, sample_key) - 1) / 256) AS BIGINT) AS batch_id,
+         CAST(floor(count(*) OVER () / 256) AS BIGINT) AS nb FROM filed)""", "rollouts"))
 def q_shuffled(spark, d):
+    """Every row with its batch; null for the incomplete batch that is left at the end."""
     rs, _ = _rollout_stream(spark, d)
     out = ST.stream_path(spark, "shuffled") + "/data"
     _fb(spark, "shuffled", rs, ST.shuffled_batches(rs, out, 256, ["uid", "sample_key"]))
-    return spark.read.parquet(out).select("uid", "sample_key", "batch_id")
+    left = ST.pending(spark, out).select("uid", "sample_key", F.lit(None).cast("bigint").alias("batch_id"))
+    return spark.read.parquet(out).select("uid", "sample_key", "batch_id").unionByName(left)
 
 
 @query("stream_rolling_metrics", f"""

@@ -13,27 +13,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_HEX_DIGITS = 3  # 4096 buckets per group
+BUCKET_HEX_DIGITS = 3  # 4096 buckets per group; a larger table takes more digits
 
 
 def hashed_index(df: DataFrame, hash_col: str, partition_by=(), tiebreak=(),
-                 name: str = "idx") -> DataFrame:
+                 name: str = "idx", hex_digits: int = BUCKET_HEX_DIGITS) -> DataFrame:
     """Add ``name``: 0-based rank of each row inside ``partition_by`` ordered by
     (``hash_col``, ``tiebreak``...). Equal to
-    ``row_number() over (partition by ... order by hash_col, tiebreak) - 1``.
+    ``row_number() over (partition by ... order by hash_col, tiebreak) - 1``;
+    null groups are groups, null hashes come first.
     """
     parts = list(partition_by)
-    b = F.conv(F.substring(F.col(hash_col), 1, BUCKET_HEX_DIGITS), 16, 10).cast("int")
+    b = F.coalesce(F.conv(F.substring(F.col(hash_col), 1, hex_digits), 16, 10).cast("int"), F.lit(-1))
     d = df.withColumn("_hb", b)
     counts = d.groupBy(*parts, "_hb").agg(F.count(F.lit(1)).alias("_hn"))
     wcum = Window.partitionBy(*parts).orderBy("_hb") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*parts, "_hb",
+    names = [f"_hp{i}" for i in range(len(parts))]
+    offs = counts.select(*[F.col(p).alias(n) for p, n in zip(parts, names, strict=True)], F.col("_hb").alias("_hc"),
                          F.coalesce(F.sum("_hn").over(wcum), F.lit(0)).alias("_hoff"))
-    if not parts:
-        # at most 16**BUCKET_HEX_DIGITS rows: a proven bound, safe to broadcast
+    if not parts and hex_digits <= 4:
+        # at most 16**hex_digits rows: a proven bound, safe to broadcast
         offs = F.broadcast(offs)
-    d = d.join(offs, [*parts, "_hb"])
+    same = F.col("_hb") == F.col("_hc")
+    for p, n in zip(parts, names, strict=True):
+        same = same & F.col(p).eqNullSafe(F.col(n))
+    d = d.join(offs, same).drop("_hc", *names)
     w = Window.partitionBy(*parts, "_hb").orderBy(F.col(hash_col), *[F.col(c) for c in tiebreak])
     return d.withColumn(name, (F.col("_hoff") + F.row_number().over(w) - 1).cast("bigint")) \
         .drop("_hb", "_hoff")

@@ -46,7 +46,7 @@ def rollouts(spark: SparkSession, d: str, with_source: bool = False,
     return df
 
 
-def rollout_columns(li: DataFrame, with_tokens: bool = False) -> DataFrame:
+def rollout_columns(li: DataFrame, with_tokens: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """The rollout projection of ``lineitem`` rows; works on a batch or a
     streaming DataFrame alike."""
     q = F.col("l_quantity").cast("bigint")
@@ -71,7 +71,7 @@ def rollout_columns(li: DataFrame, with_tokens: bool = False) -> DataFrame:
             F.transform(_seq(q), lambda i: -((i * (pk + sk)) % 83).cast("double") / 100).alias("base_log_probs"),
             F.transform(_seq(q), lambda i: ((i * ln) % 13).cast("double") / 10).alias("values"),
         ]
-    return li.select(*cols)
+    return li.select(*cols, *keep)
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:

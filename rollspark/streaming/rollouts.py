@@ -3,18 +3,22 @@
 Sources are file streams (a directory, or a glob for one file); state lives in
 the checkpoint under the shared folder named by ``spark.checkpoint.dir``, and
 ``foreachBatch`` sinks overwrite their own ``epoch=`` partition, so a
-restarted job resumes exactly once. Every job is written so a finished run can
-be compared with the batch operator it streams:
+restarted job resumes exactly once. What a micro-batch cannot finish is carried
+over: it is written to ``<out>_pending`` with the epoch and joins the next
+micro-batch, so the sink does not depend on how the input was cut into files.
+:func:`pending` reads what is left when a stream ends.
 
 - T1 ``complete_groups``: per-uid state (``applyInPandasWithState``) holds
-  samples until ``n`` have arrived, then emits the group with its GRPO
-  advantages; a group idle for ``timeout`` is emitted as incomplete.
-- T2 ``accumulate_kept_groups``: ``foreachBatch`` appends groups with reward
-  variance to a table and reports the running count against the target.
-- T3 ``release_minibatches``: ``foreachBatch`` assigns ready groups to
-  minibatches of ``m`` groups, numbered after the ones already released.
+  samples until ``n`` have arrived, then emits exactly ``n`` as a group with
+  its GRPO advantages and keeps the rest; :func:`waiting_samples` reads the
+  samples that still wait.
+- T2 ``accumulate_kept_groups``: whole groups with reward variance are appended
+  until the target number of groups is reached.
+- T3 ``release_minibatches``: whole groups wait until ``m`` of them fill a
+  minibatch, numbered after the ones already released.
 - T4 ``route_stale``: current step read per micro-batch, two sinks.
-- T5 ``shuffled_batches``: per micro-batch seeded order, fixed batches, drop_last.
+- T5 ``shuffled_batches``: rows in seeded order per micro-batch fill fixed
+  batches, numbered on; only the incomplete batch at the end stays pending.
 - T6 ``rolling_metrics``: streaming ``groupBy(step, source)`` aggregate.
 """
 
@@ -58,115 +62,177 @@ def write_epoch(df: DataFrame, path: str, epoch_id: int) -> None:
 
 # ----------------------------------------------------------------- T1
 
-GROUP_OUT = "uid long, sample_key string, reward double, advantage double, n_in_group long, complete boolean"
-GROUP_STATE = "keys array<string>, rewards array<double>"
+GROUP_OUT = "uid long, group_no long, sample_key string, reward double, advantage double, n_in_group long, complete boolean"
+GROUP_STATE = "keys array<string>, rewards array<double>, released long"
 
 
 def _group_fn(n: int, eps: float, timeout_ms: int | None):
     import numpy as np
     import pandas as pd
 
+    def emit(uid, number, keys, rewards, complete):
+        r = np.asarray(rewards, dtype=float)
+        adv = r / (1.0 + eps) if len(r) == 1 else (r - r.mean()) / (r.std(ddof=1) + eps)
+        return pd.DataFrame({"uid": uid, "group_no": number, "sample_key": keys, "reward": r, "advantage": adv,
+                             "n_in_group": len(r), "complete": complete})
+
     def fn(key, pdfs, state):
         uid = key[0]
+        keys, rewards, released = (list(state.get[0]), list(state.get[1]), int(state.get[2])) if state.exists else ([], [], 0)
         if state.hasTimedOut:
-            keys, rewards = state.get
             state.remove()
-            yield _emit(uid, list(keys), list(rewards), False)
+            if keys:
+                yield emit(uid, released, keys, rewards, False)
             return
-        keys, rewards = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
-        for pdf in pdfs:
-            keys.extend(pdf["sample_key"].tolist())
-            rewards.extend(pdf["reward"].astype(float).tolist())
-        if len(keys) >= n:
-            state.remove()
-            yield _emit(uid, keys, rewards, True)
-        else:
-            state.update((keys, rewards))
-            if timeout_ms is not None:
-                state.setTimeoutDuration(timeout_ms)
+        came = pd.concat(list(pdfs)).sort_values("sample_key", kind="stable")  # one order whatever the tasks
+        keys += came["sample_key"].tolist()
+        rewards += came["reward"].astype(float).tolist()
+        while len(keys) >= n:
+            yield emit(uid, released, keys[:n], rewards[:n], True)
+            keys, rewards, released = keys[n:], rewards[n:], released + 1
+        state.update((keys, rewards, released))
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
 
-    def _emit(uid, keys, rewards, complete):
-        r = np.asarray(rewards, dtype=float)
-        if len(r) == 1:
-            adv = r / (1.0 + eps)
-        else:
-            adv = (r - r.mean()) / (r.std(ddof=1) + eps)
-        return pd.DataFrame({"uid": uid, "sample_key": keys, "reward": r, "advantage": adv,
-                             "n_in_group": len(r), "complete": complete})
     return fn
 
 
 def complete_groups(stream: DataFrame, n: int, eps: float = 1e-6, timeout_ms: int | None = 10 * 60 * 1000) -> DataFrame:
-    """Emit a uid's samples once ``n`` have arrived, with GRPO advantages
-    computed inside the (bounded) group. State per uid holds fewer than n
-    samples. With ``timeout_ms`` an incomplete group idle that long is emitted
-    as incomplete; that needs a continuously running query, because a
-    processing-time timeout makes Spark schedule a batch after every batch.
-    A run that drains its source (``availableNow``) passes ``None``."""
+    """Emit a uid's samples ``n`` at a time as they arrive, with GRPO
+    advantages computed inside the group. State per uid holds fewer than n
+    samples and the number of groups released. With ``timeout_ms`` an incomplete
+    group idle that long is emitted as incomplete; that needs a continuously
+    running query, because a processing-time timeout makes Spark schedule a
+    batch after every batch. A run that drains its source (``availableNow``)
+    passes ``None`` and reads what is left with :func:`waiting_samples`."""
     timeout = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return stream.select("uid", "sample_key", "reward").groupBy("uid").applyInPandasWithState(
         _group_fn(n, eps, timeout_ms), GROUP_OUT, GROUP_STATE, "append", timeout)
 
 
+def waiting_samples(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(uid, sample_key, reward) of the samples that wait in T1's state, read from the query's checkpoint."""
+    state = spark.read.format("statestore").load(checkpoint)
+    g = F.col("value.groupState")
+    return state.select(F.col("key").getField(state.schema["key"].dataType.names[0]).alias("uid"),
+                        F.explode(F.arrays_zip(g["keys"].alias("k"), g["rewards"].alias("r"))).alias("z")) \
+        .select("uid", F.col("z")["k"].alias("sample_key"), F.col("z")["r"].alias("reward"))
+
+
 # ----------------------------------------------------------------- T2 / T3 / T4 / T5
 
+def read_epochs(spark: SparkSession, path: str, condition, schema) -> DataFrame:
+    """Rows of the epochs of a sink that meet ``condition``; empty if nothing was written yet.
+
+    Only a missing folder counts as "not yet"; any other failure to read surfaces."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(path).filter(condition)
+
+
+def pending(spark: SparkSession, out_path: str) -> DataFrame | None:
+    """The rows that the last micro-batch carried over; None before the first."""
+    path = out_path.rstrip("/") + "_pending"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return None
+    epoch = spark.read.parquet(out_path.rstrip("/") + "_status").agg(F.max("epoch")).first()[0]
+    return spark.read.parquet(path).filter(F.col("epoch") == epoch).drop("epoch")
+
+
+def _carried(batch: DataFrame, out_path: str, epoch_id: int, extra: str = "") -> DataFrame:
+    """The rows that the micro-batch before ``epoch_id`` carried over (columns of ``batch`` and ``extra``)."""
+    from pyspark.sql.types import StructType
+    fields = [*batch.schema.fields, *(StructType.fromDDL(extra).fields if extra else [])]
+    schema = StructType(fields).add("epoch", "long")
+    return read_epochs(batch.sparkSession, out_path.rstrip("/") + "_pending", F.col("epoch") == epoch_id - 1, schema).drop("epoch")
+
+
+def _status(spark: SparkSession, out_path: str, epoch_id: int, schema: str) -> dict:
+    """The status row of the last epoch before ``epoch_id``, or an empty dict."""
+    rows = read_epochs(spark, out_path.rstrip("/") + "_status", F.col("epoch") < epoch_id, schema + ", epoch long") \
+        .orderBy(F.desc("epoch")).limit(1).collect()
+    return rows[0].asDict() if rows else {}
+
+
+def _whole_groups(rows: DataFrame, group: str, size) -> tuple[DataFrame, DataFrame]:
+    """(rows of groups that have all their samples, rows of the others); ``size`` is a number or the name
+    of a column with the group's size. Null groups count as one group."""
+    want = F.lit(size) if isinstance(size, int) else F.max(size)
+    state = rows.groupBy(group).agg((F.count(F.lit(1)) >= want).alias("_whole")).withColumnRenamed(group, "_g")
+    j = rows.join(state, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    return j.filter("_whole").drop("_whole"), j.filter("not _whole").drop("_whole")
+
+
 def accumulate_kept_groups(stream: DataFrame, out_path: str, target_groups: int, group="uid", score="reward",
-                           n_samples_per_prompt: int = 2, max_sample_batches: int = 0):
-    """Per micro-batch keep groups with reward variance (whole groups
-    arrive together, as generation returns them) and append them to
-    ``out_path``. A one-row-per-batch status table next to it
-    (``<out_path>_status``: epoch, kept_groups running total, keep_sampling)
-    records progress against ``target_groups``. As in the reference, hitting
-    ``max_sample_batches`` (> 0) while still short of the target raises.
-    Returns the foreachBatch function."""
+                           n_samples_per_prompt: int = 2, max_sample_batches: int = 0, group_size=None):
+    """Keep groups with reward variance and append them to ``out_path``
+    until ``target_groups`` groups are kept; further ones are not written.
+
+    ``group_size`` (a number or a column name) tells when a group has all its
+    samples; until then its rows are carried over, so a group split over
+    micro-batches is judged once, as a whole. Without it the groups of a
+    micro-batch are taken as whole, as generation returns them. Groups of one
+    micro-batch are taken in the order of their key. A one-row-per-batch status
+    table (``<out_path>_status``: kept_groups running total, keep_sampling)
+    records progress. Hitting ``max_sample_batches`` (> 0) while still short of
+    the target raises. Returns the foreachBatch function."""
     from rollspark.operators.select import dynamic_filter
-    status_path = out_path.rstrip("/") + "_status"
+    status_schema = "kept_groups long, keep_sampling boolean"
 
     def fn(batch: DataFrame, epoch_id: int):
         spark = batch.sparkSession
-        kept = dynamic_filter(batch, group, score, n_samples_per_prompt=n_samples_per_prompt)
-        write_epoch(kept, out_path, epoch_id)
-        new_groups = spark.read.parquet(out_path).filter(F.col("epoch") == epoch_id) \
-            .select(group).distinct().count()
-        try:
-            before = spark.read.parquet(status_path).filter(F.col("epoch") < epoch_id) \
-                .agg(F.max("kept_groups")).first()[0] or 0
-        except Exception:  # first batch: no status yet
-            before = 0
-        total = int(before) + int(new_groups)
+        before = int(_status(spark, out_path, epoch_id, status_schema).get("kept_groups", 0))
+        rows, rest = batch, None
+        if group_size is not None:
+            rows, rest = _whole_groups(batch.unionByName(_carried(batch, out_path, epoch_id)), group, group_size)
+        kept = dynamic_filter(rows, group, score, n_samples_per_prompt=n_samples_per_prompt)
+        # an ordered top-k whose limit is the number of groups still wanted
+        taken = kept.select(F.col(group).alias("_t")).distinct().orderBy(F.col("_t")).limit(max(0, target_groups - before))
+        write_epoch(kept.join(taken, F.col(group).eqNullSafe(F.col("_t"))).drop("_t"), out_path, epoch_id)
+        if rest is not None:
+            write_epoch(rest, out_path.rstrip("/") + "_pending", epoch_id)
+        from pyspark.sql.types import StructType
+        written = read_epochs(spark, out_path, F.col("epoch") == epoch_id, StructType(list(kept.schema.fields)).add("epoch", "long"))
+        new_groups = written.select(group).distinct().count()
+        total = before + int(new_groups)
         keep_sampling = total < target_groups
-        write_epoch(spark.createDataFrame([(total, keep_sampling)], "kept_groups long, keep_sampling boolean"),
-                    status_path, epoch_id)
+        write_epoch(spark.createDataFrame([(total, keep_sampling)], status_schema), out_path.rstrip("/") + "_status", epoch_id)
         if keep_sampling and max_sample_batches > 0 and epoch_id + 1 >= max_sample_batches:
-            raise RuntimeError(f"dynamic sampling limit of {max_sample_batches} sample batches reached with "
-                               f"{total} of {target_groups} groups kept")
+            raise RuntimeError(f"{total} groups kept after {max_sample_batches} sample batches; {target_groups} are wanted")
     return fn
 
 
-def release_minibatches(stream: DataFrame, out_path: str, groups_per_minibatch: int, group="uid", seed: int = 0):
-    """Assign the groups of each micro-batch to minibatches of
-    ``groups_per_minibatch`` groups in seeded order; numbering continues after
-    the minibatches released by earlier micro-batches, read from a counter
-    table (``<out_path>_counter``, one row per micro-batch). A replayed
-    micro-batch reads only the counters of earlier epochs."""
-    from rollspark.plans.batching import seeded_order
+def release_minibatches(stream: DataFrame, out_path: str, groups_per_minibatch: int, group="uid", seed: int = 0, group_size=None):
+    """Release minibatches of exactly ``groups_per_minibatch`` whole groups.
 
-    counter_path = out_path.rstrip("/") + "_counter"
+    Groups become ready when they have ``group_size`` samples (a number or a
+    column name; without it a micro-batch's groups are whole), wait in the order
+    in which they became ready, seeded within a micro-batch, and are released
+    when they fill a minibatch. Rows of waiting groups are carried over; the
+    next minibatch number is kept in ``<out_path>_status``. A replayed
+    micro-batch reads only earlier epochs."""
+    from rollspark.plans.batching import seeded_order
+    status_schema = "next_minibatch long"
 
     def fn(batch: DataFrame, epoch_id: int):
         spark = batch.sparkSession
-        try:  # one small row per micro-batch: the next minibatch number
-            base = spark.read.parquet(counter_path).filter(F.col("epoch") < epoch_id) \
-                .agg(F.max("next_minibatch")).first()[0] or 0
-        except Exception:  # first batch: nothing released yet
-            base = 0
-        groups = seeded_order(batch.select(group).distinct(), group, seed)
-        mb = groups.withColumn("minibatch", (F.lit(base) + F.floor(F.col("idx") / groups_per_minibatch))
-                               .cast("bigint")).drop("idx")
-        write_epoch(batch.join(mb, group), out_path, epoch_id)
-        released = spark.read.parquet(out_path).filter(F.col("epoch") == epoch_id).agg(F.max("minibatch")).first()[0]
-        nxt = base if released is None else int(released) + 1
-        write_epoch(spark.createDataFrame([(nxt,)], "next_minibatch long"), counter_path, epoch_id)
+        base = int(_status(spark, out_path, epoch_id, status_schema).get("next_minibatch", 0))
+        carried = _carried(batch, out_path, epoch_id, "_place long")  # a place in the queue once the group is ready
+        queued = carried.filter("_place is not null")
+        fresh = carried.filter("_place is null").drop("_place").unionByName(batch)
+        whole, rest = (fresh, fresh.limit(0)) if group_size is None else _whole_groups(fresh, group, group_size)
+        waiting = queued.agg(F.max("_place")).first()[0]
+        first = 0 if waiting is None else int(waiting) + 1
+        order = seeded_order(whole.select(group).distinct(), group, seed).select(F.col(group).alias("_g"), (F.col("idx") + first).alias("_place"))
+        ready = queued.unionByName(whole.join(order, F.col(group).eqNullSafe(F.col("_g"))).drop("_g"))
+        released = (first + order.count()) // groups_per_minibatch
+        mb = F.floor(F.col("_place") / groups_per_minibatch)
+        write_epoch(ready.filter(mb < released).withColumn("minibatch", (F.lit(base) + mb).cast("bigint")).drop("_place"), out_path, epoch_id)
+        left = ready.filter(mb >= released).withColumn("_place", F.col("_place") - released * groups_per_minibatch)
+        write_epoch(left.unionByName(rest.withColumn("_place", F.lit(None).cast("long"))), out_path.rstrip("/") + "_pending", epoch_id)
+        write_epoch(spark.createDataFrame([(base + released,)], status_schema), out_path.rstrip("/") + "_status", epoch_id)
     return fn
 
 
@@ -185,13 +251,24 @@ def route_stale(stream: DataFrame, current_step: DataFrame, kept_path: str, requ
 
 
 def shuffled_batches(stream: DataFrame, out_path: str, batch_size: int, key, seed: int = 0):
-    """T5: per micro-batch seeded shuffle into fixed batches; the incomplete
-    last batch of a micro-batch is dropped (drop_last)."""
-    from rollspark.plans.batching import batch_index
+    """T5: rows in seeded order within their micro-batch, after the rows carried
+    over, fill batches of ``batch_size``, numbered on over micro-batches. The
+    rows of the incomplete batch are carried over; those left when the stream
+    ends are the one batch that ``drop_last`` drops (:func:`pending`)."""
+    from rollspark.plans.batching import seeded_order
+    status_schema = "next_batch long"
 
     def fn(batch: DataFrame, epoch_id: int):
-        b = batch_index(batch, key, batch_size, seed, drop_last=True)
-        write_epoch(b, out_path, epoch_id)
+        spark = batch.sparkSession
+        base = int(_status(spark, out_path, epoch_id, status_schema).get("next_batch", 0))
+        carried = _carried(batch, out_path, epoch_id, "_place long")
+        first = carried.count()  # fewer than batch_size
+        rows = carried.unionByName(seeded_order(batch, key, seed).withColumn("_place", F.col("idx") + first).drop("idx"))
+        full = (first + batch.count()) // batch_size
+        b = F.floor(F.col("_place") / batch_size)
+        write_epoch(rows.filter(b < full).withColumn("batch_id", (F.lit(base) + b).cast("bigint")).drop("_place"), out_path, epoch_id)
+        write_epoch(rows.filter(b >= full).withColumn("_place", F.col("_place") - full * batch_size), out_path.rstrip("/") + "_pending", epoch_id)
+        write_epoch(spark.createDataFrame([(base + full,)], status_schema), out_path.rstrip("/") + "_status", epoch_id)
     return fn
 
 

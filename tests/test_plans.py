@@ -24,3 +24,10 @@ def test_no_nested_loop_joins(spark, sf_dir):
               "kl_base_advantages", "tag_metrics", "agent_run_summary"]:
         p = _plan(qs[n](spark, sf_dir))
         assert "NestedLoopJoin" not in p and "CartesianProduct" not in p, n
+
+
+def test_indexes_keep_null_groups_and_null_hashes(spark):
+    from rollspark.plans.index import hashed_index
+    rows = [(None, "ab"), (None, "cd"), (1, "ab"), (1, None)]
+    got = hashed_index(spark.createDataFrame(rows, "g long, h string"), "h", partition_by=["g"]).collect()
+    assert sorted((r["g"] or 0, r["idx"]) for r in got) == [(0, 0), (0, 1), (1, 0), (1, 1)]

@@ -42,7 +42,7 @@ def test_stream_kept_groups_raises_at_batch_limit(spark, sf_dir):
     from rollspark.streaming import rollouts as ST
     rs, _ = _rollout_stream(spark, sf_dir)
     out = ST.stream_path(spark, "kept_limit") + "/data"
-    with pytest.raises(Exception, match="dynamic sampling limit"):
+    with pytest.raises(Exception, match="groups kept after 1 sample batches"):
         _fb(spark, "kept_limit", rs, ST.accumulate_kept_groups(rs, out, 10 ** 9, max_sample_batches=1))
     status = spark.read.parquet(out + "_status").collect()
     assert len(status) == 1 and status[0].keep_sampling
