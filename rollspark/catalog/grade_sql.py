@@ -86,10 +86,12 @@ def q_fmt(spark, d):
 
 @query("sql_format_strict", with_views("""
 SELECT question_id,
-       CASE WHEN len(string_split(completion, '<solution>')) = 2 AND len(string_split(completion, '</solution>')) = 2
+       CASE WHEN len(string_split(completion, '<solution>')) = 2
+             AND len(string_split(string_split(completion, '<solution>')[2], '</solution>')) = 2
+             AND NOT regexp_matches(string_split(string_split(completion, '<solution>')[2], '</solution>')[1], '(?i)</?(think|sql|observation)\\b')
              AND regexp_matches(completion, '(?s)<think>.*?</think>')
-             AND NOT regexp_matches(regexp_replace(completion, '</observation>\\s*<think>', '', 'g'), '</observation>')
-            THEN regexp_replace(regexp_extract(completion, '(?s)<solution>(.*?)</solution>', 1), '^\\s+|\\s+$', '', 'g') END AS pred_sql
+             AND NOT regexp_matches(regexp_replace(string_split(completion, '<solution>')[1], '(?i)</observation>\\s*<think>', '', 'g'), '(?i)</observation>')
+            THEN regexp_replace(string_split(string_split(completion, '<solution>')[2], '</solution>')[1], '^\\s+|\\s+$', '', 'g') END AS pred_sql
 FROM sql_questions""", "sql_questions"))
 def q_fmt_strict(spark, d):
     return sql_questions(spark, d).select("question_id", G.solution_format_strict("completion").alias("pred_sql"))
@@ -118,11 +120,11 @@ def q_non_empty(spark, d):
 
 
 @query("stop_tag_check", with_views("""
-SELECT question_id, suffix(rtrim(completion), '</sql>') OR suffix(rtrim(completion), '</solution>')
-       OR suffix(rtrim(completion), '</search>') OR suffix(rtrim(completion), '</answer>') AS ends_with_stop
+SELECT question_id, (NOT contains(completion, '</sql>') OR strpos(completion, '</sql>') + 5 = length(completion))
+       AND (NOT contains(completion, '</solution>') OR strpos(completion, '</solution>') + 10 = length(completion)) AS valid_action
 FROM sql_questions""", "sql_questions"))
 def q_stop_tag(spark, d):
-    return sql_questions(spark, d).select("question_id", G.ends_with_stop_tag("completion").alias("ends_with_stop"))
+    return sql_questions(spark, d).select("question_id", G.stops_at_tag("completion").alias("valid_action"))
 
 
 @query("sql_result_preview", with_views(f"""

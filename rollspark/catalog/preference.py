@@ -129,17 +129,17 @@ WITH c AS (SELECT conv_id, count(*) AS n, arg_max(role, turn) AS last_role FROM
 SELECT conv_id, (CASE WHEN substr(md5(CAST(conv_id AS VARCHAR)), 1, 1) < '8' THEN 'A'
                       WHEN substr(md5(CAST(conv_id AS VARCHAR)), 1, 1) < 'c' THEN 'B' ELSE 'Tie' END) IN ('A', 'B')
                 AND n >= 2 AND last_role = 'assistant' AS usable,
-       n >= 2 AS valid_pair
+       substr(md5(CAST(conv_id AS VARCHAR)), 1, 1) >= '4' AS valid_pair
 FROM c""")
 def q_usable(spark, d):
     c = table(spark, d, "conversations")
     conv = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
     code = F.substring(F.md5(F.col("conv_id").cast("string")), 1, 1)
     winner = F.when(code < "8", "A").when(code < "c", "B").otherwise("Tie")
-    # a rejected copy that differs in its last message only
-    rejected = F.concat(F.slice("m", 1, F.size("m") - 1),
+    # a rejected copy that differs in its last message only, or (a quarter) not at all
+    rejected = F.when(code < "4", F.col("m")).otherwise(F.concat(F.slice("m", 1, F.size("m") - 1),
                         F.array(F.struct(F.lit(-1).cast("bigint").alias("turn"), F.lit("assistant").alias("role"),
-                                         F.lit("(rejected)").alias("text"))))
+                                         F.lit("(rejected)").alias("text")))))
     return conv.select("conv_id", P.usable_comparison("m", winner).alias("usable"),
                        P.valid_pair("m", rejected).alias("valid_pair"))
 

@@ -1,9 +1,10 @@
 """Group and sequence advantage estimators over rollout tables.
 
 Group statistics are a partial aggregation on the group key joined back to the
-rows (never a window over the group), so a hot group is pre-aggregated map-side
-and its join partition is split by AQE. Batch-wide statistics are a one-row
-aggregate cross-joined back (one row: a proven broadcast bound).
+rows (never a window over the group), so a hot group is pre-aggregated map-side.
+The join itself still sends a group's rows to one partition where the statistics
+are too large to broadcast. Batch-wide statistics are a one-row aggregate
+attached as scalars.
 """
 
 from __future__ import annotations
@@ -32,7 +33,11 @@ def group_stats(df: DataFrame, group="uid", score="reward") -> DataFrame:
 
 def with_group_stats(df: DataFrame, group="uid", score="reward") -> DataFrame:
     g = [group] if isinstance(group, str) else list(group)
-    return df.join(group_stats(df, g, score), g, "inner")
+    stats = group_stats(df, g, score).withColumnsRenamed({c: f"_g{i}" for i, c in enumerate(g)})
+    same = F.lit(True)
+    for i, c in enumerate(g):  # a null key is a group like any other
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return df.join(stats, same, "inner").drop(*[f"_g{i}" for i in range(len(g))])
 
 
 def _finish(df: DataFrame, adv: Column, out: str, mask) -> DataFrame:

@@ -134,22 +134,28 @@ def solution_format(text) -> Column:
 
 
 def solution_format_strict(text) -> Column:
-    """Strict format (F11): exactly one <solution>...</solution>, at least one
-    <think> block, and every </observation> followed (after blanks) by <think>.
-    Returns the stripped SQL or NULL."""
+    """Strict format (F11): exactly one '<solution>', after it exactly one
+    '</solution>', no think / sql / observation tag inside, at least one think
+    block, and before the solution every '</observation>' followed (after
+    blanks) by '<think>'. Returns the stripped SQL or NULL."""
     t = col(text)
-    n_sol = F.regexp_count(t, F.lit("<solution>"))
-    n_end = F.regexp_count(t, F.lit("</solution>"))
-    has_think = t.rlike(r"(?s)<think>.*?</think>")
-    obs_ok = ~t.rlike(r"(?is)</observation>(?!\s*<think>)")
-    sol = F.regexp_extract(t, r"(?s)<solution>(.*?)</solution>", 1)
-    return F.when((n_sol == 1) & (n_end == 1) & has_think & obs_ok, pystrip(sol))
-
-
-def ends_with_stop_tag(text, tags=("</sql>", "</solution>", "</search>", "</answer>")) -> Column:
-    """Action text stops at one of the stop tags."""
-    t = F.rtrim(col(text))
-    return F.exists(F.array(*[F.lit(x) for x in tags]), lambda s: t.endswith(s))
+    before, tail = F.substring_index(t, SOLUTION_START, 1), F.substring_index(t, SOLUTION_START, -1)
+    sol = F.substring_index(tail, SOLUTION_END, 1)
+    ok = (F.regexp_count(t, F.lit(SOLUTION_START)) == 1) & (F.regexp_count(tail, F.lit(SOLUTION_END)) == 1) \
+        & ~sol.rlike(r"(?i)</?(think|sql|observation)\b") & t.rlike(r"(?s)<think>.*?</think>") \
+        & ~before.rlike(r"(?is)</observation>(?!\s*<think>)")
+    return F.when(ok, pystrip(sol))
+
+
+def stops_at_tag(text, tags=("</sql>", "</solution>")) -> Column:
+    """Action text is valid (F15): where one of the stop tags occurs, nothing
+    follows its first occurrence. Text without a tag is valid."""
+    t = col(text)
+    ok = F.lit(True)
+    for tag in tags:
+        at = F.instr(t, tag)
+        ok = ok & ((at == 0) | (F.length(t) == at + len(tag) - 1))
+    return ok
 
 
 def sql_reward(graded: DataFrame, completions: DataFrame, status: DataFrame, text="completion") -> DataFrame:

@@ -110,10 +110,11 @@ def comparison_conversation(prompt_conv, completion_a, completion_b, label=None)
 
 
 def valid_pair(chosen, rejected) -> Column:
-    """same length and identical except the last turn."""
+    """same length, identical up to the last turn, and a different last turn."""
     c, r = col(chosen), col(rejected)
     n = F.size(c)
-    return (n == F.size(r)) & (n >= 1) & (F.slice(c, 1, n - 1) == F.slice(r, 1, n - 1))
+    before = lambda x: F.slice(x, F.lit(1), F.greatest(n - 1, F.lit(0)))
+    return (n == F.size(r)) & (n >= 1) & (before(c) == before(r)) & ~F.try_element_at(c, F.lit(-1)).eqNullSafe(F.try_element_at(r, F.lit(-1)))
 
 
 def usable_comparison(messages, winner) -> Column:

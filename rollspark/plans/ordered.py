@@ -13,6 +13,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which null keys are equal, so no row is lost."""
+    names = {k: f"_nk{i}" for i, k in enumerate(keys)}
+    same = F.lit(True)
+    for k, n in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return left.join(right.withColumnsRenamed(names), same).drop(*names.values())
+
+
 def ordered_index(df: DataFrame, order_col: str, partition_by=(), bucket_size: int = 4096,
                   name: str = "pos") -> DataFrame:
     """0-based position of each row inside ``partition_by`` by ascending
@@ -22,7 +31,7 @@ def ordered_index(df: DataFrame, order_col: str, partition_by=(), bucket_size: i
     counts = d.groupBy(*parts, "_ob").agg(F.count(F.lit(1)).alias("_on"))
     w = Window.partitionBy(*parts).orderBy("_ob").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(*parts, "_ob", F.coalesce(F.sum("_on").over(w), F.lit(0)).alias("_ooff"))
-    d = d.join(offs, [*parts, "_ob"])
+    d = _join_null_safe(d, offs, [*parts, "_ob"])
     w2 = Window.partitionBy(*parts, "_ob").orderBy(order_col)
     return d.withColumn(name, (F.col("_ooff") + F.row_number().over(w2) - 1).cast("bigint")).drop("_ob", "_ooff")
 
@@ -37,7 +46,7 @@ def ordered_cumsum(df: DataFrame, order_col: str, value_col: str, partition_by=(
     sums = d.groupBy(*parts, "_cb").agg(F.sum(value_col).alias("_cs"))
     w = Window.partitionBy(*parts).orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
     offs = sums.select(*parts, "_cb", F.coalesce(F.sum("_cs").over(w), F.lit(0)).alias("_coff"))
-    d = d.join(offs, [*parts, "_cb"])
+    d = _join_null_safe(d, offs, [*parts, "_cb"])
     w2 = Window.partitionBy(*parts, "_cb").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     return d.withColumn(name, F.col("_coff") + F.sum(value_col).over(w2)).drop("_cb", "_coff")
 
