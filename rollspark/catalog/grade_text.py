@@ -88,29 +88,6 @@ def _mathd_oracle() -> str:
 SELECT response_id, n_norm AS normalized FROM nn""", "responses")
 
 
-def _math_grade_oracle() -> str:
-    return with_views(_BOXED_CTES + f"""
-, nn AS (SELECT response_id, gold, answer, {mathd_sql("answer", "g")}, {mathd_sql("gold", "t")} FROM bx)
-SELECT response_id, answer AS model_answer,
-       coalesce(answer IS NOT NULL AND (coalesce(g_norm = t_norm, false) OR coalesce(
-           try_cast(g_norm AS DOUBLE) = try_cast(t_norm AS DOUBLE)
-           AND regexp_full_match(g_norm, '-?[0-9]+') = regexp_full_match(t_norm, '-?[0-9]+'), false)), false)
-         AS is_correct
-FROM nn""", "responses")
-
-
-@query("mathd_normalize", _mathd_oracle())
-def q_mathd(spark, d):
-    ans = T.boxed_answer(T.after_think("response"))
-    return responses(spark, d).select("response_id", T.mathd_normalize(ans).alias("normalized"))
-
-
-@query("math_answer_grade", _math_grade_oracle())
-def q_math_grade(spark, d):
-    df = responses(spark, d).withColumn("ground_truths", F.array("gold"))
-    return GT.grade_math(df).select("response_id", "model_answer", "is_correct")
-
-
 @query("gsm8k_strict_score", with_views("""
 , a AS (SELECT response_id, gold,
               CASE WHEN regexp_matches(response, '#### (-?[0-9.,]+)')

@@ -96,21 +96,19 @@ def mathd_normalize(answer) -> Column:
     return F.when(units_error | sqrt_error, a).otherwise(s)
 
 
-def normalized_equal(g, t) -> Column:
-    """C5 on already normalised answers: equal text, or equal as numbers when
-    both parse as numbers (integers must match exactly)."""
-    g, t = col(g), col(t)
-    gn, tn = g.try_cast("double"), t.try_cast("double")
-    return F.coalesce(g == t, F.lit(False)) | F.coalesce(
-        (gn == tn) & (g.rlike("^-?[0-9]+$") == t.rlike("^-?[0-9]+$")), F.lit(False))
-
-
-def answers_equal(given, truth) -> Column:
-    """C5 without a symbolic solver: equal after C3, or equal as numbers when
-    both parse as numbers (integers must match exactly). Each side is
-    normalised once (bound in a one-element array), not once per use."""
-    pair = F.array(F.struct(mathd_normalize(given).alias("g"), mathd_normalize(truth).alias("t")))
-    return F.transform(pair, lambda x: normalized_equal(x["g"], x["t"])).getItem(0)
+def answers_equal(given, truths) -> Column:
+    """C5 without a symbolic solver: the given answer equals one of the array
+    ``truths`` after the light normalisation (C3), or by :func:`heavy_equal`
+    after the heavy one (C4). The heavy side is evaluated only where the light
+    one finds no match; each answer is normalised once. Null or empty truths
+    match nothing."""
+    g, ts = col(given), F.filter(col(truths), lambda t: t.isNotNull() & (t != ""))
+    light = _let(F.struct(mathd_normalize(g).alias("g"), F.transform(ts, mathd_normalize).alias("ts")),
+                 lambda p: F.exists(p["ts"], lambda t: t == p["g"]))
+    heavy = _let(F.struct(heavy_normalize_all(F.array(g)).alias("g"), heavy_normalize_all(ts).alias("ts")),
+                 lambda p: F.exists(p["ts"], lambda t: heavy_equal(p["g"].getItem(0), t)))
+    return F.when(g.isNull(), F.lit(False)).otherwise(
+        F.coalesce(light, F.lit(False)) | F.coalesce(heavy, F.lit(False)))
 
 
 # ---------------------------------------------------------------- GSM8K
@@ -305,42 +303,150 @@ HEAVY_UNITS = ("degree", "cm", "centimeter", "meter", "mile", "second", "minute"
                "year", "foot", "feet", "inch", "yard")
 
 
-def heavy_normalize(df, answer: str, out: str = "answer_norm"):
-    """C4: unwrap a leading \\text{...}, drop %/$ signs, 'or'/'and' -> ',',
-    million/billion/trillion -> *10^k, unit words, degree signs, one pair of
-    enclosing braces and ',\\!'; integral floats become integers; mixed
-    numbers '7 3/4' -> '7+3/4'; spaces and braces dropped; lower case;
-    integers with thousands separators are rewritten without them.
-    The LaTeX-to-text step of the reference (an external parser) is not
-    reproduced: strings with a backslash keep their TeX.
-
-    Each step is its own projection of ``out`` (steps read the previous value
-    several times; one nested expression would grow exponentially)."""
-    def step(d, e):
-        return d.withColumn(out, e)
-    x = F.col(out)
-    d = df.withColumn(out, col(answer))
-    d = step(d, F.when(x.rlike(r"^\\text\{.+?\}"), F.regexp_extract(x, r"^\\text\{(.+?)\}", 1)).otherwise(x))
+# Plain replacements of the heavy normalisation, in order.
+HEAVY_REPLACED = (("\\%", "%"), ("\\$", "$"), ("$", ""), ("%", ""), (" or ", " , "), (" and ", " , "),
+                  ("million", "*10^6"), ("billion", "*10^9"), ("trillion", "*10^12"))
+# Powers that keep an answer from being compared by value.
+UNSAFE_POWERS = r"\^\{|\^\(|\^[0-9]+\^|\^[0-9][0-9]+"
+
+_NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
+
+
+def _let(value, fn) -> Column:
+    """``fn`` of a value computed once, however often ``fn`` names it."""
+    return F.transform(F.array(value), fn).getItem(0)
+
+
+def _as_float(x) -> Column:
+    """The number a text spells (Spark's own cast would also take '5d'), or NULL."""
+    return F.when(x.rlike(rf"^\s*{_NUMBER}\s*$"), F.trim(x).try_cast("double"))
+
+
+def _is_whole(f) -> Column:
+    return F.coalesce((F.abs(f) < float("inf")) & (F.abs(f - F.rint(f)) <= 1e-7), F.lit(False))
+
+
+def _whole_text(f) -> Column:
+    """All digits of a whole double: up to 2^62 as BIGINT, up to 2^122 from two
+    exact halves as DECIMAL, from there on 17 significant digits and zeros."""
+    half = float(2 ** 60)
+    a = F.abs(f)
+    hi = F.floor(a / half)
+    wide = hi.cast("decimal(19,0)") * F.lit(2 ** 60).cast("decimal(19,0)") \
+        + (a - hi.cast("double") * half).cast("bigint").cast("decimal(19,0)")
+    return F.when(a < float(2 ** 62), f.cast("bigint").cast("string")) \
+        .when(a < float(2 ** 122), F.concat(F.when(f < 0, "-").otherwise(""), wide.cast("decimal(38,0)").cast("string"))) \
+        .otherwise(F.format_string("%.0f", f))
+
+
+def strip_grouping_commas(x) -> Column:
+    """Drop commas between a digit and exactly three digits until nothing
+    changes. Two passes always suffice: a comma skipped by the first pass
+    directly follows a dropped one, and dropping commas only lengthens runs."""
+    for _ in range(2):
+        x = F.regexp_replace(x, r"(\d),(\d\d\d)($|\D)", "$1$2$3")
+    return x
+
+
+def _plain_words(x) -> Column:
+    for a, b in HEAVY_REPLACED:
+        x = _rep(x, a, b)
+    return x
+
+
+def _without_units(x) -> Column:
     e = x
-    for a, b in (("\\%", "%"), ("\\$", "$"), ("$", ""), ("%", ""), (" or ", " , "), (" and ", " , "),
-                 ("million", "*10^6"), ("billion", "*10^9"), ("trillion", "*10^12")):
-        e = _rep(e, a, b)
     for u in HEAVY_UNITS:
         e = F.regexp_replace(e, u + r"(es)?(s)? *(\^[0-9]+)?", "")
-    d = step(d, F.regexp_replace(e, r"\^ *\\circ", ""))
-    d = step(d, F.regexp_replace(F.when((F.length(x) > 0) & x.startswith("{") & x.endswith("}"),
-                                        F.substring(x, F.lit(2), F.length(x) - F.lit(2))).otherwise(x),
-                                 r",\\! *", ""))
-    d = d.withColumn("_f", x.try_cast("double"))
-    f = F.col("_f")
-    is_int = f.isNotNull() & ~F.isnan(f) & (F.abs(f) < 1e18) & (F.abs(f - F.round(f)) <= 1e-7)
-    d = step(d, F.when(is_int, F.round(f).cast("bigint").cast("string")).otherwise(x))
-    e = F.regexp_replace(F.regexp_replace(x, "- *", "-"), "([0-9]) +([0-9])", "$1+$2")
-    d = step(d, F.lower(_rep(_rep(_rep(e, " ", ""), "{", ""), "}", "")))
-    stripped = x
-    for _ in range(6):  # the reference loops to a fixed point; six passes cover 12 comma groups
-        stripped = F.regexp_replace(stripped, r"(\d)(,)(\d\d\d)($|\D)", "$1$3$4")
-    d = d.withColumn("_f", stripped.try_cast("double"))
-    str_int = f.isNotNull() & ~F.isnan(f) & (F.abs(f) < 1e18) & (F.abs(f - F.round(f)) <= 1e-7)
-    d = step(d, F.when(str_int, _rep(x, ",", "").try_cast("double").cast("bigint").cast("string")).otherwise(x))
-    return d.drop("_f")
+    return F.when(x.rlike("|".join(HEAVY_UNITS)), e).otherwise(x)
+
+
+def heavy_normalize_all(answers) -> Column:
+    """C4 for every answer of an array: unwrap a leading \\text{...}, drop %/$
+    signs, 'or'/'and' -> ',', million/billion/trillion -> *10^k, unit words,
+    degree signs, one pair of enclosing braces and ',\\!'; integral floats
+    become integers; mixed numbers '7 3/4' -> '7+3/4'; spaces and braces
+    dropped; lower case; integers with thousands separators are rewritten
+    without them. The LaTeX-to-text step of the reference (an external parser)
+    is not reproduced: strings with a backslash keep their TeX.
+
+    Each step is a pass of its own over the array (steps read the previous
+    value several times; one nested expression would grow exponentially)."""
+    def unwrapped(x):
+        return F.when(x.rlike(r"^\\text\{.+?\}"), F.regexp_extract(x, r"^\\text\{(.+?)\}", 1)).otherwise(x)
+
+    def unbraced(x):
+        inner = F.when((F.length(x) > 0) & x.startswith("{") & x.endswith("}"),
+                       F.substring(x, F.lit(2), F.length(x) - F.lit(2))).otherwise(x)
+        return F.regexp_replace(inner, r",\\! *", "")
+
+    def integral(x):
+        return _let(_as_float(x), lambda f: F.when(_is_whole(f), _whole_text(F.rint(f))).otherwise(x))
+
+    def squeezed(x):
+        e = F.regexp_replace(F.regexp_replace(x, "- *", "-"), "([0-9]) +([0-9])", "$1+$2")
+        return F.lower(_rep(_rep(_rep(e, " ", ""), "{", ""), "}", ""))
+
+    def ungrouped(x):
+        f = _as_float(_rep(x, ",", ""))
+        trunc = F.when(f < 0, F.ceil(f)).otherwise(F.floor(f))
+        return F.when(_is_whole(_as_float(strip_grouping_commas(x))),
+                      F.when(F.abs(f) < float(2 ** 62), trunc.cast("string")).otherwise(_whole_text(f))).otherwise(x)
+
+    a = col(answers)
+    for step in (unwrapped, _plain_words, _without_units, lambda x: F.regexp_replace(x, r"\^ *\\circ", ""),
+                 unbraced, integral, squeezed, ungrouped):
+        a = F.transform(a, step)
+    return a
+
+
+def heavy_normalize(df, answer: str, out: str = "answer_norm"):
+    """:func:`heavy_normalize_all` for a column of single answers."""
+    return df.withColumn(out, heavy_normalize_all(F.array(col(answer))).getItem(0))
+
+
+def answer_elements(x) -> Column:
+    """The members of a tuple or interval '(a, b]', else the whole text alone;
+    grouping commas are no separators."""
+    return _let(strip_grouping_commas(x), lambda s: F.when(
+        s.rlike(r"^[()\[\]][^()\[\]]+[()\[\]]$"),
+        F.transform(F.split(F.substring(s, F.lit(2), F.length(s) - F.lit(2)), ","), pystrip)).otherwise(F.array(s)))
+
+
+def literal_value(x) -> Column:
+    """The value of a literal as DOUBLE: a number, a fraction 'a/b', a mixed
+    number 'a+b/c' or 'n*10^k'; NULL for anything else."""
+    def part(pat, i):
+        return F.regexp_extract(x, pat, i).try_cast("double")
+    frac, mixed, power = r"^\(?(-?[0-9]+)/([0-9]+)\)?$", r"^([0-9]+)\+([0-9]+)/([0-9]+)$", rf"^({_NUMBER})\*10\^([0-9])$"
+    return F.when(x.rlike(rf"^{_NUMBER}$"), x.try_cast("double")) \
+        .when(x.rlike(frac), F.try_divide(part(frac, 1), part(frac, 2))) \
+        .when(x.rlike(mixed), part(mixed, 1) + F.try_divide(part(mixed, 2), part(mixed, 3))) \
+        .when(x.rlike(power), part(power, 1) * F.pow(F.lit(10.0), part(power, 2)))
+
+
+def heavy_equal(given, truth) -> Column:
+    """C5 on answers normalised by C4: equal text, or tuples of one bracket kind
+    and length whose members are all equal. Members that are both literal
+    fractions must be the same text; a whole number equals only a whole number;
+    otherwise equal text or equal literals count, unless the pair has more than
+    two different letters or an unsafe power."""
+    g, t = col(given), col(truth)
+
+    def member(p):
+        a, b = p["t"], p["g"]
+        frac = r"^-?[0-9]+.?/0*[1-9][0-9]*.?$"
+        both = F.concat(a, F.lit(")-("), b)
+        letters = F.array_distinct(F.regexp_extract_all(F.regexp_replace(both, "sqrt|frac", ""), F.lit(r"(\p{L})"), 1))
+        comparable = (F.size(letters) <= 2) & ~both.rlike(UNSAFE_POWERS)
+        return F.when(a.rlike(frac) & b.rlike(frac), a == b) \
+            .when(_is_whole(_as_float(a)) != _is_whole(_as_float(b)), F.lit(False)) \
+            .otherwise(comparable & ((a == b) | F.coalesce(literal_value(a) == literal_value(b), F.lit(False))))
+
+    def members(p):
+        same_brackets = (F.substring(g, 1, 1) == F.substring(t, 1, 1)) & (F.substring(g, -1, 1) == F.substring(t, -1, 1))
+        return (F.size(p["t"]) == F.size(p["g"])) & ((F.size(p["t"]) == 1) | same_brackets) \
+            & F.forall(F.arrays_zip(p["t"].alias("t"), p["g"].alias("g")), member)
+
+    return F.when(g == t, F.lit(True)).when((g == "") | (t == ""), F.lit(False)).otherwise(
+        _let(F.struct(answer_elements(t).alias("t"), answer_elements(g).alias("g")), members))

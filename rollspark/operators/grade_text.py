@@ -21,7 +21,7 @@ def as_answer_list(c):
 
 def grade_math(df: DataFrame, response="response", truths="ground_truths", noise_rate: float = 0.0,
                format_only: bool = False) -> DataFrame:
-    """Math grading (C1, C2, C3, C5, J5, V26): answer = last \\boxed{} after the
+    """Math grading (C1-C5, J5, V26): answer = last \\boxed{} after the
     first '</think>'; truths holding a \\boxed{} are reduced to its content;
     correct when any truth matches; reward is the PGFC value (1/0 without
     noise). Adds ``model_answer``, ``is_correct``, ``reward``, ``reason``."""
@@ -31,9 +31,7 @@ def grade_math(df: DataFrame, response="response", truths="ground_truths", noise
     d = d.withColumn("_golds", F.filter(F.transform(col(truths), lambda g: F.when(g.contains("\\boxed"),
                                                                                   T.boxed_answer(g)).otherwise(g)),
                                         lambda g: g.isNotNull()))
-    d = d.withColumn("_an", T.mathd_normalize("model_answer")) \
-        .withColumn("_gn", F.transform("_golds", lambda g: T.mathd_normalize(g)))
-    d = d.withColumn("_correct", F.exists("_gn", lambda g: T.normalized_equal(F.col("_an"), g)))
+    d = d.withColumn("_correct", T.answers_equal("model_answer", "_golds"))
     ans, correct = F.col("model_answer"), F.col("_correct")
     hit, miss = (noise_rate, noise_rate - 1.0) if noise_rate > 0 else (1.0, 0.0)
     empty = col(response).isNull() | (col(response) == "")
@@ -45,7 +43,7 @@ def grade_math(df: DataFrame, response="response", truths="ground_truths", noise
         .when(F.size("_golds") == 0, F.lit(False)).otherwise(correct)
     return d.withColumn("is_correct", ok) \
         .withColumn("reward", F.when(ok, F.lit(hit)).otherwise(F.lit(miss))).withColumn("reason", reason) \
-        .drop("_sol", "_golds", "_an", "_gn", "_correct")
+        .drop("_sol", "_golds", "_correct")
 
 
 def grade_gsm8k(df: DataFrame, response="response", truth="gold", method="strict",

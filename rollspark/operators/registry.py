@@ -79,7 +79,7 @@ def policy_losses(df: DataFrame, names, log_probs: str, old_log_probs: str, adva
 GRADERS = Registry("grader")
 """env_class -> fn(response column, truth column) -> score column (double)."""
 
-GRADERS.register("math", lambda r, t: F.when(T.answers_equal(T.boxed_answer(T.after_think(r)), t), 1.0).otherwise(0.0))
+GRADERS.register("math", lambda r, t: F.when(T.answers_equal(T.boxed_answer(T.after_think(r)), F.array(t)), 1.0).otherwise(0.0))
 GRADERS.register("gsm8k", lambda r, t: T.gsm8k_score(r, t))
 GRADERS.register("aime", lambda r, t: T.minerva_score(r, t)[0])
 GRADERS.register("search", lambda r, t: F.coalesce(T.qa_exact_match(T.last_answer_tag(r), F.array(t)).cast("double"),

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from rollspark.functions import text as T
 
@@ -29,3 +30,30 @@ def test_minerva_closed_form(spark):
 def test_heavy_normalize(spark, raw, want):
     df = spark.createDataFrame([(raw,)], "a string")
     assert T.heavy_normalize(df, "a").first().answer_norm == want
+
+
+@pytest.mark.parametrize("raw, want", [
+    ("1,000,000,000", "1,000,000,000"),  # middle commas keep six digits behind them
+    ("1000000000000000000.0", "1000000000000000000"), ("36893488147419103232", "36893488147419103232"),
+    ("-1e20", "-100000000000000000000"), ("5d", "5d"), ("inf", "inf"), ("2 million", "2*10^6"), ("", "")])
+def test_heavy_normalize_numbers(spark, raw, want):
+    df = spark.createDataFrame([(raw,)], "a string")
+    assert T.heavy_normalize(df, "a").first().answer_norm == want
+
+
+GRADED = [  # given, truth, equal
+    ("1,000", "1000", True), ("5 cm", "5", True), ("Yes", "yes", True), ("2 and 3", "2,3", True),
+    ("(1, 2]", "(1,2]", True), ("(1,2)", "(1,2]", False), ("(1,0.5)", "(1,0.50)", True), ("(1,2)", "(1,2,3)", False),
+    ("[1,234, 5]", "[1234,5]", True),
+    ("2/4", "1/2", False), ("1/2", "0.5", True), ("5.0", "5", True), ("5.1", "5", False), ("7 3/4", "7.75", True),
+    ("0.250", "1/4", True), ("3 million", "3*10^6", True), ("2^{10}", "1024", False), ("(abc,1)", "(abc,2)", False),
+    ("x", "", False), ("", "x", False), (None, "1", False), ("1", None, False),
+]
+
+
+def test_answers_equal(spark):
+    df = spark.createDataFrame(GRADED, "given string, truth string, want boolean")
+    got = df.withColumn("is", T.answers_equal("given", F.array("truth"))).collect()
+    assert [(r.given, r.truth) for r in got if r["is"] != r.want] == []
+    many = spark.createDataFrame([("4", ["5", "4 cm"])], "given string, truths array<string>")
+    assert many.select(T.answers_equal("given", "truths")).first()[0]
