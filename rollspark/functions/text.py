@@ -20,29 +20,37 @@ def after_think(text) -> Column:
     return F.when(t.contains(THINK_END), F.split_part(t, F.lit(THINK_END), F.lit(2))).otherwise(t)
 
 
-def _chars(s: Column) -> Column:
-    return F.split(s, "")
+def _let(value, fn) -> Column:
+    """``fn`` of a value computed once, however often ``fn`` names it."""
+    return F.transform(F.array(value), fn).getItem(0)
 
 
-def last_boxed(text) -> Column:
-    """Last balanced '\\boxed{...}' (or '\\fbox...' when no '\\boxed'), C2.
+def _balanced_prefix(tail) -> Column:
+    """A text up to the first '}' that closes every '{' before it, or NULL.
 
-    From the last marker, the depth of '{' / '}' is folded character by
-    character; the string ends at the first '}' that brings it back to 0.
-    """
-    t = col(text)
-    tail = F.when(t.contains("\\boxed"), F.concat(F.lit("\\boxed"), F.substring_index(t, "\\boxed", -1))) \
-        .when(t.contains("\\fbox"), F.concat(F.lit("\\fbox"), F.substring_index(t, "\\fbox", -1)))
-    init = F.struct(F.lit(0).alias("d"), F.lit(-1).alias("end"), F.lit(0).alias("i"))
+    Folds over the pieces between closing braces, not over characters."""
+    def step(acc, piece):
+        depth = acc["depth"] + F.length(piece) - F.length(_rep(piece, "{", "")) - 1
+        n = acc["n"] + 1
+        return F.struct(depth.alias("depth"), n.alias("n"),
+                        F.when((acc["end"] == 0) & (depth == 0), n).otherwise(acc["end"]).alias("end"))
+
+    def cut(t):
+        pieces = F.split(t, r"\}")
+        closed = F.slice(pieces, F.lit(1), F.size(pieces) - 1)  # the last piece is not closed
+        init = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(0).alias("end"))
+        return _let(F.aggregate(closed, init, step)["end"],
+                    lambda k: F.when(k > 0, F.concat(F.call_function("substring_index", t, F.lit("}"), k), F.lit("}"))))
 
-    def step(acc, ch):
-        d = acc["d"] + F.when(ch == "{", 1).otherwise(0) - F.when(ch == "}", 1).otherwise(0)
-        hit = (acc["end"] < 0) & (ch == "}") & (d == 0)
-        return F.struct(d.alias("d"), F.when(hit, acc["i"]).otherwise(acc["end"]).alias("end"),
-                        (acc["i"] + 1).alias("i"))
+    return _let(tail, lambda t: F.when(t.isNotNull(), cut(t)))
 
-    end = F.aggregate(_chars(tail), init, step)["end"]
-    return F.when(tail.isNotNull() & (end >= 0), F.substring(tail, F.lit(1), end + 1))
+
+def last_boxed(text) -> Column:
+    """Last balanced '\\boxed{...}' (or '\\fbox...' when no '\\boxed'), C2."""
+    t = col(text)
+    return _balanced_prefix(
+        F.when(t.contains("\\boxed"), F.concat(F.lit("\\boxed"), F.substring_index(t, "\\boxed", -1)))
+        .when(t.contains("\\fbox"), F.concat(F.lit("\\fbox"), F.substring_index(t, "\\fbox", -1))))
 
 
 def remove_boxed(s) -> Column:
@@ -55,7 +63,7 @@ def remove_boxed(s) -> Column:
 def boxed_answer(text) -> Column:
     """Answer inside the last \\boxed{} of the text, or NULL."""
     t = col(text)
-    return F.when(t.contains("\\boxed"), remove_boxed(last_boxed(t)))
+    return F.when(t.contains("\\boxed"), _let(last_boxed(t), remove_boxed))
 
 
 def _rep(s: Column, a: str, b: str) -> Column:
@@ -273,17 +281,8 @@ def minerva_score(solution, truth) -> tuple[Column, Column]:
 def last_boxed_strict(text) -> Column:
     """Last balanced '\\boxed{...}' (only the braced form), or NULL."""
     t = col(text)
-    tail = F.when(t.contains("\\boxed{"), F.concat(F.lit("\\boxed{"), F.substring_index(t, "\\boxed{", -1)))
-    init = F.struct(F.lit(0).alias("d"), F.lit(-1).alias("end"), F.lit(0).alias("i"))
-
-    def step(acc, ch):
-        d = acc["d"] + F.when(ch == "{", 1).otherwise(0) - F.when(ch == "}", 1).otherwise(0)
-        hit = (acc["end"] < 0) & (ch == "}") & (d == 0)
-        return F.struct(d.alias("d"), F.when(hit, acc["i"]).otherwise(acc["end"]).alias("end"),
-                        (acc["i"] + 1).alias("i"))
-
-    end = F.aggregate(_chars(tail), init, step)["end"]
-    return F.when(tail.isNotNull() & (end >= 0), F.substring(tail, F.lit(1), end + 1))
+    return _balanced_prefix(
+        F.when(t.contains("\\boxed{"), F.concat(F.lit("\\boxed{"), F.substring_index(t, "\\boxed{", -1))))
 
 
 def strict_box_score(solution, truth) -> tuple[Column, Column]:
@@ -291,8 +290,7 @@ def strict_box_score(solution, truth) -> tuple[Column, Column]:
     of the last boxed answer within the last 100 of the last 300 characters,
     compared to the truth as is."""
     s = F.substring(F.substring(col(solution), -300, 300), -100, 100)
-    b = last_boxed_strict(s)
-    pred = F.substring(b, F.lit(8), F.length(b) - F.lit(8))
+    pred = _let(last_boxed_strict(s), lambda b: F.substring(b, F.lit(8), F.length(b) - F.lit(8)))
     return F.when(pred.isNotNull() & (pred == col(truth)), 1.0).otherwise(-1.0), pred
 
 
@@ -312,11 +310,6 @@ UNSAFE_POWERS = r"\^\{|\^\(|\^[0-9]+\^|\^[0-9][0-9]+"
 _NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
 
 
-def _let(value, fn) -> Column:
-    """``fn`` of a value computed once, however often ``fn`` names it."""
-    return F.transform(F.array(value), fn).getItem(0)
-
-
 def _as_float(x) -> Column:
     """The number a text spells (Spark's own cast would also take '5d'), or NULL."""
     return F.when(x.rlike(rf"^\s*{_NUMBER}\s*$"), F.trim(x).try_cast("double"))
