@@ -14,13 +14,13 @@ from rollspark.sources.tables import table
 @query("dense_topk", f"""
 WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id,
                   list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score
-           FROM embeddings q, embeddings c WHERE q.label = 0),
+           FROM embeddings q, embeddings c),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {R("score")} DESC, doc_id) AS rank FROM s)
 SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, {R("score")} AS score FROM r WHERE rank <= 5""")
 def q_dense(spark, d):
     e = table(spark, d, "embeddings")
     hits = RT.dense_topk(e.select(F.col("vec_id").alias("doc_id"), "embedding"),
-                         e.filter(F.col("label") == 0).select(F.col("vec_id").alias("query_id"), "embedding"), 5)
+                         e.select(F.col("vec_id").alias("query_id"), "embedding"), 5)
     return hits.select("query_id", "doc_id", "rank", rnd("score").alias("score"))
 
 
@@ -40,8 +40,8 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {R("score")}
 
 
 def _bm25_hits(spark, d, k=10):
-    idx = RT.bm25_index(table(spark, d, "documents"))
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    idx = RT.bm25_index(table(spark, d, "documents"), terms=RT.query_terms(q))
     return RT.bm25_topk(idx, q, k)
 
 

@@ -1,23 +1,18 @@
 """Retrieval for QA rollouts: exact dense top-k, BM25 top-k, result text,
 encoder prefixes, mean pooling (O7, O8, P17, C19, C20).
 
-Dense top-k is exact. Queries are cut into chunks of at most
-``max_broadcast_queries`` rows (a proven broadcast bound); each corpus
-partition scores a chunk with one Arrow-batched matrix product and keeps its
-local top-k per query; the global top-k is a group limit over at most
-k x partitions candidates per query. BM25 is joins and aggregates over a
+Dense top-k is exact: every pair of a query block and a document block is a
+group scored by matrix products that keeps its local top-k per query, and the
+global top-k is a group limit over at most k x document blocks per query. BM25 is joins and aggregates over a
 postings table; common terms are hot join keys, which AQE splits.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollspark.functions.cols import ROUND_SHIFT, col, pystrip, rnd, with_scalars
-from rollspark.plans.batching import seeded_order
 
 TOKEN_SPLIT = r"[^a-z0-9]+"
 
@@ -37,60 +32,56 @@ def _topk_with_ties(qi, di, sr, raw, k: int):
     return qi[keep], di[keep], sr[keep], raw[keep]
 
 
-def _local_topk_fn(qids, qmat, k: int, id_col: str, vec_col: str, score_digits: int):
+def _block_topk_fn(k: int, score_digits: int, step: int = 256):
     import numpy as np
     import pandas as pd
-
-    def run(batches):
-        scale = float(10 ** score_digits)
-        qs = qids.value
-        nq = len(qs)
-        empty = np.empty(0)
-        cq, cd, cs, cr = empty.astype(np.int64), empty.astype(np.int64), empty, empty
-        for pdf in batches:  # one Arrow batch at a time: memory is batch x queries
-            if len(pdf) == 0:
-                continue
-            doc_ids = pdf[id_col].to_numpy().astype(np.int64)
-            docs = np.asarray([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            raw = docs @ qmat.value.T  # (batch, queries)
-            # the same rounding as the global ranking, so the local cut keeps
-            # every document that can still reach the global top-k
-            sr = np.floor(raw * scale + ROUND_SHIFT) / scale
-            kk = min(k, len(doc_ids))
-            top = np.argpartition(-sr, kk - 1, axis=0)[:kk] if kk < len(doc_ids) else None
-            thr = sr.min(axis=0) if top is None else sr[top, np.arange(nq)].min(axis=0)
-            rows, cols = np.nonzero(sr >= thr)
-            cq = np.concatenate([cq, cols.astype(np.int64)])
-            cd = np.concatenate([cd, doc_ids[rows]])
-            cs = np.concatenate([cs, sr[rows, cols]])
-            cr = np.concatenate([cr, raw[rows, cols]])
-            cq, cd, cs, cr = _topk_with_ties(cq, cd, cs, cr, k)
-        if len(cq):
-            yield pd.DataFrame({"query_id": qs[cq], "doc_id": cd, "score": cr})
+    scale = float(10 ** score_digits)
+
+    def run(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "doc_id": pd.Series(dtype="int64"),
+                               "score": pd.Series(dtype="float64")})]
+        if len(docs) and len(queries):
+            vecs = np.stack(docs["_dv"].to_numpy()).astype(np.float64)
+            ids = docs["_did"].to_numpy()
+            kk = min(k, len(ids))
+            for at in range(0, len(queries), step):  # the score matrix stays at block x step
+                some = queries.iloc[at:at + step]
+                raw = vecs @ np.stack(some["_qv"].to_numpy()).astype(np.float64).T
+                # the same rounding as the global ranking, so the local cut keeps
+                # every document that can still reach the global top-k
+                sr = np.floor(raw * scale + ROUND_SHIFT) / scale
+                rows, cols = np.nonzero(sr >= np.partition(sr, len(ids) - kk, axis=0)[len(ids) - kk])
+                qi, di, _, score = _topk_with_ties(cols, ids[rows], sr[rows, cols], raw[rows, cols], k)
+                found.append(pd.DataFrame({"query_id": some["_qid"].to_numpy()[qi], "doc_id": di, "score": score}))
+        return pd.concat(found, ignore_index=True)
     return run
 
 
 def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, doc_id="doc_id", doc_vec="embedding",
-               query_id="query_id", query_vec="embedding", max_broadcast_queries: int = 2048,
+               query_id="query_id", query_vec="embedding", query_block: int = 2048, doc_block: int = 8192,
                score_digits: int = 6) -> DataFrame:
     """Exact top-k documents by inner product for every query.
 
-    Ranking is by the score rounded to ``score_digits`` (descending), then by
-    doc id, so equal scores cut deterministically."""
-    import numpy as np
-    spark = corpus.sparkSession
-    q = seeded_order(queries.select(col(query_id).alias("_qid"), col(query_vec).alias("_qv")), "_qid")
-    q = q.withColumn("_chunk", F.floor(F.col("idx") / max_broadcast_queries))
-    n_chunks = q.agg(F.max("_chunk")).collect()[0][0]
-    c = corpus.select(col(doc_id).alias("_did"), col(doc_vec).alias("_dv"))
-    parts = []
-    for ch in range(0 if n_chunks is None else int(n_chunks) + 1):
-        rows = q.filter(F.col("_chunk") == ch).select("_qid", "_qv").collect()  # <= max_broadcast_queries rows
-        qids = spark.sparkContext.broadcast(np.asarray([r["_qid"] for r in rows]))
-        qmat = spark.sparkContext.broadcast(np.asarray([np.asarray(r["_qv"], dtype=np.float64) for r in rows]))
-        parts.append(c.mapInPandas(_local_topk_fn(qids, qmat, k, "_did", "_dv", score_digits),
-                                   "query_id long, doc_id long, score double"))
-    cand = reduce(lambda a, b: a.unionByName(b), parts)
+    Queries and documents are hashed into blocks of about ``query_block`` and
+    ``doc_block`` rows. Every pair of blocks is one group whose task scores it
+    with matrix products and keeps the block's top k per query (and ties); the
+    global cut is a group limit over those. Only two counts reach the driver,
+    and no relation is broadcast. Ranking is by the score rounded to
+    ``score_digits`` (descending), then by doc id, so equal scores cut
+    deterministically. Rows with a null id or vector take no part."""
+    q = queries.select(col(query_id).alias("_qid"), col(query_vec).alias("_qv")).dropna()
+    c = corpus.select(col(doc_id).alias("_did"), col(doc_vec).alias("_dv")).dropna()
+    q_blocks = max(1, -(-q.count() // query_block))
+    c_blocks = max(1, -(-c.count() // doc_block))
+
+    def spread(df, key, own, n_own, other, n_other):
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own))) \
+            .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_other - 1).cast("bigint"))))
+
+    q = spread(q, "_qid", "_qb", q_blocks, "_cb", c_blocks)
+    c = spread(c, "_did", "_cb", c_blocks, "_qb", q_blocks)
+    cand = q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb")).applyInPandas(
+        _block_topk_fn(k, score_digits), "query_id long, doc_id long, score double")
     w = Window.partitionBy("query_id").orderBy(rnd("score", score_digits).desc(), F.col("doc_id"))
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
         .withColumnRenamed("query_id", query_id if isinstance(query_id, str) else "query_id") \
@@ -102,28 +93,39 @@ def tokenize(text) -> Column:
     return F.filter(F.split(F.lower(col(text)), TOKEN_SPLIT), lambda t: t != "")
 
 
-def bm25_index(docs: DataFrame, doc_id="doc_id", text="text", k1: float = 0.9, b: float = 0.4) -> DataFrame:
+def bm25_index(docs: DataFrame, doc_id="doc_id", text="text", k1: float = 0.9, b: float = 0.4,
+               terms: DataFrame | None = None) -> DataFrame:
     """Postings (term, doc_id, weight): BM25 term weight with
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)) and length normalisation by the
-    average document length. ``k1`` / ``b`` are explicit."""
+    average document length. ``k1`` / ``b`` are explicit. With ``terms`` (a
+    column ``term``) only their postings are made; the weights are the same, as
+    N, document frequencies and lengths still come from all documents.
+
+    The document length travels with its term counts, so no join brings it back."""
     toks = docs.select(col(doc_id).alias("doc_id"), tokenize(text).alias("_t"))
-    lens = toks.select("doc_id", F.size("_t").alias("dl"))
-    stats = lens.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))
-    tf = toks.select("doc_id", F.explode("_t").alias("term")).groupBy("term", "doc_id").agg(
-        F.count(F.lit(1)).alias("tf"))
+    stats = toks.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("_t")).alias("avgdl"))
+    words = toks.select("doc_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    if terms is not None:
+        words = words.join(terms.select("term").distinct(), "term", "left_semi")
+    tf = words.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    p = with_scalars(tf.join(dfreq, "term").join(lens, "doc_id"), stats)  # stats: one row
+    p = with_scalars(tf.join(dfreq, "term"), stats)  # stats: one row
     idf = F.log(F.lit(1.0) + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return p.select("term", "doc_id", (idf * norm).alias("weight"))
 
 
+def query_terms(queries: DataFrame, query_id="query_id", text="text") -> DataFrame:
+    """(query_id, term, qtf): the terms of each query with their counts."""
+    return queries.select(col(query_id).alias("query_id"), F.explode(tokenize(text)).alias("term")) \
+        .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
 def bm25_topk(index: DataFrame, queries: DataFrame, k: int, query_id="query_id", text="text",
               score_digits: int = 6) -> DataFrame:
     """Top-k documents per query by BM25 (O8): query terms (with repeats, as
     a bag) join the postings on term, scores are summed per (query, doc)."""
-    qt = queries.select(col(query_id).alias("query_id"), F.explode(tokenize(text)).alias("term")) \
-        .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    qt = query_terms(queries, query_id, text)
     s = qt.join(index, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qtf")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(rnd("score", score_digits).desc(), F.col("doc_id"))
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
