@@ -103,13 +103,15 @@ def q_epochs(spark, d):
 
 @query("curriculum_plan", """
 WITH s AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2
-                                       WHEN '4-NOT SPECIFIED' THEN 3 END AS stage FROM orders),
+                                       ELSE 3 END AS stage FROM orders),
      plan AS (SELECT * FROM (VALUES (0, 2, 8), (1, 10, 16), (2, 12, 32), (3, 14, 64)) p(stage, reps, group_size))
 SELECT CAST(stage AS INTEGER) AS stage, CAST(group_size AS INTEGER) AS group_size, CAST(count(*) * any_value(reps) AS BIGINT) AS n_rows
 FROM s JOIN plan USING (stage) GROUP BY stage, group_size""")
 def q_curriculum(spark, d):
     o = _orders(spark, d)
-    stages = [o.filter(F.col("data_source") == p) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")]
+    first = ("1-URGENT", "2-HIGH", "3-MEDIUM")  # every other priority is in the last stage
+    stages = [o.filter(F.col("data_source") == p) for p in first]
+    stages.append(o.filter(F.col("data_source").isNull() | ~F.col("data_source").isin(*first)))
     c = B.curriculum(stages)
     return c.groupBy("stage", "group_size").agg(F.count(F.lit(1)).alias("n_rows"))
 

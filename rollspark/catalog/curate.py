@@ -147,30 +147,31 @@ def q_inject_generate(spark, d):
     return out.select(F.col("index").alias("idx"), "ground_truth", "noised")
 
 
-TRAIN_SOURCES = [f"src{i}" for i in range(10)]
-TEST_SOURCES = [f"src{i}" for i in range(10, 20)]
-_IN_TRAIN = "(" + ", ".join(f"'{s}'" for s in TRAIN_SOURCES) + ")"
+TEST_SOURCES = [f"src{i}" for i in range(10, 20)]  # every other source is training data
 _IN_TEST = "(" + ", ".join(f"'{s}'" for s in TEST_SOURCES) + ")"
 
 
+def _train_and_test(spark, d):
+    docs = table(spark, d, "documents")
+    held = F.coalesce(F.col("source").isin(TEST_SOURCES), F.lit(False))
+    return docs.filter(~held), docs.filter(held)
+
+
 @query("decontaminate", f"""
-SELECT doc_id FROM documents d WHERE source IN {_IN_TRAIN}
+SELECT doc_id FROM documents d WHERE (source IN {_IN_TEST}) IS NOT TRUE
 AND NOT EXISTS (SELECT 1 FROM documents t WHERE t.source IN {_IN_TEST} AND t.text = d.text)""")
 def q_decontaminate(spark, d):
-    docs = table(spark, d, "documents")
-    train = docs.filter(F.col("source").isin(TRAIN_SOURCES))
-    test = docs.filter(F.col("source").isin(TEST_SOURCES))
+    train, test = _train_and_test(spark, d)
     return C.decontaminate(train, test, text="text").select("doc_id")
 
 
 @query("contamination_count", f"""
 SELECT CAST(count(*) AS BIGINT) AS n_overlap FROM (
-  SELECT text FROM documents WHERE source IN {_IN_TRAIN}
+  SELECT text FROM documents WHERE (source IN {_IN_TEST}) IS NOT TRUE
   INTERSECT SELECT text FROM documents WHERE source IN {_IN_TEST})""")
 def q_contamination(spark, d):
-    docs = table(spark, d, "documents")
-    return C.contamination_count(docs.filter(F.col("source").isin(TRAIN_SOURCES)),
-                                 docs.filter(F.col("source").isin(TEST_SOURCES)), text="text")
+    train, test = _train_and_test(spark, d)
+    return C.contamination_count(train, test, text="text")
 
 
 @query("correction_flags", with_views("""

@@ -1,5 +1,5 @@
 """Trajectory fill, batch concatenation, group assembly and the extension
-registries (J9, U1, W3, X2, X3, X5)."""
+registries (J9, U1, W3, X2-X5)."""
 
 from __future__ import annotations
 
@@ -84,6 +84,19 @@ def q_graders(spark, d):
 query("graders_by_env")(q_graders)  # rows-only: each grader has its own oracle query
 
 
+@query("preference_by_model", """
+SELECT p_partkey, CAST(sign(p_size - length(p_name)) AS DOUBLE) AS by_score,
+       CAST(CASE WHEN substr(p_brand, 7, 1) IN ('1', '2') THEN 1 WHEN substr(p_brand, 7, 1) = '3' THEN -1 END AS DOUBLE) AS by_table
+FROM part""")
+def q_preference(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_brand", F.length("p_name").alias("a"), F.col("p_size").alias("b"))
+    digit = F.substring("p_brand", 7, 1)
+    verdicts = p.where(digit.isin("1", "2", "3")).select("p_partkey", F.when(digit == "3", -1).otherwise(1).alias("verdict"))
+    out = X.prefer(p, "score", a="a", b="b", score=lambda c: c).withColumnRenamed("preference", "by_score")
+    out = X.prefer(out, "table", keys="p_partkey", verdicts=verdicts, verdict="verdict")
+    return out.select("p_partkey", "by_score", F.col("preference").alias("by_table"))
+
+
 @query("flat_map_lines", """
 SELECT doc_id, line_no, line FROM (
   SELECT doc_id, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS line_no,

@@ -1,4 +1,4 @@
-"""Preference queries
+"""Preference queries
 over parts (prompt = brand, response = part name, helpfulness = size) and
 conversations."""
 
@@ -160,3 +160,19 @@ def q_dpo(spark, d):
     r = P.dpo_report(pairs)
     return r.select(*[rnd(c).alias(c) for c in ("dpo_loss", "accuracy", "margin", "chosen_reward", "rejected_reward")],
                     F.col("n_pairs").cast("bigint").alias("n_pairs"))
+
+
+@query("rubric_rewards", f"""
+WITH s AS (SELECT o_orderkey, CAST(o_orderkey % 11 AS DOUBLE) / 10 AS a, CAST(o_custkey % 7 AS DOUBLE) + 0.5 AS b,
+                  CASE WHEN o_orderstatus = 'P' THEN 0.0 ELSE 1.0 END AS fmt FROM orders)
+SELECT o_orderkey, {R("(a + b + 0) / 3.0")} AS rubric_score, {R("(a + b + 0) / 3.0 + 0.1 * (fmt - 1)")} AS reward FROM s""")
+def q_rubric_rewards(spark, d):
+    o = table(spark, d, "orders")
+    score = ((F.col("o_orderkey") % 11) / 10).cast("string")
+    o = o.select("o_orderkey", (F.col("o_orderstatus") != "P").cast("int").alias("format_ok"), F.array(
+        F.concat(F.lit("Good. Score: "), score),
+        F.concat(F.lit("<score>"), (F.col("o_custkey") % 7).cast("string"), F.lit(".5</score>")),
+        F.lit("no score here")).alias("grader_outputs"))
+    o = o.withColumn("extraction_regexes", F.array(F.lit(r"Score: ([0-9.]+)"), F.lit(r"<score>([0-9.]+)</score>"),
+                                                   F.lit(r"([0-9]+)")))
+    return P.rubric_reward(o).select("o_orderkey", rnd("rubric_score").alias("rubric_score"), rnd("reward").alias("reward"))

@@ -87,9 +87,9 @@ def q_traj_metrics(spark, d):
 @query("truncate_prompt_tokens", """
 SELECT conv_id, turn, md5(array_to_string(list_slice(string_split(text, ' '), 1, 32), ' ')) AS head_md5,
        CAST(len(list_slice(string_split(text, ' '), 1, 32)) AS BIGINT) AS n_tokens
-FROM conversations WHERE role = 'user'""")
+FROM conversations""")
 def q_truncate(spark, d):
-    c = table(spark, d, "conversations").filter(F.col("role") == "user")
+    c = table(spark, d, "conversations")
     head = S.truncate_tokens("text", 32)
     return c.select("conv_id", "turn", F.md5(F.array_join(head, " ")).alias("head_md5"),
                     F.size(head).cast("bigint").alias("n_tokens"))

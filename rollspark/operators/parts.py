@@ -24,15 +24,15 @@ ERR_SQL_ARGS = "Error in parsing tool call arguments: "
 ERR_SEARCH_JSON = "Error invoking search tool: Invalid JSON in arguments"
 ERR_SEARCH_REQUIRED = "Error invoking search tool: query_list is required"
 ERR_SEARCH_NONEMPTY = "Error invoking search tool: query_list must be a list of non-empty strings"
-PART_FIELDS = "type string, text string, name string, arguments string, error string"
 
 
-def _part(kind: str, text=None, name=None, arguments=None, error=None) -> Column:
+def _part(kind: str, text=None, name=None, arguments=None, error=None, id=None) -> Column:
     none = F.lit(None).cast("string")
     return F.struct(F.lit(kind).alias("type"), (text if text is not None else none).alias("text"),
                     (name if name is not None else none).alias("name"),
                     (arguments if arguments is not None else none).alias("arguments"),
-                    (error if error is not None else none).alias("error"))
+                    (error if error is not None else none).alias("error"),
+                    (id if id is not None else none).alias("id"))
 
 
 def _json_kind(v: Column) -> Column:
@@ -42,7 +42,8 @@ def _json_kind(v: Column) -> Column:
 
 def parse_tool_call(block: Column) -> Column:
     """One ``<tool_call>`` block -> a ``tool_call`` part (name, compact JSON
-    arguments) or an ``unparsed_tool_call`` part with the reason."""
+    arguments, the id if it is a text) or an ``unparsed_tool_call`` part with
+    the reason."""
     body = F.trim(F.regexp_extract(block, BLOCK, 2))
     v = F.try_parse_json(body)
     name, args = F.try_variant_get(v, "$.name", "variant"), F.try_variant_get(v, "$.arguments", "variant")
@@ -51,7 +52,9 @@ def parse_tool_call(block: Column) -> Column:
         .when(name.isNull() | (_json_kind(name) != "STRING"), ERR_NAME) \
         .when(args.isNull() | ~_json_kind(args).startswith("OBJECT"), ERR_ARGUMENTS)
     ok = _part("tool_call", name=F.try_variant_get(v, "$.name", "string"),
-               arguments=F.get_json_object(body, "$.arguments"))
+               arguments=F.get_json_object(body, "$.arguments"),
+               id=F.when(_json_kind(F.try_variant_get(v, "$.id", "variant")) == "STRING",
+                         F.try_variant_get(v, "$.id", "string")))
     return F.when(err.isNull(), ok).otherwise(_part("unparsed_tool_call", text=block, error=err))
 
 
@@ -106,13 +109,15 @@ def search_query_list(arguments) -> Column:
 
 # ----------------------------------------------------------------- C14
 
-TEST = "struct<input:string,output:string,testtype:string,metadata:struct<func_name:string>>"
+TEST = "struct<input:string,output:string,testtype:string,metadata:struct<func_name:string,other:map<string,string>>>"
 
 
 def normalize_code_tests(raw, row_func_name=None) -> Column:
     """C14: code tests given as a JSON list of tests, one test object, or a
     TACO dict of ``inputs``/``outputs`` (+ ``fn_name``) -> array of
-    (input, output, testtype, metadata.func_name). A shorter TACO list is
+    (input, output, testtype, metadata). Metadata may be an object or its JSON
+    text; ``func_name`` is a field of its own and the other keys are a map of
+    their values as text. A shorter TACO list is
     filled with its first element; a list-valued output takes its first item;
     testtype defaults to stdin_stdout; a functional test without its own
     func_name takes the row's. Unparsable JSON gives an empty list."""
@@ -126,6 +131,8 @@ def normalize_code_tests(raw, row_func_name=None) -> Column:
     outs = F.try_variant_get(v, "$.outputs", "array<variant>")
     fn = F.try_variant_get(v, "$.fn_name", "string")
 
+    no_keys = F.create_map().cast("map<string,string>")
+
     def text(x):
         return F.when(_json_kind(x) == "STRING", x.cast("string")).otherwise(F.to_json(x))
 
@@ -142,19 +149,23 @@ def normalize_code_tests(raw, row_func_name=None) -> Column:
         F.coalesce(text(pick(ins, i)), F.lit("")).alias("input"),
         F.coalesce(text(first_if_list(pick(outs, i))), F.lit("")).alias("output"),
         F.when(fn.isNotNull(), "functional").otherwise("stdin_stdout").alias("testtype"),
-        F.struct(fn.alias("func_name")).alias("metadata")))
+        F.struct(fn.alias("func_name"), no_keys.alias("other")).alias("metadata")))
     objs = F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")) \
         .when(kind.startswith("OBJECT"), F.array(v))
 
     def one(t):
         tt = F.coalesce(F.nullif(F.try_variant_get(t, "$.testtype", "string"), F.lit("")), F.lit("stdin_stdout"))
-        own = F.try_variant_get(t, "$.metadata.func_name", "string")
-        func = F.when(tt == "functional", F.coalesce(own, fn_row)).otherwise(own)
+        given = F.try_variant_get(t, "$.metadata", "variant")
+        meta = F.when(_json_kind(given) == "STRING", F.try_parse_json(given.cast("string"))).otherwise(given)
+        own = F.try_variant_get(meta, "$.func_name", "string")
+        func = F.when(tt == "functional", F.coalesce(F.nullif(own, F.lit("")), fn_row, own)).otherwise(own)
+        keys = F.when(_json_kind(meta).startswith("OBJECT"), F.from_json(F.to_json(meta), "map<string,string>"))
+        other = F.coalesce(F.map_filter(keys, lambda k, _: k != "func_name"), no_keys)
         inp = F.try_variant_get(t, "$.input", "variant")
         out = F.try_variant_get(t, "$.output", "variant")
         return F.when(_json_kind(t).startswith("OBJECT"), F.struct(
             F.coalesce(text(inp), F.lit("")).alias("input"), F.coalesce(text(out), F.lit("")).alias("output"),
-            tt.alias("testtype"), F.struct(func.alias("func_name")).alias("metadata")))
+            tt.alias("testtype"), F.struct(func.alias("func_name"), other.alias("other")).alias("metadata")))
 
     listed = F.filter(F.transform(objs, one), lambda x: x.isNotNull())
     empty = F.array().cast(f"array<{TEST}>")

@@ -84,7 +84,7 @@ def rubric_reward(df: DataFrame, grader_outputs="grader_outputs", regexes="extra
     """Mean over rubric items of the score captured by each item's regex
     (an unparsable score counts 0) plus coef * (format - 1)."""
     scores = F.zip_with(col(grader_outputs), col(regexes),
-                        lambda out, rx: F.coalesce(F.regexp_extract(out, rx, 1).try_cast("double"), F.lit(0.0)))
+                        lambda out, rx: F.coalesce(F.call_function("regexp_extract", out, rx, F.lit(1)).try_cast("double"), F.lit(0.0)))
     avg = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores)
     return df.withColumn("rubric_score", avg).withColumn(
         "reward", F.lit(format_coef) * (col(format_ok).cast("double") - 1.0) + F.col("rubric_score"))

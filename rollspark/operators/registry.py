@@ -1,5 +1,5 @@
 """User-extension registries: policy losses (X2), graders per env_class (X3),
-and row functions for dataset building (X5). The advantage estimator
+preference models (X4), and row functions for dataset building (X5). The advantage estimator
 registry (X1) lives with the estimators."""
 
 from __future__ import annotations
@@ -44,7 +44,21 @@ class Registry:
 
 # ----------------------------------------------------------------- X2
 POLICY_LOSSES = Registry("policy loss")
-"""name -> fn(log_probs, old_log_probs, advantages, **cfg) -> token loss array column."""
+"""name -> fn(log_probs, old_log_probs, advantages, **cfg) -> token loss array column.
+A loss named in ``MASKED_LOSSES`` also gets the mask, as ``mask``."""
+MASKED_LOSSES = {"gspo"}
+
+
+def _gspo(lp, old, adv, mask, **k):
+    ratio = F.array(L.gspo_seq_ratio(lp, old, mask))  # bound, so it is computed once a row
+    return F.transform(ratio, lambda r: L.gspo_tokens(adv, r, **k)[0]).getItem(0)
+
+
+def _tis(lp, old, adv, rollout_log_probs=None, cap=2.0, **k):
+    """The clipped surrogate weighted by min(exp(old - rollout), cap); without rollout log-probs the weight is 1."""
+    weights = L.tis_weights(old, old if rollout_log_probs is None else rollout_log_probs, cap)
+    return F.zip_with(L.ppo_tokens(lp, old, adv, **k)[0], weights, lambda x, w: x * w)
+
 
 POLICY_LOSSES.register("regular", lambda lp, old, adv, **k: L.ppo_tokens(lp, old, adv, **k)[0])
 POLICY_LOSSES.register("dual_clip", lambda lp, old, adv, clip_ratio_c=3.0, **k: L.ppo_tokens(
@@ -52,12 +66,23 @@ POLICY_LOSSES.register("dual_clip", lambda lp, old, adv, clip_ratio_c=3.0, **k:
 POLICY_LOSSES.register("sapo", lambda lp, old, adv, **k: L.sapo_tokens(lp, old, adv, **k))
 POLICY_LOSSES.register("reinforce", lambda lp, old, adv, **k: L.reinforce_tokens(lp, adv))
 POLICY_LOSSES.register("importance_sampling", lambda lp, old, adv, **k: L.importance_sampling_tokens(lp, old, adv))
+POLICY_LOSSES.register("gspo", _gspo)
+POLICY_LOSSES.register("tis", _tis)
+POLICY_LOSSES.register("cispo", lambda lp, old, adv, clip_low=0.8, clip_high=1.2: L.cispo_tokens(
+    lp, old, adv, clip_low, clip_high))
+POLICY_LOSSES.register("dro", lambda lp, old, adv, beta=0.05: L.dro_tokens(lp, old, adv, beta))
+POLICY_LOSSES.register("cross_entropy", lambda lp, old, adv, **k: L.cross_entropy_tokens(lp, adv))
+
+
+def _token_loss(name, log_probs, old_log_probs, advantages, mask, cfg):
+    more = {"mask": mask} if name in MASKED_LOSSES else {}
+    return POLICY_LOSSES.get(name)(log_probs, old_log_probs, advantages, **more, **cfg)
 
 
 def policy_loss(df: DataFrame, name: str, log_probs: str, old_log_probs: str, advantages: str, mask: str,
                 reduction: str = "token_mean", max_seq_len: int | None = None, **cfg) -> DataFrame:
     """Reduced loss of the registered policy loss ``name`` (one-row frame)."""
-    tok = POLICY_LOSSES.get(name)(log_probs, old_log_probs, advantages, **cfg)
+    tok = _token_loss(name, log_probs, old_log_probs, advantages, mask, cfg)
     return L.reduce_tokens(df, tok, mask, reduction, max_seq_len)
 
 
@@ -67,7 +92,7 @@ def policy_losses(df: DataFrame, names, log_probs: str, old_log_probs: str, adva
     the token arrays: one row per loss (``loss_name``, ``loss``)."""
     from rollspark.functions.arrays import mask_count, masked_sum
     names = list(names)
-    d = df.select(*[masked_sum(POLICY_LOSSES.get(n)(log_probs, old_log_probs, advantages, **cfg), mask)
+    d = df.select(*[masked_sum(_token_loss(n, log_probs, old_log_probs, advantages, mask, cfg), mask)
                     .alias(f"_l{i}") for i, n in enumerate(names)], mask_count(mask).alias("_mc"))
     den = F.greatest(F.sum("_mc"), F.lit(1.0))
     one = d.agg(*[(F.sum(f"_l{i}") / den).alias(f"_l{i}") for i in range(len(names))])
@@ -103,13 +128,35 @@ def grade_by_env(df: DataFrame, env_class: str = "env_class", response: str = "r
     return out_df
 
 
-# ----------------------------------------------------------------- X5
+# ----------------------------------------------------------------- X4
+PREFERENCE_MODELS = Registry("preference model")
+"""name -> fn(comparisons, **cfg) -> comparisons with ``preference`` (double):
+1 prefers B, -1 prefers A, 0 is a tie."""
+
 
-def map_rows(df: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A row function written with DataFrame columns (the normal path)."""
-    return fn(df)
+def _from_scores(df: DataFrame, a: str, b: str, score: Callable) -> DataFrame:
+    """The completion with the higher ``score(column)``; NULL when a score is missing."""
+    diff = score(F.col(b)).cast("double") - score(F.col(a)).cast("double")
+    return df.withColumn("preference", F.signum(diff))
 
 
+def _from_table(df: DataFrame, keys, verdicts: DataFrame, verdict: str = "preference") -> DataFrame:
+    """The verdict a judge has left for the comparison's keys (one row each); NULL without one."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    return df.join(verdicts.select(*keys, F.col(verdict).cast("double").alias("preference")), keys, "left")
+
+
+PREFERENCE_MODELS.register("score", _from_scores)
+PREFERENCE_MODELS.register("table", _from_table)
+
+
+def prefer(df: DataFrame, model: str, **cfg) -> DataFrame:
+    """Add ``preference`` by the registered preference model ``model``."""
+    return PREFERENCE_MODELS.get(model)(df, **cfg)
+
+
+# ----------------------------------------------------------------- X5
+
 def flat_map_pandas(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """Escape hatch: ``fn(pandas.DataFrame) -> pandas.DataFrame`` applied to
     Arrow batches of each partition (any number of output rows per input

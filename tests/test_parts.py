@@ -4,6 +4,8 @@ rules, on the smallest tables."""
 import json
 import re
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as E
 
 BLOCK = re.compile(r"<think>(.*?)</think>|<tool_call>(.*?)</tool_call>", re.DOTALL)
@@ -13,14 +15,15 @@ def _tool(body, raw):
     try:
         v = json.loads(body.strip())
     except json.JSONDecodeError:
-        return ("unparsed_tool_call", raw, None, None, "Invalid JSON")
+        return ("unparsed_tool_call", raw, None, None, "Invalid JSON", None)
     if not isinstance(v, dict):
-        return ("unparsed_tool_call", raw, None, None, "Tool call is not a JSON object")
+        return ("unparsed_tool_call", raw, None, None, "Tool call is not a JSON object", None)
     if not isinstance(v.get("name"), str):
-        return ("unparsed_tool_call", raw, None, None, "Missing or invalid 'name' field")
+        return ("unparsed_tool_call", raw, None, None, "Missing or invalid 'name' field", None)
     if not isinstance(v.get("arguments"), dict):
-        return ("unparsed_tool_call", raw, None, None, "Missing or invalid 'arguments' field")
-    return ("tool_call", None, v["name"], json.dumps(v["arguments"], separators=(",", ":")), None)
+        return ("unparsed_tool_call", raw, None, None, "Missing or invalid 'arguments' field", None)
+    return ("tool_call", None, v["name"], json.dumps(v["arguments"], separators=(",", ":")), None,
+            v["id"] if isinstance(v.get("id"), str) else None)
 
 
 def blocks(content):
@@ -29,15 +32,15 @@ def blocks(content):
     parts, pos = [], 0
     for m in BLOCK.finditer(content):
         if content[pos:m.start()]:
-            parts.append(("text", content[pos:m.start()], None, None, None))
+            parts.append(("text", content[pos:m.start()], None, None, None, None))
         if m.group(1) is not None:
             if m.group(1):
-                parts.append(("thinking", m.group(1), None, None, None))
+                parts.append(("thinking", m.group(1), None, None, None, None))
         else:
             parts.append(_tool(m.group(2), m.group(0)))
         pos = m.end()
     if content[pos:]:
-        parts.append(("text", content[pos:], None, None, None))
+        parts.append(("text", content[pos:], None, None, None, None))
     return parts
 
 
@@ -104,3 +107,21 @@ def test_code_tests_edge_cases(spark):
            for r in df.select("i", P.normalize_code_tests("raw").alias("t")).collect()}
     for i, raw in enumerate(raws):
         assert got[i] == expected_tests(raw, None), (raw, got[i])
+
+
+def test_code_test_metadata_as_text_or_object(spark):
+    from rollspark.operators import parts as P
+    raws = ['[{"testtype": "functional", "metadata": "{\\"func_name\\": \\"f\\", \\"lang\\": \\"py\\"}"}]',
+            '{"testtype": "functional", "metadata": {"func_name": "", "n": 3}}', '{"metadata": "not json"}']
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string")
+    rows = df.select("i", P.normalize_code_tests("raw", F.lit("row_fn")).alias("t")).orderBy("i").collect()
+    assert [(r.t[0].metadata.func_name, r.t[0].metadata.other) for r in rows] == [
+        ("f", {"lang": "py"}), ("row_fn", {"n": "3"}), (None, {})]
+
+
+def test_tool_call_id(spark):
+    from rollspark.operators import parts as P
+    calls = [(0, '{"name": "s", "arguments": {}, "id": "call_7"}'), (1, '{"name": "s", "arguments": {}, "id": 7}')]
+    df = spark.createDataFrame(calls, "i int, c string").withColumn("c", F.concat(F.lit("<tool_call>"), "c", F.lit("</tool_call>")))
+    rows = df.select(P.parse_content_blocks("c").alias("p")).orderBy("i").collect()
+    assert [r.p[0].id for r in rows] == ["call_7", None]
