@@ -43,7 +43,7 @@ def drop_benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def replace_personal_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values replaced by pseudonyms of their format; ``n_chars`` follows the text."""
-    out = pseudonyms.pseudonymise(docs, PSEUDONYM_KEY)
+    out = pseudonyms.pseudonymise(docs, PSEUDONYM_KEY, check_cards=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out

@@ -10,8 +10,8 @@ radix each (octets, area codes, day numbers): a round adds a keyed hash of the
 other numbers to one of them. ``_lettered`` permutes a string position by
 position within its character class (digit, small, capital, or hexadecimal):
 a round shifts one half by a keyed hash of the other. Validity survives: card
-numbers keep their check digit right (or wrong by the same amount), IBANs are
-checked and rebuilt, dates stay dates of the calendar, social security numbers
+numbers keep their check digit right (with ``check_cards`` those where it is
+wrong stay; else it is wrong by the same amount), IBANs are checked and rebuilt, dates stay dates of the calendar, social security numbers
 stay inside the issued ranges, telephone numbers keep country code and layout.
 
 Everything is one projection without a shuffle, so a document's size or a value
@@ -40,6 +40,8 @@ PATTERNS = {
     "card": r"(?<![0-9.+\-])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
 }
 ANY = "|".join(PATTERNS.values())
+#: Groups of a longer run of digits that may be a card number by themselves.
+GROUPED_CARD = r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5})(?![0-9])"
 ROUNDS = 10
 #: 400 years of the calendar have 146,097 = 189 * 773 days.
 DATE_RADICES, EPOCH = (189, 773), "1800-01-01"
@@ -123,6 +125,11 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.split(F.reverse(digits), ""), F.struct(F.lit(0).alias("s"), F.lit(0).alias("i")), add, lambda acc: acc["s"])
 
 
+def _is_card(digits: Column) -> Column:
+    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
+    return F.pmod(F.substring(digits, -1, 1).cast("int") + _luhn_sum(body), F.lit(10)) == 0
+
+
 def _card(m: Column, key: str) -> Column:
     def with_check(d):
         body = F.substring(d, F.lit(1), F.length(d) - 1)
@@ -132,6 +139,19 @@ def _card(m: Column, key: str) -> Column:
     return _refill(m, _let(_digits(m), with_check))
 
 
+def _checked_card(m: Column, key: str) -> Column:
+    """The pseudonym if the Luhn sum is right; else that of the first right number among the run's groups (next to an expiry date, say); else null."""
+    def groups(run):
+        tail = lambda i: F.substring(run, i, F.length(run))
+        starts = F.filter(F.sequence(F.lit(1), F.length(run)), lambda i: (i == 1) | F.substring(run, i - 1, F.lit(1)).isin(" ", "-"))
+        return F.concat(F.array(F.struct(F.lit(1).alias("at"), run.alias("number"))),
+                        F.transform(starts, lambda i: F.struct(i.alias("at"), F.regexp_extract(tail(i), GROUPED_CARD, 0).alias("number"))))
+
+    right = F.filter(groups(m), lambda g: (g["number"] != "") & _is_card(_digits(g["number"])))
+    return _let(F.get(right, F.lit(0)), lambda g: F.when(g.isNotNull(), F.concat(
+        F.substring(m, F.lit(1), g["at"] - 1), _card(g["number"], key), F.substring(m, g["at"] + F.length(g["number"]), F.length(m)))))
+
+
 def _mod97(text: Column) -> Column:
     """Remainder modulo 97 of a string of digits and capitals, capitals counting 10 to 35."""
     return F.aggregate(F.split(text, ""), F.lit(0), lambda acc, c: F.when(c.rlike("^[0-9]$"), (acc * 10 + F.ascii(c) - 48) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97))
@@ -142,7 +162,7 @@ def _iban(m: Column, key: str) -> Column:
         land, account = F.substring(x, 1, 2), F.substring(x, F.lit(5), F.length(x))
         valid = _mod97(F.concat(account, F.substring(x, 1, 4))) == 1
         new = _let(_lettered(account, key, "iban"), lambda y: F.concat(F.lpad((98 - _mod97(F.concat(y, land, F.lit("00")))).cast("string"), 2, "0"), y))
-        return F.when(valid, _refill(m, new)).otherwise(m)
+        return F.when(valid, _refill(m, new))
     return _let(F.regexp_replace(m, " ", ""), rebuilt)
 
 
@@ -176,7 +196,7 @@ def _ssn(m: Column, key: str) -> Column:
         new = _let(_mixed(mine, (898, 99, 9999), key, "ssn"), lambda x: F.concat_ws(
             "-", F.lpad(F.when(x[0] >= 665, x[0] + 2).otherwise(x[0] + 1).cast("string"), 3, "0"),
             F.lpad((x[1] + 1).cast("string"), 2, "0"), F.lpad((x[2] + 1).cast("string"), 4, "0")))
-        return F.when(valid, new).otherwise(m)
+        return F.when(valid, new)
     return _let(F.transform(F.split(m, "-"), lambda x: x.cast("long")), renumbered)
 
 
@@ -206,7 +226,7 @@ def _date(m: Column, key: str) -> Column:
                 .when(dayfirst, F.concat_ws("/", dd, mm, yy)).otherwise(F.concat_ws("/", mm, dd, yy))
 
         good = day.isNotNull() & F.year(day).between(1000, 9799)
-        return F.when(good, _let(new, written)).otherwise(m)
+        return F.when(good, _let(new, written))
 
     return _let(F.try_to_date(F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd"), changed)
 
@@ -229,31 +249,36 @@ _MAKERS = {
 }
 
 
-def pseudonym(found: Column, key: str) -> Column:
-    """The pseudonym of one found value; of which kind it is follows from the whole of it."""
-    out = None
+def pseudonym(found: Column, key: str, check_cards: bool = False) -> Column:
+    """The pseudonym of one found value, of which kind it is follows from the whole of it; null if it fails its kind's check."""
+    makers = {**_MAKERS, "card": _checked_card} if check_cards else _MAKERS
+    out = F
     for kind, pattern in PATTERNS.items():
-        is_kind = found.rlike(f"^(?:{pattern})$")
-        out = F.when(is_kind, _MAKERS[kind](found, key)) if out is None else out.when(is_kind, _MAKERS[kind](found, key))
-    return out.otherwise(found)
+        out = out.when(found.rlike(f"^(?:{pattern})$"), makers[kind](found, key))
+    return out
 
 
-def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | None = None, check_cards: bool = False) -> DataFrame:
     """``docs`` with personal values in ``text`` replaced; all other columns as they are.
 
     Null and empty texts stay. ``count`` names a further column for the number
-    of values found. A number that only looks like an IBAN, date or social
-    security number (it fails the check) stays as it is.
+    of values replaced. A number that only looks like an IBAN, date or social
+    security number (it fails the check) stays as it is and is not counted.
+    So does a run of 13 to 19 digits with a wrong Luhn sum with
+    ``check_cards``; without, it is replaced by one that is wrong by as much.
     """
     t = F.col(f"`{text}`")
     has = t.rlike("[0-9@=:]") & t.rlike(ANY)
     found = F.when(has, F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(1)))
-    between = F.split(t, ANY, -1)
-    new = F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.when(b.isNotNull(), pseudonym(b, key)).otherwise(F.lit("")))), "")
-    replaced = docs.withColumn(text, F.when(has, new).otherwise(t))
-    return replaced if count is None else docs.withColumn(count, F.coalesce(F.size(found), F.lit(0)).cast("long")).withColumn(text, F.when(has, new).otherwise(t))
+    given = docs.withColumn("__found", F.transform(found, lambda b: F.struct(b.alias("old"), pseudonym(b, key, check_cards).alias("new"))))
+    each = F.col("__found")
+    new = F.array_join(F.zip_with(F.split(t, ANY, -1), each, lambda a, b: F.concat(a, F.coalesce(b["new"], b["old"], F.lit("")))), "")
+    replaced = {text: F.when(each.isNotNull(), new).otherwise(t)}
+    if count is not None:
+        replaced[count] = F.coalesce(F.size(F.filter(each, lambda b: b["new"].isNotNull())), F.lit(0)).cast("long")
+    return given.withColumns(replaced).drop("__found")
 
 
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymise(docs, "rollspark", count="n_found").select("doc_id", "text", "n_found")
+    return pseudonymise(docs, "rollspark", count="n_found", check_cards=True).select("doc_id", "text", "n_found")

@@ -53,6 +53,22 @@ def test_clean_null_and_invalid_texts_stay(spark):
     assert replaced(spark, texts) == texts
 
 
+def test_numbers_that_fail_luhn_stay_and_are_not_counted(spark, tmp_path):
+    """In op8 and the pipeline's stage; a right number is still found beside other groups of digits."""
+    import corpus_pipeline
+    clean = ["order 4918187128635272", "at 1700000000001", "12345-6789-0123-45678 2021-02-30", "000-12-1234"]
+    cards = ["4918187128635271", "4918 1871 2863 5271 12", "77 4918-1871-2863-5271", "4918 1871 2863 5271, 1.2.3.4"]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(list(enumerate(clean + cards)), "doc_id long, text string").write.parquet(path)
+    rows = P.op8_feistel_pseudonyms(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r["text"] for r in rows[:4]] == clean and [r["n_found"] for r in rows] == [0, 0, 0, 0, 1, 1, 1, 2]
+    piped = corpus_pipeline.replace_personal_values(spark, spark.read.parquet(path), str(tmp_path)).orderBy("doc_id").collect()
+    assert [r["text"] for r in piped][:4] == clean
+    for a, r in zip(cards[:3], rows[4:], strict=False):
+        inner = re.search(r"4\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}", r["text"])
+        assert inner[0] not in a and luhn(re.sub(r"\D", "", inner[0])) == 0 and r["text"].replace(inner[0], "") == re.sub(r"4918.?1871.?2863.?5271", "", a)
+
+
 def test_equal_values_link_and_keys_matter(spark):
     a, b = "x 44.1.2.3", "y 44.1.2.3 z 44.1.2.3"
     one, two = replaced(spark, [a, b])
