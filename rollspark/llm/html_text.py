@@ -11,6 +11,9 @@ Labelled pages are those that mark their article themselves (``article``,
 scan treats these tags like any other, so pages without them work too. What
 never is main text by its element (menus, forms, scripts, page headers ...) or
 its class (adverts, comments, notices ...) counts as one tag and gives no text.
+A class only tells about the layout where its word is negated or part of a
+layout name (``no-comments``, ``post-header``), or where the element holds most
+of the page's words; then the element is read like any other.
 """
 
 from __future__ import annotations
@@ -33,6 +36,10 @@ APART_WORDS = frozenset(
     "popup modal overlay newsletter subscribe subscription signup login paywall sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs "
     "footer header masthead comment comments respond reply replies disqus share sharing social related recommended pagination pager widget toolbar "
     "skip hidden".split())
+TALK = frozenset("comment comments respond reply replies disqus".split())  # may be longer than the article
+NEGATED = frozenset("no not non without has have with hide hides open layout".split())
+LAYOUT = frozenset([("overflow", "hidden"), ("related", "work"), ("related", "works"),
+                    *((x, "header") for x in "post entry article story chapter section content title".split())])
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset(("article", "main"))
@@ -41,7 +48,8 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:>|\Z)|[^>]*+(?:>|\Z))", re.S)
 RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for x in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
-ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+TELLING = re.compile("class|id|role|hidden|style", re.I)
+ATTR = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 NAME = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 LEAST, MOST = 0.05, 6.0  # costs of a tag that is always, and never, inside articles
@@ -49,21 +57,66 @@ MOST_GONE = 0.5  # cost of a whole element without main text that is never insid
 UNSEEN_WORD, UNSEEN_TAG = 0.8, 0.3
 
 
-def apart(name: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element holds no main text, by its name, role, class or id."""
-    if name in APART or (name == "header" and not in_article):
-        return True
-    if name in ("body", "html", "article", "main") or len(attrs) < 5:
-        return False
+def attributes(attrs: str) -> dict[str, str]:
+    """An opening tag's attributes by lower-case name; of repeated ones the first."""
+    out: dict[str, str] = {}
     for m in ATTR.finditer(attrs):
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "role" and value.lower() in APART_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if key in ("class", "id") and not APART_WORDS.isdisjoint(NAME.findall(CAMEL.sub(" ", value).lower())):
-            return True
-    return False
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def is_body(attrs: str) -> bool:
+    return "articlebody" in attrs.lower() and "articlebody" in attributes(attrs).get("itemprop", "").lower().split()
+
+
+def apart(name: str, attrs: str, in_article: bool) -> str:
+    """How it shows that an element holds no main text: ``sure`` by its name, role or state, ``class`` or ``talk`` by a word of its class or id; empty if not."""
+    if name in APART or (name == "header" and not in_article):
+        return "sure"
+    if name in ("body", "html", "article", "main") or len(attrs) < 5 or not TELLING.search(attrs):
+        return ""
+    has = attributes(attrs)
+    if has.get("role", "").lower() in APART_ROLES or "hidden" in has or has.get("aria-hidden", "").lower() == "true":
+        return "sure"
+    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", has.get("style", ""), re.I):
+        return "sure"
+    found = ""
+    for token in f"{has.get('class', '')} {has.get('id', '')}".split():
+        words = NAME.findall(CAMEL.sub(" ", token).lower())
+        if APART_WORDS.isdisjoint(words) or not NEGATED.isdisjoint(words) or not LAYOUT.isdisjoint(zip(words, words[1:], strict=False)):
+            continue
+        if not TALK.isdisjoint(words):
+            return "talk"
+        found = "class"
+    return found
+
+
+def extents(page: str) -> tuple[dict[int, tuple[int, bool]], int]:
+    """For the place after each opening tag, the words in the element and whether it holds an h1 or an article; and the page's words."""
+    out: dict[int, tuple[int, bool]] = {}
+    opened: dict[str, list[tuple[int, int, int]]] = {}
+    words = leads = at = 0
+    while at < len(page):
+        m = TOKEN.search(page, at)
+        words += len(page[at:m.start() if m else len(page)].split())
+        if not m:
+            break
+        at = m.end()
+        if m["name"] is None:
+            continue
+        name = m["name"].lower()
+        if m["end"]:
+            if opened.get(name):
+                place, before, led = opened[name].pop()
+                out[place] = (words - before, leads > led)
+        elif name in RAW_END:
+            e = RAW_END[name].search(page, at)
+            at = e.end() if e else len(page)
+        else:
+            if name not in VOID and not m["attrs"].endswith("/>"):
+                opened.setdefault(name, []).append((at, words, leads))
+            leads += name in ARTICLE or name == "h1" or is_body(m["attrs"])
+    return out, words
 
 
 def read(page: str) -> list[tuple[str, str, str, bool]]:
@@ -79,12 +132,15 @@ def read(page: str) -> list[tuple[str, str, str, bool]]:
         closing.setdefault(m[1].lower(), []).append(m.start())
     blocks: list[str] = []
     depth_in_article, skip, depth, at = 0, "", 0, 0
+    body, body_depth = "", 0  # the element with itemprop=articleBody that is open
+    held = None
     size = len(page)
     while at < size:
         m = TOKEN.search(page, at)
+        inside = depth_in_article > 0 or body_depth > 0
         text = page[at:m.start() if m else size]
         if text and not skip:
-            out.append(("text", blocks[-1] if blocks else "", text, depth_in_article > 0))
+            out.append(("text", blocks[-1] if blocks else "", text, inside))
         if not m:
             break
         at = m.end()
@@ -100,22 +156,29 @@ def read(page: str) -> list[tuple[str, str, str, bool]]:
                     skip = ""
             continue
         if not ends:
-            gone = apart(name, m["attrs"], depth_in_article > 0)
+            gone = apart(name, m["attrs"], inside)
+            if gone in ("class", "talk"):
+                held = held or extents(page)
+                words, leads = held[0].get(at, (0, False))
+                if 2 * words > held[1] and (leads or gone == "class"):
+                    gone = ""
             if name in RAW_END:
                 e = RAW_END[name].search(page, at)
                 at = e.end() if e else size
-                out.append(("gone", name, "", depth_in_article > 0))
+                out.append(("gone", name, "", inside))
                 continue
             if gone:
-                out.append(("gone", name, "", depth_in_article > 0))
+                out.append(("gone", name, "", inside))
                 if name not in VOID and not m["attrs"].endswith("/>") and closing.get(name, [-1])[-1] > at:
                     skip, depth = name, 1
                 continue
-            if name in ARTICLE or "articlebody" in m["attrs"].lower():
-                out.append(("tag", name, "", depth_in_article > 0))
-                depth_in_article += name in ARTICLE
-            else:
-                out.append(("tag", name, "", depth_in_article > 0))
+            out.append(("tag", name, "", inside))
+            depth_in_article += name in ARTICLE
+            if name not in ARTICLE and name not in VOID and not m["attrs"].endswith("/>"):
+                if body_depth:
+                    body_depth += name == body
+                elif is_body(m["attrs"]) and closing.get(name, [-1])[-1] > at:
+                    body, body_depth = name, 1
             if name not in INLINE and name not in VOID:
                 if blocks and blocks[-1] == "p":
                     blocks.pop()  # a paragraph ends where another block begins
@@ -123,7 +186,9 @@ def read(page: str) -> list[tuple[str, str, str, bool]]:
         else:
             if name in ARTICLE and depth_in_article:
                 depth_in_article -= 1
-            out.append(("tag", name, "", depth_in_article > 0))
+            if body_depth:
+                body_depth -= name == body
+            out.append(("tag", name, "", depth_in_article > 0 or body_depth > 0))
             if name in blocks:
                 while blocks.pop() != name:
                     pass
@@ -151,7 +216,7 @@ def learn_weights(pages: DataFrame, html: str = "html", max_names: int = 1000) -
                  pa.array([seen[k][0] for k in keys], pa.int64()), pa.array([seen[k][1] for k in keys], pa.int64())],
                 ["kind", "name", "outside", "inside"])
 
-    rows = (pages.select(F.col(html).alias("html")).where(F.lower("html").rlike(r"<(article|main)[\s>]"))
+    rows = (pages.select(F.col(html).alias("html")).where(F.lower("html").rlike(r"<(article|main)[\s>]|articlebody"))
             .mapInArrow(count, "kind string, name string, outside long, inside long")
             .groupBy("kind", "name").agg(F.sum("outside").alias("outside"), F.sum("inside").alias("inside"))
             .orderBy(F.desc(F.col("outside") + F.col("inside")), "kind", "name").limit(max_names).collect())

@@ -142,6 +142,26 @@ def test_main_text_of_marked_and_unmarked_pages(spark):
     assert html_text.learn_weights(pages.limit(0)) == {"text": {}, "tag": {}, "gone": {}}
 
 
+def test_layout_classes_and_other_attributes_cost_no_text(spark):
+    words = "one two three four five six seven eight nine ten"
+    weights = {"text": {}, "tag": {}, "gone": {}}
+    for attrs in ('title="hidden gems"', 'data-hidden="false"', 'class="has-sidebar"', 'class="no-comments"', 'class="overflow-hidden"', 'class="post-header"',
+                  'id="related-work"'):
+        assert html_text.main_text(f"<body><div {attrs}><h1>Top</h1><p>{words}</p></div><p>{words} {words}</p></body>", weights) == f"Top\n{words}\n{words} {words}", attrs
+    assert html_text.main_text(f'<body><div class="page sidebar"><h1>Top</h1><p>{words}</p></div></body>', weights) == f"Top\n{words}"
+    assert html_text.main_text(f'<p>go <a href="/hidden-gems">there</a> {words}</p>', weights) == f"go there {words}"
+    for attrs in ('class="sidebar"', 'class="site-header"', "hidden", "style='display: none'", 'role=navigation', 'id="comments"'):
+        assert html_text.main_text(f"<body><p>{words}</p><div {attrs}><p>not this</p></div><p>{words}</p></body>", weights) == f"{words}\n{words}", attrs
+    assert html_text.main_text(f'<p>{words}</p><div id="comments"><p>{words} {words}</p></div>', weights) == words
+
+
+def test_article_body_teaches_weights(spark):
+    page = '<div><ul><li>menu words here</li></ul><div itemprop="articleBody"><div><p>the text</p></div><p>more text</p></div><p>outside</p></div>'
+    assert [t for _, _, t, inside in html_text.read(page) if t and inside] == ["the text", "more text"]
+    got = html_text.learn_weights(spark.createDataFrame([(page,)] * 5, "html string"))
+    assert got["text"]["p"] > 0.5 > got["text"]["li"]
+
+
 def test_main_text_is_the_article_of_given_pages(spark, sf_dir):
     import html
     import re
