@@ -180,6 +180,22 @@ def test_language_model_edges(spark):
     assert mixing_lm.scores(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("blank", [False, True])
+def test_kinds_are_found_on_a_bounded_sample_whatever_the_ids(spark, monkeypatch, blank):
+    """A null or a repeated id with half of the rows neither floods the driver nor fills the sample."""
+    monkeypatch.setattr(mixing_lm, "SAMPLE", 60)
+    text = F.when(F.lit(blank) & (F.col("id") % 2 == 0), F.lit(None)).otherwise(F.concat(F.lit("w"), F.col("id").cast("string")))
+    df = spark.range(3000).select(F.when(F.col("id") % 2 == 1, F.col("id")).alias("doc_id"), text.alias("text"))
+    hot = df.withColumn("doc_id", F.coalesce("doc_id", F.lit(-7).cast("long")))
+    got, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: got.append(collect(self)) or got[-1])
+    for d in (df, hot):
+        mixing_lm.kinds(d, 3000)
+        odd = {int(r) for r in np.array([mixing_lm.features([b"w%d" % i])[0] for i in range(1, 3000, 2)])}
+        rows = [int(np.frombuffer(r["f"], np.float32).argmax()) for r in got.pop()]
+        assert 30 <= len(rows) <= 60 and sum(r in odd for r in rows) >= 20
+
+
 def test_pipeline_stages_keep_columns_and_survive_odd_rows(spark, sf_dir, tmp_path):
     import corpus_pipeline
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
