@@ -28,12 +28,18 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by five-word shingles at 0.8; of repeated rows one."""
-    groups = jaccard_trie.linked_components(docs, n=5, percent=80)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The document with the smallest id (one without an id only if none has one) of each group linked by five-word shingles at 0.8; of repeated rows one.
+
+    Rows are told apart by id and text, so another text with the same id stays.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    groups = jaccard_trie.linked_components(keyed, doc_id="__key", n=5, percent=80).select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.col("__key").alias("key"))
+    first = (groups.join(keyed.select("__key", "doc_id").distinct(), "__key")
+             .groupBy("component_id").agg(F.min(rank).alias("least")).select(F.col("least.key").alias("__key")))
+    left = keyed.join(first, "__key", "left_semi").drop("__key")
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    return left.withColumn("__row", F.row_number().over(same)).where(F.col("doc_id").isNull() | (F.col("__row") == 1)).drop("__row")
+    return left.withColumn("__row", F.row_number().over(same)).where((F.col("doc_id").isNull() & F.col("text").isNull()) | (F.col("__row") == 1)).drop("__row")
 
 
 def drop_benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

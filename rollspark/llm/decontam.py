@@ -11,8 +11,9 @@ Several masks together find passages with replaced words. The steps:
    in one region.
 3. The kept seed hashes are joined with the benchmark's by value; each match
    puts a benchmark item at one place of a document (a diagonal).
-4. On each diagonal the tokens are compared one by one and the best stretch of
-   the alignment is taken: a match adds 1, a replaced word costs ``PENALTY``.
+4. On each diagonal the tokens are compared one by one and the longest stretch
+   with enough equal words is taken, then the longest on either side of it, and
+   so on.
 
 Whole texts are read. Only regions that share a seed with the benchmark are
 shuffled, never the documents.
@@ -25,6 +26,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +35,6 @@ from rollspark.llm.common import kept, table, write_once
 #: The masks; 1 takes part, 0 is ignored.
 MASKS = ("111111", "11011011", "1100110011", "10101010101", "1110000111")
 SPAN = max(map(len, MASKS))
-PENALTY = 1.5
 FILTER_BITS = 1 << 22
 KNOWN_WORDS = 300_000
 WORD = re.compile(r"\w+")
@@ -136,15 +137,19 @@ def bit_table(seed_rows: DataFrame) -> np.ndarray:
 
 
 def candidate_regions(docs: DataFrame, filter_bits, short_lengths: list[int], text: str, doc_id: str, radius: int) -> DataFrame:
-    """(doc_id, start, tokens, seed_pos, seed): stretches of a document around positions that pass the filter."""
-    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
-    schema = "doc_id long, start int, tokens array<long>, seed_pos array<int>, seed array<long>"
+    """(row, doc_id, mark, start, tokens, seed_pos, seed): stretches of a document around positions that pass the filter.
+
+    ``row`` numbers the input's rows, ids or not; ``mark`` is a hash of the text.
+    """
+    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark")).where("text is not null")
+    schema = "row long, doc_id long, mark long, start int, tokens array<long>, seed_pos array<int>, seed array<long>"
 
     def run(batches):
         table_ = np.unpackbits(np.frombuffer(filter_bits.value, np.uint8)).view(bool)
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            out = ([], [], [], [], [])
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            out = ([], [], [], [], [], [], [])
+            ids, texts, marks = (batch.column(i).to_pylist() for i in range(3))
             for first in range(0, len(ids), 64):  # a few documents at a time, in one array
                 each = [words_seen().hashes(x) for x in texts[first:first + 64]]
                 end = np.cumsum([len(t) for t in each])
@@ -174,74 +179,96 @@ def candidate_regions(docs: DataFrame, filter_bits, short_lengths: list[int], te
                     k = int(np.searchsorted(end, p[0], "right"))
                     t, p = each[k], p - (end[k] - len(each[k]))
                     lo, hi = max(0, int(p[0]) - radius), min(len(t), int(p[-1]) + SPAN + radius)
-                    for c, v in zip(out, (ids[first + k], lo, t[lo:hi].astype(np.int64), p.astype(np.int32), h), strict=True):
+                    for c, v in zip(out, (row + first + k, ids[first + k], marks[first + k], lo, t[lo:hi].astype(np.int64), p.astype(np.int32), h), strict=True):
                         c.append(v)
+            row += len(ids)
             if out[0]:
-                kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
-                                                 ["doc_id", "start", "tokens", "seed_pos", "seed"])
+                                                 ["row", "doc_id", "mark", "start", "tokens", "seed_pos", "seed"])
 
     return src.mapInArrow(run, schema)
 
 
-def best_stretch(same: np.ndarray) -> tuple[int, int]:
-    """Start and end of the contiguous stretch with the highest score (match 1, mismatch -PENALTY)."""
-    s = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -PENALTY))])
-    low = np.minimum.accumulate(s)
-    end = int((s - low).argmax())
-    return int(s[:end + 1].argmin()), end
-
-
-def overlaps(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text",
-             item_id: str = "item_id", min_words: int = 10, min_same: float = 0.8, radius: int = 64) -> DataFrame:
-    """(doc_id, item_id, doc_start, item_start, n_words, n_same): one row for each verified overlap.
+def stretches(same: np.ndarray, least: int, min_same: float) -> list[tuple[int, int]]:
+    """Start and end of the longest stretch of ``least`` words or more, of which ``min_same`` are the same, and of those beside it.
 
-    An overlap is the best stretch of an alignment that has at least
-    ``min_words`` words (or the whole item, where it is shorter) of which
-    ``min_same`` are the same; positions count words. Alignments are followed up
-    to ``radius`` words beyond the outermost seed match of a region. Null and
-    empty texts overlap nothing. Repeated documents each have their rows;
-    repeated (doc_id, place, item) rows are one.
+    Stretches begin and end with an equal word, but for one that is the whole.
     """
+    out, rest = [], [(0, len(same))]
+    while rest:
+        lo, hi = rest.pop()
+        at = np.flatnonzero(same[lo:hi]) + lo
+        if hi - lo < least or len(at) < min_same * least - 1e-9:
+            continue
+        n = np.arange(len(at))
+        before, after = n - min_same * at, n + 1 - min_same * (at + 1)  # surplus of equal words up to each
+        best_after = np.maximum.accumulate(after[::-1])[::-1]  # falls, so the last place with enough is found by search
+        last = len(at) - 1 - np.searchsorted(best_after[::-1], before - 1e-9)
+        k = int((at[last] - at).argmax())
+        s, e = int(at[k]), int(at[last[k]]) + 1
+        if e - s >= least:
+            out.append((s, e))
+            rest += [(lo, s), (e, hi)]
+        elif least == len(same):
+            out.append((lo, hi))
+    return out
+
+
+def verified(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text",
+             item_id: str = "item_id", min_words: int = 10, min_same: float = 0.8, radius: int = 64) -> DataFrame:
+    """The rows of ``overlaps`` with ``mark``, a hash of the document's text."""
     spark = docs.sparkSession
     rows = write_once(benchmark_seeds(items, item_text, item_id), "benchmark_seeds")
     filter_bits = spark.sparkContext.broadcast(np.packbits(bit_table(rows)).tobytes())
     short = sorted(x["item_words"] for x in rows.where(f"item_words < {len(MASKS[0])}").select("item_words").distinct().collect())
     regions = write_once(candidate_regions(docs, filter_bits, short, text, doc_id, radius), "regions")
-    hits = regions.select("doc_id", "start", F.explode(F.arrays_zip("seed_pos", "seed")).alias("z")) \
-        .select("doc_id", "start", F.col("z.seed_pos").alias("pos"), F.col("z.seed").alias("seed"))
+    hits = regions.select("row", "start", F.explode(F.arrays_zip("seed_pos", "seed")).alias("z")) \
+        .select("row", "start", F.col("z.seed_pos").alias("pos"), F.col("z.seed").alias("seed"))
     diagonals = (hits.join(rows.select("seed", "item_id", "item_pos"), "seed")
-                 .select("doc_id", "start", "item_id", (F.col("pos") - F.col("item_pos")).alias("at")).distinct())
-    placed = (diagonals.join(regions.select("doc_id", "start", "tokens"), ["doc_id", "start"])
+                 .select("row", "start", "item_id", (F.col("pos") - F.col("item_pos")).alias("at")).distinct())
+    placed = (diagonals.join(regions.select("row", "doc_id", "mark", "start", "tokens"), ["row", "start"])
               .join(item_tokens(items, item_text, item_id), "item_id")
-              .select("doc_id", "item_id", "start", "at", "tokens", "item"))
+              .select("doc_id", "mark", "item_id", "start", "at", "tokens", "item"))
 
     def verify(batches):
         for b in batches:
-            out = ([], [], [], [], [], [])
-            cols = [b.column(i).to_pylist() for i in range(4)]
-            for k, (d, i, start, at) in enumerate(zip(*cols, strict=True)):
-                t, item = b.column(4)[k].values.to_numpy(), b.column(5)[k].values.to_numpy()
+            out = ([], [], [], [], [], [], [])
+            cols = [b.column(i).to_pylist() for i in range(5)]
+            for k, (d, mark, i, start, at) in enumerate(zip(*cols, strict=True)):
+                t, item = b.column(5)[k].values.to_numpy(), b.column(6)[k].values.to_numpy()
                 lo, hi = max(start, at), min(start + len(t), at + len(item))
                 if hi <= lo:
                     continue
                 same = t[lo - start:hi - start] == item[lo - at:hi - at]
-                s, e = best_stretch(same)
-                n, good = e - s, int(same[s:e].sum())
-                if n >= min(min_words, len(item)) and good >= min_same * n:
-                    for c, v in zip(out, (d, i, lo + s, lo + s - at, n, good), strict=True):
+                for s, e in stretches(same, min(min_words, len(item)), min_same):
+                    for c, v in zip(out, (d, mark, i, lo + s, lo + s - at, e - s, int(same[s:e].sum())), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), *[pa.int32()] * 4), strict=True)],
-                ["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_same"])
+                [pa.array(c, t) for c, t in zip(out, (*[pa.int64()] * 3, *[pa.int32()] * 4), strict=True)],
+                ["doc_id", "mark", "item_id", "doc_start", "item_start", "n_words", "n_same"])
+
+    return placed.mapInArrow(verify, "doc_id long, mark long, item_id long, doc_start int, item_start int, n_words int, n_same int").distinct()
+
 
-    return placed.mapInArrow(verify, "doc_id long, item_id long, doc_start int, item_start int, n_words int, n_same int").distinct()
+def overlaps(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
+    """(doc_id, item_id, doc_start, item_start, n_words, n_same): one row for each verified overlap.
+
+    An overlap is a stretch of an alignment that has at least ``min_words``
+    words (or the whole item, where it is shorter) of which ``min_same`` are the
+    same: the longest, and all others beside it. Positions count words.
+    Alignments are followed up to ``radius`` words beyond the outermost seed
+    match of a region. Null and empty texts overlap nothing; null ids have
+    their rows like others. Repeated documents each have their rows; repeated
+    (doc_id, place, item) rows are one. ``how``: the parameters of ``verified``.
+    """
+    return verified(docs, items, **how).drop("mark").distinct()
 
 
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """``docs`` without the rows that overlap an item; rows with a null id stay if their text overlaps nothing."""
-    found = overlaps(docs, items, **how).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(found, F.col(how.get("doc_id", "doc_id")).eqNullSafe(F.col("__hit")), "left_anti")
+    """``docs`` without the rows that overlap an item, whatever their ids; a clean text that shares its id with another stays."""
+    found = verified(docs, items, **how).select(F.col("doc_id").alias("__hit"), F.col("mark").alias("__mark")).distinct()
+    return docs.join(found, F.col(how.get("doc_id", "doc_id")).eqNullSafe(F.col("__hit")) & (F.xxhash64(how.get("text", "text")) == F.col("__mark")), "left_anti")
 
 
 def op6_spaced_seed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:

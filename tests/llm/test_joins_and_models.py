@@ -87,6 +87,41 @@ def test_overlaps_tolerate_substitutions_and_leave_clean_texts(spark):
     assert decontam.overlaps(d.limit(0), b).count() == 0 and decontam.overlaps(d, b.limit(0)).count() == 0
 
 
+def test_overlaps_near_the_limits_and_all_on_a_diagonal(spark):
+    rng = random.Random(5)
+    item = [f"i{k}" for k in range(60)]
+    other = lambda n: [f"d{rng.randrange(10**9)}" for _ in range(n)]
+    texts = {0: item[:8] + other(1) + item[9:10], 1: item[:9] + other(1) + item[10:11], 2: item[:12] + other(25) + item[37:52], 3: item[:9]}
+    d = spark.createDataFrame([(i, " ".join(other(5) + x + other(5))) for i, x in texts.items()], "doc_id long, text string")
+    b = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = sorted(tuple(r) for r in decontam.overlaps(d, b).collect())
+    assert got == [(0, 7, 5, 0, 10, 9), (1, 7, 5, 0, 11, 10), (2, 7, 5, 0, 12, 12), (2, 7, 42, 37, 15, 15)]
+
+
+def test_stretches_against_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        same = rng.random(rng.integers(1, 40)) < rng.choice([0.3, 0.8, 0.9])
+        got = decontam.stretches(same, 10, 0.8)
+        fit = [e - s for s in range(len(same)) for e in range(s + 10, len(same) + 1) if same[s] and same[e - 1] and same[s:e].sum() >= 0.8 * (e - s) - 1e-9]
+        if len(same) > 10:
+            assert max((e - s for s, e in got), default=0) == max(fit, default=0)
+        assert all(a[1] <= b[0] for a, b in zip(sorted(got), sorted(got)[1:], strict=False))
+
+
+def test_null_and_shared_ids_are_told_apart(spark, sf_dir):
+    import corpus_pipeline
+    rng = random.Random(6)
+    item, a, b = prose(rng, 30), prose(rng, 40), prose(rng, 40)
+    rows = [(None, f"{a} {item}"), (None, a), (4, f"{b} {item}"), (4, b)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {tuple(r) for r in decontam.clean(d, items).collect()} == {(None, a), (4, b)}
+    copies = [(1, a), (2, a), (2, b), (None, a), (None, f"{a} x"), (None, item), (None, item), (None, None), (None, None)]
+    kept = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(copies, "doc_id long, text string"), sf_dir)
+    assert Counter(tuple(r) for r in kept.collect()) == Counter([(1, a), (2, b), (None, item), (None, None), (None, None)])
+
+
 def brute(texts, n, percent):
     sets = []
     for x in texts:
