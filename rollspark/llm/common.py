@@ -32,6 +32,16 @@ def widened(schema: StructType, **fields: str) -> StructType:
     return StructType([*schema.fields, *more.fields])
 
 
+#: DuckDB has no crc32: a CTE ``crc`` with the byte table of the polynomial 0xEDB88320, and the fold over a blob with it.
+CRC_TABLE = """crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t)"""
+
+
+def crc32_sql(blob: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex({blob}), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]::BIGINT)), 4294967295::BIGINT)"""
+
+
 _KEPT: dict = {}
 
 
