@@ -7,7 +7,7 @@ this subpackage.
 
 from __future__ import annotations
 
-from rollspark.llm import ann, decontam, html_text, jaccard_trie, langid, mixing_lm, packing, periodic, pseudonyms, token_counts, url_lists
+from rollspark.llm import ann, decontam, html_text, jaccard_trie, langid, mixing_lm, packing, periodic, pseudonyms, shards, token_counts, url_lists
 
 
 def queries() -> dict:
@@ -23,6 +23,7 @@ def queries() -> dict:
         "op9_ngram_jaccard_join": jaccard_trie.op9_ngram_jaccard_join,
         "op10_context_mixing": mixing_lm.op10_context_mixing,
         "op11_periodic_runs": periodic.op11_periodic_runs,
+        "op12_stratified_shards": shards.op12_stratified_shards,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict:
     return {
         "op5_temporal_url_lists": url_lists.ORACLE,
         "op9_ngram_jaccard_join": jaccard_trie.ORACLE,
+        "op12_stratified_shards": shards.ORACLE,
     }
