@@ -7,7 +7,7 @@ this subpackage.
 
 from __future__ import annotations
 
-from rollspark.llm import ann, decontam, html_text, jaccard_trie, langid, mixing_lm, packing, periodic, pseudonyms, shards, token_counts, url_lists
+from rollspark.llm import ann, decontam, html_text, jaccard_trie, langid, manifest, mixing_lm, packing, periodic, pseudonyms, shards, token_counts, url_lists
 
 
 def queries() -> dict:
@@ -24,6 +24,7 @@ def queries() -> dict:
         "op10_context_mixing": mixing_lm.op10_context_mixing,
         "op11_periodic_runs": periodic.op11_periodic_runs,
         "op12_stratified_shards": shards.op12_stratified_shards,
+        "op13_merkle_manifest": manifest.op13_merkle_manifest,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict:
         "op5_temporal_url_lists": url_lists.ORACLE,
         "op9_ngram_jaccard_join": jaccard_trie.ORACLE,
         "op12_stratified_shards": shards.ORACLE,
+        "op13_merkle_manifest": manifest.ORACLE,
     }
