@@ -7,9 +7,11 @@ and the first part of a path. A capture is held against the intervals that
 contain its time of fetching; the longest pattern decides, ``allow`` before
 ``block``.
 
-Patterns and times are cut into buckets of ``bucket_seconds``: a pattern with a
-third of all captures, or a third of all entries, is spread over the buckets,
-and within a bucket Spark may split the join further as it is a plain equi-join.
+The span of the captures is cut into ``BUCKETS`` stretches of time (or into
+stretches of ``bucket_seconds``): a pattern with a third of all captures, or a
+third of all entries, is spread over them, an entry that holds for years is a
+row of ``BUCKETS`` at most, and within a stretch Spark may split the join further
+as it is a plain equi-join.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollspark.llm.common import table
+from rollspark.plans.index import hashed_index
 
 DAY = 86_400
+BUCKETS = 128
 
 
 def host(url) -> Column:
@@ -48,11 +52,11 @@ def seconds(time: str) -> Column:
     return F.unix_seconds(F.col(time).cast("timestamp"))
 
 
-def _bucket(second: Column, width: int) -> Column:
+def _bucket(second: Column, width: int | Column) -> Column:
     return F.floor(second / width)
 
 
-def intervals(entries: DataFrame, bucket_seconds: int = DAY) -> DataFrame:
+def intervals(entries: DataFrame, bucket_seconds: int | Column = DAY) -> DataFrame:
     """(list, pattern, valid_from, valid_to) in epoch seconds from (list, pattern, action, ts); valid_to null: still on.
 
     Entries of one pattern in one second count as one; a removal wins. The next
@@ -71,7 +75,7 @@ def intervals(entries: DataFrame, bucket_seconds: int = DAY) -> DataFrame:
     return joined.where("action = 'add'").select("list", "pattern", F.col("s").alias("valid_from"), F.coalesce("next", "after").alias("valid_to"))
 
 
-def verdicts(captures: DataFrame, entries: DataFrame, bucket_seconds: int = DAY) -> DataFrame:
+def verdicts(captures: DataFrame, entries: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
     """One row per distinct capture (``page_id``, ``url``, ``fetched_at``).
 
     ``n_rows`` repeated rows, ``n_active`` entries that held, the deciding
@@ -79,12 +83,14 @@ def verdicts(captures: DataFrame, entries: DataFrame, bucket_seconds: int = DAY)
     without a usable host or time meets no entry and is kept. Null ids are kept
     apart from others. Columns besides those named are not read.
     """
+    span = captures.agg(F.min(seconds("fetched_at")).alias("lo"), F.max(seconds("fetched_at")).alias("hi"))
+    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    if bucket_seconds is None:
+        bucket_seconds = F.coalesce(F.ceil((hi - lo + 1) / BUCKETS), F.lit(1))
     caps = captures.groupBy("page_id", "url", "fetched_at").agg(F.count(F.lit(1)).alias("n_rows"))
     at = caps.where("url is not null and fetched_at is not null").withColumn("s", seconds("fetched_at"))
     asked = at.select("page_id", "url", "fetched_at", "s", F.explode(F.array_distinct(url_patterns("url"))).alias("pattern")) \
         .withColumn("b", _bucket(F.col("s"), bucket_seconds))
-    span = captures.agg(F.min(seconds("fetched_at")).alias("lo"), F.max(seconds("fetched_at")).alias("hi"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
     iv = (intervals(entries, bucket_seconds).where((F.col("valid_from") <= hi) & (F.coalesce("valid_to", hi + 1) > lo))
           .withColumn("b", F.explode(F.sequence(_bucket(F.greatest("valid_from", lo), bucket_seconds),
                                                 _bucket(F.least(F.coalesce(F.col("valid_to") - 1, hi), hi), bucket_seconds)))))
@@ -107,15 +113,20 @@ def page_captures(pages: DataFrame) -> DataFrame:
 def dated_entries(pages: DataFrame, events: DataFrame) -> DataFrame:
     """A dated block and allow list over the crawl's hosts, from the ``events`` log.
 
-    Each host follows one user's events: errors put the host on the block list,
-    purchases take it off, sign-ups and clicks do the same for the allow list
-    and the host's section ``en``.
+    Every event of a kind below becomes an entry of one host: the hosts are
+    numbered by the digest of their name, and the events of user u go to the host
+    with number u modulo the hosts (no user: host 0). Errors put the host on the
+    block list, purchases take it off, sign-ups and clicks do the same for the
+    allow list and the host's section ``en``.
     """
-    hosts = pages.select(host("url").alias("host")).where("host <> ''").distinct().withColumn("user_id", F.conv(F.substring(F.md5("host"), 1, 8), 16, 10).cast("long") % 150)
+    hosts = pages.select(host("url").alias("host")).where("host <> ''").distinct()
+    n_hosts = hosts.agg(F.count("*").alias("n")).select("n").scalar()
+    numbered = hashed_index(hosts.withColumn("digest", F.md5("host")), "digest", tiebreak=["host"], name="number")
     act = {"error": ("block", "add"), "purchase": ("block", "remove"), "signup": ("allow", "add"), "click": ("allow", "remove")}
     kind = lambda i: F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v[i])) for k, v in act.items()])
-    e = events.where(F.col("event_type").isin(list(act))).select("user_id", "ts", kind(0).alias("list"), kind(1).alias("action"))
-    return e.join(hosts, "user_id").select(
+    number = F.pmod(F.coalesce("user_id", F.lit(0)), F.nullif(n_hosts, F.lit(0)))
+    e = events.where(F.col("event_type").isin(list(act))).select(number.alias("number"), "ts", kind(0).alias("list"), kind(1).alias("action"))
+    return e.join(numbered, "number").select(
         "list", "action", "ts", F.when(F.col("list") == "block", F.col("host")).otherwise(F.concat("host", F.lit("/en"))).alias("pattern"))
 
 
@@ -131,12 +142,13 @@ WITH caps AS (
 parts AS (
   SELECT *, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.$', '') AS host,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)', 1) AS sec, CAST(epoch(fetched_at) AS BIGINT) AS s FROM caps),
-hosts AS (SELECT DISTINCT host FROM parts WHERE host <> ''),
+hosts AS (SELECT host, row_number() OVER (ORDER BY md5(host), host) - 1 AS number, count(*) OVER () AS n
+  FROM (SELECT DISTINCT host FROM parts WHERE host <> '')),
 entries AS (
   SELECT CASE WHEN event_type IN ('error', 'purchase') THEN 'block' ELSE 'allow' END AS list,
     CASE WHEN event_type IN ('error', 'signup') THEN 'add' ELSE 'remove' END AS action, CAST(floor(epoch(ts)) AS BIGINT) AS s,
     CASE WHEN event_type IN ('error', 'purchase') THEN host ELSE host || '/en' END AS pattern
-  FROM events JOIN hosts ON user_id = ('0x' || md5(host)[1:8])::BIGINT % 150 WHERE event_type IN ('error', 'purchase', 'signup', 'click')),
+  FROM events JOIN hosts ON number = (coalesce(user_id, 0) % n + n) % n WHERE event_type IN ('error', 'purchase', 'signup', 'click')),
 once AS (SELECT list, pattern, s, max(action) AS action FROM entries GROUP BY ALL),
 iv AS (SELECT list, pattern, action, s AS valid_from, lead(s) OVER (PARTITION BY list, pattern ORDER BY s) AS valid_to FROM once),
 asked AS (SELECT DISTINCT page_id, url, fetched_at, s, p AS pattern FROM (

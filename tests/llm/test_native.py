@@ -126,6 +126,20 @@ def test_url_lists_against_brute_force(spark):
     assert next(r["n_rows"] for r in spark_rows if r["page_id"] == 0 and r["fetched_at"] == t(0)) == 2
 
 
+def test_every_listed_event_becomes_an_entry(spark, tmp_path):
+    """At every size, for users far more or fewer than hosts, without a user too; so lists grow with the events."""
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(["http://a.com/en/1", "http://b.org/", "http://a.com/x", "http://www.c.net/", None, "nonsense"])], "page_id long, url string")
+    kinds = ["error", "purchase", "signup", "click", "view", None]
+    for n in (10, 5000):
+        events = spark.range(n).select(F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 7).alias("ts"), F.when(F.col("id") % 17 > 0, F.col("id") * 13 % 4001 - 5).alias("user_id"),
+                                       F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("id") % 6 + 1).cast("int")).alias("event_type"))
+        entries = U.dated_entries(pages, events)
+        assert entries.count() == events.where("event_type in ('error', 'purchase', 'signup', 'click')").count()
+        hosts = {r[0].split("/")[0] for r in entries.select("pattern").distinct().collect()}
+        assert hosts == {"a.com", "b.org", "www.c.net"}
+    assert U.dated_entries(pages.limit(0), events).count() == 0
+
+
 def test_url_lists_empty_tables(spark):
     caps = spark.createDataFrame([], "page_id long, url string, fetched_at timestamp")
     entries = spark.createDataFrame([], "list string, pattern string, action string, ts timestamp")
