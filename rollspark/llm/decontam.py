@@ -4,8 +4,8 @@ A seed is a mask of token positions of which some are ignored; hashing the
 others finds passages that agree there, whatever stands in the ignored places.
 Several masks together find passages with replaced words. The steps:
 
-1. A fixed-size bit table of all seed hashes of the benchmark (a Bloom filter,
-   ``FILTER_BITS`` bits whatever the benchmark's size) goes to every task.
+1. A bit table of all seed hashes of the benchmark (a Bloom filter, about
+   ``SEED_BITS`` bits a seed, ``MOST_BITS`` at most) goes to every task.
 2. One scan of the documents hashes every position under every mask. Positions
    that pass the filter are kept with the token hashes around them, close ones
    in one region.
@@ -15,6 +15,10 @@ Several masks together find passages with replaced words. The steps:
    with enough equal words is taken, then the longest on either side of it, and
    so on.
 
+The masks leave no gap from 10 words on: whichever places are replaced inside a
+stretch of at least 10 words with 80 % the same, some mask fits on equal words
+only (a test goes through all patterns).
+
 Whole texts are read. Only regions that share a seed with the benchmark are
 shuffled, never the documents.
 """
@@ -33,9 +37,10 @@ from pyspark.sql import functions as F
 from rollspark.llm.common import kept, table, write_once
 
 #: The masks; 1 takes part, 0 is ignored.
-MASKS = ("111111", "11011011", "1100110011", "10101010101", "1110000111")
+MASKS = ("111111", "1111011", "11001111", "1101000111", "1110100011")
 SPAN = max(map(len, MASKS))
-FILTER_BITS = 1 << 22
+#: Size of the filter; at ``MOST_BITS`` it is 32 MB, and a larger benchmark only lets more positions through.
+SEED_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 KNOWN_WORDS = 300_000
 WORD = re.compile(r"\w+")
 ODD = [np.uint64(x) for x in range(0x9E3779B97F4A7C15, 0x9E3779B97F4A7C15 + 2 * SPAN, 2)]
@@ -84,9 +89,19 @@ def whole_seed(tokens: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(tokens.tobytes(), seed=7) - (1 << 63)
 
 
-def bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u = h.astype(np.uint64)
-    return (u % np.uint64(FILTER_BITS)).astype(np.int64), ((u >> np.uint64(40)) % np.uint64(FILTER_BITS)).astype(np.int64)
+def filter_size(n_seeds: int) -> int:
+    """Bits of the filter for so many seeds: a power of two."""
+    return min(max(1 << (SEED_BITS * n_seeds - 1).bit_length(), LEAST_BITS), MOST_BITS) if n_seeds else LEAST_BITS
+
+
+def passed(h: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """The positions of the hashes that the filter lets through."""
+    u, top = h.astype(np.uint64), np.uint64(8 * len(packed) - 1)
+    p = np.arange(len(h))
+    for spot in (u & top, (u >> np.uint64(32)) & top):
+        at = spot[p].astype(np.int64)
+        p = p[(packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
+    return p
 
 
 def benchmark_seeds(items: DataFrame, text: str, item_id: str) -> DataFrame:
@@ -124,16 +139,17 @@ def item_tokens(items: DataFrame, text: str, item_id: str) -> DataFrame:
     return src.mapInArrow(run, "item_id long, item array<long>")
 
 
-def bit_table(seed_rows: DataFrame) -> np.ndarray:
-    """The Bloom filter; Spark ors the bits of each of its ``FILTER_BITS`` / 64 words, so its size is fixed."""
+def bit_table(seed_rows: DataFrame) -> bytes:
+    """The Bloom filter, packed; Spark ors the bits of each of its words, so what is collected is the filter itself."""
+    size = filter_size(seed_rows.count())
     u = F.col("seed")
-    spots = F.array(F.pmod(u, F.lit(FILTER_BITS)), F.pmod(F.shiftrightunsigned(u, 40), F.lit(FILTER_BITS)))
+    spots = F.array(u.bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned(u, 32).bitwiseAND(F.lit(size - 1)))
     rows = (seed_rows.select(F.explode(spots).alias("bit"))
             .groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("bits"))
             .toArrow())
-    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words = np.zeros(size // 64, np.int64)
     words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return np.unpackbits(words.view(np.uint8), bitorder="little").view(bool)
+    return words.astype("<i8").tobytes()
 
 
 def candidate_regions(docs: DataFrame, filter_bits, short_lengths: list[int], text: str, doc_id: str, radius: int) -> DataFrame:
@@ -145,7 +161,7 @@ def candidate_regions(docs: DataFrame, filter_bits, short_lengths: list[int], te
     schema = "row long, doc_id long, mark long, start int, tokens array<long>, seed_pos array<int>, seed array<long>"
 
     def run(batches):
-        table_ = np.unpackbits(np.frombuffer(filter_bits.value, np.uint8)).view(bool)
+        packed = np.frombuffer(filter_bits.value, np.uint8)
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             out = ([], [], [], [], [], [], [])
@@ -157,9 +173,7 @@ def candidate_regions(docs: DataFrame, filter_bits, short_lengths: list[int], te
                 where, what = [], []
 
                 def passing(h, length, end=end, where=where, what=what):
-                    a, b = bits(h)
-                    p = np.flatnonzero(table_[a])
-                    p = p[table_[b[p]]]
+                    p = passed(h, packed)
                     p = p[p + length <= end[np.searchsorted(end, p, "right")]]  # not across two documents
                     where.append(p)
                     what.append(h[p])
@@ -220,7 +234,7 @@ def verified(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str
     """The rows of ``overlaps`` with ``mark``, a hash of the document's text."""
     spark = docs.sparkSession
     rows = write_once(benchmark_seeds(items, item_text, item_id), "benchmark_seeds")
-    filter_bits = spark.sparkContext.broadcast(np.packbits(bit_table(rows)).tobytes())
+    filter_bits = spark.sparkContext.broadcast(bit_table(rows))
     short = sorted(x["item_words"] for x in rows.where(f"item_words < {len(MASKS[0])}").select("item_words").distinct().collect())
     regions = write_once(candidate_regions(docs, filter_bits, short, text, doc_id, radius), "regions")
     hits = regions.select("row", "start", F.explode(F.arrays_zip("seed_pos", "seed")).alias("z")) \

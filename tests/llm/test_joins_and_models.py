@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -98,6 +99,44 @@ def test_overlaps_near_the_limits_and_all_on_a_diagonal(spark):
     assert got == [(0, 7, 5, 0, 10, 9), (1, 7, 5, 0, 11, 10), (2, 7, 5, 0, 12, 12), (2, 7, 42, 37, 15, 15)]
 
 
+def replaced_places(n):
+    """Every choice of replaced places inside n words that leaves 80 % the same and both ends."""
+    for r in range(n - -(-4 * n // 5) + 1):
+        yield from itertools.combinations(range(1, n - 1), r)
+
+
+def test_masks_leave_no_pattern_out():
+    for n in range(10, 25):
+        fits = [sum(1 << (s + i) for i, x in enumerate(m) if x == "1") for m in decontam.MASKS for s in range(n - len(m) + 1)]
+        for gone in replaced_places(n):
+            bad = sum(1 << i for i in gone)
+            assert any(not bad & f for f in fits), (n, gone)
+
+
+def test_every_overlap_at_the_limit_is_found(spark):
+    """All ways to replace two of ten and eleven words or three of fifteen, and a very long text."""
+    rng = random.Random(8)
+    word = lambda: f"d{rng.randrange(10**9)}"
+    rows, items, want = [], [], set()
+    for n in (10, 11, 15):
+        for gone in replaced_places(n):
+            item = [word() for _ in range(n)]
+            i = len(rows)
+            items.append((i, " ".join(item)))
+            rows.append((i, " ".join([word(), *[word() if k in gone else x for k, x in enumerate(item)], word()])))
+            want.add((i, i, 1, n, n - len(gone)))
+    long = [word() for _ in range(60_000)]
+    items.append((len(rows), " ".join(long[59_980:])))
+    rows.append((len(rows), " ".join(long)))
+    want.add((len(rows) - 1, len(rows) - 1, 59_980, 20, 20))
+    got = decontam.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {tuple(r) for r in got.select("doc_id", "item_id", "doc_start", "n_words", "n_same").collect()} == want
+
+
+def test_filter_grows_with_the_seeds_up_to_its_bound():
+    assert [decontam.filter_size(n) for n in (0, 1, 4096, 4097, 10**12)] == [1 << 16, 1 << 16, 1 << 16, 1 << 17, 1 << 28]
+
+
 def test_stretches_against_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(300):
