@@ -40,7 +40,7 @@ from rollspark.llm.common import kept, table, write_once
 MASKS = ("111111", "1111011", "11001111", "1101000111", "1110100011")
 SPAN = max(map(len, MASKS))
 #: Size of the filter; at ``MOST_BITS`` it is 32 MB, and a larger benchmark only lets more positions through.
-SEED_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
+SEED_BITS, LEAST_BITS, MOST_BITS = 128, 1 << 16, 1 << 28
 KNOWN_WORDS = 300_000
 WORD = re.compile(r"\w+")
 ODD = [np.uint64(x) for x in range(0x9E3779B97F4A7C15, 0x9E3779B97F4A7C15 + 2 * SPAN, 2)]

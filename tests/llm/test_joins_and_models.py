@@ -134,7 +134,7 @@ def test_every_overlap_at_the_limit_is_found(spark):
 
 
 def test_filter_grows_with_the_seeds_up_to_its_bound():
-    assert [decontam.filter_size(n) for n in (0, 1, 4096, 4097, 10**12)] == [1 << 16, 1 << 16, 1 << 16, 1 << 17, 1 << 28]
+    assert [decontam.filter_size(n) for n in (0, 1, 512, 513, 10**12)] == [1 << 16, 1 << 16, 1 << 16, 1 << 17, 1 << 28]
 
 
 def test_stretches_against_brute_force():

@@ -51,6 +51,28 @@ def test_long_texts_count_in_windows(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, langid.ngrams(text), strict=True))
 
 
+def test_distances_against_plain_lists():
+    """The out-of-place sum over the document's ranked n-grams, worked out rank by rank."""
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abcdé  .") for _ in range(rng.randrange(1, 80))) for _ in range(60)]
+
+    def order(text, size):
+        codes, counts = langid.ngrams(text)
+        return [c for c, _ in sorted(zip(codes.tolist(), counts.tolist(), strict=True), key=lambda x: (-x[1], x[0]))][:size]
+
+    by_lang = {k: order(" ".join(texts[i::3]), n) for i, (k, n) in enumerate([("xx", 30), ("yy", 20), ("zz", 30)])}
+    ranks = langid.Ranks(by_lang, 25)
+    for t in texts:
+        mine = order(t, 25)
+        if not mine:
+            assert ranks.predict(t) == ("und", 0.0)
+            continue
+        far = {k: sum(min(abs(p.index(g) - i), 30) if g in p else 30 for i, g in enumerate(mine)) for k, p in by_lang.items()}
+        best = min(sorted(far), key=far.get)
+        lang, score = ranks.predict(t)
+        assert lang == best and abs(score - (1 - far[best] / (30 * len(mine)))) < 1e-12
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     got = langid.op1_language_id(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 3 == 1 for i in got.doc_id]).all()
@@ -118,6 +140,37 @@ def test_best_two_fit_is_tight(seed):
     assert packing.best_two_fit(np.zeros(0), 100)[0].size == 0
 
 
+def naive_best_two_fit(lengths, capacity):
+    """The bins' lengths, piece by piece from plain lists."""
+    pool, bins = sorted(lengths), []
+    while pool:
+        mine = []
+        while fits := [x for x in pool if x <= capacity - sum(mine)]:
+            mine.append(fits[-1])
+            pool.remove(fits[-1])
+        if sum(mine) < capacity and len(mine) > 1:
+            room = capacity - sum(mine) + mine[-1]
+            pairs = [(a + b, -a) for k, a in enumerate(pool) for b in pool[:k] if a + b <= room]
+            if pairs and max(pairs)[0] > mine[-1]:
+                both, a = max(pairs)
+                pool.append(mine.pop())
+                for x in (-a, both + a):
+                    pool.remove(x)
+                    mine.append(x)
+                pool.sort()
+        bins.append(mine)
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_two_fit_is_the_naive_one(seed):
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(1, [101, 60, 12, 100, 40, 3][seed], 150)
+    bins, offsets = packing.best_two_fit(lengths, 100)
+    got = [sorted(lengths[bins == b].tolist()) for b in range(bins.max() + 1)]
+    assert got == [sorted(b) for b in naive_best_two_fit(lengths.tolist(), 100)]
+
+
 def test_best_two_fit_replaces_the_smallest():
     # greedy takes 60 + 30 and leaves 10; the pair 25 + 15 fits the place of 30 and the gap
     bins, _ = packing.best_two_fit(np.array([60, 30, 25, 15]), 100)
