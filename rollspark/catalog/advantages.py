@@ -89,7 +89,7 @@ SELECT uid, sample_key, {R("sum(ret)", 4)} AS ret_sum, {R("sum(ret * k)", 4)} AS
        {R("sum((ret - mu) / sqrt(var + 1e-8) * m * k)", 4)} AS adv_wsum
 FROM ret, st GROUP BY uid, sample_key""", "rollouts"))
 def q_reinforce_pp(spark, d):
-    df = rollouts(spark, d, with_tokens=True)
+    df = rollouts(spark, d, with_tokens=True).select("uid", "sample_key", "values", "loss_mask")
     out = ADV.reinforce_pp(df, "values", "loss_mask", gamma=GAMMA_RPP)
     return out.select("uid", "sample_key",
                       rnd(dsum("returns"), 4).alias("ret_sum"), rnd(array_wsum("returns"), 4).alias("ret_wsum"),
@@ -113,7 +113,7 @@ SELECT uid, sample_key, {R("sum(a + v)", 4)} AS ret_sum,
        {R("sum((a - mu) / sqrt(var + 1e-8) * k)", 4)} AS adv_wsum
 FROM adv, st GROUP BY uid, sample_key""", "rollouts"))
 def q_gae(spark, d):
-    df = rollouts(spark, d, with_tokens=True)
+    df = rollouts(spark, d, with_tokens=True).select("uid", "sample_key", "values", "loss_mask")
     out = ADV.gae(df, "values", "values", "loss_mask", gamma=GAE_GAMMA, lam=GAE_LAMBDA)
     return out.select("uid", "sample_key", rnd(dsum("returns"), 4).alias("ret_sum"),
                       rnd(dsum("advantage_tokens"), 4).alias("adv_sum"),
@@ -133,7 +133,7 @@ SELECT uid, sample_key, {R("sum((adv * m - mu) * rstd)")} AS adv_sum,
        {R("sum((adv * m - mu) * rstd * k)")} AS adv_wsum
 FROM c, st2 GROUP BY uid, sample_key""", "rollouts"))
 def q_normalized(spark, d):
-    df = ADV.rloo(rollouts(spark, d, with_tokens=True), mask="loss_mask")
+    df = ADV.rloo(rollouts(spark, d, with_tokens=True).select("uid", "sample_key", "reward", "loss_mask"), mask="loss_mask")
     out = ADV.normalize_advantages(df, "advantage_tokens", "loss_mask")
     return out.select("uid", "sample_key", rnd(dsum("advantage_tokens")).alias("adv_sum"),
                       rnd(array_wsum("advantage_tokens")).alias("adv_wsum"))
@@ -159,3 +159,18 @@ def q_token_rewards(spark, d):
     return df.select("uid", "sample_key", F.size("token_rewards").cast("bigint").alias("n_tokens"),
                      rnd(F.try_element_at("token_rewards", F.lit(-1))).alias("last_reward"),
                      rnd(array_wsum("token_rewards")).alias("wsum"))
+
+
+@query("advantage_registry", with_views(f""", {_STATS},
+a AS (SELECT r.uid, r.sample_key, reward, g_n, g_mean, g_std, avg(reward) OVER () AS b_mean FROM rollouts r JOIN g USING (uid))
+SELECT 'grpo' AS estimator, uid, sample_key, {R("CASE WHEN g_n = 1 THEN reward / (1.0 + 1e-6) ELSE (reward - g_mean) / (g_std + 1e-6) END")} AS advantage FROM a
+UNION ALL SELECT 'rloo', uid, sample_key, {R("CASE WHEN g_n = 1 THEN 0.0 ELSE (reward - g_mean) * g_n / (g_n - 1) END")} FROM a
+UNION ALL SELECT 'group_centered', uid, sample_key, {R("reward - g_mean")} FROM a
+UNION ALL SELECT 'batch_mean', uid, sample_key, {R("reward - b_mean")} FROM a""", "rollouts"))
+def q_registry(spark, d):
+    """The sequence-level estimators by their registered names."""
+    from functools import reduce
+    df = rollouts(spark, d).select("uid", "sample_key", "reward")
+    parts = [ADV.get_estimator(n)(df).select(F.lit(n).alias("estimator"), "uid", "sample_key", rnd("advantage").alias("advantage"))
+             for n in ADV.list_estimators() if n in ("grpo", "rloo", "group_centered", "batch_mean")]
+    return reduce(lambda a, b: a.unionByName(b), parts)

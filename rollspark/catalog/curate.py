@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from rollspark.catalog.core import R, query
-from rollspark.functions.cols import rnd
+from rollspark.functions.cols import hash_unit, rnd, seeded_hash
 from rollspark.operators import advantages as ADV
 from rollspark.operators import curate as C
 from rollspark.sources.fixtures import math_labels, rollouts, sql_annotations, with_views
@@ -17,6 +17,10 @@ from rollspark.sources.tables import table
 _INSTR = C.MATH_INSTRUCTION.replace("'", "''")
 
 
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
 def _flat(df):
     return df.select("data_source", F.col("prompt")[0]["content"].alias("prompt_content"), "env_class",
                      F.col("reward_spec.method").alias("method"),
@@ -251,3 +255,35 @@ FROM math_labels""", "math_labels"))
 def q_gsm8k(spark, d):
     out = C.gsm8k_rows(math_labels(spark, d), solution="solution")
     return out.select("id", "ground_truth", (F.col("ground_truth") == F.col("groundtruth_answer")).alias("matches_gold"))
+
+
+@query("benchmark_prompt_rows", with_views("\n" + " UNION ALL ".join([
+    _mode_sql("default", "rule", "groundtruth_answer").replace("'train'", "'test'"),
+    _mode_sql("incorrect", "rule", "incorrect_answer").replace("'train'", "'test'"),
+    _mode_sql("format_reward", "format", "incorrect_answer").replace("'train'", "'test'"),
+    _mode_sql("random_noise", "rule", _RANDOM_ANSWER).replace("'train'", "'test'"),
+]), "math_labels"))
+def q_benchmark_prompts(spark, d):
+    lab = math_labels(spark, d).withColumnRenamed("id", "index").withColumnRenamed("question", "problem").withColumn("prompt", F.lit("not this one")) \
+        .withColumnRenamed("incorrect_answer", "answer")
+    return reduce(lambda a, b: a.unionByName(b), [_flat(C.benchmark_prompt_rows(lab, m)) for m in ("default", "incorrect", "format_reward", "random_noise")])
+
+
+@query("gsm8k_prompt_rows", with_views(f"""
+SELECT 'openai/gsm8k' AS data_source, question || {_lit(" " + C.GSM8K_INSTRUCTION)} AS content, 'gsm8k' AS env_class, 'rule' AS method,
+       groundtruth_answer AS ground_truth, 'train' AS split, id AS idx, solution AS answer, question FROM math_labels""", "math_labels"))
+def q_gsm8k_prompts(spark, d):
+    rows = C.gsm8k_prompt_rows(math_labels(spark, d), solution="solution", index="id")
+    return rows.select("data_source", F.col("prompt")[0]["content"].alias("content"), "env_class", F.col("reward_spec.method").alias("method"),
+                       F.col("reward_spec.ground_truth").alias("ground_truth"), F.col("extra_info.split").alias("split"), F.col("extra_info.index").alias("idx"),
+                       F.col("extra_info.answer").alias("answer"), F.col("extra_info.question").alias("question"))
+
+
+@query("inject_noise_remove", with_views(f"""
+SELECT id, CASE WHEN {_hex_int("md5('0|param|' || CAST(id AS VARCHAR))")} / 4294967296.0 < 0.3 THEN 'first test of ' || id ELSE groundtruth_answer END AS ground_truth,
+       {_hex_int("md5('0|param|' || CAST(id AS VARCHAR))")} / 4294967296.0 < 0.3 AS noised FROM math_labels""", "math_labels"))
+def q_noise_remove(spark, d):
+    lab = math_labels(spark, d).withColumn("param", hash_unit(seeded_hash(0, F.lit("param"), "id"))) \
+        .withColumn("insufficient_tests", F.concat(F.lit("first test of "), F.col("id").cast("string")))
+    out = C.inject_noise(lab, 0.3, "randomly_remove", truth="groundtruth_answer")
+    return out.select("id", F.col("groundtruth_answer").alias("ground_truth"), "noised")

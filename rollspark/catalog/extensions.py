@@ -6,11 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rollspark.catalog.core import query
+from rollspark.catalog.grade_sql import _FMT, _GRADE_CTES
 from rollspark.catalog.losses import _tok
 from rollspark.functions.cols import rnd
 from rollspark.operators import registry as X
 from rollspark.operators import trajectories as TR
-from rollspark.sources.fixtures import messages, responses, rollouts, transitions, with_views
+from rollspark.sources.fixtures import messages, responses, rollouts, sql_questions, sql_results, transitions, with_views
 from rollspark.sources.tables import table
 
 _EMPTY = ("substr(md5(CAST(conv_id AS STRING)), 1, 1) < '5' "
@@ -83,6 +84,32 @@ def q_graders(spark, d):
 
 query("graders_by_env")(q_graders)  # rows-only: each grader has its own oracle query
 
+# a document's tests are its sentences; one passes unless it speaks of an odd number of commas
+_CODE = """CASE WHEN n_chars % 3 = 0 THEN concat('```python', chr(10), 'pass', chr(10), '```') ELSE 'no code' END"""
+
+
+@query("graders_over_tables", with_views(_GRADE_CTES.replace("{method}", "grading_method") + f"""
+, code AS (SELECT doc_id, n_chars % 3 = 0 AS wrote, bool_and(passed) AS ok FROM (
+    SELECT doc_id, n_chars, (length(s) - length(replace(s, ',', ''))) % 2 = 0 AS passed
+    FROM (SELECT doc_id, n_chars, unnest(string_split(text, '. ')) AS s FROM documents)) GROUP BY 1, 2)
+SELECT 'text2sql' AS env_class, q.question_id AS row_id,
+       CAST(CASE WHEN {_FMT.replace("completion", "q.completion")} IS NULL THEN -1.0 WHEN NOT q.pred_ok THEN 0.0
+                 WHEN coalesce(v.is_correct, false) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score
+FROM sql_questions q LEFT JOIN v USING (question_id)
+UNION ALL SELECT 'code', doc_id + 1000000000000, CASE WHEN wrote AND ok THEN 1.0 ELSE 0.0 END FROM code
+UNION ALL SELECT 'other', doc_id + 2000000000000, NULL FROM documents""", "sql_results", "sql_questions"))
+def q_table_graders(spark, d):
+    """SQL questions, code answers and rows of an unknown class in one table, graded over result tables."""
+    q, docs = sql_questions(spark, d), table(spark, d, "documents").select("doc_id", "text", "n_chars")
+    rows = q.select(F.lit("text2sql").alias("env_class"), F.col("question_id").alias("row_id"), F.col("completion").alias("response"), F.col("grading_method").alias("gold")) \
+        .unionByName(docs.select(F.lit("code").alias("env_class"), (F.col("doc_id") + 1000000000000).alias("row_id"), F.expr(_CODE).alias("response"), F.lit(None).cast("string").alias("gold"))) \
+        .unionByName(docs.select(F.lit("other").alias("env_class"), (F.col("doc_id") + 2000000000000).alias("row_id"), F.lit("").alias("response"), F.lit(None).cast("string").alias("gold")))
+    status = q.select("question_id", F.lit("pred").alias("side"), F.col("pred_ok").alias("ok"))
+    tests = docs.select((F.col("doc_id") + 1000000000000).alias("question_id"), F.explode(F.split("text", r"\. ")).alias("s")) \
+        .select("question_id", ((F.length("s") - F.length(F.replace("s", F.lit(","), F.lit("")))) % 2 == 0).alias("passed"))
+    out = X.grade_by_env(rows, key="row_id", sql_results=sql_results(spark, d), sql_status=status, code_results=tests)
+    return out.select("env_class", "row_id", "score")
+
 
 @query("preference_by_model", """
 SELECT p_partkey, CAST(sign(p_size - length(p_name)) AS DOUBLE) AS by_score,
@@ -102,9 +129,6 @@ SELECT doc_id, line_no, line FROM (
   SELECT doc_id, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS line_no,
          unnest(string_split(text, chr(10))) AS line FROM documents)""")
 def q_flat_map(spark, d):
-    def lines(pdf):
-        import pandas as pd
-        rows = [(i, n, ln) for i, t in zip(pdf["doc_id"], pdf["text"]) for n, ln in enumerate(t.split("\n"))]
-        return pd.DataFrame(rows, columns=["doc_id", "line_no", "line"])
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return X.flat_map_pandas(docs, lines, "doc_id long, line_no long, line string")
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")) \
+        .select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line")

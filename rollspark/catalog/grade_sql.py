@@ -156,3 +156,27 @@ def q_sql_prompts(spark, d):
                        F.col("reward_spec.ground_truth").alias("ground_truth"),
                        F.col("reward_spec.method").alias("method"),
                        F.col("extra_info.index").alias("idx"), "question_id")
+
+
+def _result_text_sql(text: str) -> str:
+    return with_views(f"""
+, p AS (SELECT question_id, side, vals, row_number() OVER (PARTITION BY question_id, side ORDER BY row_idx) AS rn,
+              count(*) OVER (PARTITION BY question_id, side) AS n_rows FROM sql_results)
+, c AS (SELECT question_id, side, rn, n_rows, unnest(list_transform(vals, lambda v: coalesce(v, 'None'))) AS v, unnest(range(len(vals))) AS i FROM p)
+, h AS (SELECT * FROM c UNION ALL SELECT DISTINCT question_id, side, 0, n_rows, CAST(i AS VARCHAR), i FROM c)
+, w AS (SELECT *, max(length(v)) OVER (PARTITION BY question_id, side, i) AS wide,
+               max(CASE WHEN rn <= 3 THEN length(v) END) OVER (PARTITION BY question_id, side, i) AS wide3 FROM h)
+, l AS (SELECT question_id, side, rn, n_rows, string_agg(lpad(v, CAST(wide AS INTEGER), ' '), ' ' ORDER BY i) AS line,
+               CASE WHEN rn <= 3 THEN string_agg(CASE WHEN rn <= 3 THEN lpad(v, CAST(wide3 AS INTEGER), ' ') END, ' ' ORDER BY i) END AS line3 FROM w GROUP BY ALL)
+, t AS (SELECT question_id, side, n_rows, string_agg(line, chr(10) ORDER BY rn) AS whole, string_agg(line3, chr(10) ORDER BY rn) AS head FROM l GROUP BY ALL)
+SELECT question_id, side, CAST(n_rows AS BIGINT) AS n_rows, {text} AS text FROM t""", "sql_results")
+
+
+@query("sql_result_text", _result_text_sql(f"CASE WHEN n_rows > 3 THEN '{G.PREVIEW_TRUNCATED}' || head ELSE '{G.PREVIEW_FULL}' || whole END"))
+def q_result_text(spark, d):
+    return G.result_text(sql_results(spark, d), max_rows=3)
+
+
+@query("sql_result_text_by_length", _result_text_sql(f"CASE WHEN length(whole) > 60 THEN '{G.PREVIEW_TRUNCATED}' || head ELSE whole END"))
+def q_result_text_chars(spark, d):
+    return G.result_text(sql_results(spark, d), "chars", max_rows=3, max_chars=60)

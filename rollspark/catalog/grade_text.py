@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rollspark.catalog.core import query
 from rollspark.functions import text as T
 from rollspark.operators import grade_text as GT
-from rollspark.sources.fixtures import math_labels, responses, with_views
+from rollspark.sources.fixtures import dealt, math_labels, responses, with_views
 from rollspark.sources.tables import table
 
 STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
@@ -132,7 +132,7 @@ SELECT doc_id,
             ELSE regexp_extract_all(text, '(-?[0-9.,]+)', 1)[1] END AS model_answer
 FROM documents""")
 def q_gsm8k_flexible(spark, d):
-    docs = table(spark, d, "documents")
+    docs = dealt(table(spark, d, "documents"), "doc_id")
     return docs.select("doc_id", T.gsm8k_flexible("text").alias("model_answer"))
 
 

@@ -214,6 +214,16 @@ def q_prob_gap(spark, d):
     return out.select(rnd("prob_diff_mean").alias("prob_diff_mean"), rnd("prob_diff_std").alias("prob_diff_std"))
 
 
+@query("prob_gap_padded", with_views(_CELLS + f"""
+, g AS (SELECT abs(exp(old) - exp(lp)) AS g FROM cells),
+pad AS (SELECT count(*) * max(len(loss_mask)) - sum(len(loss_mask)) AS n FROM rollouts),
+allc AS (SELECT g FROM g UNION ALL SELECT 0.0 FROM pad, range(CAST(pad.n AS BIGINT)))
+SELECT {R("avg(g)")} AS prob_diff_mean, {R("stddev_samp(g)")} AS prob_diff_std FROM allc""", "rollouts"))
+def q_prob_gap_padded(spark, d):
+    out = L.prob_gap(_tok(spark, d), "rollout_logprobs", "log_probs", "loss_mask", padded=True)
+    return out.select(rnd("prob_diff_mean").alias("prob_diff_mean"), rnd("prob_diff_std").alias("prob_diff_std"))
+
+
 @query("kl_reward_stats", with_views(_CELLS + f"""
 , r AS (SELECT uid, sample_key, sum((lp - b) * m) / greatest(sum(m), 1) AS km, max(abs((lp - b) * m)) AS kx
         FROM cells GROUP BY 1, 2)

@@ -84,6 +84,17 @@ def q_swap(spark, d):
     return swap_augment(pairs)
 
 
+@query("swap_augment_by_coin", """
+WITH b AS (SELECT p_partkey, p_name AS a, p_brand AS b, CASE WHEN p_size % 3 = 0 THEN 'Tie' WHEN p_size % 2 = 0 THEN 'A' ELSE 'B' END AS label,
+                  substr(md5('0|' || CAST(p_partkey AS VARCHAR)), 1, 1) >= '8' AS flip FROM part)
+SELECT p_partkey, CASE WHEN flip THEN b ELSE a END AS completion_A, CASE WHEN flip THEN a ELSE b END AS completion_B,
+       CASE WHEN NOT flip OR label = 'Tie' THEN label WHEN label = 'A' THEN 'B' ELSE 'A' END AS label, flip AS swapped FROM b""")
+def q_swap_coin(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("completion_A"), F.col("p_brand").alias("completion_B"),
+                                       F.when(F.col("p_size") % 3 == 0, "Tie").when(F.col("p_size") % 2 == 0, "A").otherwise("B").alias("label"))
+    return swap_augment(p, mode="coin", key="p_partkey")
+
+
 @query("verdict_scores", """
 SELECT o_orderkey AS id, CAST(CASE WHEN o_orderstatus = 'F' THEN -1.0 WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score
 FROM orders""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rollspark.catalog.core import R, query
 from rollspark.functions.cols import rnd
 from rollspark.operators import retrieve as RT
+from rollspark.sources.fixtures import dealt
 from rollspark.sources.tables import table
 
 
@@ -41,7 +42,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {R("score")}
 
 def _bm25_hits(spark, d, k=10):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    idx = RT.bm25_index(table(spark, d, "documents"), terms=RT.query_terms(q))
+    idx = RT.bm25_index(dealt(table(spark, d, "documents"), "doc_id"), terms=RT.query_terms(q))
     return RT.bm25_topk(idx, q, k)
 
 
@@ -63,6 +64,16 @@ def q_results_text(spark, d):
     return t.select("query_id", F.md5("text").alias("text_md5"))
 
 
+@query("retrieval_results_by_query", _BM25 + """
+, h AS (SELECT rk.query_id, rk.rank, d.text, b.text AS query FROM rk JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = rk.query_id WHERE rank <= 3)
+SELECT query_id, md5('Query: ' || query || chr(10) || string_agg('Document ' || CAST(rank AS VARCHAR) || ':' || chr(10) || text || chr(10), '' ORDER BY rank)) AS text_md5
+FROM h GROUP BY query_id, query""")
+def q_results_by_query(spark, d):
+    hits = _bm25_hits(spark, d, 3).join(table(spark, d, "documents").select("doc_id", F.col("text").alias("contents")), "doc_id") \
+        .join(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
+    return RT.results_text(hits, style="query").select("query_id", F.md5("text").alias("text_md5"))
+
+
 @query("encoder_prefixes", """
 SELECT doc_id, md5('passage: ' || text) AS e5_passage_md5, md5(text) AS bge_passage_md5 FROM documents""")
 def q_prefix(spark, d):

@@ -81,6 +81,23 @@ def q_validate(spark, d):
                       F.col("bad_logprob_len").cast("bigint").alias("bad_logprob_len"), "all_masked")
 
 
+@query("rollout_violations", with_views("""
+, b AS (SELECT uid, sample_key, resp_len, CASE WHEN resp_len % 7 = 0 THEN [] ELSE response_ids END AS r,
+               CASE WHEN resp_len % 5 = 0 THEN list_slice(loss_mask, 1, 3) WHEN resp_len % 11 = 0 THEN list_transform(loss_mask, lambda m: 0) ELSE loss_mask END AS m,
+               CASE WHEN resp_len % 3 = 0 THEN NULL WHEN resp_len % 13 = 0 THEN list_slice(rollout_logprobs, 2, len(rollout_logprobs)) ELSE rollout_logprobs END AS lp FROM rollouts)
+SELECT uid, sample_key, 'empty_response' AS violation, CAST(len(r) AS BIGINT) AS found, CAST(len(r) AS BIGINT) AS expected FROM b WHERE len(r) = 0
+UNION ALL SELECT uid, sample_key, 'mask_length', len(m), len(r) FROM b WHERE len(m) <> len(r)
+UNION ALL SELECT uid, sample_key, 'all_masked', 0, len(r) FROM b WHERE coalesce(list_sum(m), 0) = 0
+UNION ALL SELECT uid, sample_key, 'logprob_length', len(lp), len(r) FROM b WHERE lp IS NOT NULL AND len(lp) <> len(r)""", "rollouts"))
+def q_violations(spark, d):
+    n = F.col("resp_len")
+    df = rollouts(spark, d, with_tokens=True).withColumns({
+        "response_ids": F.when(n % 7 == 0, F.array().cast("array<bigint>")).otherwise(F.col("response_ids")),
+        "loss_mask": F.when(n % 5 == 0, F.slice("loss_mask", 1, 3)).when(n % 11 == 0, F.transform("loss_mask", lambda m: F.lit(0))).otherwise(F.col("loss_mask")),
+        "rollout_logprobs": F.when(n % 3 == 0, None).when(n % 13 == 0, F.slice("rollout_logprobs", 2, F.greatest(n, F.lit(1)).cast("int"))).otherwise(F.col("rollout_logprobs"))})
+    return S.rollout_violations(df, logprobs="rollout_logprobs")
+
+
 DS_TARGET, DS_N = 1000, 4
 _KEPT = "kept AS (SELECT uid FROM rollouts GROUP BY uid HAVING stddev_pop(reward) > 0)"
 

@@ -58,6 +58,15 @@ def q_training_sequences(spark, d):
                        rnd(dsum("advantages")).alias("advantage_sum"))
 
 
+@query("training_sequences_cut", with_views(_MERGE + """
+, sq AS (SELECT traj_id, seq_no, list_slice(flatten(list(delta_ob || ac ORDER BY step)), 1, 48) AS tok FROM m GROUP BY 1, 2)
+SELECT traj_id, seq_no, CAST(greatest(len(tok) - 1, 0) AS BIGINT) AS n_tokens, md5(array_to_string(list_slice(tok, 1, len(tok) - 1), ' ')) AS input_md5 FROM sq""", "transitions"))
+def q_training_sequences_cut(spark, d):
+    merged = S.merge_turns(transitions(spark, d)).withColumn("advantage", F.lit(0.0))
+    seqs = S.training_sequences(merged, max_length=48)
+    return seqs.select("traj_id", "seq_no", F.size("input_tokens").cast("bigint").alias("n_tokens"), F.md5(F.array_join("input_tokens", " ")).alias("input_md5"))
+
+
 @query("trajectory_totals", with_views(f"""
 SELECT group_id, traj_id, {R("sum(reward)")} AS total_reward, CAST(count(*) AS BIGINT) AS n_turns
 FROM transitions GROUP BY 1, 2""", "transitions"))

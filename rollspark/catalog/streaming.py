@@ -1,6 +1,6 @@
-"""Streaming queries (T1-T6): each writes the lineitem rows as several files, so
+"""Streaming queries (T1-T6): each writes the lineitem rows into several folders, so
 that groups are split over micro-batches, runs a Structured Streaming job over
-them (``availableNow``, a file a micro-batch), with its checkpoint and sink in
+them (``availableNow``, a folder a micro-batch), with its checkpoint and sink in
 the shared checkpoint folder, and returns the sink as a table."""
 
 from __future__ import annotations
@@ -13,19 +13,20 @@ from rollspark.sources.fixtures import rollout_columns, with_views
 from rollspark.sources.tables import table
 from rollspark.streaming import rollouts as ST
 
-FILES = 3
+FOLDERS, FILES = 3, 4
+SHUFFLE_BUFFER = 1000
 
 
 def _rollout_stream(spark, d):
-    """The rollouts as a stream of ``FILES`` files, written one after another: the file of a row follows from its hash."""
+    """The rollouts as a stream of ``FOLDERS`` folders of ``FILES`` files, written one after another: the folder of a row follows from its hash."""
     li = table(spark, d, "lineitem")
     sizes = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("group_n"))
     li = li.join(sizes, F.col("l_orderkey").eqNullSafe(F.col("k"))).drop("k")
     key = F.md5(F.concat_ws("|", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint")))
     path = ST.stream_path(spark, "input")
-    for i in range(FILES):  # a file a micro-batch, in this order
-        li.filter(hash_int(seeded_hash("file", "l_orderkey", key), FILES) == i).coalesce(1).write.parquet(f"{path}/{i}")
-    stream = ST.file_stream(spark, path + "/*", li.schema)
+    for i in range(FOLDERS):  # a folder a micro-batch, in this order
+        li.filter(hash_int(seeded_hash("file", "l_orderkey", key), FOLDERS) == i).repartition(FILES).write.parquet(f"{path}/{i}")
+    stream = ST.file_stream(spark, path + "/*", li.schema, max_files=FILES)
     return rollout_columns(stream, False, keep=("group_n",)), stream
 
 
@@ -38,7 +39,7 @@ def _fb(spark, name, stream, fn):
 
 # the file of a rollout, as SQL
 FILED = f"""
-, filed AS (SELECT *, ('0x' || md5('file|' || CAST(uid AS VARCHAR) || '|' || sample_key)[1:8])::BIGINT % {FILES} AS part FROM rollouts)"""
+, filed AS (SELECT *, ('0x' || md5('file|' || CAST(uid AS VARCHAR) || '|' || sample_key)[1:8])::BIGINT % {FOLDERS} AS part FROM rollouts)"""
 
 
 @query("stream_complete_groups", with_views(FILED + f"""
@@ -63,6 +64,30 @@ def q_complete_groups(spark, d):
     return done.unionByName(left)
 
 
+@query("stream_timed_groups", with_views(FILED + f"""
+, k AS (SELECT uid, sample_key, reward, CAST(floor((row_number() OVER (PARTITION BY uid ORDER BY part, sample_key) - 1) / 4) AS BIGINT) AS group_no,
+               CAST(floor(count(*) OVER (PARTITION BY uid) / 4) AS BIGINT) AS released, max(part) OVER (PARTITION BY uid) AS last FROM filed)
+, g AS (SELECT uid, group_no, avg(reward) AS m, stddev_samp(reward) AS s, count(*) AS n FROM k GROUP BY uid, group_no)
+SELECT uid, group_no, sample_key, {R("CASE WHEN n = 1 THEN reward / (1.0 + 1e-6) ELSE (reward - m) / (s + 1e-6) END")} AS advantage, CAST(n AS BIGINT) AS n_in_group, group_no < released AS complete
+FROM k JOIN g USING (uid, group_no) WHERE group_no < released OR last = 0""", "rollouts"))
+def q_timed_groups(spark, d):
+    """Folder i arrives on day i; samples that wait for 36 hours end as incomplete groups, which those of folder 0 do."""
+    rs, _ = _rollout_stream(spark, d)
+    part = hash_int(seeded_hash("file", "uid", "sample_key"), FOLDERS)
+    rs = rs.withColumn("arrived", F.timestamp_seconds(F.lit(1704067200) + part * 86400))
+    out = ST.stream_path(spark, "timed_groups")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = ST.timed_groups(rs, 4, "36 hours").writeStream.format("parquet").option("path", out + "/data") \
+            .option("checkpointLocation", out + "/ck").outputMode("append").trigger(availableNow=True).start()
+        ST.run_available(q)
+    finally:
+        spark.conf.set(store, before) if before else spark.conf.unset(store)
+    return spark.read.parquet(out + "/data").select("uid", "group_no", "sample_key", rnd("advantage").alias("advantage"), "n_in_group", "complete")
+
+
 @query("stream_kept_groups", with_views(FILED + """
 , g AS (SELECT uid, max(part) AS ready FROM filed GROUP BY uid HAVING stddev_pop(reward) > 0)
 , taken AS (SELECT uid FROM (SELECT uid, row_number() OVER (ORDER BY ready, uid) AS n FROM g) WHERE n <= 1000)
@@ -103,16 +128,17 @@ def q_stale_stream(spark, d):
     return kept.unionByName(req)
 
 
-@query("stream_shuffled_batches", with_views(FILED + """
-SELECT uid, sample_key, CASE WHEN batch_id < nb THEN batch_id END AS batch_id FROM (
-  SELECT uid, sample_key,
-         CAST(floor((row_number() OVER (ORDER BY part, md5('0|' || CAST(uid AS VARCHAR) || '|' || sample_key), uid, sample_key) - 1) / 256) AS BIGINT) AS batch_id,
-         CAST(floor(count(*) OVER () / 256) AS BIGINT) AS nb FROM filed)""", "rollouts"))
+@query("stream_shuffled_batches", with_views(FILED + f"""
+, a AS (SELECT uid, sample_key, row_number() OVER (ORDER BY part, md5('0|' || CAST(uid AS VARCHAR) || '|' || sample_key), uid, sample_key) - 1 AS j,
+               count(*) OVER () AS n FROM filed)
+, p AS (SELECT *, CASE WHEN j < {SHUFFLE_BUFFER} THEN j ELSE ('0x' || md5('0|place|' || CAST(j AS VARCHAR))[1:8])::BIGINT % {SHUFFLE_BUFFER} END AS place FROM a)
+, o AS (SELECT *, lead(j) OVER (PARTITION BY place ORDER BY j) - {SHUFFLE_BUFFER} AS at FROM p)
+SELECT uid, sample_key, CASE WHEN at // 256 < greatest(n - {SHUFFLE_BUFFER}, 0) // 256 THEN CAST(at // 256 AS BIGINT) END AS batch_id FROM o""", "rollouts"))
 def q_shuffled(spark, d):
-    """Every row with its batch; null for the incomplete batch that is left at the end."""
+    """Every row with its batch; null for the buffer and the incomplete batch that are left at the end."""
     rs, _ = _rollout_stream(spark, d)
     out = ST.stream_path(spark, "shuffled") + "/data"
-    _fb(spark, "shuffled", rs, ST.shuffled_batches(rs, out, 256, ["uid", "sample_key"]))
+    _fb(spark, "shuffled", rs, ST.shuffled_batches(rs, out, 256, ["uid", "sample_key"], buffer_size=SHUFFLE_BUFFER))
     left = ST.pending(spark, out).select("uid", "sample_key", F.lit(None).cast("bigint").alias("batch_id"))
     return spark.read.parquet(out).select("uid", "sample_key", "batch_id").unionByName(left)
 

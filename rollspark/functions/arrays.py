@@ -114,3 +114,26 @@ def reverse_discounted_vec(arr, gamma: float, reset=None) -> Column:
     a = col(arr)
     m = col(reset) if reset is not None else F.transform(a, lambda x: F.lit(1.0))
     return udf(a.cast("array<double>"), m.cast("array<double>"))
+
+
+def masked_moments(arr, mask) -> Column:
+    """Per row struct ``n`` (sum of the mask), ``mean`` and ``m2`` (sum of squared deviations from it) of the masked
+    cells and ``total`` of all cells, by an Arrow UDF over the flat buffers. A row without masked cells has n = 0 and mean 0."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(xs: pa.Array, ms: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.list_value_length(xs), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        x = pc.fill_null(xs.flatten(), 0.0).to_numpy(zero_copy_only=False).astype(np.float64)
+        m = pc.fill_null(ms.flatten(), 0.0).to_numpy(zero_copy_only=False).astype(np.float64)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        add = lambda v: np.bincount(row, weights=v, minlength=len(lengths)).astype(np.float64)
+        n = add(m)
+        mean = np.divide(add(x * m), n, out=np.zeros_like(n), where=n > 0)
+        return pa.StructArray.from_arrays([pa.array(v) for v in (n, mean, add(m * (x - mean[row]) ** 2), add(x))], ["n", "mean", "m2", "total"])
+
+    run.__annotations__ = {"xs": pa.Array, "ms": pa.Array, "return": pa.Array}
+    udf = F.arrow_udf(run, "struct<n: double, mean: double, m2: double, total: double>")
+    present = col(arr).isNotNull() & col(mask).isNotNull()
+    return udf(F.when(present, col(arr).cast("array<double>")), F.when(present, col(mask).cast("array<double>")))

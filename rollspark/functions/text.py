@@ -307,6 +307,21 @@ HEAVY_REPLACED = (("\\%", "%"), ("\\$", "$"), ("$", ""), ("%", ""), (" or ", " ,
 # Powers that keep an answer from being compared by value.
 UNSAFE_POWERS = r"\^\{|\^\(|\^[0-9]+\^|\^[0-9][0-9]+"
 
+# TeX written as plain text, in order (pattern, replacement). Arguments come without braces inside;
+# the patterns that take arguments run once per level of nesting, ``TEX_LEVELS`` levels deep.
+TEX_FIRST = ((r"\\[td]frac", r"\\frac"), (r"\\(left|right|displaystyle|limits)([^a-zA-Z]|$)", "$2"), (r"\\(,|;|:|!|quad|qquad|space)", " "),
+             (r"\\frac", r" \\frac"))
+TEX_ARGUMENTS = ((r"([\^_])\{([^{}]*)\}", "$1$2"),
+                 (r"\\(text|textbf|textit|textrm|mathrm|mathbf|mathit|mathbb|mathcal|mbox|operatorname)\s*\{([^{}]*)\}", "$2"),
+                 (r"\\sqrt\s*\{([^{}]*)\}", "sqrt($1)"), (r"\\sqrt\s*([0-9a-zA-Z])", "sqrt($1)"),
+                 (r"\\frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", "$1/$2"), (r"\\frac\s*([0-9a-zA-Z])\s*\{([^{}]*)\}", "$1/$2"),
+                 (r"\\frac\s*\{([^{}]*)\}\s*([0-9a-zA-Z])", "$1/$2"), (r"\\frac\s*([0-9a-zA-Z])\s*([0-9a-zA-Z])", "$1/$2"))
+TEX_LEVELS = 4
+TEX_LAST = ((r"\\pi([^a-zA-Z]|$)", "pi$1"), (r"\\infty([^a-zA-Z]|$)", "inf$1"), (r"\\cup([^a-zA-Z]|$)", "U$1"),
+            (r"\\(cdot|times)([^a-zA-Z]|$)", "*$2"), (r"\\leq?([^a-zA-Z]|$)", "≤$1"), (r"\\geq?([^a-zA-Z]|$)", "≥$1"),
+            (r"\\pm([^a-zA-Z]|$)", "±$1"), (r"\\([{}])", "$1"), (r"^\s+|\s+$", ""))
+TEX_RULES = (*TEX_FIRST, *(TEX_ARGUMENTS * TEX_LEVELS), *TEX_LAST)
+
 _NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
 
 
@@ -354,14 +369,22 @@ def _without_units(x) -> Column:
     return F.when(x.rlike("|".join(HEAVY_UNITS)), e).otherwise(x)
 
 
+def plain_tex(x) -> Column:
+    """TeX as plain text by ``TEX_RULES``: fractions 'a/b', roots 'sqrt(a)', the arguments of text and font commands,
+    powers and indices, products, pi, infinity, union and comparison signs. Other commands keep their TeX."""
+    e = x
+    for pattern, plain in TEX_RULES:
+        e = F.regexp_replace(e, pattern, plain)
+    return F.when(x.contains("\\"), e).otherwise(x)
+
+
 def heavy_normalize_all(answers) -> Column:
     """C4 for every answer of an array: unwrap a leading \\text{...}, drop %/$
     signs, 'or'/'and' -> ',', million/billion/trillion -> *10^k, unit words,
     degree signs, one pair of enclosing braces and ',\\!'; integral floats
-    become integers; mixed numbers '7 3/4' -> '7+3/4'; spaces and braces
-    dropped; lower case; integers with thousands separators are rewritten
-    without them. The LaTeX-to-text step of the reference (an external parser)
-    is not reproduced: strings with a backslash keep their TeX.
+    become integers; TeX becomes plain text (:func:`plain_tex`); mixed numbers
+    '7 3/4' -> '7+3/4'; spaces and braces dropped; lower case; integers with
+    thousands separators are rewritten without them.
 
     Each step is a pass of its own over the array (steps read the previous
     value several times; one nested expression would grow exponentially)."""
@@ -388,7 +411,7 @@ def heavy_normalize_all(answers) -> Column:
 
     a = col(answers)
     for step in (unwrapped, _plain_words, _without_units, lambda x: F.regexp_replace(x, r"\^ *\\circ", ""),
-                 unbraced, integral, squeezed, ungrouped):
+                 unbraced, integral, plain_tex, squeezed, ungrouped):
         a = F.transform(a, step)
     return a
 
@@ -407,23 +430,28 @@ def answer_elements(x) -> Column:
 
 
 def literal_value(x) -> Column:
-    """The value of a literal as DOUBLE: a number, a fraction 'a/b', a mixed
-    number 'a+b/c' or 'n*10^k'; NULL for anything else."""
+    """The value of a literal as DOUBLE: a number, a fraction 'a/b' of numbers, a
+    mixed number 'a+b/c' or 'n*10^k'; NULL for anything else."""
     def part(pat, i):
         return F.regexp_extract(x, pat, i).try_cast("double")
-    frac, mixed, power = r"^\(?(-?[0-9]+)/([0-9]+)\)?$", r"^([0-9]+)\+([0-9]+)/([0-9]+)$", rf"^({_NUMBER})\*10\^([0-9])$"
+    frac, mixed, power = rf"^\(?({_NUMBER})/({_NUMBER})\)?$", r"^([0-9]+)\+([0-9]+)/([0-9]+)$", rf"^({_NUMBER})\*10\^([0-9])$"
     return F.when(x.rlike(rf"^{_NUMBER}$"), x.try_cast("double")) \
         .when(x.rlike(frac), F.try_divide(part(frac, 1), part(frac, 2))) \
         .when(x.rlike(mixed), part(mixed, 1) + F.try_divide(part(mixed, 2), part(mixed, 3))) \
         .when(x.rlike(power), part(power, 1) * F.pow(F.lit(10.0), part(power, 2)))
 
 
-def heavy_equal(given, truth) -> Column:
-    """C5 on answers normalised by C4: equal text, or tuples of one bracket kind
-    and length whose members are all equal. Members that are both literal
-    fractions must be the same text; a whole number equals only a whole number;
-    otherwise equal text or equal literals count, unless the pair has more than
-    two different letters or an unsafe power."""
+UNEQUAL, UNDECIDED, EQUAL = 0, 1, 2
+
+
+def heavy_state(given, truth) -> Column:
+    """C5 on answers normalised by C4: EQUAL for equal text, or tuples of one
+    bracket kind and length whose members are all equal. Members that are both
+    literal fractions must be the same text; a whole number equals only a whole
+    number; otherwise equal text or equal literals count, unless the pair has
+    more than two different letters or an unsafe power. UNDECIDED: no member is
+    unequal, but some pair that could be compared holds something else than a
+    literal, which takes a symbolic solver; it counts as not equal."""
     g, t = col(given), col(truth)
 
     def member(p):
@@ -432,14 +460,28 @@ def heavy_equal(given, truth) -> Column:
         both = F.concat(a, F.lit(")-("), b)
         letters = F.array_distinct(F.regexp_extract_all(F.regexp_replace(both, "sqrt|frac", ""), F.lit(r"(\p{L})"), 1))
         comparable = (F.size(letters) <= 2) & ~both.rlike(UNSAFE_POWERS)
-        return F.when(a.rlike(frac) & b.rlike(frac), a == b) \
-            .when(_is_whole(_as_float(a)) != _is_whole(_as_float(b)), F.lit(False)) \
-            .otherwise(comparable & ((a == b) | F.coalesce(literal_value(a) == literal_value(b), F.lit(False))))
+        values = literal_value(a) == literal_value(b)
+        return F.when(a.rlike(frac) & b.rlike(frac), F.when(a == b, EQUAL).otherwise(UNEQUAL)) \
+            .when((_is_whole(_as_float(a)) != _is_whole(_as_float(b))) | ~comparable, UNEQUAL) \
+            .when((a == b) | F.coalesce(values, F.lit(False)), EQUAL).when(values.isNull(), UNDECIDED).otherwise(UNEQUAL)
 
     def members(p):
         same_brackets = (F.substring(g, 1, 1) == F.substring(t, 1, 1)) & (F.substring(g, -1, 1) == F.substring(t, -1, 1))
-        return (F.size(p["t"]) == F.size(p["g"])) & ((F.size(p["t"]) == 1) | same_brackets) \
-            & F.forall(F.arrays_zip(p["t"].alias("t"), p["g"].alias("g")), member)
+        alike = (F.size(p["t"]) == F.size(p["g"])) & ((F.size(p["t"]) == 1) | same_brackets)
+        return F.when(alike, F.array_min(F.transform(F.arrays_zip(p["t"].alias("t"), p["g"].alias("g")), member))).otherwise(UNEQUAL)
 
-    return F.when(g == t, F.lit(True)).when((g == "") | (t == ""), F.lit(False)).otherwise(
+    return F.when(g == t, EQUAL).when((g == "") | (t == ""), UNEQUAL).otherwise(
         _let(F.struct(answer_elements(t).alias("t"), answer_elements(g).alias("g")), members))
+
+
+def heavy_equal(given, truth) -> Column:
+    """Whether :func:`heavy_state` is EQUAL."""
+    return heavy_state(given, truth) == EQUAL
+
+
+def answers_undecided(given, truths) -> Column:
+    """Whether an answer equals none of ``truths`` as :func:`answers_equal` sees it, but a symbolic solver might."""
+    g, ts = col(given), F.filter(col(truths), lambda t: t.isNotNull() & (t != ""))
+    open_ = _let(F.struct(heavy_normalize_all(F.array(g)).alias("g"), heavy_normalize_all(ts).alias("ts")),
+                 lambda p: F.exists(p["ts"], lambda t: heavy_state(p["g"].getItem(0), t) == UNDECIDED))
+    return F.when(g.isNull(), F.lit(False)).otherwise(~answers_equal(given, truths) & F.coalesce(open_, F.lit(False)))

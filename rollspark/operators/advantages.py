@@ -1,10 +1,10 @@
 """Group and sequence advantage estimators over rollout tables.
 
-Group statistics are a partial aggregation on the group key joined back to the
-rows (never a window over the group), so a hot group is pre-aggregated map-side.
-The join itself still sends a group's rows to one partition where the statistics
-are too large to broadcast. Batch-wide statistics are a one-row aggregate
-attached as scalars.
+Group statistics are a partial aggregation on the group key, attached to the rows
+by ``plans.groups.with_group`` (never a window over the group): the rows of the
+largest groups get theirs without a shuffle. Batch-wide statistics are a one-row
+aggregate attached as scalars, merged from one count, mean and sum of squared
+deviations per row, so they neither explode tokens nor cancel.
 """
 
 from __future__ import annotations
@@ -14,30 +14,24 @@ from pyspark.sql import functions as F
 
 from rollspark.functions import arrays as A
 from rollspark.functions.cols import col, with_scalars
+from rollspark.plans.groups import keys_of, with_group
+from rollspark.session import materialize as write_once
+
+
+def _group_aggs(score) -> list[Column]:
+    s = col(score).cast("double")
+    return [F.count(F.lit(1)).alias("g_n"), F.avg(s).alias("g_mean"), F.stddev_samp(s).alias("g_std"),
+            F.stddev_pop(s).alias("g_std_pop"), F.min(s).alias("g_min"), F.max(s).alias("g_max"), F.sum(s).alias("g_sum")]
 
 
 def group_stats(df: DataFrame, group="uid", score="reward") -> DataFrame:
     """count, mean, sample and population std, min, max of ``score`` per group."""
-    g = [group] if isinstance(group, str) else list(group)
-    s = col(score).cast("double")
-    return df.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("g_n"),
-        F.avg(s).alias("g_mean"),
-        F.stddev_samp(s).alias("g_std"),
-        F.stddev_pop(s).alias("g_std_pop"),
-        F.min(s).alias("g_min"),
-        F.max(s).alias("g_max"),
-        F.sum(s).alias("g_sum"),
-    )
+    return df.groupBy(*keys_of(group)).agg(*_group_aggs(score))
 
 
 def with_group_stats(df: DataFrame, group="uid", score="reward") -> DataFrame:
-    g = [group] if isinstance(group, str) else list(group)
-    stats = group_stats(df, g, score).withColumnsRenamed({c: f"_g{i}" for i, c in enumerate(g)})
-    same = F.lit(True)
-    for i, c in enumerate(g):  # a null key is a group like any other
-        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    return df.join(stats, same, "inner").drop(*[f"_g{i}" for i in range(len(g))])
+    """``df`` with the columns of :func:`group_stats`; a null key is a group like any other."""
+    return with_group(df, group, _group_aggs(score))
 
 
 def _finish(df: DataFrame, adv: Column, out: str, mask) -> DataFrame:
@@ -85,29 +79,48 @@ def batch_mean_baseline(df: DataFrame, score="reward", batch=None, mask=None,
         m = df.agg(F.avg(s).alias("_bm"))
         d = with_scalars(df, m)
     else:
-        b = [batch] if isinstance(batch, str) else list(batch)
-        d = df.join(df.groupBy(*b).agg(F.avg(s).alias("_bm")), b)
+        d = with_group(df, batch, [F.avg(s).alias("_bm")])
     return _finish(d, s - F.col("_bm"), out, mask).drop("_bm")
 
 
+def merged_moments(rows: DataFrame, moments: str, by=None) -> DataFrame:
+    """Count, mean and sum of squared deviations (``n``, ``mu``, ``m2``) and ``total`` over all rows (or per ``by``)
+    from those of each row (``A.masked_moments``).
+
+    The mean comes first, then the deviations of the rows' means from it, so
+    large values do not cancel. ``rows`` is read twice, ``moments`` and ``by`` only.
+    """
+    n, mu = F.col(f"{moments}.n"), F.col(f"{moments}.mean")
+    first = [F.try_divide(F.sum(n * mu), F.sum(n)).alias("mu")]
+    both = [F.sum(n).alias("n"), F.first("mu").alias("mu"), F.sum(F.col(f"{moments}.m2") + n * (mu - F.col("mu")) ** 2).alias("m2"),
+            F.sum(f"{moments}.total").alias("total")]
+    if by is None:
+        return with_scalars(rows.select(moments), rows.agg(*first)).agg(*both)
+    keys = keys_of(by)
+    narrow = rows.select(*keys, moments)
+    return with_group(narrow, keys, first).groupBy(*keys).agg(*both)
+
+
 def masked_batch_stats(df: DataFrame, values: str, mask: str, by=None) -> DataFrame:
-    """Masked mean and Bessel-corrected variance of all token cells (V8)."""
-    x = F.explode(F.arrays_zip(F.col(values).alias("v"), F.col(mask).alias("m")))
-    keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
-    cells = df.select(*keys, x.alias("c")).select(
-        *keys, F.col("c.v").cast("double").alias("v"), F.col("c.m").cast("double").alias("m"))
-    agg = [F.sum(F.col("v") * F.col("m")).alias("_s1"),
-           F.sum(F.col("v") * F.col("v") * F.col("m")).alias("_s2"),
-           F.sum("m").alias("_sm")]
-    st = cells.groupBy(*keys).agg(*agg) if keys else cells.agg(*agg)
-    mean = F.col("_s1") / F.greatest(F.col("_sm"), F.lit(1.0))
-    var_b = (F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("_sm")) / (F.col("_sm") - 1)
-    return st.select(*keys, mean.alias("w_mean"), var_b.alias("w_var"), F.col("_sm").alias("w_count"))
+    """Masked mean and Bessel-corrected variance of all token cells (V8), in all or per ``by``.
+
+    One narrow row of moments per input row is written once; the tokens are read once.
+    """
+    keys = [] if by is None else keys_of(by)
+    rows = write_once(df.select(*keys, A.masked_moments(values, mask).alias("_mo")), "row_moments")
+    st = merged_moments(rows, "_mo", by)
+    return st.select(*keys, *_whitening())
+
+
+def _whitening() -> list[Column]:
+    return [(F.coalesce(F.col("mu") * F.col("n"), F.lit(0.0)) / F.greatest("n", F.lit(1.0))).alias("w_mean"),
+            F.try_divide(F.col("m2"), F.col("n") - 1).alias("w_var"), F.col("n").alias("w_count")]
 
 
-def _whiten_join(df: DataFrame, values: str, mask: str) -> DataFrame:
-    st = masked_batch_stats(df, values, mask)
-    return with_scalars(df, st)
+def _with_whitening(df: DataFrame, values: str, mask: str) -> DataFrame:
+    """``df``, written once with its rows' moments, and the batch's mean and variance of ``values`` as scalars."""
+    d = write_once(df.withColumn("_mo", A.masked_moments(values, mask)), "whitened")
+    return with_scalars(d.drop("_mo"), merged_moments(d, "_mo").select(*_whitening()))
 
 
 def reinforce_pp(df: DataFrame, token_rewards: str, mask: str, gamma: float = 1.0,
@@ -117,10 +130,11 @@ def reinforce_pp(df: DataFrame, token_rewards: str, mask: str, gamma: float = 1.
 
     ``vectorized`` runs the reverse recurrence in an Arrow-batched pandas UDF
     (linear in tokens, about 8x faster here); otherwise a SQL ``aggregate``
-    fold, which stays in the JVM but copies its output array at every step."""
+    fold, which stays in the JVM but copies its output array at every step.
+    The rows and returns are written once: pass only the columns that are needed."""
     scan = A.reverse_discounted_vec if vectorized else A.reverse_discounted
     d = df.withColumn(returns, scan(token_rewards, gamma, reset=mask))
-    d = _whiten_join(d, returns, mask)
+    d = _with_whitening(d, returns, mask)
     rs = F.lit(1.0) / F.sqrt(F.col("w_var") + F.lit(1e-8))
     d = d.withColumn(out, F.zip_with(F.col(returns), F.col(mask),
                                      lambda r, m: (r - F.col("w_mean")) * rs * m.cast("double")))
@@ -130,10 +144,11 @@ def reinforce_pp(df: DataFrame, token_rewards: str, mask: str, gamma: float = 1.
 def gae(df: DataFrame, token_rewards: str, values: str, mask: str, gamma: float = 1.0,
         lam: float = 1.0, out="advantage_tokens", returns="returns", vectorized: bool = True) -> DataFrame:
     """GAE advantages and returns; every cell is whitened with masked statistics
-    and masked cells are not zeroed (as in the reference)."""
+    and masked cells are not zeroed (as in the reference). The rows and advantages
+    are written once: pass only the columns that are needed."""
     d = df.withColumn("_adv", A.gae_advantages(token_rewards, values, gamma, lam, vectorized))
     d = d.withColumn(returns, F.zip_with("_adv", values, lambda a, v: a + v.cast("double")))
-    d = _whiten_join(d, "_adv", mask)
+    d = _with_whitening(d, "_adv", mask)
     rs = F.lit(1.0) / F.sqrt(F.col("w_var") + F.lit(1e-8))
     d = d.withColumn(out, F.transform("_adv", lambda a: (a - F.col("w_mean")) * rs))
     return d.drop("_adv", "w_mean", "w_var", "w_count")
@@ -148,24 +163,18 @@ def normalize_advantages(df: DataFrame, adv: str, mask: str, padded_len=None,
     ``masked_mean=True`` for the masked mean instead.
     """
     out = out or adv
-    cells = df.select(F.explode(F.arrays_zip(F.col(adv).alias("a"), F.col(mask).alias("m"))).alias("c"))
-    L = padded_len
-    st = cells.agg(F.sum(F.col("c.a").cast("double")).alias("_sa"),
-                   F.sum(F.col("c.a").cast("double") * F.col("c.m").cast("double")).alias("_sam"),
-                   F.sum(F.col("c.a").cast("double") ** 2 * F.col("c.m").cast("double")).alias("_sa2m"),
-                   F.sum(F.col("c.m").cast("double")).alias("_sm"))
-    rows = df.agg(F.count(F.lit(1)).alias("_rows"), F.max(F.size(adv)).alias("_maxlen"))
-    st = with_scalars(st, rows)
+    df = write_once(df.withColumn("_mo", A.masked_moments(adv, mask)), "normalized")
+    st = merged_moments(df, "_mo")
     if masked_mean:
-        mean = F.col("_sam") / F.col("_sm")
+        st = st.withColumn("_mu", F.col("mu"))
     else:
-        ncell = F.col("_rows") * (F.lit(L) if L is not None else F.col("_maxlen"))
-        mean = F.col("_sa") / ncell
-    st = st.select(mean.alias("_mu"), "_sam", "_sa2m", "_sm")
-    # sum m*(a-mu)^2 = S2m - 2 mu Sam + mu^2 Sm
-    var = (F.col("_sa2m") - 2 * F.col("_mu") * F.col("_sam") + F.col("_mu") ** 2 * F.col("_sm")) / F.col("_sm")
+        st = with_scalars(st, df.agg(F.count(F.lit(1)).alias("_rows"), F.max(F.size(adv)).alias("_maxlen")))
+        cells = F.col("_rows") * (F.lit(padded_len) if padded_len is not None else F.col("_maxlen"))
+        st = st.withColumn("_mu", F.try_divide(F.col("total"), cells))
+    # sum m*(a - _mu)^2 = m2 + n * (mu - _mu)^2
+    var = F.try_divide(F.col("m2") + F.col("n") * (F.col("mu") - F.col("_mu")) ** 2, F.col("n"))
     st = st.select("_mu", (F.lit(1.0) / F.sqrt(F.greatest(var, F.lit(1e-8)))).alias("_rstd"))
-    d = with_scalars(df, st)
+    d = with_scalars(df.drop("_mo"), st)
     d = d.withColumn(out, F.transform(adv, lambda a: (a.cast("double") - F.col("_mu")) * F.col("_rstd")))
     return d.drop("_mu", "_rstd")
 

@@ -141,6 +141,46 @@ def normalize_benchmark(df: DataFrame, source: str) -> DataFrame:
                      F.coalesce(*ans).alias("answer"))
 
 
+def benchmark_prompt_rows(df: DataFrame, source: str, index="index", split: str = "test", seed: int = 42) -> DataFrame:
+    """Heterogeneous benchmark rows as the rows of :func:`math_prompt_rows`.
+
+    The question is the first of the columns problem, question and prompt that
+    the table has. The label follows ``source``: 'random_noise' a seeded integer
+    0-999, 'default' the column groundtruth_answer, any other the column answer;
+    'format_reward' is graded by format only."""
+    names = set(df.columns)
+    questions = [c for c in ("problem", "question", "prompt") if c in names]
+    label = {"default": "groundtruth_answer"}.get(source, "answer")
+    if not questions or (source != "random_noise" and label not in names):
+        raise ValueError(f"a {source!r} benchmark needs a question column and {label!r}; there are {sorted(names)}")
+    q = F.col(questions[0]).cast("string")
+    ans = hash_int(seeded_hash(seed, index), 1000).cast("string") if source == "random_noise" else F.col(label).cast("string")
+    return df.select(
+        F.lit(source).alias("data_source"),
+        F.array(_message("user", F.concat(q, F.lit(" " + MATH_INSTRUCTION)))).alias("prompt"),
+        F.lit(MATH_ENV_CLASS).alias("env_class"),
+        F.struct(F.lit("format" if source == "format_reward" else "rule").alias("method"), ans.alias("ground_truth")).alias("reward_spec"),
+        F.struct(F.lit(split).alias("split"), col(index).cast("string").alias("index"), ans.alias("answer"), q.alias("question")).alias("extra_info"))
+
+
+# Fixed values of the grade-school math rows.
+GSM8K_SOURCE = "openai/gsm8k"
+GSM8K_INSTRUCTION = 'Let\'s think step by step and output the final answer after "####".'
+
+
+def gsm8k_prompt_rows(df: DataFrame, split: str = "train", question="question", solution="answer", index="index") -> DataFrame:
+    """Whole grade-school math rows (P4): prompt with the instruction, the number after '#### ' without commas as
+    ground truth, and question and solution as they were. A solution without such a number is an error."""
+    found = F.regexp_extract(col(solution), r"#### (-?[0-9.,]+)", 1)
+    truth = F.when(found != "", F.replace(found, F.lit(","), F.lit(""))).otherwise(F.raise_error(F.lit("a solution has no '#### ' number")))
+    return df.select(
+        F.lit(GSM8K_SOURCE).alias("data_source"),
+        F.array(_message("user", F.concat(col(question), F.lit(" " + GSM8K_INSTRUCTION)))).alias("prompt"),
+        F.lit("gsm8k").alias("env_class"),
+        F.struct(F.lit("rule").alias("method"), truth.alias("ground_truth")).alias("reward_spec"),
+        F.struct(F.lit(split).alias("split"), col(index).alias("index"), col(solution).alias("answer"), col(question).alias("question")).alias("extra_info"))
+
+
 def gsm8k_rows(df: DataFrame, question="question", solution="answer") -> DataFrame:
     """GSM8K row (P4): answer = text after '#### ' with commas removed; the raw
     solution is kept."""
@@ -206,7 +246,7 @@ def inject_noise(df: DataFrame, level: float, method: str, truth="ground_truth",
         lo = F.greatest(g - 3, F.lit(0))
         new = (lo + hash_int(seeded_hash(seed, index), 1 << 30) % (g + 3 - lo + 1)).cast("string")
     else:
-        raise ValueError(f"Unknown noise model: {method}")
+        raise ValueError(f"no noise method is called {method!r}")
     return df.withColumn(truth, F.when(hit, new).otherwise(col(truth))).withColumn("noised", hit)
 
 

@@ -4,9 +4,12 @@ Input is a long table ``results(question_id, side, row_idx, vals ARRAY<STRING>)`
 with ``side`` in {'gold', 'pred'}; values are already rendered as text (NULL
 stands for Python ``None`` and compares as 'None').
 
-All four verdicts (multiset, set, subset, list) come from aggregations keyed
-by (question, sorted row), so gold and predicted rows meet in one shuffle
-instead of a join, and no question's rows are ever gathered into one list.
+One aggregation per question (partial sums, so a hot question is combined where
+its rows are) gives the counts, the first rows and, for each side, sums of two
+independent 64-bit hashes of its rows: sides whose sums differ are different.
+Only questions that this does not decide go on: their rows meet keyed by
+(question, sorted row), or by (question, position) for ordered results, so no
+question's rows are ever gathered into one list and every verdict is exact.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 
 from rollspark.functions.cols import col, pystrip
 from rollspark.plans.ordered import ordered_index
+from rollspark.session import materialize as write_once
 
 GOLD, PRED = "gold", "pred"
 
@@ -33,46 +37,62 @@ def row_key(vals="vals") -> Column:
     return F.array_sort(F.transform(col(vals), lambda v: F.coalesce(v, F.lit("None"))))
 
 
-def _key_verdicts(r: DataFrame) -> DataFrame:
-    """Per question, from counts of each sorted row on both sides, together
-    with the question's shape (row counts per side and each side's first row:
-    width and first value), so one two-level aggregation serves both.
-
-    This is J4 (gold vs predicted rows, a full outer join of per-side row
-    counts) written as one aggregation over both sides: a single shuffle on
-    (question, row) instead of two aggregations and an outer join."""
-    first = lambda side: F.min(F.when(F.col("side") == side, F.struct(
-        F.col("row_idx").alias("i"), F.size("vals").alias("w"), F.col("vals")[0].alias("v"))))
-    k = r.groupBy("question_id", row_key().alias("_key")).agg(
-        F.sum(F.when(F.col("side") == GOLD, 1).otherwise(0)).alias("cg"),
-        F.sum(F.when(F.col("side") == PRED, 1).otherwise(0)).alias("cp"),
-        first(GOLD).alias("_kfg"), first(PRED).alias("_kfp"))
+def _halves(h: Column) -> list[Column]:
+    """The two halves of a 64-bit hash: their sums cannot overflow below 2^31 rows."""
+    return [F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit((1 << 32) - 1))]
+
+
+def _shapes(rows: DataFrame) -> DataFrame:
+    """Per question: rows of each side, each side's first row (width and first value), and by how much the sums of the
+    sides' row hashes differ."""
+    gold = F.col("side") == GOLD
+    sign = F.when(gold, 1).otherwise(-1).cast("bigint")
+    hashes = [*_halves(F.xxhash64("_key")), *_halves(F.xxhash64(F.lit("rows"), "_key"))]
+
+    def first(side):
+        return F.min(F.when(F.col("side") == side, F.struct(F.col("row_idx").alias("i"), F.col("_width").alias("w"), F.col("_first").alias("v"))))
+
+    return rows.groupBy("question_id").agg(
+        F.count_if(gold).alias("n_gold"), F.count_if(F.col("side") == PRED).alias("n_pred"), first(GOLD).alias("_fg"), first(PRED).alias("_fp"),
+        F.greatest(*[F.abs(F.sum(sign * h)) for h in hashes]).alias("_apart"))
+
+
+def _undecided(rows: DataFrame, questions: DataFrame, rule: str) -> DataFrame:
+    return rows.join(questions.filter(F.col("_open") == rule).select("question_id"), "question_id", "left_semi")
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    """Exact verdicts from the counts of each sorted row on both sides. This is J4 (a full outer join of per-side
+    row counts) as one aggregation over both sides."""
+    k = rows.groupBy("question_id", "_key").agg(
+        F.count_if(F.col("side") == GOLD).alias("cg"), F.count_if(F.col("side") == PRED).alias("cp"))
     return k.groupBy("question_id").agg(
-        F.sum("cg").alias("n_gold"), F.sum("cp").alias("n_pred"),
-        F.min("_kfg").alias("_fg"), F.min("_kfp").alias("_fp"),
         F.bool_and(F.col("cg") == F.col("cp")).alias("multiset_eq"),
-        F.bool_and((F.col("cg") > 0) == (F.col("cp") > 0)).alias("set_eq"),
-        F.bool_and((F.col("cp") == 0) | (F.col("cg") > 0)).alias("pred_in_gold"))
+        F.bool_and((F.col("cg") > 0) == (F.col("cp") > 0)).alias("set_eq"))
 
 
-def _distinct_pred(r: DataFrame) -> DataFrame:
-    """Distinct predicted rows (raw, unsorted) per question, for the subset rule."""
-    return r.filter(F.col("side") == PRED).groupBy("question_id", "vals").agg(F.lit(1).alias("_one")) \
-        .groupBy("question_id").agg(F.count(F.lit(1)).alias("n_pred_distinct"))
+def _by_subset(rows: DataFrame) -> DataFrame:
+    """Distinct predicted rows (raw, unsorted) and whether each predicted row, sorted, is a gold row: one grouping by
+    sorted row, in which the raw rows of a key are its orders of the same values."""
+    raw = rows.groupBy("question_id", "_key", F.when(F.col("side") == PRED, F.col("vals")).alias("_raw")) \
+        .agg(F.count_if(F.col("side") == GOLD).alias("cg"))
+    k = raw.groupBy("question_id", "_key").agg(F.sum("cg").alias("cg"), F.count("_raw").alias("raws"))
+    return k.groupBy("question_id").agg(
+        F.bool_and((F.col("raws") == 0) | (F.col("cg") > 0)).alias("pred_in_gold"), F.sum("raws").alias("n_pred_distinct"))
 
 
-def _list_verdict(r: DataFrame) -> DataFrame:
+def _by_place(rows: DataFrame) -> DataFrame:
     """Ordered comparison: position among non-empty rows, then equal keys."""
-    p = ordered_index(r, "row_idx", ["question_id", "side"], name="_pos")
+    p = ordered_index(rows, "row_idx", ["question_id", "side"], name="_pos")
     byp = p.groupBy("question_id", "_pos").agg(
-        F.min(F.when(F.col("side") == GOLD, row_key())).alias("_kg"),
-        F.min(F.when(F.col("side") == PRED, row_key())).alias("_kp"))
+        F.min(F.when(F.col("side") == GOLD, F.col("_key"))).alias("_kg"),
+        F.min(F.when(F.col("side") == PRED, F.col("_key"))).alias("_kp"))
     return byp.groupBy("question_id").agg(
         F.bool_and(F.coalesce(F.col("_kg") == F.col("_kp"), F.lit(False))).alias("list_eq"))
 
 
 def grade_results(results: DataFrame, questions: DataFrame, method="grading_method",
-                  force_method: str | None = None, materialize: bool = False) -> DataFrame:
+                  force_method: str | None = None) -> DataFrame:
     """Verdict per question (U2-U6), reproducing the reference dispatcher:
 
     empty rows dropped; both empty -> equal; one empty or different first-row
@@ -81,44 +101,45 @@ def grade_results(results: DataFrame, questions: DataFrame, method="grading_meth
     'subset,>=,n', 'list', 'set' (tested in that order, by substring).
     ``questions`` has ``question_id`` and the method column.
 
-    The non-empty rows feed four aggregations; with ``materialize`` they are
-    written once as a table under the shared ``spark.checkpoint.dir`` so the
-    upstream plan runs once.
+    The non-empty rows with their sorted key are written once as a table under
+    the shared ``spark.checkpoint.dir``, and so are the questions with what the
+    first pass says of them.
     """
-    r = non_empty_rows(results)
-    if materialize:
-        from rollspark.session import materialize as write_once
-        r = write_once(r, "sql_rows")
-    keys = _key_verdicts(r)
-    dist = _distinct_pred(r)
-    lst = _list_verdict(r)
+    rows = non_empty_rows(results).select("question_id", "side", "row_idx", "vals", row_key().alias("_key"), F.size("vals").alias("_width"), F.col("vals")[0].alias("_first"))
+    rows = write_once(rows, "sql_rows")
     m = F.lit(force_method) if force_method else col(method)
-    q = questions.select("question_id", m.alias("method"))
-    j = q.join(keys, "question_id", "left") \
-        .join(dist, "question_id", "left").join(lst, "question_id", "left")
+    q = questions.select("question_id", m.alias("method")).join(_shapes(rows), "question_id", "left")
     ng, npr = F.coalesce(F.col("n_gold"), F.lit(0)), F.coalesce(F.col("n_pred"), F.lit(0))
-    basic = F.when(ng == 0, npr == 0).when(npr == 0, F.lit(False)) \
-        .otherwise(F.col("_fg.w") == F.col("_fp.w"))
+    basic = F.when((ng == 0) | (npr == 0), ng == npr).otherwise(F.col("_fg.w") == F.col("_fp.w"))
     g = F.col("_fg.v").try_cast("double")
     p = F.col("_fp.v").try_cast("double")
     one_by_one = (ng == 1) & (npr == 1) & (F.col("_fg.w") == 1) & (F.col("_fp.w") == 1)
     close = F.coalesce(F.abs(F.try_divide(g - p, g)) < F.lit(1e-2), F.lit(False))
     both_empty = (ng == 0) & (npr == 0)
-    ms = both_empty | ((ng == npr) & F.coalesce(F.col("multiset_eq"), F.lit(True)))
-    st = both_empty | F.coalesce(F.col("set_eq"), F.lit(True))
-    ls = both_empty | ((ng == npr) & F.coalesce(F.col("list_eq"), F.lit(True)))
     parts = F.split(F.col("method"), ",")
-    sub_op, sub_n = parts.getItem(1), F.try_element_at(parts, F.lit(3)).try_cast("int")
+    q = q.select("question_id", "method", ng.cast("bigint").alias("n_gold"), npr.cast("bigint").alias("n_pred"),
+                 F.get(parts, F.lit(1)).alias("_op"), F.try_element_at(parts, F.lit(3)).try_cast("int").alias("_n"),
+                 F.when(F.col("method").contains("multiset"), "multiset").when(F.col("method").contains("subset"), "subset")
+                 .when(F.col("method").contains("list"), "list").when(F.col("method").contains("set"), "set").otherwise("").alias("_rule"),
+                 (~basic).alias("_no"), (one_by_one & close).alias("_yes"), both_empty.alias("_empty"),
+                 ((ng != npr) | (F.col("_apart") != 0)).alias("_apart"))
+    # what the sums leave open: rules on repeats or order only where all sums agree, a set only where they differ
+    same = ~F.col("_empty") & ~F.col("_no") & ~F.col("_yes")
+    rule = F.col("_rule")
+    opened = F.when(same & rule.isin("multiset", "list") & ~F.col("_apart"), rule) \
+        .when(same & rule.isin("set", "subset"), rule)
+    q = write_once(q.withColumn("_open", opened), "sql_questions")
+    by_row = _by_row(rows.join(q.filter(F.col("_open").isin("multiset", "set")).select("question_id"), "question_id", "left_semi"))
+    j = q.join(by_row, "question_id", "left") \
+        .join(_by_subset(_undecided(rows, q, "subset")), "question_id", "left") \
+        .join(_by_place(_undecided(rows, q, "list")), "question_id", "left")
     nd = F.coalesce(F.col("n_pred_distinct"), F.lit(0))
-    sub_count = F.when(sub_op == "=", nd == sub_n).when(sub_op == ">=", nd >= sub_n).otherwise(F.lit(False))
-    sub = sub_count & F.coalesce(F.col("pred_in_gold"), F.lit(True))
-    by_method = F.when(F.col("method").contains("multiset"), ms) \
-        .when(F.col("method").contains("subset"), sub) \
-        .when(F.col("method").contains("list"), ls) \
-        .when(F.col("method").contains("set"), st).otherwise(F.lit(False))
-    verdict = F.when(~basic, F.lit(False)).when(one_by_one & close, F.lit(True)).otherwise(by_method)
-    return j.select("question_id", "method", ng.cast("bigint").alias("n_gold"), npr.cast("bigint").alias("n_pred"),
-                    F.coalesce(verdict, F.lit(False)).alias("is_correct"))
+    sub = F.when(F.col("_op") == "=", nd == F.col("_n")).when(F.col("_op") == ">=", nd >= F.col("_n")).otherwise(F.lit(False)) \
+        & F.coalesce(F.col("pred_in_gold"), F.lit(True))
+    by_method = F.when(rule == "subset", sub).when(rule == "", F.lit(False)).when(F.col("_empty"), F.lit(True)) \
+        .when(rule == "multiset", F.col("multiset_eq")).when(rule == "list", F.col("list_eq")).otherwise(F.col("set_eq"))
+    verdict = F.when(F.col("_no"), F.lit(False)).when(F.col("_yes"), F.lit(True)).otherwise(by_method)
+    return j.select("question_id", "method", "n_gold", "n_pred", F.coalesce(verdict, F.lit(False)).alias("is_correct"))
 
 
 def solution_format(text) -> Column:
@@ -192,3 +213,45 @@ def result_preview(results: DataFrame, max_rows: int = 50, sep: str = " ") -> Da
     return tot.join(agg, ["question_id", "side"]).select(
         "question_id", "side", F.col("n_rows").cast("bigint").alias("n_rows"),
         F.concat(prefix, F.col("_body")).alias("preview"))
+
+
+def table_text(rows: Column) -> Column:
+    """Rows (arrays of text) as an aligned table: a header of column numbers from 0 on, every column right-aligned to
+    its widest entry, columns apart by one space, NULL as 'None', line breaks inside a value as '\\n'."""
+    told = F.transform(rows, lambda r: F.transform(r, lambda v: F.replace(F.coalesce(v, F.lit("None")), F.lit("\n"), F.lit("\\n"))))
+    header = F.transform(F.sequence(F.lit(0), F.size(rows[0]) - 1), lambda i: i.cast("string"))
+
+    def aligned(x):
+        lines = x["lines"]
+        widths = F.array(F.transform(lines[0], lambda _, i: F.array_max(F.transform(lines, lambda r: F.length(F.get(r, i))))))
+        return F.get(F.transform(widths, lambda w: F.array_join(
+            F.transform(lines, lambda r: F.array_join(F.transform(r, lambda v, i: F.lpad(v, F.get(w, i), F.lit(" "))), " ")), "\n")), F.lit(0))
+
+    return F.get(F.transform(F.array(F.struct(F.concat(F.array(header), told).alias("lines"))), aligned), F.lit(0))
+
+
+def result_text(results: DataFrame, rule: str = "rows", max_rows: int = 50, max_chars: int = 9000) -> DataFrame:
+    """Result sets as aligned text.
+
+    rule 'rows': all rows behind the full prefix, or of more than ``max_rows``
+    rows the first ones behind the truncated prefix. rule 'chars': the text of
+    all rows without a prefix, or where it has more than ``max_chars``
+    characters the first ``max_rows`` rows behind the truncated prefix.
+
+    Only rows that can be shown are gathered: a row takes two characters at
+    least, so more than ``max_chars`` / 2 rows are too long anyway."""
+    if rule not in ("rows", "chars"):
+        raise ValueError(f"unknown rule {rule!r}")
+    most = max_rows if rule == "rows" else max(max_rows, max_chars // 2)
+    p = ordered_index(results, "row_idx", ["question_id", "side"], name="_pos")
+    tot = p.groupBy("question_id", "side").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.array_sort(F.collect_list(F.when(F.col("_pos") < most, F.struct("_pos", "vals")))).alias("_shown"))
+    tot = tot.withColumn("_shown", F.transform("_shown", lambda r: r["vals"]))
+    head = table_text(F.slice("_shown", 1, max_rows))
+    if rule == "rows":
+        text = F.concat(F.when(F.col("n_rows") > max_rows, F.lit(PREVIEW_TRUNCATED)).otherwise(F.lit(PREVIEW_FULL)), head)
+    else:
+        tot = tot.withColumn("_all", F.when(F.col("n_rows") <= most, table_text(F.col("_shown"))))
+        text = F.when(F.length("_all") <= max_chars, F.col("_all")).otherwise(F.concat(F.lit(PREVIEW_TRUNCATED), head))
+    return tot.select("question_id", "side", F.col("n_rows").cast("bigint").alias("n_rows"), text.alias("text"))

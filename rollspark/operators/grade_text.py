@@ -46,6 +46,13 @@ def grade_math(df: DataFrame, response="response", truths="ground_truths", noise
         .drop("_sol", "_golds", "_correct")
 
 
+def undecided_share(df: DataFrame, answer="model_answer", truths="ground_truths") -> DataFrame:
+    """One row: graded answers, those that equal a truth, and those that only a symbolic solver could decide."""
+    d = df.select(T.answers_equal(answer, truths).alias("_eq"), T.answers_undecided(answer, truths).alias("_open"), col(answer).alias("_a"))
+    return d.agg(F.count("_a").alias("n_answers"), F.count_if("_eq").alias("n_equal"), F.count_if("_open").alias("n_undecided")) \
+        .withColumn("undecided_share", F.try_divide(F.col("n_undecided"), F.col("n_answers")))
+
+
 def grade_gsm8k(df: DataFrame, response="response", truth="gold", method="strict",
                 random_perturb: bool = False) -> DataFrame:
     """GSM8K scoring."""

@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollspark.functions.arrays import dsum, masked_mean, masked_sum, mask_count
-from rollspark.functions.cols import col
+from rollspark.functions.arrays import dsum, masked_mean, masked_moments, masked_sum, mask_count
+from rollspark.functions.cols import col, with_scalars
+from rollspark.operators.advantages import merged_moments
+from rollspark.session import materialize as write_once
 
 
 def _z3(a, b, c, f):
@@ -36,7 +38,7 @@ def approx_kl(log_probs, base_log_probs, mask=None, kind: str = "k3") -> Column:
         if kind == "k3":
             c = F.least(F.greatest(b - lp, F.lit(-20.0)), F.lit(20.0))
             return F.least(F.greatest(F.exp(c) - c - 1, F.lit(-10.0)), F.lit(10.0))
-        raise ValueError(f"Invalid KL estimator type: {kind}")
+        raise ValueError(f"no KL estimator is called {kind!r}")
     kl = F.zip_with(col(log_probs), col(base_log_probs), lambda a, b: k(a.cast("double"), b.cast("double")))
     if mask is None:
         return kl
@@ -131,9 +133,9 @@ def _reduction(reduction: str, max_seq_len: int | None) -> Column:
         return F.avg(F.col("_ls") / F.greatest(F.col("_mc"), F.lit(1.0)))
     if reduction == "seq_mean_token_sum_norm":
         if max_seq_len is None:
-            raise ValueError("max_seq_len must be provided for seq_mean_token_sum_norm loss reduction")
+            raise ValueError("the reduction seq_mean_token_sum_norm divides by max_seq_len; give one")
         return F.avg(F.col("_ls") / F.lit(float(max_seq_len)))
-    raise ValueError(f"Invalid loss reduction type: {reduction}")
+    raise ValueError(f"no loss reduction is called {reduction!r}")
 
 
 def reduce_tokens(df: DataFrame, loss: Column, mask, reduction: str, max_seq_len: int | None = None,
@@ -231,12 +233,19 @@ def teacher_kl(df: DataFrame, log_probs, teacher_log_probs, mask, by="data_sourc
     return g.withColumn(by, F.when(F.col("_g") == 1, F.lit(overall_label)).otherwise(F.col(by))).drop("_g")
 
 
-def prob_gap(df: DataFrame, rollout_logprobs, log_probs, mask) -> DataFrame:
-    """Mean and sample std of |exp(rollout) - exp(train)| over action tokens."""
-    cells = df.select(F.explode(F.arrays_zip(col(rollout_logprobs).alias("r"), col(log_probs).alias("t"),
-                                             col(mask).alias("m"))).alias("c")).filter(F.col("c.m") > 0)
-    g = F.abs(F.exp(F.col("c.r").cast("double")) - F.exp(F.col("c.t").cast("double")))
-    return cells.agg(F.avg(g).alias("prob_diff_mean"), F.stddev_samp(g).alias("prob_diff_std"))
+def prob_gap(df: DataFrame, rollout_logprobs, log_probs, mask, padded: bool = False) -> DataFrame:
+    """Mean and sample std of |exp(rollout) - exp(train)|, over action tokens or, with ``padded``, over every cell
+    of the batch padded to its longest row, as in the reference (padding has no gap). The tokens are read once, for
+    one row of moments per row."""
+    gap = F.zip_with(col(rollout_logprobs), col(log_probs), lambda r, t: F.abs(F.exp(r.cast("double")) - F.exp(t.cast("double"))))
+    cells = F.transform(col(mask), lambda m: F.lit(1.0)) if padded else F.transform(col(mask), lambda m: F.when(m > 0, 1.0).otherwise(0.0))
+    rows = write_once(df.select(masked_moments(gap, cells).alias("_mo"), F.size(col(mask)).alias("_len")), "prob_gap")
+    st = merged_moments(rows, "_mo")
+    if padded:
+        st = with_scalars(st, rows.agg((F.count(F.lit(1)) * F.max("_len")).cast("double").alias("_cells")))
+        st = st.withColumns({"m2": F.col("m2") + F.col("n") * F.col("mu") ** 2 * (F.lit(1.0) - F.col("n") / F.col("_cells")),
+                             "mu": F.col("mu") * F.col("n") / F.col("_cells"), "n": F.col("_cells")})
+    return st.select(F.col("mu").alias("prob_diff_mean"), F.sqrt(F.try_divide(F.col("m2"), F.col("n") - 1)).alias("prob_diff_std"))
 
 
 def kl_reward_stats(df: DataFrame, kl, mask) -> DataFrame:

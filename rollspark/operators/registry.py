@@ -4,13 +4,19 @@ registry (X1) lives with the estimators."""
 
 from __future__ import annotations
 
+import os
+import uuid
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rollspark.functions import text as T
+from rollspark.operators import grade_sql as G
 from rollspark.operators import losses as L
+from rollspark.session import checkpoint_dir
 
 
 class Registry:
@@ -104,6 +110,10 @@ def policy_losses(df: DataFrame, names, log_probs: str, old_log_probs: str, adva
 GRADERS = Registry("grader")
 """env_class -> fn(response column, truth column) -> score column (double)."""
 
+TABLE_GRADERS = Registry("table grader")
+"""env_class -> (fn, names of tables); fn(rows, **tables) -> one row per ``question_id`` with ``score``. ``rows`` has
+``question_id`` (one row each), ``completion`` and ``truth`` of the class."""
+
 GRADERS.register("math", lambda r, t: F.when(T.answers_equal(T.boxed_answer(T.after_think(r)), F.array(t)), 1.0).otherwise(0.0))
 GRADERS.register("gsm8k", lambda r, t: T.gsm8k_score(r, t))
 GRADERS.register("aime", lambda r, t: T.minerva_score(r, t)[0])
@@ -111,21 +121,52 @@ GRADERS.register("search", lambda r, t: F.coalesce(T.qa_exact_match(T.last_answe
                                                    F.lit(0.0)))
 
 
+def _grade_sql_rows(rows: DataFrame, sql_results: DataFrame, sql_status: DataFrame) -> DataFrame:
+    """Result sets compared by the method that the truth names (multiset without one), behind format and execution."""
+    asked = rows.select("question_id", "completion", F.coalesce("truth", F.lit("multiset")).alias("grading_method"))
+    mine = asked.select("question_id")
+    graded = G.grade_results(sql_results.join(mine, "question_id", "left_semi"), asked)
+    return G.sql_reward(graded, asked, sql_status.join(mine, "question_id", "left_semi")).withColumnRenamed("reward", "score")
+
+
+def _grade_code_rows(rows: DataFrame, code_results: DataFrame) -> DataFrame:
+    """1 where every test of the question has passed and there is one at least, else 0; 0 as well without a code block."""
+    ran = code_results.join(rows.select("question_id"), "question_id", "left_semi") \
+        .groupBy("question_id").agg(F.bool_and(F.coalesce("passed", F.lit(False))).alias("all_passed"))
+    wrote = F.coalesce(F.col("completion").rlike(r"(?s)```.*?```"), F.lit(False))
+    ok = wrote & F.coalesce("all_passed", F.lit(False))
+    return rows.join(ran, "question_id", "left").select("question_id", ok.cast("double").alias("score"))
+
+
+TABLE_GRADERS.register("text2sql", (_grade_sql_rows, ("sql_results", "sql_status")))
+TABLE_GRADERS.register("code", (_grade_code_rows, ("code_results",)))
+
+
 def grade_by_env(df: DataFrame, env_class: str = "env_class", response: str = "response", truth: str = "gold",
-                 out: str = "score") -> DataFrame:
-    """Grade each row with the grader of its env_class; unknown classes score
-    NULL. Rows are split by class and each split gets only its own grader
-    (then the splits are unioned): one CASE over every grader would compile
-    to a method too large for whole-stage codegen and run interpreted."""
-    r, t = F.col(response), F.col(truth)
-    names = GRADERS.names()
-    parts = [df.filter(F.col(env_class) == n).withColumn(out, GRADERS.get(n)(r, t).cast("double")) for n in names]
-    rest = df.filter(F.col(env_class).isNull() | ~F.col(env_class).isin(*names)) \
-        .withColumn(out, F.lit(None).cast("double"))
-    out_df = rest
-    for p in parts:
-        out_df = out_df.unionByName(p)
-    return out_df
+                 out: str = "score", key: str | None = None, **tables: DataFrame) -> DataFrame:
+    """Grade each row with the grader of its env_class; unknown classes score NULL.
+
+    The rows are written once, partitioned by class, so the input is read once
+    and each grader reads its own rows only: column graders as a projection (one
+    CASE over every grader would be too large for whole-stage codegen), table
+    graders as a join of the rows' ``key`` (unique per row) with the tables given
+    as ``tables``. Rows of a table grader's class score NULL without its tables."""
+    by_table = [n for n in TABLE_GRADERS.names() if key is not None and set(TABLE_GRADERS.get(n)[1]) <= set(tables)]
+    by_column = [n for n in GRADERS.names() if n not in by_table]
+    path = os.path.join(checkpoint_dir(df.sparkSession), "graded", uuid.uuid4().hex)
+    cls = F.when(F.col(env_class).isin(*by_table, *by_column), F.col(env_class)).otherwise("-")
+    df.withColumn("_class", cls).write.partitionBy("_class").parquet(path)
+    d = df.sparkSession.read.schema(StructType(list(df.schema.fields)).add("_class", "string")).parquet(path)
+    parts = [d.filter(F.col("_class") == "-").withColumn(out, F.lit(None).cast("double"))]
+    for n in by_column:
+        parts.append(d.filter(F.col("_class") == n).withColumn(out, GRADERS.get(n)(F.col(response), F.col(truth)).cast("double")))
+    for n in by_table:
+        fn, needs = TABLE_GRADERS.get(n)
+        rows = d.filter(F.col("_class") == n)
+        asked = rows.select(F.col(key).alias("question_id"), F.col(response).alias("completion"), F.col(truth).alias("truth"))
+        scores = fn(asked, **{t: tables[t] for t in needs}).select(F.col("question_id").alias("_q"), F.col("score").cast("double").alias(out))
+        parts.append(rows.join(scores, F.col(key) == F.col("_q"), "left").drop("_q"))
+    return reduce(lambda a, b: a.unionByName(b), parts).drop("_class")
 
 
 # ----------------------------------------------------------------- X4

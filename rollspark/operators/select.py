@@ -1,9 +1,10 @@
 """Rollout selection: group filters, masks, staleness, batch cut, replacement
 (F3-F9, O4, J8).
 
-Group membership decisions are computed on a per-group aggregate (partial
-aggregation, so a hot group is combined map-side) and applied with a semi join;
-row-level masks are plain projections with no shuffle at all.
+Group membership decisions are computed on a per-group aggregate and attached to
+the rows by ``plans.groups.with_group``, which keeps null groups and spreads the
+rows of the largest ones; row-level masks are plain projections with no shuffle
+at all.
 """
 
 from __future__ import annotations
@@ -12,19 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollspark.functions.cols import col, seeded_hash, with_scalars
+from rollspark.plans.groups import keys_of, with_group
 from rollspark.plans.index import hashed_index
 
 
-def _keys(group):
-    return [group] if isinstance(group, str) else list(group)
-
-
 def drop_constant_groups(df: DataFrame, group="uid", score="reward") -> DataFrame:
     """Keep only groups whose scores are not all equal."""
-    g = _keys(group)
-    varied = df.groupBy(*g).agg(F.min(col(score)).alias("_mn"), F.max(col(score)).alias("_mx")) \
-        .filter(F.col("_mn") < F.col("_mx")).select(*g)
-    return df.join(varied, g, "left_semi")
+    d = with_group(df, group, [F.min(col(score)).alias("_mn"), F.max(col(score)).alias("_mx")])
+    return d.filter(F.col("_mn") < F.col("_mx")).drop("_mn", "_mx")
 
 
 def dynamic_filter(df: DataFrame, group="uid", score="reward", n_samples_per_prompt: int = 2) -> DataFrame:
@@ -32,10 +28,7 @@ def dynamic_filter(df: DataFrame, group="uid", score="reward", n_samples_per_pro
     per prompt (F4)."""
     if n_samples_per_prompt == 1:
         return df
-    g = _keys(group)
-    keep = df.groupBy(*g).agg(F.stddev_pop(col(score).cast("double")).alias("_sd")) \
-        .filter(F.col("_sd") > 0).select(*g)
-    return df.join(keep, g, "left_semi")
+    return with_group(df, group, [F.stddev_pop(col(score).cast("double")).alias("_sd")]).filter(F.col("_sd") > 0).drop("_sd")
 
 
 def split_stale(df: DataFrame, step, sampler_step, max_steps_off_policy: int):
@@ -93,6 +86,29 @@ def validate_rollouts(df: DataFrame, response="response_ids", mask="loss_mask",
     return rep
 
 
+def rollout_violations(df: DataFrame, keys=("uid", "sample_key"), response="response_ids", mask="loss_mask",
+                       token_rewards=None, logprobs=None) -> DataFrame:
+    """The rows that :func:`validate_rollouts` counts, one per violation (F9): ``keys``, ``violation`` (empty_response,
+    mask_length, reward_length, logprob_length, all_masked), ``found`` and ``expected`` lengths."""
+    n = F.coalesce(F.size(col(response)), F.lit(0))
+
+    def length(c):
+        return F.coalesce(F.size(col(c)), F.lit(0))
+
+    def broken(name, wrong, found):
+        return F.when(wrong, F.struct(F.lit(name).alias("violation"), found.cast("bigint").alias("found"), n.cast("bigint").alias("expected")))
+
+    kept = F.aggregate(col(mask), F.lit(0).cast("bigint"), lambda a, m: a + m)
+    rules = [broken("empty_response", n == 0, n), broken("mask_length", length(mask) != n, length(mask)),
+             broken("all_masked", F.coalesce(kept, F.lit(0)) == 0, F.coalesce(kept, F.lit(0)))]
+    if token_rewards:
+        rules.append(broken("reward_length", length(token_rewards) != n, length(token_rewards)))
+    if logprobs:
+        rules.append(broken("logprob_length", col(logprobs).isNotNull() & (length(logprobs) != n), length(logprobs)))
+    return df.select(*keys, F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull())).alias("_v")) \
+        .select(*keys, "_v.violation", "_v.found", "_v.expected")
+
+
 def dynamic_sampling_cut(df: DataFrame, target_batch_size: int, n_samples_per_prompt: int,
                          group="uid", score="reward", arrival=("uid",), sample_order=("sample_key",)):
     """Collect kept groups (F4) in arrival order until ``target_batch_size``
@@ -102,14 +118,21 @@ def dynamic_sampling_cut(df: DataFrame, target_batch_size: int, n_samples_per_pr
     ``keep_sampling`` (fewer kept groups than the target). Both cuts are
     ordered top-k (limits bounded by the configured batch size).
     """
-    g = _keys(group)
-    kept = dynamic_filter(df, group, score, n_samples_per_prompt)
+    g = keys_of(group)
     arr = list(arrival)
     aggs = [F.min(c).alias(f"_a{i}") for i, c in enumerate(arr) if c not in g]
-    groups = kept.groupBy(*g).agg(*aggs) if aggs else kept.select(*g).distinct()
+    groups = df.groupBy(*g).agg(F.stddev_pop(col(score).cast("double")).alias("_sd"), *aggs)
+    if n_samples_per_prompt != 1:
+        groups = groups.filter(F.col("_sd") > 0)
+    groups = groups.drop("_sd")
     order_cols = [f"_a{i}" if c not in g else c for i, c in enumerate(arr)]
-    first = groups.orderBy(*order_cols, *g).limit(target_batch_size)
-    rows = kept.join(first, g, "inner")
+    first = groups.orderBy(*order_cols, *g).limit(target_batch_size).withColumnsRenamed({k: f"_f{i}" for i, k in enumerate(g)})
+    same = F.lit(True)
+    for i, k in enumerate(g):
+        same = same & F.col(k).eqNullSafe(F.col(f"_f{i}"))
+    if target_batch_size <= 100_000:  # the bound of what is broadcast; so a group's rows stay where they are
+        first = F.broadcast(first)
+    rows = df.join(first, same).drop(*[f"_f{i}" for i in range(len(g))])
     batch = rows.orderBy(*order_cols, *g, *sample_order).limit(target_batch_size * n_samples_per_prompt)
     batch = batch.drop(*[c for c in order_cols if c not in g])
     status = groups.agg(F.count(F.lit(1)).alias("n_kept_groups")) \
@@ -137,7 +160,7 @@ def replace_bad_groups(df: DataFrame, n_samples_per_prompt: int, min_replace_rat
     if materialize:
         from rollspark.session import materialize as write_once
         df = write_once(df, "replace_bad_groups")
-    g = _keys(group)
+    g = keys_of(group)
     if len(g) != 1:
         raise ValueError("replace_bad_groups takes one group column")
     k = g[0]

@@ -2,10 +2,11 @@
 (W1-W7, A5, A9).
 
 Turn order inside a trajectory comes from :func:`ordered_index` /
-:func:`ordered_cumsum` (range buckets, not a window over the whole
-trajectory); the previous turn is found by an equi-join on (trajectory,
-position - 1). Only a finished training sequence is gathered into one row, and
-its size is bounded by the model context it is built for.
+:func:`ordered_cumsum` (ranges, not a window over the whole trajectory); the
+previous turn is found by an equi-join on (trajectory, position - 1) that
+carries its length and two hashes of its tokens. Only a finished training
+sequence is gathered into one row, and its size is bounded by the model context
+it is built for.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollspark.functions.cols import col
+from rollspark.plans.groups import key_text
 from rollspark.plans.ordered import ordered_cumsum, ordered_index
 
 
@@ -22,18 +24,24 @@ def merge_turns(df: DataFrame, traj="traj_id", step="step", ob="ob", ac="ac") ->
     is a prefix of its ob (after any turn the running sequence equals ob + ac);
     otherwise a new sequence starts. Adds ``seq_no`` (0-based per trajectory),
     ``delta_ob`` (the part of ob not already in the sequence) and ``is_new``."""
+
+    def hashes(tokens):
+        return F.struct(F.xxhash64(tokens).alias("a"), F.xxhash64(F.lit("again"), tokens).alias("b"))
+
     p = ordered_index(df, step, [traj], name="_pos")
-    prev = p.select(col(traj).alias("_pt"), (F.col("_pos") + 1).alias("_pp"),
-                    F.concat(col(ob), col(ac)).alias("_prev_full"))
-    j = p.join(prev, (p[traj] == prev["_pt"]) & (p["_pos"] == prev["_pp"]), "left").drop("_pt", "_pp")
-    n_prev = F.size("_prev_full")
-    is_prefix = (F.size(col(ob)) >= n_prev) & (F.slice(col(ob), 1, n_prev) == F.col("_prev_full"))
-    brk = F.col("_prev_full").isNull() | ~is_prefix
+    p = p.withColumn("_tk", key_text(p, [traj]))
+    full = F.concat(col(ob), col(ac))
+    prev = p.select("_tk", (F.col("_pos") + 1).alias("_pos"), F.size(full).alias("_n_prev"), hashes(full).alias("_prev"))
+    j = p.join(prev, ["_tk", "_pos"], "left")
+    n_prev = F.col("_n_prev")
+    # two hashes of 64 bits and the length stand for the tokens
+    is_prefix = (F.size(col(ob)) >= n_prev) & (hashes(F.slice(col(ob), 1, n_prev)) == F.col("_prev"))
+    brk = n_prev.isNull() | ~is_prefix
     j = j.withColumn("is_new", brk).withColumn("_brk", brk.cast("long"))
     j = j.withColumn("delta_ob", F.when(brk, col(ob)).otherwise(
         F.slice(col(ob), n_prev + 1, F.greatest(F.size(col(ob)) - n_prev, F.lit(0)))))
-    j = ordered_cumsum(j, step, "_brk", [traj], name="_seq")
-    return j.withColumn("seq_no", (F.col("_seq") - 1).cast("bigint")).drop("_brk", "_seq", "_prev_full", "_pos")
+    j = ordered_cumsum(j.drop("_n_prev", "_prev", "_tk", "_pos"), step, "_brk", [traj], name="_seq")
+    return j.withColumn("seq_no", (F.col("_seq") - 1).cast("bigint")).drop("_brk", "_seq")
 
 
 def training_sequences(merged: DataFrame, traj="traj_id", advantage="advantage", ac="ac",

@@ -165,7 +165,7 @@ def loss_flags(messages, mode: str, trainable=None) -> Column:
     """Per-message 0/1 loss flag for a train-on-what mode; ``customized``
     reads the message's ``trainable`` field (or the ``trainable`` array)."""
     if mode not in LOSS_MODES:
-        raise ValueError(f"Unknown train_on_what: {mode}")
+        raise ValueError(f"no rule for which messages to train on is called {mode!r}")
     m = col(messages)
     n = F.size(m)
 

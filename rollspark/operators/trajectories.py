@@ -50,14 +50,14 @@ def fill_empty_trajectories(df: DataFrame, instance: str, position: str, message
 
 def concat_batches(batches: list[DataFrame], logprobs: str = "rollout_logprobs") -> DataFrame:
     """Concatenate rollout batches by column name; a mix of batches with
-    and without log-probs is rejected (one small aggregate per batch)."""
+    and without log-probs is rejected (one job over the log-prob columns of all
+    batches, one row per batch)."""
     if not batches:
-        raise ValueError("no batches")
-    has = [b.select(F.max(col(logprobs).isNotNull().cast("int")).alias("h")).first()["h"] == 1
-           if logprobs in b.columns else False for b in batches]
-    if any(has) and not all(has):
-        raise ValueError("generator outputs are expected to all have null rollout_logprobs or all non-null, "
-                         "but received a mix")
+        raise ValueError("there is no batch to concatenate")
+    present = [b.agg(F.coalesce(F.max(col(logprobs).isNotNull()), F.lit(False)).alias("has")) for b in batches if logprobs in b.columns]
+    has = [r["has"] for r in reduce(DataFrame.unionByName, present).collect()] if present else []
+    if any(has) and not (all(has) and len(has) == len(batches)):
+        raise ValueError(f"{sum(has)} of {len(batches)} batches have {logprobs}; either all or none must")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), batches)
 
 

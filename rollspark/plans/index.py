@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollspark.plans.groups import key_text
+
 BUCKET_HEX_DIGITS = 3  # 4096 buckets per group; a larger table takes more digits
 
 
@@ -25,20 +27,13 @@ def hashed_index(df: DataFrame, hash_col: str, partition_by=(), tiebreak=(),
     """
     parts = list(partition_by)
     b = F.coalesce(F.conv(F.substring(F.col(hash_col), 1, hex_digits), 16, 10).cast("int"), F.lit(-1))
-    d = df.withColumn("_hb", b)
-    counts = d.groupBy(*parts, "_hb").agg(F.count(F.lit(1)).alias("_hn"))
-    wcum = Window.partitionBy(*parts).orderBy("_hb") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    names = [f"_hp{i}" for i in range(len(parts))]
-    offs = counts.select(*[F.col(p).alias(n) for p, n in zip(parts, names, strict=True)], F.col("_hb").alias("_hc"),
-                         F.coalesce(F.sum("_hn").over(wcum), F.lit(0)).alias("_hoff"))
+    # the group as one text that is never null: the join and the window partition by the same plain columns
+    d = df.withColumn("_hp", key_text(df, parts) if parts else F.lit("")).withColumn("_hb", b)
+    counts = d.groupBy("_hp", "_hb").agg(F.count(F.lit(1)).alias("_hn"))
+    wcum = Window.partitionBy("_hp").orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_hp", "_hb", F.coalesce(F.sum("_hn").over(wcum), F.lit(0)).alias("_hoff"))
     if not parts and hex_digits <= 4:
         # at most 16**hex_digits rows: a proven bound, safe to broadcast
         offs = F.broadcast(offs)
-    same = F.col("_hb") == F.col("_hc")
-    for p, n in zip(parts, names, strict=True):
-        same = same & F.col(p).eqNullSafe(F.col(n))
-    d = d.join(offs, same).drop("_hc", *names)
-    w = Window.partitionBy(*parts, "_hb").orderBy(F.col(hash_col), *[F.col(c) for c in tiebreak])
-    return d.withColumn(name, (F.col("_hoff") + F.row_number().over(w) - 1).cast("bigint")) \
-        .drop("_hb", "_hoff")
+    w = Window.partitionBy("_hp", "_hb").orderBy(F.col(hash_col), *[F.col(c) for c in tiebreak])
+    return d.join(offs, ["_hp", "_hb"]).select(*df.columns, (F.col("_hoff") + F.row_number().over(w) - 1).cast("bigint").alias(name))

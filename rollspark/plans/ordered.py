@@ -1,81 +1,72 @@
-"""Dense positions inside groups ordered by an integer index, without a window
-over a whole group (a hot group would be sorted in one task).
+"""Dense positions, running sums and ranks by any order, without a window over
+a whole group (a hot group would be sorted in one task).
 
-The integer order key is cut into ranges of ``bucket_size``; row counts per
-(group, range) come from a partial aggregation, running offsets from a window
-over that small count table, and the final ``row_number`` runs per
-(group, range).
+The rows are dealt and sorted by ranges of (group, order) once and written as a
+table: the ranges' bounds come from a sample of the values, so sparse or clumped
+values make even ranges, and equal rows are told apart by where they were read,
+so a range is never stuck on one value. A row's place in its range is where it
+was written; what comes before the range is a running sum over one row per
+(group, range), and a group has at most as many ranges as the session has
+shuffle partitions. Cutting the lineage there also means that what is above is
+computed once, however often the numbered rows are read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollspark.plans.groups import key_text
+from rollspark.session import materialize as write_once
 
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join in which null keys are equal, so no row is lost."""
-    names = {k: f"_nk{i}" for i, k in enumerate(keys)}
-    same = F.lit(True)
-    for k, n in names.items():
-        same = same & F.col(k).eqNullSafe(F.col(n))
-    return left.join(right.withColumnsRenamed(names), same).drop(*names.values())
 
+def ranged(df: DataFrame, order, partition_by=(), ranges: int | None = None) -> DataFrame:
+    """``df``, written once in (group, order) ranges, with ``_pk`` (the group's key as text), ``_range`` and ``_at``
+    (ascending with the order inside a range). ``ranges`` is their number, by default that of shuffle partitions."""
+    parts, order = list(partition_by), list(order)
+    here = F.monotonically_increasing_id()
+    by = ["_pk", *order, "_tie"]
+    d = df.withColumn("_pk", key_text(df, parts) if parts else F.lit("")).withColumn("_tie", here)
+    d = d.repartitionByRange(ranges, *by) if ranges else d.repartitionByRange(*by)
+    d = write_once(d.sortWithinPartitions(*by).drop("_tie").withColumn("_at", here), "ranged")
+    return d.withColumn("_range", F.shiftright("_at", 33))
 
-def ordered_index(df: DataFrame, order_col: str, partition_by=(), bucket_size: int = 4096,
+
+def _starts(d: DataFrame, held: Column) -> DataFrame:
+    """(_pk, _range): the group's first place in the range and the sum of ``held`` over the ranges before."""
+    w = Window.partitionBy("_pk").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    per = d.groupBy("_pk", "_range").agg(held.alias("_range_held"), F.min("_at").alias("_range_first"))
+    return per.select("_pk", "_range", "_range_first", F.coalesce(F.sum("_range_held").over(w), F.lit(0)).alias("_range_before"))
+
+
+def _ranges_of(df: DataFrame, bucket_size: int | None) -> int | None:
+    return max(1, -(-df.count() // bucket_size)) if bucket_size else None
+
+
+def ordered_index(df: DataFrame, order_col: str, partition_by=(), bucket_size: int | None = None,
                   name: str = "pos") -> DataFrame:
     """0-based position of each row inside ``partition_by`` by ascending
-    ``order_col`` (an integer; ties broken arbitrarily but stably by value)."""
-    parts = list(partition_by)
-    d = df.withColumn("_ob", F.floor(F.col(order_col) / F.lit(bucket_size)).cast("bigint"))
-    counts = d.groupBy(*parts, "_ob").agg(F.count(F.lit(1)).alias("_on"))
-    w = Window.partitionBy(*parts).orderBy("_ob").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*parts, "_ob", F.coalesce(F.sum("_on").over(w), F.lit(0)).alias("_ooff"))
-    d = _join_null_safe(d, offs, [*parts, "_ob"])
-    w2 = Window.partitionBy(*parts, "_ob").orderBy(order_col)
-    return d.withColumn(name, (F.col("_ooff") + F.row_number().over(w2) - 1).cast("bigint")).drop("_ob", "_ooff")
-
-
-def ordered_cumsum(df: DataFrame, order_col: str, value_col: str, partition_by=(), bucket_size: int = 4096,
+    ``order_col`` (nulls first; ties in the order in which they were read).
+    ``bucket_size`` asks for ranges of about that many rows."""
+    d = ranged(df, [order_col], partition_by, _ranges_of(df, bucket_size))
+    d = d.join(_starts(d, F.count(F.lit(1))), ["_pk", "_range"])
+    return d.select(*df.columns, (F.col("_at") - F.col("_range_first") + F.col("_range_before")).cast("bigint").alias(name))
+
+
+def ordered_cumsum(df: DataFrame, order_col: str, value_col: str, partition_by=(), bucket_size: int | None = None,
                    name: str = "cum") -> DataFrame:
     """Running sum of ``value_col`` (inclusive) inside ``partition_by`` by
-    ascending integer ``order_col``, with the same range-bucket split as
-    :func:`ordered_index` so a huge group is summed by many tasks."""
-    parts = list(partition_by)
-    d = df.withColumn("_cb", F.floor(F.col(order_col) / F.lit(bucket_size)).cast("bigint"))
-    sums = d.groupBy(*parts, "_cb").agg(F.sum(value_col).alias("_cs"))
-    w = Window.partitionBy(*parts).orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sums.select(*parts, "_cb", F.coalesce(F.sum("_cs").over(w), F.lit(0)).alias("_coff"))
-    d = _join_null_safe(d, offs, [*parts, "_cb"])
-    w2 = Window.partitionBy(*parts, "_cb").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumn(name, F.col("_coff") + F.sum(value_col).over(w2)).drop("_cb", "_coff")
-
-
-def score_rank(df: DataFrame, score: str, tiebreak: str, buckets: int = 16, name: str = "rank") -> DataFrame:
+    ascending ``order_col``, in the ranges of :func:`ordered_index`."""
+    d = ranged(df, [order_col], partition_by, _ranges_of(df, bucket_size))
+    w = Window.partitionBy("_pk", "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.join(_starts(d, F.sum(value_col)), ["_pk", "_range"])
+    return d.select(*df.columns, (F.col("_range_before") + F.sum(value_col).over(w)).alias(name))
+
+
+def score_rank(df: DataFrame, score: str, tiebreak: str, buckets: int | None = None, name: str = "rank") -> DataFrame:
     """Exact 0-based rank of every row by (``score``, ``tiebreak``) over the
-    whole frame, without a global sort in one task.
-
-    Rows are cut into buckets at approximate score quantiles (a one-row
-    aggregate of ``buckets - 1`` boundaries). A score equal to a boundary gets
-    a bucket of its own: any score value holding more than ~1/buckets of the
-    rows is a boundary, so the other buckets stay small, and such tie buckets
-    (one score value, ordered by ``tiebreak`` alone) are split further by the
-    first two characters of ``tiebreak``. Counts per (bucket, split) give the
-    offsets; ``row_number`` runs inside each (bucket, split)."""
-    from rollspark.functions.cols import with_scalars
-    qs = [j / buckets for j in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(F.col(score).cast("double"), qs, 10000).alias("_bounds"))
-    d = with_scalars(df, bounds)
-    s = F.col(score).cast("double")
-    below = F.size(F.filter("_bounds", lambda b: b < s))
-    tie = F.exists("_bounds", lambda b: b == s)
-    d = d.withColumn("_rb", (below * 2 + F.when(tie, 1).otherwise(0)).cast("int")) \
-        .withColumn("_rs", F.when(tie, F.substring(F.col(tiebreak).cast("string"), 1, 2)).otherwise(F.lit("")))
-    counts = d.groupBy("_rb", "_rs").agg(F.count(F.lit(1)).alias("_rn"))
-    w = Window.orderBy("_rb", "_rs").rowsBetween(Window.unboundedPreceding, -1)
-    # the count table has at most (2 * buckets) * 256 rows: a bounded window
-    offs = counts.select("_rb", "_rs", F.coalesce(F.sum("_rn").over(w), F.lit(0)).alias("_roff"))
-    d = d.join(F.broadcast(offs), ["_rb", "_rs"])
-    w2 = Window.partitionBy("_rb", "_rs").orderBy(s, F.col(tiebreak))
-    return d.withColumn(name, (F.col("_roff") + F.row_number().over(w2) - 1).cast("bigint")) \
-        .drop("_bounds", "_rb", "_rs", "_roff")
+    whole frame. ``buckets`` is the number of ranges; a score that many rows
+    share is split among ranges by its ties."""
+    d = ranged(df, [F.col(score).cast("double"), F.col(tiebreak)], ranges=buckets)
+    d = d.join(_starts(d, F.count(F.lit(1))), ["_pk", "_range"])
+    return d.select(*df.columns, (F.col("_at") - F.col("_range_first") + F.col("_range_before")).cast("bigint").alias(name))

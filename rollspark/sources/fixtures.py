@@ -24,6 +24,13 @@ def _seq(n):
     return F.when(n >= 1, F.sequence(F.lit(1).cast("bigint"), n)).otherwise(F.array().cast("array<bigint>"))
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt over all tasks by the row's own key where its files make fewer splits than the session has cores
+    (one small file would be one task); larger inputs stay as they are read."""
+    few = df._jdf.queryExecution().toRdd().getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(*keys) if few else df
+
+
 def rollouts(spark: SparkSession, d: str, with_source: bool = False,
              with_index: bool = False, with_tokens: bool = False) -> DataFrame:
     """One row per rollout, from ``lineitem``.
@@ -32,10 +39,7 @@ def rollouts(spark: SparkSession, d: str, with_source: bool = False,
     reward = 1 for return flag 'R' else 0, resp_len = quantity,
     stop_reason = 'stop' for line status 'F' else 'length'.
     """
-    # hash-partition by the group key before the token arrays are built: the
-    # array work spreads over all shuffle partitions (not the scan's row
-    # groups), and every per-uid operator downstream reuses this partitioning
-    li = table(spark, d, "lineitem").repartition("l_orderkey")
+    li = dealt(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
     df = rollout_columns(li, with_tokens)
     if with_source:
         o = table(spark, d, "orders").select(F.col("o_orderkey").alias("uid"),
@@ -145,7 +149,7 @@ def sql_results(spark: SparkSession, d: str) -> DataFrame:
     '2','3' reverse the columns, '4' change a value, '5' swap the first two
     rows, '6' duplicate the first row, '7' add a blank row. Negative ids are
     1x1 numeric answers (-(order key + 1); order total, predicted with an offset)."""
-    li = table(spark, d, "lineitem").select(
+    li = dealt(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber").select(
         F.col("l_orderkey").alias("question_id"),
         F.md5(F.concat_ws("|", "l_linenumber", "l_partkey", "l_suppkey")).alias("_h"),
         F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_returnflag"),
@@ -179,7 +183,7 @@ def sql_results(spark: SparkSession, d: str) -> DataFrame:
 def sql_questions(spark: SparkSession, d: str) -> DataFrame:
     """One question per order key (and its negative for the 1x1 answers) with
     a grading method, an execution status and a model completion."""
-    o = table(spark, d, "orders")
+    o = dealt(table(spark, d, "orders"), "o_orderkey")
     q = o.select(F.col("o_orderkey").alias("question_id")).unionByName(
         o.select((-F.col("o_orderkey") - 1).alias("question_id")))
     c2, c3 = _code("question_id", 2), _code("question_id", 3)
@@ -229,7 +233,7 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
     """Model responses with gold answers, one per order: the template is
     chosen by the first md5 digit of the key (boxed, nested boxed, wrong,
     '####', 'Answer:', <answer> tags, code blocks, \\text, fractions, ...)."""
-    o = table(spark, d, "orders")
+    o = dealt(table(spark, d, "orders"), "o_orderkey")
     g = F.floor("o_totalprice").cast("bigint")
     gs, cs = g.cast("string"), F.format_number(g, 0)
     code = F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 1)
@@ -270,8 +274,10 @@ def transitions(spark: SparkSession, d: str) -> DataFrame:
     ``ac`` is the turn's words, ``ac_logprobs`` = -(len(word) % 7) / 10,
     ``reward`` = (words % 3) / 2, ``group_id`` = first md5 digit of conv_id.
     The conversation is assembled once per conversation (bounded by its
-    context length); word offsets are a skew-safe running sum."""
+    context length); word offsets are a skew-safe running sum. The view is
+    written once, as its users read it several times."""
     from rollspark.plans.ordered import ordered_cumsum
+    from rollspark.session import materialize
     c = table(spark, d, "conversations").select("conv_id", "turn", "role", F.split("text", " ").alias("words"))
     c = c.withColumn("n", F.size("words").cast("bigint"))
     c = ordered_cumsum(c, "turn", "n", ["conv_id"], name="_end").withColumn("offset", F.col("_end") - F.col("n"))
@@ -281,12 +287,12 @@ def transitions(spark: SparkSession, d: str) -> DataFrame:
     reset = F.substring(F.md5(F.concat_ws("|", "conv_id", "turn")), 1, 1).isin("0", "1", "2", "3")
     off = F.col("offset").cast("int")
     ob = F.when(reset, F.slice("all_words", 2, F.greatest(off - 1, F.lit(0)))).otherwise(F.slice("all_words", 1, off))
-    return a.select(
+    return materialize(a.select(
         F.substring(F.md5(F.col("conv_id").cast("string")), 1, 1).alias("group_id"),
         F.col("conv_id").alias("traj_id"), F.col("turn").alias("step"), ob.alias("ob"),
         F.col("words").alias("ac"),
         F.transform("words", lambda w: -(F.length(w) % 7).cast("double") / 10).alias("ac_logprobs"),
-        ((F.col("n") % 3).cast("double") / 2).alias("reward"))
+        ((F.col("n") % 3).cast("double") / 2).alias("reward")), "transitions")
 
 
 # --------------------------------------------------------------------------

@@ -11,14 +11,16 @@ micro-batch, so the sink does not depend on how the input was cut into files.
 - T1 ``complete_groups``: per-uid state (``applyInPandasWithState``) holds
   samples until ``n`` have arrived, then emits exactly ``n`` as a group with
   its GRPO advantages and keeps the rest; :func:`waiting_samples` reads the
-  samples that still wait.
+  samples that still wait. ``timed_groups`` does so by event time
+  (``transformWithState``: list state, timers, an initial state), so idle groups
+  end in a drained run as well.
 - T2 ``accumulate_kept_groups``: whole groups with reward variance are appended
   until the target number of groups is reached.
 - T3 ``release_minibatches``: whole groups wait until ``m`` of them fill a
   minibatch, numbered after the ones already released.
 - T4 ``route_stale``: current step read per micro-batch, two sinks.
-- T5 ``shuffled_batches``: rows in seeded order per micro-batch fill fixed
-  batches, numbered on; only the incomplete batch at the end stays pending.
+- T5 ``shuffled_batches``: rows pass through a shuffle buffer into fixed
+  batches, numbered on; the buffer and the incomplete batch stay pending.
 - T6 ``rolling_metrics``: streaming ``groupBy(step, source)`` aggregate.
 """
 
@@ -30,6 +32,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from rollspark.session import checkpoint_dir
 
@@ -66,15 +69,21 @@ GROUP_OUT = "uid long, group_no long, sample_key string, reward double, advantag
 GROUP_STATE = "keys array<string>, rewards array<double>, released long"
 
 
-def _group_fn(n: int, eps: float, timeout_ms: int | None):
+def _group_rows(uid, number, samples, eps, complete):
+    """A group of (sample_key, reward) with its advantages."""
     import numpy as np
     import pandas as pd
+    r = np.asarray([x for _, x in samples], dtype=float)
+    adv = r / (1.0 + eps) if len(r) == 1 else (r - r.mean()) / (r.std(ddof=1) + eps)
+    return pd.DataFrame({"uid": uid, "group_no": number, "sample_key": [k for k, _ in samples], "reward": r, "advantage": adv,
+                         "n_in_group": len(r), "complete": complete})
+
+
+def _group_fn(n: int, eps: float, timeout_ms: int | None):
+    import pandas as pd
 
     def emit(uid, number, keys, rewards, complete):
-        r = np.asarray(rewards, dtype=float)
-        adv = r / (1.0 + eps) if len(r) == 1 else (r - r.mean()) / (r.std(ddof=1) + eps)
-        return pd.DataFrame({"uid": uid, "group_no": number, "sample_key": keys, "reward": r, "advantage": adv,
-                             "n_in_group": len(r), "complete": complete})
+        return _group_rows(uid, number, list(zip(keys, rewards, strict=True)), eps, complete)
 
     def fn(key, pdfs, state):
         uid = key[0]
@@ -110,6 +119,83 @@ def complete_groups(stream: DataFrame, n: int, eps: float = 1e-6, timeout_ms: in
         _group_fn(n, eps, timeout_ms), GROUP_OUT, GROUP_STATE, "append", timeout)
 
 
+class _TimedGroups(StatefulProcessor):
+    """Samples of one uid until ``n`` have come or its timer expires."""
+
+    def __init__(self, n: int, eps: float, idle_ms: int):
+        self.n, self.eps, self.idle_ms = n, eps, idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.samples = handle.getListState("samples", "sample_key string, reward double")
+        self.counts = handle.getValueState("counts", "released long, timer long")
+
+    def _count(self) -> tuple[int, int]:
+        got = self.counts.get() if self.counts.exists() else None
+        return (int(got[0]), int(got[1])) if got else (0, 0)
+
+    def _held(self) -> list[tuple[str, float]]:
+        return [(k, float(r)) for k, r in self.samples.get()] if self.samples.exists() else []
+
+    def _keep(self, held, released: int, last_ms: int) -> None:
+        """State and timer after some samples; without waiting samples there is no timer."""
+        timer = self._count()[1]
+        if timer:
+            self.handle.deleteTimer(timer)
+        timer = last_ms + self.idle_ms if held else 0
+        if held:
+            self.samples.put(held)
+            self.handle.registerTimer(timer)
+        else:
+            self.samples.clear()
+        self.counts.update((released, timer))
+
+    def _take(self, uid, held, released, last_ms):
+        while len(held) >= self.n:
+            yield _group_rows(uid, released, held[:self.n], self.eps, True)
+            held, released = held[self.n:], released + 1
+        self._keep(held, released, last_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+        came = pd.concat(list(rows)).sort_values("sample_key", kind="stable")  # one order whatever the tasks
+        held = self._held() + list(zip(came["sample_key"].tolist(), came["reward"].astype(float).tolist(), strict=True))
+        yield from self._take(key[0], held, self._count()[0], int(came["arrived"].max().value // 10**6))
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        held = list(zip(initialState["sample_key"].tolist(), initialState["reward"].astype(float).tolist(), strict=True))
+        self._keep(held, 0, int(initialState["arrived"].max().value // 10**6))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held, (released, _) = self._held(), self._count()
+        self.samples.clear()
+        self.counts.update((released + 1, 0))
+        if held:
+            yield _group_rows(key[0], released, held, self.eps, False)
+
+    def close(self) -> None:
+        pass
+
+
+def timed_groups(stream: DataFrame, n: int, idle: str, eps: float = 1e-6, arrived: str = "arrived", delay: str = "0 seconds",
+                 initial: DataFrame | None = None) -> DataFrame:
+    """T1 by event time: like :func:`complete_groups`, and a uid whose waiting samples saw no other for ``idle`` (an
+    interval such as '90 minutes') is emitted as incomplete when the watermark of ``arrived`` has passed that time.
+
+    The time is that of the data, so it needs no running clock: a run that
+    drains its source ends the idle groups too. Samples that come later start
+    the uid's next group. ``initial`` (uid, sample_key, reward, ``arrived``) are
+    samples that wait already, as read with :func:`waiting_samples` from an
+    earlier query. The session's state store must be RocksDB."""
+    spark = stream.sparkSession
+    at = F.lit(0).cast("timestamp")
+    idle_ms = spark.range(1).select(F.unix_millis(at + F.expr(f"interval {idle}")) - F.unix_millis(at)).first()[0]
+    cols = ["uid", "sample_key", "reward", F.col(arrived).alias("arrived")]
+    rows = stream.select(*cols).withWatermark("arrived", delay)
+    return rows.groupBy("uid").transformWithStateInPandas(
+        _TimedGroups(n, eps, idle_ms), GROUP_OUT, "append", "EventTime", initialState=None if initial is None else initial.select(*cols).groupBy("uid"))
+
+
 def waiting_samples(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(uid, sample_key, reward) of the samples that wait in T1's state, read from the query's checkpoint."""
     state = spark.read.format("statestore").load(checkpoint)
@@ -250,25 +336,42 @@ def route_stale(stream: DataFrame, current_step: DataFrame, kept_path: str, requ
     return fn
 
 
-def shuffled_batches(stream: DataFrame, out_path: str, batch_size: int, key, seed: int = 0):
-    """T5: rows in seeded order within their micro-batch, after the rows carried
-    over, fill batches of ``batch_size``, numbered on over micro-batches. The
-    rows of the incomplete batch are carried over; those left when the stream
-    ends are the one batch that ``drop_last`` drops (:func:`pending`)."""
+def shuffled_batches(stream: DataFrame, out_path: str, batch_size: int, key, seed: int = 0, buffer_size: int = 1024):
+    """T5: rows pass through a shuffle buffer of ``buffer_size`` places and fill
+    batches of ``batch_size``, numbered on over micro-batches.
+
+    Rows arrive in seeded order within their micro-batch. The first ones fill
+    the places; from then on each arriving row takes a seeded place, and the row
+    that stood there goes out. So rows of different micro-batches meet in a
+    batch. What a row waits for is the next arrival at its place: a window per
+    place, no state outside the carried rows. Carried over are the rows in the
+    buffer (at most ``buffer_size``) and those of the incomplete batch; those
+    left when the stream ends are read with :func:`pending`, in places from 0 on."""
+    from pyspark.sql import Window
+
+    from rollspark.functions.cols import hash_int, seeded_hash
     from rollspark.plans.batching import seeded_order
-    status_schema = "next_batch long"
+    status_schema = "next_batch long, arrived long"
 
     def fn(batch: DataFrame, epoch_id: int):
         spark = batch.sparkSession
-        base = int(_status(spark, out_path, epoch_id, status_schema).get("next_batch", 0))
-        carried = _carried(batch, out_path, epoch_id, "_place long")
-        first = carried.count()  # fewer than batch_size
-        rows = carried.unionByName(seeded_order(batch, key, seed).withColumn("_place", F.col("idx") + first).drop("idx"))
-        full = (first + batch.count()) // batch_size
-        b = F.floor(F.col("_place") / batch_size)
-        write_epoch(rows.filter(b < full).withColumn("batch_id", (F.lit(base) + b).cast("bigint")).drop("_place"), out_path, epoch_id)
-        write_epoch(rows.filter(b >= full).withColumn("_place", F.col("_place") - full * batch_size), out_path.rstrip("/") + "_pending", epoch_id)
-        write_epoch(spark.createDataFrame([(base + full,)], status_schema), out_path.rstrip("/") + "_status", epoch_id)
+        status = _status(spark, out_path, epoch_id, status_schema)
+        before = int(status.get("arrived", 0))
+        came = seeded_order(batch, key, seed).withColumn("_arrival", F.col("idx") + before).drop("idx")
+        place = F.when(F.col("_arrival") < buffer_size, F.col("_arrival")) \
+            .otherwise(hash_int(seeded_hash(seed, F.lit("place"), "_arrival"), buffer_size).cast("long"))
+        carried = _carried(batch, out_path, epoch_id, "_arrival long, _place long, _out long")
+        rows = carried.unionByName(came.withColumn("_place", place).withColumn("_out", F.lit(None).cast("long")))
+        # a row that has gone out has its turn and takes no part in the places any more
+        taken = F.lead("_arrival").over(Window.partitionBy("_place", F.col("_out").isNull()).orderBy("_arrival"))
+        rows = rows.withColumn("_out", F.coalesce("_out", taken - buffer_size))
+        arrived = before + batch.count()
+        full = max(0, arrived - buffer_size) // batch_size
+        b = F.floor(F.col("_out") / batch_size)
+        done = F.col("_out").isNotNull() & (b < full)
+        write_epoch(rows.filter(done).withColumn("batch_id", b.cast("bigint")).drop("_arrival", "_place", "_out"), out_path, epoch_id)
+        write_epoch(rows.filter(~done), out_path.rstrip("/") + "_pending", epoch_id)
+        write_epoch(spark.createDataFrame([(full, arrived)], status_schema), out_path.rstrip("/") + "_status", epoch_id)
     return fn
 
 
