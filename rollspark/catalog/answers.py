@@ -114,7 +114,7 @@ def _heavy_ctes(src: str, x: str, p: str) -> str:
             f"{p}_b AS (SELECT response_id, regexp_replace(CASE WHEN length(v) > 0 AND starts_with(v, '{{') AND suffix(v, '}}') "
             f"THEN substr(v, 2, length(v) - 2) ELSE v END, ',\\\\! *', '', 'g') AS v FROM {p}_a),\n"
             f"{p}_c AS (SELECT response_id, CASE WHEN {_whole_sql(f)} THEN {digits.format(f'round_even({f}, 0)')} ELSE v END AS v FROM {p}_b),\n"
-            f"{p}_t AS (SELECT response_id, CASE WHEN contains(v, '\\') THEN {_plain_tex_sql('v')} ELSE v END AS v FROM {p}_c),\n"
+            f"{p}_t AS (SELECT response_id, CASE WHEN contains(v, chr(92)) THEN {_plain_tex_sql('v')} ELSE v END AS v FROM {p}_c),\n"
             f"{p}_d AS (SELECT response_id, lower(replace(replace(replace(regexp_replace(regexp_replace(v, '- *', '-', 'g'), "
             f"'([0-9]) +([0-9])', '\\1+\\2', 'g'), ' ', ''), '{{', ''), '}}', '')) AS v FROM {p}_t),\n"
             f"{p}_n AS (SELECT response_id, CASE WHEN {_whole_sql(g)} "
@@ -132,14 +132,14 @@ def q_heavy(spark, d):
 # The truth of every response written in one of several ways: as it is, with
 # thousands separators, with a unit, as a decimal, as a fraction, as a word
 # list, as a tuple, as a TeX fraction; the last ones only match where the answer is written alike.
-_TRUTH = """CASE WHEN response_id % 11 = 3 THEN concat(chr(92), 'frac{', 2 * TRY_CAST(gold AS BIGINT) + 1, '}{2}')
- WHEN response_id % 11 = 5 THEN concat('(', chr(92), 'tfrac', chr(92), 'pi3,', chr(92), 'dfrac{', 3 * TRY_CAST(gold AS BIGINT), '}{4}]')
+_TRUTH = """CASE WHEN response_id % 11 = 3 THEN concat(chr(92), 'frac{') || CAST(4 * TRY_CAST(gold AS BIGINT) + 2 AS VARCHAR(30)) || '}{4}'
+ WHEN response_id % 11 = 5 THEN concat('(', chr(92), 'tfrac', chr(92), 'pi3,', chr(92), 'dfrac{') || CAST(3 * TRY_CAST(gold AS BIGINT) AS VARCHAR(30)) || '}{4}]'
  ELSE CASE response_id % 7 WHEN 0 THEN gold WHEN 1 THEN regexp_replace(gold, '^([0-9]+)([0-9]{3})$', '{1},{2}')
  WHEN 2 THEN gold || ' cm' WHEN 3 THEN gold || '.00' WHEN 4 THEN gold || '/1'
  WHEN 5 THEN gold || ' and 7' ELSE '(' || gold || ', 0.50]' END END"""
 # The answer of every fifth response is written as a tuple of its own, too.
 _ANSWER = """CASE WHEN response_id % 11 = 3 THEN answer || '.50'
- WHEN response_id % 11 = 5 THEN concat('(', chr(92), 'frac{', chr(92), 'pi}{3}, ', TRY_CAST(answer AS DOUBLE) * 0.75, ']')
+ WHEN response_id % 11 = 5 THEN concat('(', chr(92), 'frac{', chr(92), 'pi}{3}, ') || substr(answer, 1, 0) || CAST(3 * TRY_CAST(gold AS BIGINT) AS VARCHAR(30)) || '/4]'
  WHEN response_id % 5 > 0 THEN answer WHEN response_id % 7 = 5 THEN answer || ' , 7'
  WHEN response_id % 7 = 6 THEN '(' || answer || ',1/2]' ELSE answer END"""
 

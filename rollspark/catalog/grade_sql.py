@@ -167,8 +167,8 @@ def _result_text_sql(text: str) -> str:
 , w AS (SELECT *, max(length(v)) OVER (PARTITION BY question_id, side, i) AS wide,
                max(CASE WHEN rn <= 3 THEN length(v) END) OVER (PARTITION BY question_id, side, i) AS wide3 FROM h)
 , l AS (SELECT question_id, side, rn, n_rows, string_agg(lpad(v, CAST(wide AS INTEGER), ' '), ' ' ORDER BY i) AS line,
-               CASE WHEN rn <= 3 THEN string_agg(CASE WHEN rn <= 3 THEN lpad(v, CAST(wide3 AS INTEGER), ' ') END, ' ' ORDER BY i) END AS line3 FROM w GROUP BY ALL)
-, t AS (SELECT question_id, side, n_rows, string_agg(line, chr(10) ORDER BY rn) AS whole, string_agg(line3, chr(10) ORDER BY rn) AS head FROM l GROUP BY ALL)
+               string_agg(CASE WHEN rn <= 3 THEN lpad(v, CAST(wide3 AS INTEGER), ' ') END, ' ' ORDER BY i) AS line3 FROM w GROUP BY question_id, side, rn, n_rows)
+, t AS (SELECT question_id, side, n_rows, string_agg(line, chr(10) ORDER BY rn) AS whole, string_agg(line3, chr(10) ORDER BY rn) AS head FROM l GROUP BY question_id, side, n_rows)
 SELECT question_id, side, CAST(n_rows AS BIGINT) AS n_rows, {text} AS text FROM t""", "sql_results")
 
 

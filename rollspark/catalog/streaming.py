@@ -132,8 +132,8 @@ def q_stale_stream(spark, d):
 , a AS (SELECT uid, sample_key, row_number() OVER (ORDER BY part, md5('0|' || CAST(uid AS VARCHAR) || '|' || sample_key), uid, sample_key) - 1 AS j,
                count(*) OVER () AS n FROM filed)
 , p AS (SELECT *, CASE WHEN j < {SHUFFLE_BUFFER} THEN j ELSE ('0x' || md5('0|place|' || CAST(j AS VARCHAR))[1:8])::BIGINT % {SHUFFLE_BUFFER} END AS place FROM a)
-, o AS (SELECT *, lead(j) OVER (PARTITION BY place ORDER BY j) - {SHUFFLE_BUFFER} AS at FROM p)
-SELECT uid, sample_key, CASE WHEN at // 256 < greatest(n - {SHUFFLE_BUFFER}, 0) // 256 THEN CAST(at // 256 AS BIGINT) END AS batch_id FROM o""", "rollouts"))
+, o AS (SELECT *, lead(j) OVER (PARTITION BY place ORDER BY j) - {SHUFFLE_BUFFER} AS leaves FROM p)
+SELECT uid, sample_key, CASE WHEN leaves // 256 < greatest(n - {SHUFFLE_BUFFER}, 0) // 256 THEN CAST(leaves // 256 AS BIGINT) END AS batch_id FROM o""", "rollouts"))
 def q_shuffled(spark, d):
     """Every row with its batch; null for the buffer and the incomplete batch that are left at the end."""
     rs, _ = _rollout_stream(spark, d)

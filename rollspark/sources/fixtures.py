@@ -151,10 +151,10 @@ def sql_results(spark: SparkSession, d: str) -> DataFrame:
     1x1 numeric answers (-(order key + 1); order total, predicted with an offset)."""
     li = dealt(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber").select(
         F.col("l_orderkey").alias("question_id"),
-        F.md5(F.concat_ws("|", "l_linenumber", "l_partkey", "l_suppkey")).alias("_h"),
+        F.md5(F.concat_ws("|", "l_linenumber", "l_partkey", "l_suppkey")).alias("_h"), F.col("l_quantity").alias("_q"),
         F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_returnflag"),
                 F.col("l_quantity").cast("bigint").cast("string")).alias("vals"))
-    lr = hashed_index(li, "_h", ["question_id"], name="row_idx").withColumn("_c", _code("question_id"))
+    lr = hashed_index(li, "_h", ["question_id"], tiebreak=["_q"], name="row_idx").withColumn("_c", _code("question_id"))
     c, i, v = F.col("_c"), F.col("row_idx"), F.col("vals")
 
     def row(side, idx, vals):
@@ -375,10 +375,10 @@ SQL = {
                CASE WHEN substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 1) IN ('1', '2', '3', '4', '5') THEN 'annotation error' END AS reason
         FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
     "sql_results": """
-        WITH li AS (SELECT l_orderkey AS question_id, md5(concat_ws('|', l_linenumber, l_partkey, l_suppkey)) AS h,
+        WITH li AS (SELECT l_orderkey AS question_id, md5(concat_ws('|', l_linenumber, l_partkey, l_suppkey)) AS h, l_quantity AS q,
                            [CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), l_returnflag,
                             CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)] AS vals FROM lineitem),
-             lr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY h) - 1 AS row_idx,
+             lr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY h, q) - 1 AS row_idx,
                            substr(md5(CAST(question_id AS VARCHAR)), 1, 1) AS c FROM li)
         SELECT question_id, 'gold' AS side, row_idx, vals FROM lr
         UNION ALL
