@@ -12,18 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollspark.functions.arrays import dsum, masked_mean, masked_moments, masked_sum, mask_count
+from rollspark.functions.arrays import dsum, masked_mean, masked_moments, masked_sum, mask_count, tokens
 from rollspark.functions.cols import col, with_scalars
 from rollspark.operators.advantages import merged_moments
 from rollspark.session import materialize as write_once
 
 
-def _z3(a, b, c, f):
-    """Element-wise f over three equally long arrays."""
-    return F.zip_with(F.arrays_zip(col(a).alias("a"), col(b).alias("b")), col(c),
-                      lambda ab, z: f(ab["a"].cast("double"), ab["b"].cast("double"), z.cast("double")))
-
-
 def approx_kl(log_probs, base_log_probs, mask=None, kind: str = "k3") -> Column:
     """Per-token KL estimate (V10): k1 = lp - base, abs, k2 = 0.5 (lp - base)^2,
     k3 = exp(c) - c - 1 with c = clamp(base - lp, -20, 20), result clamped to
@@ -90,38 +84,34 @@ def gspo_seq_ratio(log_probs, old_log_probs, mask) -> Column:
     """GSPO sequence ratio exp(min(masked mean of (lp - old), 10)) of a row.
     Put it in a column first: referenced inside a per-token lambda it would be
     recomputed for every token."""
-    lr = F.zip_with(col(log_probs), col(old_log_probs), lambda a, b: a.cast("double") - b.cast("double"))
+    lr = tokens(lambda a, b: a - b, log_probs, old_log_probs)
     return F.exp(F.least(masked_mean(lr, mask), F.lit(10.0)))
 
 
 def gspo_tokens(advantages, seq_ratio, eps_low=3e-4, eps_high=4e-4):
     """GSPO-token (V19): the row's sequence ratio (column ``seq_ratio``, see
     :func:`gspo_seq_ratio`) for every token in the clipped surrogate."""
-    ratio = col(seq_ratio)
+    def sides(adv, ratio):
+        return ratio * adv, ratio.greatest(1 - eps_low).least(1 + eps_high) * adv
 
-    def loss(adv):
-        s1 = ratio * adv
-        s2 = F.least(F.greatest(ratio, F.lit(1 - eps_low)), F.lit(1 + eps_high)) * adv
-        return -F.least(s1, s2)
+    def loss(adv, ratio):
+        s1, s2 = sides(adv, ratio)
+        return -s1.least(s2)
 
-    def clipped(adv):
-        s1 = ratio * adv
-        s2 = F.least(F.greatest(ratio, F.lit(1 - eps_low)), F.lit(1 + eps_high)) * adv
-        return F.when(-s2 > -s1, 1.0).otherwise(0.0)
+    def clipped(adv, ratio):
+        s1, s2 = sides(adv, ratio)
+        return (-s2).where_above(-s1, 1.0, 0.0)
 
-    adv = col(advantages)
-    return F.transform(adv, lambda a: loss(a.cast("double"))), F.transform(adv, lambda a: clipped(a.cast("double")))
+    return tokens(loss, advantages, of_row=seq_ratio), tokens(clipped, advantages, of_row=seq_ratio)
 
 
 def sapo_tokens(log_probs, old_log_probs, advantages, tau_pos: float = 1.0, tau_neg: float = 1.05) -> Column:
     """SAPO (V20): -sigmoid(tau (ratio - 1)) * 4 / tau * adv; tau_pos when adv > 0,
     else tau_neg (so a zero advantage takes tau_neg)."""
-    r = ratio_tokens(log_probs, old_log_probs)
-
-    def f(ratio, adv):
-        tau = F.when(adv > 0, F.lit(tau_pos)).otherwise(F.lit(tau_neg))
-        return -(F.lit(1.0) / (F.lit(1.0) + F.exp(-tau * (ratio - 1))) * 4.0 / tau) * adv
-    return F.zip_with(r, col(advantages), lambda x, a: f(x, a.cast("double")))
+    def f(lp, old, adv):
+        tau = adv.where_above(0.0, tau_pos, tau_neg)
+        return -(1.0 / (1.0 + (-tau * ((lp - old).exp() - 1)).exp()) * 4.0 / tau) * adv
+    return tokens(f, log_probs, old_log_probs, advantages)
 
 
 def _reduction(reduction: str, max_seq_len: int | None) -> Column:
@@ -173,40 +163,46 @@ def token_mean(df: DataFrame, x: Column, mask, alias: str) -> Column:
 def value_loss_tokens(values, old_values, returns, value_clip: float | None):
     """Clipped value loss (V23): max((clip(v) - R)^2, (v - R)^2) and the clip flag."""
     if value_clip is None:
-        lt = _z3(values, old_values, returns, lambda v, o, r: (v - r) * (v - r))
+        lt = tokens(lambda v, o, r: (v - r) * (v - r), values, old_values, returns)
         return lt, F.transform(col(values), lambda v: F.lit(0.0))
 
-    def clipped_v(v, o):
-        return o + F.least(F.greatest(v - o, F.lit(-value_clip)), F.lit(value_clip))
-    s1 = _z3(values, old_values, returns, lambda v, o, r: (clipped_v(v, o) - r) * (clipped_v(v, o) - r))
-    s2 = _z3(values, old_values, returns, lambda v, o, r: (v - r) * (v - r))
-    return (F.zip_with(s1, s2, lambda a, b: F.greatest(a, b)),
-            F.zip_with(s1, s2, lambda a, b: F.when(a > b, 1.0).otherwise(0.0)))
+    def squares(v, o, r):
+        clipped = o + (v - o).greatest(-value_clip).least(value_clip)
+        return (clipped - r) * (clipped - r), (v - r) * (v - r)
+
+    def loss(v, o, r):
+        s1, s2 = squares(v, o, r)
+        return s1.greatest(s2)
+
+    def flag(v, o, r):
+        s1, s2 = squares(v, o, r)
+        return s1.where_above(s2, 1.0, 0.0)
+
+    return tokens(loss, values, old_values, returns), tokens(flag, values, old_values, returns)
 
 
 # documented losses of the sampling service (V21); each is summed over tokens
 
 def cross_entropy_tokens(target_logprobs, weights) -> Column:
-    return F.zip_with(col(target_logprobs), col(weights), lambda lp, w: -lp.cast("double") * w.cast("double"))
+    return tokens(lambda lp, w: -lp * w, target_logprobs, weights)
 
 
 def importance_sampling_tokens(target_logprobs, sampling_logprobs, advantages) -> Column:
-    return _z3(target_logprobs, sampling_logprobs, advantages, lambda t, s, a: -(F.exp(t - s) * a))
+    return tokens(lambda t, s, a: -((t - s).exp() * a), target_logprobs, sampling_logprobs, advantages)
 
 
 def cispo_tokens(target_logprobs, sampling_logprobs, advantages, clip_low: float, clip_high: float) -> Column:
-    return _z3(target_logprobs, sampling_logprobs, advantages,
-               lambda t, s, a: -(F.least(F.greatest(F.exp(t - s), F.lit(clip_low)), F.lit(clip_high)) * t * a))
+    return tokens(lambda t, s, a: -((t - s).exp().greatest(clip_low).least(clip_high) * t * a),
+                  target_logprobs, sampling_logprobs, advantages)
 
 
 def dro_tokens(target_logprobs, sampling_logprobs, advantages, beta: float) -> Column:
-    return _z3(target_logprobs, sampling_logprobs, advantages,
-               lambda t, s, a: -(t * a - F.lit(0.5 * beta) * (t - s) * (t - s)))
+    return tokens(lambda t, s, a: -(t * a - 0.5 * beta * (t - s) * (t - s)), target_logprobs, sampling_logprobs, advantages)
 
 
 def reinforce_tokens(log_probs, advantages) -> Column:
     """REINFORCE loss per token: -lp * adv."""
-    return F.zip_with(col(log_probs), col(advantages), lambda lp, a: -lp.cast("double") * a.cast("double"))
+    return tokens(lambda lp, a: -lp * a, log_probs, advantages)
 
 
 # ----------------------------------------------------------------- reports
