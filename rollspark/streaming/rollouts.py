@@ -8,8 +8,8 @@ over: it is written to ``<out>_pending`` with the epoch and joins the next
 micro-batch, so the sink does not depend on how the input was cut into files.
 :func:`pending` reads what is left when a stream ends.
 
-- T1 ``complete_groups``: per-uid state (``applyInPandasWithState``) holds
-  samples until ``n`` have arrived, then emits exactly ``n`` as a group with
+- T1 ``complete_groups``: state (``applyInPandasWithState``), kept for many uids
+  under one key, holds samples until ``n`` have arrived, then emits exactly ``n`` as a group with
   its GRPO advantages and keeps the rest; :func:`waiting_samples` reads the
   samples that still wait. ``timed_groups`` does so by event time
   (``transformWithState``: list state, timers, an initial state), so idle groups
@@ -66,112 +66,189 @@ def write_epoch(df: DataFrame, path: str, epoch_id: int) -> None:
 # ----------------------------------------------------------------- T1
 
 GROUP_OUT = "uid long, group_no long, sample_key string, reward double, advantage double, n_in_group long, complete boolean"
-GROUP_STATE = "keys array<string>, rewards array<double>, released long"
+#: Keys of the state: uids are dealt to so many by a hash, and one call works on all of a key's uids at once. Part of a checkpoint.
+STATE_KEYS = 4096
+UID_STATE = "uids array<long>, released array<long>, last array<long>"  # groups released, and when samples came last, by uid
+GROUP_STATE = "waiting array<struct<uid: long, sample_key: string, reward: double>>, " + UID_STATE
+_SAMPLE = "uid long, sample_key string, reward double"
+NO_UID = -(1 << 63)  # stands for a null uid in the state and inside a call
 
 
-def _group_rows(uid, number, samples, eps, complete):
-    """A group of (sample_key, reward) with its advantages."""
+def _by_state_key(rows: DataFrame, *more) -> DataFrame:
+    """The rows with the state key of their uid, a null uid replaced."""
+    uid = F.coalesce("uid", F.lit(NO_UID)).cast("long")
+    return rows.select(F.pmod(F.xxhash64("uid"), F.lit(STATE_KEYS)).alias("state_key"), uid.alias("uid"), "sample_key", F.col("reward").cast("double").alias("reward"), *more)
+
+
+def _frame(samples):
+    """(uid, sample_key, reward) tuples as a frame."""
     import numpy as np
     import pandas as pd
-    r = np.asarray([x for _, x in samples], dtype=float)
-    adv = r / (1.0 + eps) if len(r) == 1 else (r - r.mean()) / (r.std(ddof=1) + eps)
-    return pd.DataFrame({"uid": uid, "group_no": number, "sample_key": [k for k, _ in samples], "reward": r, "advantage": adv,
-                         "n_in_group": len(r), "complete": complete})
+    uids, keys, rewards = zip(*samples, strict=True) if samples else ((), (), ())
+    return pd.DataFrame({"uid": np.array(uids, np.int64), "sample_key": np.array(keys, object), "reward": np.array(rewards, float)})
 
 
-def _group_fn(n: int, eps: float, timeout_ms: int | None):
+def _arrived(came):
+    """The frames that came, in one order whatever the tasks."""
     import pandas as pd
+    came = pd.concat(list(came))
+    return came.sort_values("sample_key", kind="stable").reset_index(drop=True)
+
+
+def _samples(frame) -> list[tuple]:
+    return list(zip(frame["uid"].tolist(), frame["sample_key"].tolist(), frame["reward"].astype(float).tolist(), strict=True))
 
-    def emit(uid, number, keys, rewards, complete):
-        return _group_rows(uid, number, list(zip(keys, rewards, strict=True)), eps, complete)
 
+def _advantages(rows, eps):
+    """``rows`` (uid, group_no, sample_key, reward, complete), whose groups stand together, with their advantages."""
+    import numpy as np
+    import pandas as pd
+    if not len(rows):
+        return None
+    uid, no, r = (rows[c].to_numpy() for c in ("uid", "group_no", "reward"))
+    new = np.concatenate([[True], (uid[1:] != uid[:-1]) | (no[1:] != no[:-1])])
+    first = np.flatnonzero(new)
+    n, of = np.diff(np.concatenate([first, [len(r)]])), np.cumsum(new) - 1
+    mean = np.add.reduceat(r, first) / n
+    off = r - mean[of]
+    std = np.sqrt(np.add.reduceat(off * off, first) / np.maximum(n - 1, 1))
+    adv = np.where(n[of] == 1, r / (1.0 + eps), off / (std[of] + eps))
+    ids = pd.array(uid, "Int64")
+    ids[uid == NO_UID] = pd.NA
+    return pd.DataFrame({"uid": ids, "group_no": no, "sample_key": rows["sample_key"].to_numpy(), "reward": r, "advantage": adv,
+                         "n_in_group": n[of], "complete": rows["complete"].to_numpy()})
+
+
+def _release(held, came, released: dict, n: int):
+    """(samples of full groups with their group numbers, samples that wait): the held samples of a uid come first."""
+    import numpy as np
+    import pandas as pd
+    rows = pd.concat([held, came[held.columns]], ignore_index=True)
+    rows = rows.iloc[np.argsort(rows["uid"].to_numpy(), kind="stable")]
+    uid = rows["uid"].to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], uid[1:] != uid[:-1]])) if len(uid) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([first, [len(uid)]]))
+    before = np.array([released.get(u, 0) for u in uid[first].tolist()], np.int64)
+    place = np.arange(len(uid)) - np.repeat(first, size)
+    full = place < np.repeat(size // n * n, size)
+    rows = rows.assign(group_no=np.repeat(before, size) + place // n, complete=True)
+    released.update(zip(uid[first].tolist(), (before + size // n).tolist(), strict=True))
+    return rows[full], rows.loc[~full, list(held.columns)]
+
+
+def _idle(held, due, released: dict):
+    """(samples of the uids in ``due`` as incomplete groups, samples that wait on)."""
+    out = held["uid"].isin(due)
+    gone = held[out]
+    gone = gone.assign(group_no=[released.get(u, 0) for u in gone["uid"].tolist()], complete=False)
+    for u in set(gone["uid"].tolist()):
+        released[u] = released.get(u, 0) + 1
+    return gone, held[~out]
+
+
+def _group_fn(n: int, eps: float, timeout_ms: int | None):
     def fn(key, pdfs, state):
-        uid = key[0]
-        keys, rewards, released = (list(state.get[0]), list(state.get[1]), int(state.get[2])) if state.exists else ([], [], 0)
+        held, released, last = _frame([]), {}, {}
+        if state.exists:
+            waiting, uids, numbers, times = state.get
+            held = _frame([tuple(x) for x in waiting])
+            released, last = dict(zip(uids, numbers, strict=True)), dict(zip(uids, times, strict=True))
+        now = 0 if timeout_ms is None else state.getCurrentProcessingTimeMs()
         if state.hasTimedOut:
+            rows, held = _idle(held, [u for u in set(held["uid"].tolist()) if last[u] + timeout_ms <= now], released)
+            # as if the uid had not been seen: its next samples begin at group 0
+            for u in set(rows["uid"].tolist()) | {u for u in released if last[u] + timeout_ms <= now}:
+                del released[u], last[u]
+        else:
+            came = _arrived(pdfs)
+            rows, held = _release(held, came, released, n)
+            last.update(dict.fromkeys(came["uid"].tolist(), now))
+        if not released:
             state.remove()
-            if keys:
-                yield emit(uid, released, keys, rewards, False)
-            return
-        came = pd.concat(list(pdfs)).sort_values("sample_key", kind="stable")  # one order whatever the tasks
-        keys += came["sample_key"].tolist()
-        rewards += came["reward"].astype(float).tolist()
-        while len(keys) >= n:
-            yield emit(uid, released, keys[:n], rewards[:n], True)
-            keys, rewards, released = keys[n:], rewards[n:], released + 1
-        state.update((keys, rewards, released))
-        if timeout_ms is not None:
-            state.setTimeoutDuration(timeout_ms)
+        else:
+            uids = list(released)
+            state.update((_samples(held), uids, [released[u] for u in uids], [last[u] for u in uids]))
+            if timeout_ms is not None:
+                state.setTimeoutDuration(max(1, min(last.values()) + timeout_ms - now))
+        out = _advantages(rows, eps)
+        if out is not None:
+            yield out
 
     return fn
 
 
 def complete_groups(stream: DataFrame, n: int, eps: float = 1e-6, timeout_ms: int | None = 10 * 60 * 1000) -> DataFrame:
     """Emit a uid's samples ``n`` at a time as they arrive, with GRPO
-    advantages computed inside the group. State per uid holds fewer than n
-    samples and the number of groups released. With ``timeout_ms`` an incomplete
+    advantages computed inside the group. The state has ``STATE_KEYS`` keys; that of
+    one holds fewer than n samples of each of its uids and how many groups they
+    released, so a call does the work of all its uids at once. With ``timeout_ms`` an incomplete
     group idle that long is emitted as incomplete; that needs a continuously
     running query, because a processing-time timeout makes Spark schedule a
     batch after every batch. A run that drains its source (``availableNow``)
     passes ``None`` and reads what is left with :func:`waiting_samples`."""
     timeout = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return stream.select("uid", "sample_key", "reward").groupBy("uid").applyInPandasWithState(
-        _group_fn(n, eps, timeout_ms), GROUP_OUT, GROUP_STATE, "append", timeout)
+    return _by_state_key(stream).groupBy("state_key").applyInPandasWithState(_group_fn(n, eps, timeout_ms), GROUP_OUT, GROUP_STATE, "append", timeout)
 
 
 class _TimedGroups(StatefulProcessor):
-    """Samples of one uid until ``n`` have come or its timer expires."""
+    """Samples of the uids of one state key until ``n`` of a uid have come or it is idle too long; one timer, for the uid that is idle first."""
 
     def __init__(self, n: int, eps: float, idle_ms: int):
         self.n, self.eps, self.idle_ms = n, eps, idle_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.samples = handle.getListState("samples", "sample_key string, reward double")
-        self.counts = handle.getValueState("counts", "released long, timer long")
+        self.samples = handle.getListState("samples", _SAMPLE)
+        self.counts = handle.getValueState("counts", UID_STATE + ", timer long")
 
-    def _count(self) -> tuple[int, int]:
+    def _load(self):
         got = self.counts.get() if self.counts.exists() else None
-        return (int(got[0]), int(got[1])) if got else (0, 0)
+        released, last, timer = (dict(zip(got[0], got[1], strict=True)), dict(zip(got[0], got[2], strict=True)), int(got[3])) if got else ({}, {}, 0)
+        return _frame([tuple(x) for x in self.samples.get()] if self.samples.exists() else []), released, last, timer
 
-    def _held(self) -> list[tuple[str, float]]:
-        return [(k, float(r)) for k, r in self.samples.get()] if self.samples.exists() else []
-
-    def _keep(self, held, released: int, last_ms: int) -> None:
+    def _keep(self, held, released, last, timer: int) -> None:
         """State and timer after some samples; without waiting samples there is no timer."""
-        timer = self._count()[1]
-        if timer:
+        waiting = set(held["uid"].tolist())
+        due = min((last[u] for u in waiting), default=0) + self.idle_ms if waiting else 0
+        if timer and timer != due:
             self.handle.deleteTimer(timer)
-        timer = last_ms + self.idle_ms if held else 0
-        if held:
-            self.samples.put(held)
-            self.handle.registerTimer(timer)
-        else:
+        if due and timer != due:
+            self.handle.registerTimer(due)
+        if waiting:
+            self.samples.put(_samples(held))
+        elif self.samples.exists():
             self.samples.clear()
-        self.counts.update((released, timer))
+        uids = list(released)
+        self.counts.update((uids, [released[u] for u in uids], [last.get(u, 0) for u in uids], due))
 
-    def _take(self, uid, held, released, last_ms):
-        while len(held) >= self.n:
-            yield _group_rows(uid, released, held[:self.n], self.eps, True)
-            held, released = held[self.n:], released + 1
-        self._keep(held, released, last_ms)
+    def _came(self, came):
+        last = came.groupby("uid")["arrived"].max()
+        return dict(zip(last.index.tolist(), [int(x.value // 10**6) for x in last], strict=True))
 
     def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
-        came = pd.concat(list(rows)).sort_values("sample_key", kind="stable")  # one order whatever the tasks
-        held = self._held() + list(zip(came["sample_key"].tolist(), came["reward"].astype(float).tolist(), strict=True))
-        yield from self._take(key[0], held, self._count()[0], int(came["arrived"].max().value // 10**6))
+        came = _arrived(rows)
+        held, released, last, timer = self._load()
+        full, held = _release(held, came, released, self.n)
+        self._keep(held, released, last | self._came(came), timer)
+        out = _advantages(full, self.eps)
+        if out is not None:
+            yield out
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        held = list(zip(initialState["sample_key"].tolist(), initialState["reward"].astype(float).tolist(), strict=True))
-        self._keep(held, 0, int(initialState["arrived"].max().value // 10**6))
+        import pandas as pd
+        held, released, last, timer = self._load()  # a key's rows may come in several pieces
+        held = pd.concat([held, initialState[held.columns]], ignore_index=True)
+        self._keep(held, dict.fromkeys(held["uid"].tolist(), 0) | released, last | self._came(initialState), timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        held, (released, _) = self._held(), self._count()
-        self.samples.clear()
-        self.counts.update((released + 1, 0))
-        if held:
-            yield _group_rows(key[0], released, held, self.eps, False)
+        held, released, last, timer = self._load()
+        at, mark = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        due = [u for u in set(held["uid"].tolist()) if last[u] + self.idle_ms <= at or last[u] + self.idle_ms < mark]
+        gone, held = _idle(held, due, released)
+        self._keep(held, released, last, 0 if timer == at else timer)
+        out = _advantages(gone.iloc[gone["uid"].to_numpy().argsort(kind="stable")], self.eps)
+        if out is not None:
+            yield out
 
     def close(self) -> None:
         pass
@@ -191,18 +268,17 @@ def timed_groups(stream: DataFrame, n: int, idle: str, eps: float = 1e-6, arrive
     at = F.lit(0).cast("timestamp")
     idle_ms = spark.range(1).select(F.unix_millis(at + F.expr(f"interval {idle}")) - F.unix_millis(at)).first()[0]
     cols = ["uid", "sample_key", "reward", F.col(arrived).alias("arrived")]
-    rows = stream.select(*cols).withWatermark("arrived", delay)
-    return rows.groupBy("uid").transformWithStateInPandas(
-        _TimedGroups(n, eps, idle_ms), GROUP_OUT, "append", "EventTime", initialState=None if initial is None else initial.select(*cols).groupBy("uid"))
+    rows = _by_state_key(stream.select(*cols).withWatermark("arrived", delay), "arrived")
+    return rows.groupBy("state_key").transformWithStateInPandas(
+        _TimedGroups(n, eps, idle_ms), GROUP_OUT, "append", "EventTime",
+        initialState=None if initial is None else _by_state_key(initial.select(*cols), "arrived").groupBy("state_key"))
 
 
 def waiting_samples(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(uid, sample_key, reward) of the samples that wait in T1's state, read from the query's checkpoint."""
     state = spark.read.format("statestore").load(checkpoint)
-    g = F.col("value.groupState")
-    return state.select(F.col("key").getField(state.schema["key"].dataType.names[0]).alias("uid"),
-                        F.explode(F.arrays_zip(g["keys"].alias("k"), g["rewards"].alias("r"))).alias("z")) \
-        .select("uid", F.col("z")["k"].alias("sample_key"), F.col("z")["r"].alias("reward"))
+    waits = state.select(F.explode("value.groupState.waiting").alias("w")).select("w.uid", "w.sample_key", "w.reward")
+    return waits.withColumn("uid", F.nullif("uid", F.lit(NO_UID)))
 
 
 # ----------------------------------------------------------------- T2 / T3 / T4 / T5
