@@ -290,3 +290,32 @@ def test_pipeline_stages_keep_columns_and_survive_odd_rows(spark, sf_dir, tmp_pa
     assert spark_docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_kinds_and_weights_are_learned_from_all_training_rows(spark, monkeypatch):
+    """Documents and words that the sample for the start does not hold change the kinds and the weights."""
+    monkeypatch.setattr(mixing_lm, "SAMPLE", 40)
+    # six vocabularies of 30 words; every document of a vocabulary holds 20 of its words
+    v, i = F.col("id") % 6, F.floor(F.col("id") / 6)
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.concat(F.lit("v"), v.cast("string"), F.lit("w"), ((i * 7 + k) % 30).cast("string"))), " ")
+    docs = spark.range(1200).select(F.col("id").alias("doc_id"), text.alias("text"), (F.col("id") % 10 == 0).alias("held"))
+    enc = docs.sparkSession.createDataFrame(mixing_lm.chunks(docs.repartition(3, "doc_id")).toPandas(), mixing_lm.chunks(docs).schema)
+    start = mixing_lm.kinds(docs.where("not held"), 1200)
+    log_p = mixing_lm.settled(enc, start)
+    got = mixing_lm.counted(enc, log_p).toPandas()
+    total = sum(sum(np.sum(x) for x in got[f"t{z}"]) for z in range(mixing_lm.CLASSES))
+    assert total == 1080 * 20
+    again = mixing_lm.settled(enc.repartition(1), start)
+    assert np.allclose(log_p, again, atol=1e-12)
+    # a kind's probability of a word is that of all its documents, not of the 40
+    f = [mixing_lm.features([b"v0w%d" % k])[0] for k in range(30)]
+    best = log_p[:, f].sum(axis=1).argmax()
+    assert np.ptp(log_p[best, f]) < 0.5
+    rows = [(b"v%dw%d" % (a, k), 1 + a) for a in range(6) for k in range(400)]
+    words = spark.createDataFrame([(bytearray(w), c) for w, c in rows], "word binary, c long")
+    speller = mixing_lm.Speller(*mixing_lm.context_tables(words, len(rows)))
+    monkeypatch.setattr(mixing_lm, "TUNE_WORDS", 1000)
+    seen = []
+    monkeypatch.setattr(type(words), "collect", lambda self, real=type(words).collect: seen.append(real(self)) or seen[-1])
+    weights = mixing_lm.tuned(words, speller, len(rows))
+    assert sum(r["n"] for r in seen[-1]) == len(rows) and len(seen[-1]) == 3 and not np.allclose(weights, speller.weights)
