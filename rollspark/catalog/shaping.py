@@ -208,13 +208,12 @@ def q_loss_flags(spark, d):
     trainable = F.transform("messages", lambda x, i: _spark_md5_digit(
         F.col("conv_id").cast("string"), F.lit("|"), i.cast("string")) < "8")
     m = m.withColumn("trainable", trainable)
-    parts = []
+    # all modes of a conversation from one reading of its messages
+    modes = []
     for mode in H.LOSS_MODES:
         fl = H.loss_flags("messages", mode, trainable="trainable" if mode == "customized" else None)
-        x = m.select("conv_id", F.lit(mode).alias("mode"), "messages", fl.alias("flags"))
-        parts.append(x.select("conv_id", "mode", "flags",
-                              H.token_weights("messages", "flags", 2, mode).alias("weights")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        modes.append(F.struct(F.lit(mode).alias("mode"), fl.alias("flags"), H.token_weights("messages", fl, 2, mode).alias("weights")))
+    return m.select("conv_id", F.explode(F.array(*modes)).alias("_m")).select("conv_id", "_m.mode", "_m.flags", "_m.weights")
 
 
 # ----------------------------------------------------------------- P19 / P20
