@@ -19,13 +19,16 @@ SHUFFLE_BUFFER = 1000
 
 def _rollout_stream(spark, d):
     """The rollouts as a stream of ``FOLDERS`` folders of ``FILES`` files, written one after another: the folder of a row follows from its hash."""
-    li = table(spark, d, "lineitem")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
     sizes = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("group_n"))
     li = li.join(sizes, F.col("l_orderkey").eqNullSafe(F.col("k"))).drop("k")
     key = F.md5(F.concat_ws("|", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint")))
     path = ST.stream_path(spark, "input")
+    # the lines meet their groups' sizes once; the folders are cut from what that wrote
+    li.withColumn("_folder", hash_int(seeded_hash("file", "l_orderkey", key), FOLDERS)).write.partitionBy("_folder").parquet(path + "_sized")
     for i in range(FOLDERS):  # a folder a micro-batch, in this order
-        li.filter(hash_int(seeded_hash("file", "l_orderkey", key), FOLDERS) == i).repartition(FILES).write.parquet(f"{path}/{i}")
+        spark.read.schema(li.schema.add("_folder", "long")).parquet(path + "_sized").filter(F.col("_folder") == i).drop("_folder") \
+            .coalesce(FILES).write.parquet(f"{path}/{i}")
     stream = ST.file_stream(spark, path + "/*", li.schema, max_files=FILES)
     return rollout_columns(stream, False, keep=("group_n",)), stream
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from rollspark.session import checkpoint_dir
+from rollspark.session import checkpoint_dir, materialize
 
 
 def stream_path(spark: SparkSession, name: str) -> str:
@@ -440,7 +440,7 @@ def shuffled_batches(stream: DataFrame, out_path: str, batch_size: int, key, see
         rows = carried.unionByName(came.withColumn("_place", place).withColumn("_out", F.lit(None).cast("long")))
         # a row that has gone out has its turn and takes no part in the places any more
         taken = F.lead("_arrival").over(Window.partitionBy("_place", F.col("_out").isNull()).orderBy("_arrival"))
-        rows = rows.withColumn("_out", F.coalesce("_out", taken - buffer_size))
+        rows = materialize(rows.withColumn("_out", F.coalesce("_out", taken - buffer_size)), "shuffled")  # both sinks read it
         arrived = before + batch.count()
         full = max(0, arrived - buffer_size) // batch_size
         b = F.floor(F.col("_out") / batch_size)
