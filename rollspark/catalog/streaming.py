@@ -6,6 +6,7 @@ the shared checkpoint folder, and returns the sink as a table."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rollspark.catalog.core import R, query
 from rollspark.functions.cols import hash_int, rnd, seeded_hash
@@ -27,7 +28,7 @@ def _rollout_stream(spark, d):
     # the lines meet their groups' sizes once; the folders are cut from what that wrote
     li.withColumn("_folder", hash_int(seeded_hash("file", "l_orderkey", key), FOLDERS)).write.partitionBy("_folder").parquet(path + "_sized")
     for i in range(FOLDERS):  # a folder a micro-batch, in this order
-        spark.read.schema(li.schema.add("_folder", "long")).parquet(path + "_sized").filter(F.col("_folder") == i).drop("_folder") \
+        spark.read.schema(StructType([*li.schema.fields, StructField("_folder", LongType())])).parquet(path + "_sized").filter(F.col("_folder") == i).drop("_folder") \
             .coalesce(FILES).write.parquet(f"{path}/{i}")
     stream = ST.file_stream(spark, path + "/*", li.schema, max_files=FILES)
     return rollout_columns(stream, False, keep=("group_n",)), stream

@@ -67,4 +67,4 @@ def test_stream_input_meets_its_group_sizes_once(spark, sf_dir, monkeypatch):
     joins, real = [], type(spark.range(1)).join
     monkeypatch.setattr(type(spark.range(1)), "join", lambda self, *a, **k: joins.append(1) or real(self, *a, **k))
     stream, lines = S._rollout_stream(spark, sf_dir)
-    assert len(read) == len(joins) == 1 and "l_extendedprice" not in lines.columns and "l_comment" not in lines.columns
+    assert len(read) == len(joins) == 1 and "l_extendedprice" not in lines.columns and "_folder" not in lines.columns
