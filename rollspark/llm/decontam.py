@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollspark.llm.common import kept, table, write_once
+from rollspark.llm.common import kept, lean, table, write_once
 
 #: The masks; 1 takes part, 0 is ignored.
 MASKS = ("111111", "1111011", "11001111", "1101000111", "1110100011")
@@ -201,7 +201,7 @@ def candidate_regions(docs: DataFrame, filter_bits, short_lengths: list[int], te
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
                                                  ["row", "doc_id", "mark", "start", "tokens", "seed_pos", "seed"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 def stretches(same: np.ndarray, least: int, min_same: float) -> list[tuple[int, int]]:

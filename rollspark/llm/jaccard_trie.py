@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rollspark.llm.common import kept, table, write_once
+from rollspark.llm.common import kept, lean, table, write_once
 from rollspark.llm.components import components
 
 KNOWN_WORDS, BLOCK, ENTRIES = 300_000, 2000, 1_000_000
@@ -90,8 +90,8 @@ def sets_and_parts(docs: DataFrame, text: str, doc_id: str, n: int, percent: int
     def run(batches):
         for b in batches:
             size, sig, part = [], [], []
-            for x in b.column(1).to_pylist():
-                s = ngram_set(x, n)
+            for x in b.column(1):
+                s = ngram_set(x.as_py(), n)
                 size.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()))
                 part.append(s[:part_size(len(s), percent)].tobytes() if len(s) else b"")
@@ -99,7 +99,7 @@ def sets_and_parts(docs: DataFrame, text: str, doc_id: str, n: int, percent: int
                                              ["doc_id", "n", "sig", "part"])
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return src.mapInArrow(run, "doc_id long, n long, sig binary, part binary")
+    return src.mapInArrow(lean(run), "doc_id long, n long, sig binary, part binary")
 
 
 def runs(sorted_values: np.ndarray) -> np.ndarray:
@@ -186,11 +186,11 @@ def shared_counts(parts: DataFrame, buckets: int) -> DataFrame:
             first = runs(k)
             yield pa.RecordBatch.from_arrays([pa.array(k[first].view(np.int64)), pa.array(np.add.reduceat(c, first) if len(c) else c, pa.int64())], ["key", "shared"])
 
-    dealt = parts.select("sig", "part").mapInArrow(deal, schema)
+    dealt = parts.select("sig", "part").mapInArrow(lean(deal, 0), schema)
     # as many partitions as buckets: what a partition gets is sorted whole, ENTRIES or so
     settled = dealt.repartition(buckets, "bucket").select("tokens", "keys", "done_keys", "done_counts") \
-        .mapInArrow(settle, "bucket int, keys binary, counts binary")
-    return settled.repartition(buckets, "bucket").select("keys", "counts").mapInArrow(add, "key long, shared long")
+        .mapInArrow(lean(settle, 0), "bucket int, keys binary, counts binary")
+    return settled.repartition(buckets, "bucket").select("keys", "counts").mapInArrow(lean(add, 0), "key long, shared long")
 
 
 def key_of(sig) -> F.Column:
@@ -212,7 +212,7 @@ def blocks(members: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(rep), part.column(1).take(rep), pa.array(np.frombuffer(b"".join(packed), np.int64))],
                                                  ["node", "n", "token"])
 
-    tokens = members.select("node", "n", "grams").mapInArrow(unpack, "node long, n long, token long")
+    tokens = members.select("node", "n", "grams").mapInArrow(lean(unpack, 0), "node long, n long, token long")
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     each = Window.partitionBy("node")
     overlap = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
@@ -347,7 +347,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, n: in
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     src = src.select("doc_id", "text", spots[0].alias("x"), spots[1].alias("y"))
-    return src.mapInArrow(run, "doc_id long, sig binary, grams binary")
+    return src.mapInArrow(lean(run), "doc_id long, sig binary, grams binary")
 
 
 def joined_blocks(members: DataFrame, percent: int) -> DataFrame:

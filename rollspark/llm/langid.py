@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rollspark.llm.common import table, widened
+from rollspark.llm.common import forget, lean, table, widened
 
 UNDETERMINED = "und"
 WINDOW = 1 << 20  # characters of one text that are counted at a time
-MERGE_AT = 4_000_000
+MERGE_AT = 1_000_000
 
 
 @cache
@@ -81,6 +81,7 @@ def profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", size:
     ``max_languages`` languages raise an error instead of being dropped.
     """
     def count(batches):
+        forget()
         held: dict[str, tuple[list, list]] = {}
         rows = 0
 
@@ -93,8 +94,8 @@ def profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", size:
             held.clear()
 
         for batch in batches:
-            for x, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                codes, counts = ngrams(x)
+            for x, k in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                codes, counts = ngrams(x.as_py())
                 if len(codes):
                     c, n = held.setdefault(k, ([], []))
                     c.append(codes)
@@ -112,7 +113,7 @@ def profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", size:
 
     grams = (labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
              .where("text is not null and lang is not null")
-             .mapInArrow(count, "lang string, gram long, n long")
+             .mapInArrow(lean(count), "lang string, gram long, n long")
              .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     rows = grams.withColumn("r", F.row_number().over(w)).where(F.col("r") <= size).select("lang", "gram", "r").collect()
@@ -165,13 +166,14 @@ def identify(docs: DataFrame, by_lang: dict[str, list[int]], text: str = "text",
     schema = widened(docs.select(*keep).schema, **{pred: "string", score: "double"})
 
     def run(batches):
+        forget()
         for batch in batches:
-            said = [ranks.predict(x) for x in batch.column(at).to_pylist()]
+            said = [ranks.predict(x.as_py()) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(len(keep))), pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())],
                 schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

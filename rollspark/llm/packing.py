@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollspark.llm.common import kept, table, write_once
+from rollspark.llm.common import forget, kept, lean, table, trim, write_once
 
-CACHED, LONGEST_CACHED = 700_000, 48
+CACHED, LONGEST_CACHED = 200_000, 48
 _LETTERS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)\Z")
 
 
@@ -68,25 +68,33 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 
 class Known(dict):
-    """Ids of words as little-endian unsigned 32-bit bytes, encoded when first asked for.
+    """Ids of words (UTF-8) as little-endian unsigned 32-bit bytes, encoded when first asked for.
 
     A word of letters and closing ASCII signs is its letters' ids and its
     signs', as the vocabulary's pattern parts them there; letters of Latin-1
-    have the ids of their small ones, as it ignores case. So fewer are encoded.
+    have the ids of their small ones, as it ignores case. So fewer are encoded,
+    and small letters of Latin-1, which the vocabulary's normalizer leaves as
+    they are and its pattern whole, go to its model at once.
     """
 
-    def __init__(self, tokenizer, before: dict[str, bytes]):
-        super().__init__({"": b""})
-        self.tokenizer, self.before = tokenizer, before
+    def __init__(self, tokenizer, before: dict[bytes, bytes]):
+        super().__init__({b"": b""})
+        self.tokenizer, self.before, self.model = tokenizer, before, tokenizer.model
+        self.letters = {i: tokenizer.pre_tokenizer.pre_tokenize_str(chr(i))[0][0] for i in range(256) if chr(i).isalpha()}
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: bytes) -> bytes:
         ids = self.before.get(word)
         if ids is None:
-            m = _LETTERS.match(word)
-            if m and m[1].isalpha() and (m[2] or m[1] != m[1].lower()) and ord(max(m[1])) < 256:
-                ids = self[m[1].lower()] + self[m[2]]
+            text = word.decode()
+            m = _LETTERS.match(text)
+            if m and m[1].isalpha() and ord(max(m[1])) < 256:
+                small = m[1].lower()
+                if m[2] or m[1] != small:
+                    ids = self[small.encode()] + self[m[2].encode()]
+                else:
+                    ids = array("I", [x.id for x in self.model.tokenize(small.translate(self.letters))]).tobytes()
             else:
-                ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+                ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(word) <= LONGEST_CACHED:
             self[word] = ids
         return ids
@@ -109,7 +117,7 @@ class Encoder:
         if len(self.known) > CACHED:  # words not asked for lately are forgotten
             self.known.before = {}
             self.known = Known(self.tokenizer, self.known)
-        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.known.__getitem__, text.encode().replace(b"\n", b" ").split(b" ")))
 
 
 def encoder(path: str) -> Encoder:
@@ -134,8 +142,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", keep: tupl
         enc = encoder(tokenizer)
         for batch in batches:
             rows, cols = [], ([], [], [], [])
-            for i, x in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                ids = memoryview(enc.encode(x) + last)
+            for i, x in enumerate(batch.column(batch.num_columns - 1)):  # one text at a time, not a batch of them
+                ids = memoryview(enc.encode(x.as_py()) + last)
                 for k, s in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[s:s + 4 * capacity]
                     rows.append(i)
@@ -147,7 +155,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", keep: tupl
                 [*(batch.column(i).take(take) for i in range(batch.num_columns - 1)),
                  *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, group_rows: int = 32_768) -> DataFrame:
@@ -166,6 +174,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, group_rows: int = 32_768) -> D
     schema = held.select(*names).schema.add("sequence_id", "long").add("offset", "long")
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        forget()  # the words' ids
+        trim()
         bins, offsets = best_two_fit(rows["length"].to_numpy(), capacity)
         return rows[names].assign(sequence_id=bins + (int(key[0]) << 32), offset=offsets)
 

@@ -8,9 +8,10 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from rollspark.llm import html_text, langid, packing, token_counts
+from rollspark.llm import common, html_text, langid, packing, token_counts
 
 ODD = ["", " ", "  a  b ", "<|endoftext|>", "x<|ENDOFTEXT|>y <|startoftext|> z", "ΣΑΣ σας", "e ́a ́x", "a\tb\x0bc\x85d e　f", "it's 'S 'LL don't", "ｆｕｌｌ ﬁ ² Ⅷ",
        "👩‍👩‍👧 ok", "a\x1cb", "İI", "▁▁a ▁b", "<s> </s> <unk>", "a" * 5000, " ".join(["x"] * 9000), "\r\n a \r b", "Thon, thon! THON*** élan. ÉLAN.'s don't."]
@@ -223,3 +224,27 @@ def test_main_text_is_the_article_of_given_pages(spark, sf_dir):
         inside = re.search(r"<article>(.*?)</article>", pages[r["page_id"]], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", inside.replace("<b>", "").replace("</b>", ""))]
         assert r["text"] == "\n".join(x for x in blocks if x)
+
+
+def test_memory_of_a_worker_is_bounded(monkeypatch):
+    """Words are forgotten in two generations, texts are read in slices, and a task of another operator drops the words."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+    whole = Tokenizer.from_file(path)
+    assert packing.CACHED <= 200_000 and langid.MERGE_AT <= 1_000_000
+    monkeypatch.setattr(packing, "CACHED", 20)
+    monkeypatch.setattr(common, "_KEPT", {})
+    enc = packing.encoder(path)
+    words = ["naïve", "ÀÉÎ!", "straße", "µm", "ªº", "don't", "x's", "Ünï-çødé", "日本語", "İstanbul", "ǅ", "é", "é", "1a2", "<|endoftext|>", "THE.", "the"]
+    texts = [f"{w} {w}{i} {'ab' * i}{w}" for i in range(30) for w in words]
+    for x in [*texts, *texts[:40]]:
+        assert enc.encode(x) == np.array(whole.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), x
+        assert len(enc.known) <= 20 + 16 and len(enc.known.before) <= 20 + 16
+    assert common._KEPT
+    rows = pa.RecordBatch.from_pydict({"text": [str(i) for i in range(25)]})
+    seen = []
+    out = list(common.lean(lambda batches: (seen.append(len(b)) or b for b in batches), 10)([rows, rows.slice(0, 0), rows.slice(0, 3)]))
+    assert seen == [10, 10, 5, 3] and pa.Table.from_batches(out).num_rows == 28
+    assert list(common.lean(lambda batches: batches, 0)([rows]))[0].equals(rows)
+    common.forget()
+    assert not common._KEPT
