@@ -56,8 +56,7 @@ MASKED_LOSSES = {"gspo"}
 
 
 def _gspo(lp, old, adv, mask, **k):
-    ratio = F.array(L.gspo_seq_ratio(lp, old, mask))  # bound, so it is computed once a row
-    return F.transform(ratio, lambda r: L.gspo_tokens(adv, r, **k)[0]).getItem(0)
+    return L.gspo_tokens(adv, L.gspo_seq_ratio(lp, old, mask), **k)[0]
 
 
 def _tis(lp, old, adv, rollout_log_probs=None, cap=2.0, **k):
