@@ -116,8 +116,8 @@ def q_pad(spark, d):
     r = rollouts(spark, d, with_tokens=True).withColumn(
         "prompt_ids", F.transform(F.when(F.col("prompt_len") >= 1, F.sequence(F.lit(1).cast("bigint"), "prompt_len"))
                    .otherwise(F.array().cast("array<bigint>")), lambda i: i + 100))
-    r = seeded_order(r, ["uid", "sample_key"]).withColumn("batch_id", F.floor(F.col("idx") / 64).cast("bigint"))
-    p = S.unpad(S.pad_batch(r))
+    r = seeded_order(r, ["uid", "sample_key"], whole=64).withColumn("batch_id", F.floor(F.col("idx") / 64).cast("bigint"))
+    p = S.unpad(S.pad_batch(r, within="part"))
     ok = (F.col("prompt_unpadded") == F.col("prompt_ids")) & \
         (F.col("response_unpadded") == F.col("response_ids").cast("array<bigint>"))
     return p.select("uid", "sample_key", "batch_id",

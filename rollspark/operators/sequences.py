@@ -11,7 +11,7 @@ it is built for.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollspark.functions.cols import col
@@ -110,12 +110,17 @@ def truncate_tokens(text, n: int):
 
 
 def pad_batch(df: DataFrame, batch="batch_id", prompt="prompt_ids", response="response_ids",
-              mask="loss_mask", pad_id: int = 0) -> DataFrame:
+              mask="loss_mask", pad_id: int = 0, within: str | None = None) -> DataFrame:
     """Left-pad prompts and right-pad responses / masks to the batch
     maxima (max lengths per batch come from an aggregate joined back), plus
-    attention masks (1 on real tokens)."""
-    mx = df.groupBy(batch).agg(F.max(F.size(col(prompt))).alias("_mp"), F.max(F.size(col(response))).alias("_mr"))
-    d = df.join(mx, batch)
+    attention masks (1 on real tokens). ``within`` names a column that is the same for all rows of a batch;
+    if ``df`` is partitioned by it, no row moves."""
+    sizes = [F.max(F.size(col(prompt))), F.max(F.size(col(response)))]
+    if within is None:
+        d = df.join(df.groupBy(batch).agg(*[m.alias(n) for m, n in zip(sizes, ("_mp", "_mr"), strict=True)]), batch)
+    else:
+        w = Window.partitionBy(within, batch)
+        d = df.filter(F.col(batch).isNotNull()).select("*", *[m.over(w).alias(n) for m, n in zip(sizes, ("_mp", "_mr"), strict=True)])
     lp = F.col("_mp") - F.size(col(prompt))
     rp = F.col("_mr") - F.size(col(response))
     return d.select(

@@ -15,12 +15,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollspark.functions.cols import col, seeded_hash, with_scalars
-from rollspark.plans.index import hashed_index
+from rollspark.plans.index import hashed_index, whole_batches_index
 
 
-def seeded_order(df: DataFrame, key, seed: int = 0, name: str = "idx") -> DataFrame:
-    """Add ``name``: 0-based position in the md5(seed|key) order (ties by key)."""
+def seeded_order(df: DataFrame, key, seed: int = 0, name: str = "idx", whole: int | None = None) -> DataFrame:
+    """Add ``name``: 0-based position in the md5(seed|key) order (ties by key). With ``whole``, every ``whole`` rows that
+    follow each other there from the start stand in one task and share the number ``part``, which is added too."""
     keys = [key] if isinstance(key, str) else list(key)
+    if whole:
+        return whole_batches_index(df, seeded_hash(seed, *keys), keys, whole, name)
     d = df.withColumn("_sh", seeded_hash(seed, *keys))
     return hashed_index(d, "_sh", tiebreak=keys, name=name).drop("_sh")
 
