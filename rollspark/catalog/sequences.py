@@ -50,7 +50,7 @@ FROM sq""", "transitions"))
 def q_training_sequences(spark, d):
     t = transitions(spark, d)
     tot = S.trajectory_totals(t)
-    adv = ADV.group_centered(tot, group="group_id", score="total_reward").select("traj_id", "advantage")
+    adv = ADV.group_centered(tot, group="group_id", score="total_reward", by_join=True).select("traj_id", "advantage")
     seqs = S.training_sequences(S.merge_turns(t).join(adv, "traj_id"))
     return seqs.select("traj_id", "seq_no", F.size("input_tokens").cast("bigint").alias("n_tokens"),
                        F.md5(F.array_join("target_tokens", " ")).alias("target_md5"),
